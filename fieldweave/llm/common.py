@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,7 +68,7 @@ def id_text(docs: DataFrame, *more: str) -> DataFrame:
 
 def sub_batches(batch: pa.RecordBatch, limit: int = SUB_BATCH_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about `limit` bytes of text each (a longer text makes a slice of its own)."""
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     at = 0
     total = np.cumsum(sizes)
     while at < len(sizes):

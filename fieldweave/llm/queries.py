@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers_files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, idfile, tokens
+from . import bpe, decontaminate, idfile, near_dup, quality, tokens
 from .common import table
 
 
@@ -33,8 +33,36 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return done.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.group(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality.judge(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op2_idfile": op2_idfile, "op5_tokens": op5_tokens}
+    return {
+        "op1_bpe": op1_bpe,
+        "op2_idfile": op2_idfile,
+        "op4_decontaminate": op4_decontaminate,
+        "op5_tokens": op5_tokens,
+        "op6_near_dup": op6_near_dup,
+        "op7_quality": op7_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
