@@ -146,7 +146,7 @@ def piece_counts(docs: DataFrame, pattern: str) -> DataFrame:
 
 def _hot(counts: DataFrame, max_hot: int, max_bytes: int = 64) -> DataFrame:
     """The most frequent pieces, at most max_hot, down to a power of two of their count."""
-    short = counts.filter(F.octet_length("piece") <= max_bytes)
+    short = counts.filter(F.octet_length("piece").between(1, max_bytes))
     level = F.floor(F.log2("n")).cast("int")
     by_level = {r["level"]: r["pieces"] for r in short.groupBy(level.alias("level")).agg(F.count("*").alias("pieces")).collect()}
     total, least = 0, None
@@ -158,12 +158,12 @@ def _hot(counts: DataFrame, max_hot: int, max_bytes: int = 64) -> DataFrame:
     return short.filter(F.lit(False) if least is None else level >= least)
 
 
-def encode(docs: DataFrame, ranks: RankMap, pattern: str, max_hot: int = 1 << 21) -> DataFrame:
+def encode(docs: DataFrame, ranks: RankMap, pattern: str, max_hot: int = 1 << 20) -> DataFrame:
     """doc_id, ids array<int>, ids_bytes (the ids as little-endian unsigned 32-bit integers) of every document."""
     spark = docs.sparkSession
     docs = id_text(docs)
     counts = stored(piece_counts(docs, pattern), "pieces")
-    hot = _hot(counts, max_hot).select("piece", fold_piece(F.col("piece"), ranks).alias("ids")).filter("ids is not null").toArrow()
+    hot = _hot(counts, max_hot).select("piece", fold_piece(F.col("piece"), ranks).alias("ids")).toArrow()
     words = hot.column("piece").cast(pa.large_string()).combine_chunks()
     lists = hot.column("ids").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists

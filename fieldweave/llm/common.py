@@ -27,6 +27,8 @@ def ship(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     _SHIPPED.add(app)
+    # Literals of a plan (a rank map) would otherwise fill the driver with plan descriptions.
+    spark.conf.set("spark.sql.maxPlanStringLength", "65536")
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     at = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="fieldweave-")), f"{os.path.basename(top)}.zip")
     with zipfile.ZipFile(at, "w") as out:

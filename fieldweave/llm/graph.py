@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import mix64, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,25 +32,42 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def might_hold(ids: DataFrame, column: str, words: int = 1 << 16):
-    """A Bloom filter of `words` 64-bit words, whatever the input; it lets more through where there are more ids."""
-    bits = 64 * words
+def only_held(rows: DataFrame, ids: DataFrame, most_words: int = 1 << 20) -> DataFrame:
+    """Rows whose doc_id is among `ids` (doc_id), and few others: a Bloom filter of at most `most_words` 64-bit words.
 
-    def places(c: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(bits)) for seed in (1, 2, 3)]
+    It spares a later join most of the texts; where there are more ids than it can tell apart it lets more rows through.
+    """
+    n = ids.count()
+    words = 1 << 10
+    while words < most_words and 64 * words < 24 * n:
+        words *= 2
 
-    at = ids.select(F.explode(F.array(*places(F.col(column)))).alias("at"))
-    rows = at.groupBy(F.floor(F.col("at") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits")).collect()
-    filled = [0] * words
-    for r in rows:
-        filled[r["w"]] = r["bits"]
-    literal = F.from_json(F.lit(json.dumps(filled)), "array<bigint>")
+    def places(values: np.ndarray) -> np.ndarray:
+        x = values.astype(np.int64).view(np.uint64)
+        return np.stack([mix64(x + np.uint64(seed)) % np.uint64(64 * words) for seed in (1, 2, 3)])
 
-    def test(c: Column) -> Column:
-        out = F.lit(True)
-        for p in places(c):
-            word = F.get(literal, F.floor(p / 64).cast("int"))
-            out = out & (F.call_function("shiftrightunsigned", word, (p % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
-        return out
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = places(batch.column("doc_id").to_numpy(zero_copy_only=False)).ravel()
+            order = np.argsort(at)
+            at = at[order]
+            where = (at >> np.uint64(6)).astype(np.int64)
+            if len(at):
+                first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
+                yield pa.RecordBatch.from_arrays([pa.array(where[first]), pa.array(bits.view(np.int64))], ["word", "bits"])
 
-    return test
+    got = ids.select("doc_id").mapInArrow(fill, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    filled = np.zeros(words, np.int64)
+    filled[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    sent = rows.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = sent.value
+        for batch in batches:
+            col = batch.column("doc_id")
+            at = places(col.fill_null(0).to_numpy(zero_copy_only=False))
+            hit = ((have[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool).all(0)
+            yield batch.filter(pa.array(hit & col.is_valid().to_numpy(zero_copy_only=False)))
+
+    return rows.mapInArrow(test, rows.schema)

@@ -209,7 +209,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     stored_blocks = spark.read.parquet(f"{path}/blocks")
     # Blocks are counted within their range of doc_ids; there are as many ranges as partitions, and their sums are few.
     index = stored_blocks.select("block", "part", "first_doc", "n_ids")
-    sums = {r["part"]: r["n"] for r in index.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
+    totals = index.groupBy("part").agg(F.sum("n_ids").alias("n"), F.count("*").alias("many")).collect()
+    sums, blocks_in = {r["part"]: r["n"] for r in totals}, {r["part"]: r["many"] for r in totals}
     before, base = 0, []
     for part in range(max([-1, *sums]) + 1):
         base.append(before)
@@ -228,8 +229,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([b["block"]] * (len(ends) - 1), pa.int64()), pa.array(b["doc_ids"], pa.int64()), pa.array(ends[:-1]), data], ["block", "doc_id", "local", "ids"])
 
     docs = stored_blocks.select("block", "n_ids", "doc_ids", "doc_lengths", "checkpoints", "bits").mapInArrow(decode, "block long, doc_id long, local long, ids binary")
-    slim = docs.select("block", "doc_id", "local", "ids")
-    return slim.join(starts, "block").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "ids")
+    # One row for each million ids or so: broadcast as long as that is little, else joined by a shuffle.
+    many = sum(blocks_in.values())
+    return docs.join(F.broadcast(starts) if many <= 1 << 20 else starts, "block").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "ids")
 
 
 def new_path(spark: SparkSession) -> str:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, mix64, stored, sub_batches
-from .graph import components, might_hold
+from .graph import components, only_held
 from .shingles import shingle_sets
 
 COORDINATES = 64
@@ -136,8 +136,8 @@ def _confirmed(candidates: DataFrame, signed: DataFrame, docs: DataFrame, words:
     sig = signed.select("doc_id", "signature")
     near = candidates.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").mapInArrow(matched, "a long, b long")
     near = stored(near, "matched")
-    ends = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.filter(might_hold(ends, "doc_id")(F.col("doc_id"))).join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    ends = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
+    texts = only_held(docs, ends).join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = stored(texts, "texts")
     wide = near.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
     return wide.mapInArrow(similar, "a long, b long")
