@@ -32,10 +32,11 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def only_held(rows: DataFrame, ids: DataFrame, most_words: int = 1 << 20) -> DataFrame:
+def only_held(rows: DataFrame, ids: DataFrame, most_words: int = 1 << 20, both: bool = False):
     """Rows whose doc_id is among `ids` (doc_id), and few others: a Bloom filter of at most `most_words` 64-bit words.
 
     It spares a later join most of the texts; where there are more ids than it can tell apart it lets more rows through.
+    With `both`, also the other rows, as a second frame.
     """
     n = ids.count()
     words = 1 << 10
@@ -62,12 +63,16 @@ def only_held(rows: DataFrame, ids: DataFrame, most_words: int = 1 << 20) -> Dat
     filled[got.column("word").to_numpy()] = got.column("bits").to_numpy()
     sent = rows.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def test(batches: Iterator[pa.RecordBatch], wanted: bool = True) -> Iterator[pa.RecordBatch]:
         have = sent.value
         for batch in batches:
             col = batch.column("doc_id")
             at = places(col.fill_null(0).to_numpy(zero_copy_only=False))
             hit = ((have[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool).all(0)
-            yield batch.filter(pa.array(hit & col.is_valid().to_numpy(zero_copy_only=False)))
+            yield batch.filter(pa.array((hit & col.is_valid().to_numpy(zero_copy_only=False)) == wanted))
 
-    return rows.mapInArrow(test, rows.schema)
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return test(batches, False)
+
+    held = rows.mapInArrow(test, rows.schema)
+    return (held, rows.mapInArrow(rest, rows.schema)) if both else held

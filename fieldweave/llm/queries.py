@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers_files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, idfile, near_dup, quality, tokens
+from . import bpe, decontaminate, exact_dup, idfile, near_dup, quality, tokens
 from .common import table
 
 
@@ -54,6 +54,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op8_exact_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = exact_dup.remove(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
@@ -62,6 +68,7 @@ def queries() -> dict:
         "op5_tokens": op5_tokens,
         "op6_near_dup": op6_near_dup,
         "op7_quality": op7_quality,
+        "op8_exact_dup": op8_exact_dup,
     }
 
 
