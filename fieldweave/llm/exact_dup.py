@@ -101,7 +101,7 @@ def repeated_starts(pieces: list[bytes], starts: np.ndarray, length: int) -> tup
     at = ragged(np.cumsum(sizes) - sizes, starts)
     slot = np.full(len(buf), -1, np.int64)
     slot[at] = np.arange(len(at))
-    order = sort(buf, length)
+    order = sort(buf, length, slot >= 0)
     order = order[slot[order] >= 0]
     same = common_prefixes(buf, order, length) >= length
     repeated = same.copy()
@@ -165,11 +165,11 @@ def find(docs: DataFrame, length: int = 400) -> DataFrame:
     return whole.unionByName(single)
 
 
-def remove(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, spans (removed runs of bytes), kept (the other bytes) of every document."""
-    docs = id_text(docs).select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def remove(docs: DataFrame, length: int = 400, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, spans (removed runs of bytes), kept (the other bytes) of every document, and the columns to carry."""
+    docs = id_text(docs, *carry).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *carry)
     # A row is told by its id (a null one by the least long) and its text.
-    keyed = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), F.col("doc_id").isNull().alias("no_id"))
+    keyed = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), F.col("doc_id").isNull().alias("no_id"), *carry)
     found = find(keyed.select("doc_id", "text", "text_hash"), length)
     spans = stored(found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last")).alias("starts")), "spans")
 
@@ -192,10 +192,11 @@ def remove(docs: DataFrame, length: int = 400) -> DataFrame:
                 ids = part.column("doc_id")
                 ids = pa.array(ids.to_numpy(zero_copy_only=False), pa.int64(), mask=part.column("no_id").to_numpy(zero_copy_only=False).astype(bool))
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(spans_, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(spans_, kind), pa.array(kept, pa.binary()), *(part.column(c) for c in carry)], ["doc_id", "n_bytes", "spans", "kept", *carry])
 
     held, rest = only_held(keyed, spans.select("doc_id").distinct(), both=True)
-    joined = held.join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "no_id", "text", "starts")
-    rest = rest.select("doc_id", "no_id", "text", F.lit(None).cast("array<struct<first:int,last:int>>").alias("starts"))
-    schema = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
+    joined = held.join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "no_id", "text", "starts", *carry)
+    rest = rest.select("doc_id", "no_id", "text", F.lit(None).cast("array<struct<first:int,last:int>>").alias("starts"), *carry)
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in carry)
+    schema = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary" + more
     return joined.mapInArrow(cut, schema).unionByName(rest.mapInArrow(cut, schema))

@@ -76,3 +76,10 @@ def only_held(rows: DataFrame, ids: DataFrame, most_words: int = 1 << 20, both:
 
     held = rows.mapInArrow(test, rows.schema)
     return (held, rows.mapInArrow(rest, rows.schema)) if both else held
+
+
+def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id isn't among `ids` (doc_id); only rows that the filter takes for such are shuffled."""
+    ids = ids.select("doc_id").distinct()
+    held, rest = only_held(rows, ids, both=True)
+    return rest.unionByName(held.join(ids, "doc_id", "left_anti").select(*rows.columns))

@@ -6,13 +6,14 @@ import public_tokenizers as tokenizers_files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dup, idfile, near_dup, quality, tokens
+from . import bpe, decontaminate, exact_dup, idfile, langid, near_dup, quality, tokens, toxicity, url_filter
 from .common import table
 
 
-def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def encoded(docs: DataFrame) -> DataFrame:
+    """Token ids of whole texts and the bytes they decode to, as digests."""
     ranks = bpe.RankMap(bpe.read_ranks(tokenizers_files.path("byte_bpe_50k.tiktoken")))
-    done = bpe.encode(table(spark, sf_dir, "documents"), ranks, tokenizers_files.PATTERN)
+    done = bpe.encode(docs, ranks, tokenizers_files.PATTERN)
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -21,6 +22,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"))
+
+
 def op2_idfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = idfile.new_path(spark)
     idfile.write(table(spark, sf_dir, "documents"), path, tokenizers_files.path("byte_bpe_50k.json"), tokenizers_files.PATTERN)
@@ -60,17 +65,81 @@ def op8_exact_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", "toxic")
+    done = toxicity.score(table(spark, sf_dir, "documents"), labels)
+    return done.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    done = langid.predict(docs, langid.fit(langid.learnable(docs, held_out)))
+    return done.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def _listed(pages: DataFrame) -> DataFrame:
+    """A dated list over the hosts of the pages: dates and actions follow from a digest of each host."""
+    hosts = pages.select(url_filter.host(F.col("url")).alias("domain")).filter("domain is not null").distinct()
+    digit = lambda k: F.expr(f"instr('0123456789abcdef', substr(md5(domain), {k}, 1)) - 1")
+    start = F.lit("2024-01-01").cast("date")
+    entry = lambda days, action: F.struct(F.date_add(start, days).alias("day"), F.lit(action).alias("action"))
+    dated = F.array(entry(digit(1) * 11, "block"), entry(digit(1) * 11 + digit(2) * 7 + 1, "allow"), entry(digit(1) * 11 + digit(2) * 7 + digit(3) * 9 + 2, "block"))
+    return hosts.select("domain", F.inline(dated))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(365)).cast("int"))
+    captures = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", fetched.alias("day"))
+    return url_filter.judge(captures, _listed(pages))
+
+
+OP10_SQL = r"""
+WITH seen AS (
+  SELECT page_id,
+         nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.$', ''), '') AS host,
+         CAST(DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS DATE) AS day
+  FROM pages),
+hosts AS (
+  SELECT DISTINCT host AS domain,
+         instr('0123456789abcdef', substr(md5(host), 1, 1)) - 1 AS a,
+         instr('0123456789abcdef', substr(md5(host), 2, 1)) - 1 AS b,
+         instr('0123456789abcdef', substr(md5(host), 3, 1)) - 1 AS c
+  FROM seen WHERE host IS NOT NULL),
+entries AS (
+  SELECT domain, DATE '2024-01-01' + CAST(a * 11 AS INTEGER) AS day, 0 AS allowed FROM hosts
+  UNION ALL SELECT domain, DATE '2024-01-01' + CAST(a * 11 + b * 7 + 1 AS INTEGER), 1 FROM hosts
+  UNION ALL SELECT domain, DATE '2024-01-01' + CAST(a * 11 + b * 7 + c * 9 + 2 AS INTEGER), 0 FROM hosts),
+daily AS (SELECT domain, day, min(allowed) AS allowed FROM entries GROUP BY 1, 2),
+valid AS (
+  SELECT domain, day AS since, until FROM (
+    SELECT *, lead(day) OVER (PARTITION BY domain ORDER BY day) AS until FROM daily) WHERE allowed = 0),
+hits AS (
+  SELECT s.page_id, v.domain, v.since,
+         row_number() OVER (PARTITION BY s.page_id ORDER BY length(v.domain) DESC, v.domain DESC, v.since DESC) AS k
+  FROM seen s JOIN valid v
+    ON (s.host = v.domain OR s.host LIKE '%.' || v.domain) AND s.day >= v.since AND (v.until IS NULL OR s.day < v.until))
+SELECT s.page_id, s.host, s.day, h.domain IS NOT NULL AS blocked, h.domain AS rule, CAST(h.since AS DATE) AS since
+FROM seen s LEFT JOIN hits h ON s.page_id = h.page_id AND h.k = 1
+"""
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
         "op2_idfile": op2_idfile,
+        "op3_toxicity": op3_toxicity,
         "op4_decontaminate": op4_decontaminate,
         "op5_tokens": op5_tokens,
         "op6_near_dup": op6_near_dup,
         "op7_quality": op7_quality,
         "op8_exact_dup": op8_exact_dup,
+        "op9_langid": op9_langid,
+        "op10_url_filter": op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_url_filter": OP10_SQL.replace("\\\\", "\\")}

@@ -24,8 +24,19 @@ def smaller_than_next(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def sort(buf: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of buf in the order of their first `depth` bytes (ties in any order).
+def _with_successors(wanted: np.ndarray, direct: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The wanted positions, and after each the positions up to the next one that is sorted directly."""
+    ends = np.flatnonzero(wanted & ~np.append(wanted[1:], False))
+    at = np.searchsorted(chosen, ends)
+    until = np.append(chosen, len(wanted) - 1)[at]
+    mark = np.zeros(len(wanted) + 1, np.int64)
+    np.add.at(mark, ends, 1)
+    np.add.at(mark, until + 1, -1)
+    return wanted | (np.cumsum(mark[:-1]) > 0)
+
+
+def sort(buf: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Suffixes of buf in the order of their first `depth` bytes (ties in any order); of `wanted` ones and few others, if given.
 
     Suffixes smaller than their successors are sorted directly. A suffix that is larger begins with a byte no smaller than
     the next one's, so a scan of the buckets of first bytes, from low to high, meets its successor before it, and gives its
@@ -37,13 +48,16 @@ def sort(buf: np.ndarray, depth: int) -> np.ndarray:
     direct = smaller_than_next(buf)
     text = buf.tobytes().decode("latin-1")
     chosen = np.flatnonzero(direct)
+    use = np.ones(n, bool) if wanted is None else _with_successors(wanted, direct, chosen)
+    chosen = chosen[use[chosen]]
     keys = [text[i : i + depth] for i in chosen.tolist()]
     order = sorted(range(len(keys)), key=keys.__getitem__)
     placed = chosen[np.array(order, np.int64)] if order else chosen
     del keys
     by_first = np.searchsorted(buf[placed], np.arange(257)) if len(placed) else np.zeros(257, np.int64)
     larger: list[list[np.ndarray]] = [[] for _ in range(256)]
-    larger[buf[n - 1]].append(np.array([n - 1]))
+    if use[n - 1]:
+        larger[buf[n - 1]].append(np.array([n - 1]))
     out = []
     for c in range(256):
         found = larger[c]
@@ -52,21 +66,21 @@ def sort(buf: np.ndarray, depth: int) -> np.ndarray:
         level, levels = front, [front]
         while len(level):
             before = level[level > 0] - 1
-            level = before[(buf[before] == c) & ~direct[before]]
+            level = before[(buf[before] == c) & ~direct[before] & use[before]]
             levels.append(level)
         bucket = np.concatenate([*levels, placed[by_first[c] : by_first[c + 1]]])
         if not len(bucket):
             continue
         out.append(bucket)
         before = bucket[bucket > 0] - 1
-        before = before[buf[before] > c]
+        before = before[(buf[before] > c) & use[before]]
         if len(before):
             first = buf[before]
             stable = np.argsort(first, kind="stable")
             cut = np.flatnonzero(np.diff(first[stable])) + 1
             for part in np.split(before[stable], cut):
                 larger[buf[part[0]]].append(part)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def words8(buf: np.ndarray) -> np.ndarray:
