@@ -221,16 +221,15 @@ def encode(docs: DataFrame, ranks: RankMap, pattern: str, max_hot: int = 1 << 20
             for lo, hi in _runs(fresh):
                 part = batch.slice(lo, hi - lo)
                 if fresh[lo]:
-                    new = part.column("ids").to_pylist()
-                    pieces = part.column("piece")
-                    for i, x in enumerate(new):
-                        if x is None:
-                            new[i] = heap_merge(pieces[i].as_py().encode(), by_bytes)
+                    col, pieces = part.column("ids"), part.column("piece")
+                    if col.null_count:  # pieces beyond the fold
+                        merged = [heap_merge(p.encode(), by_bytes) if x is None else x for x, p in zip(col.to_pylist(), pieces.to_pylist(), strict=True)]
+                        col = pa.array(merged, pa.list_(pa.int32()))
                     if not opened:
                         lengths, flat = [hot_lengths], [hot_flat]
                         opened = True
-                    lengths.append(np.fromiter(map(len, new), np.int32, len(new)))
-                    flat.append(np.fromiter((y for x in new for y in x), np.uint32))
+                    lengths.append(pc.list_value_length(col).to_numpy(zero_copy_only=False).astype(np.int32))
+                    flat.append(col.flatten().to_numpy(zero_copy_only=False).astype(np.uint32))
                     continue
                 if opened:
                     lengths, flat = np.concatenate(lengths), np.concatenate(flat)

@@ -35,6 +35,21 @@ def _with_successors(wanted: np.ndarray, direct: np.ndarray, chosen: np.ndarray)
     return wanted | (np.cumsum(mark[:-1]) > 0)
 
 
+def _sorted_directly(buf: np.ndarray, chosen: np.ndarray, depth: int) -> np.ndarray:
+    """Positions in the order of their first `depth` bytes; one pair of leading bytes after the other, to hold few keys at once."""
+    if not len(chosen):
+        return chosen
+    text = buf.tobytes().decode("latin-1")
+    lead = buf[chosen].astype(np.int64) * 256 + buf[np.minimum(chosen + 1, len(buf) - 1)]
+    by_lead = np.argsort(lead, kind="stable")
+    out = []
+    for group in np.split(chosen[by_lead], np.flatnonzero(np.diff(lead[by_lead])) + 1):
+        at = group.tolist()
+        at.sort(key=lambda i: text[i : i + depth])
+        out.append(np.array(at, np.int64))
+    return np.concatenate(out)
+
+
 def sort(buf: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """Suffixes of buf in the order of their first `depth` bytes (ties in any order); of `wanted` ones and few others, if given.
 
@@ -46,14 +61,9 @@ def sort(buf: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.nd
     if not n:
         return np.zeros(0, np.int64)
     direct = smaller_than_next(buf)
-    text = buf.tobytes().decode("latin-1")
     chosen = np.flatnonzero(direct)
     use = np.ones(n, bool) if wanted is None else _with_successors(wanted, direct, chosen)
-    chosen = chosen[use[chosen]]
-    keys = [text[i : i + depth] for i in chosen.tolist()]
-    order = sorted(range(len(keys)), key=keys.__getitem__)
-    placed = chosen[np.array(order, np.int64)] if order else chosen
-    del keys
+    placed = _sorted_directly(buf, chosen[use[chosen]], depth)
     by_first = np.searchsorted(buf[placed], np.arange(257)) if len(placed) else np.zeros(257, np.int64)
     larger: list[list[np.ndarray]] = [[] for _ in range(256)]
     if use[n - 1]:
