@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass works on inside a task.
-SUB_BATCH_BYTES = 4 << 20
+SUB_BATCH_BYTES = 1 << 20
 
 _OWN_DIR: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -30,7 +30,7 @@ def ship(spark: SparkSession) -> None:
     # Literals of a plan (a rank map) would otherwise fill the driver with plan descriptions.
     spark.conf.set("spark.sql.maxPlanStringLength", "65536")
     # Texts are long: ten thousand of them at once are more than a Python worker should hold.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     at = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="fieldweave-")), f"{os.path.basename(top)}.zip")

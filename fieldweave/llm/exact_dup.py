@@ -60,7 +60,7 @@ def _runs_of(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 def _runs(docs: DataFrame, length: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sub_batches(batch, 2 << 20):
+            for part in sub_batches(batch, 1 << 19):
                 buf, offsets = utf8(part)
                 doc, p1, p2, a, anchor, around = _runs_of(buf, offsets, length)
                 take = pa.array(doc)
