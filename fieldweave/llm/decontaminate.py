@@ -10,6 +10,7 @@ never listed; extra columns are ignored; empty tables give no hits.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import id_text, stored, words_of
 
 _BLANK = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_BUILT: dict[int, tuple] = {}
+#: The automaton that this worker has built last, under a key of its scan: workers outlive scans.
+_BUILT: dict[str, ahocorasick.Automaton] = {}
 
 
 def normalised(text: str | None) -> list[bytes]:
@@ -39,7 +41,7 @@ def windows(items: list[tuple[str, str | None]], size: int) -> dict[str, tuple[i
     return out
 
 
-def _automaton(key: int, items: list[tuple[str, str | None]], size: int) -> ahocorasick.Automaton:
+def _automaton(key: str, items: list[tuple[str, str | None]], size: int) -> ahocorasick.Automaton:
     if key not in _BUILT:
         _BUILT.clear()
         found = ahocorasick.Automaton()
@@ -84,9 +86,10 @@ def scan(docs: DataFrame, items: DataFrame, size: int = 10, max_block_bytes: int
     for k in range(blocks):
         own = [(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()]
         sent = spark.sparkContext.broadcast(own)
+        key = uuid.uuid4().hex
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent, k=k) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(k, sent.value, size)
+        def search(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(key, sent.value, size)
             for batch in batches:
                 counts, runs, names = [], [], []
                 for text, before, had in zip(*(batch.column(c).to_pylist() for c in ("text", "words", "items")), strict=True):
