@@ -2,10 +2,188 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import evaluate, evidence, geometry, graph, retrieval, splits
+from .plans import gates
+from .sources.files import table
+from .streaming import windows
+
+
+def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
+    """Two methods' predictions of a document's first twelve words, with the document as evidence."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("record"), "lang", F.coalesce("text", F.lit("")).alias("evidence_text"))
+    first = lambda n: F.array_join(F.slice(F.split("evidence_text", "[ \n]"), 1, n), " ")
+    rule = F.struct(F.lit("rule").alias("method"), F.lower(first(8)).alias("pred"))
+    model = F.struct(F.lit("model").alias("method"), F.when(F.col("record") % 7 == 0, "").otherwise(F.replace(first(12), F.lit(","), F.lit(""))).alias("pred"))
+    rows = docs.select("record", "lang", "evidence_text", first(12).alias("gold"), F.inline(F.array(rule, model)))
+    return evaluate.detail(rows)
+
+
+def eval_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.summary(_evaluated(spark, sf), "method")
+
+
+def eval_stratified(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.summary(_evaluated(spark, sf), "method", "lang")
+
+
+def eval_gates(spark: SparkSession, sf: str) -> DataFrame:
+    one = evaluate.summary(_evaluated(spark, sf)).withColumnRenamed("n", "rows")
+    return gates.check(one, [("coverage", ">=", 0.95), ("exact_match", ">=", 0.2), ("token_f1", ">=", 0.25), ("evidence", ">=", 0.9)])
+
+
+def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", T.normalize_eval(F.col("text")).alias("normal"))
+
+
+def normalize_ids(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.concat(F.lit(" e-"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"), F.lit(" / "), F.col("c_mktsegment"))
+    return table(spark, sf, "customer").select("c_custkey", T.identifier_key(raw).alias("identifier"), T.alnum_key(raw).alias("alnum"), T.person_key(F.col("c_name")).alias("person"))
+
+
+def type_status(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ["Isolectotype of X", "HOLOTYPE", "a type sheet", "Paratype!", "none", "unknown"])), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", T.type_status(kind).alias("status"))
+
+
+def rule_extract(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.concat(F.lit("Herbarium e "), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), F.lit(" coll. "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" "), F.col("o_orderpriority"))
+    barcode = F.upper(F.regexp_replace(T.first_match(label, [r"\b([A-Z]{1,5}\d{5,})\b", r"\b([A-Z]{1,4}[\s\-]?\d{5,})\b"]), r"[\s\-]", ""))
+    date = T.first_match(label, [r"\b(\d{4}-\d{2}-\d{2})\b", r"\b(\d{4}-\d{2})\b", r"\b((?:18|19|20)\d{2})\b"])
+    return table(spark, sf, "orders").select("o_orderkey", barcode.alias("catalog_number"), date.alias("event_date"))
+
+
+def ordered_text_agg(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.ordered_text(table(spark, sf, "conversations"), "conv_id", "turn", "text")
+
+
+def consensus(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.consensus(table(spark, sf, "events"), "user_id", "event_type", "event_id")
+
+
+def topk_regions(spark: SparkSession, sf: str) -> DataFrame:
+    best = evidence.top_k(table(spark, sf, "lineitem"), "l_orderkey", [F.desc("l_extendedprice"), F.col("l_linenumber")], 3)
+    return best.select("l_orderkey", "l_linenumber", F.round("l_extendedprice", 2).alias("price"), "rank")
+
+
+def split_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.summary(splits.assign(table(spark, sf, "documents"), "doc_id", 42), "split", "source")
 
-def queries() -> dict:
-    return {}
+
+def leakage_check(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.leaks(splits.assign(table(spark, sf, "documents"), "doc_id", 42), F.sha2("text", 256), "demo", "eval", "doc_id")
+
+
+def lexical_topk(spark: SparkSession, sf: str) -> DataFrame:
+    asked = table(spark, sf, "documents").select(F.col("doc_id").alias("query"), "text")
+    return retrieval.lexical(asked, table(spark, sf, "benchmark").select(F.col("item_id").alias("doc"), "text"), 3)
+
+
+def box_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    return geometry.suppress(_boxes(spark, sf), "record")
+
+
+def _boxes(spark: SparkSession, sf: str) -> DataFrame:
+    x0, y0 = F.col("l_linenumber") * 10, F.col("l_quantity").cast("int")
+    return table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("record"), F.col("l_linenumber").alias("id"), F.col("l_returnflag").alias("label"), F.col("l_discount").alias("confidence"),
+        x0.alias("x0"), y0.alias("y0"), (x0 + 20 + F.col("l_partkey") % 40).cast("int").alias("x1"), (y0 + 20 + F.col("l_suppkey") % 40).cast("int").alias("y1"),
+    )
+
+
+def box_iou(spark: SparkSession, sf: str) -> DataFrame:
+    boxes = _boxes(spark, sf).select("record", "id", F.struct("x0", "y0", "x1", "y1").alias("box"))
+    pairs = boxes.alias("a").join(boxes.alias("b"), "record").filter("a.id < b.id")
+    both = pairs.select("record", F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(geometry.iou(F.col("a.box"), F.col("b.box")), 6).alias("iou"))
+    return both.filter("iou > 0")
+
+
+def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
+    nations = F.broadcast(table(spark, sf, "nation"))  # 25 rows at any scale
+    rows = table(spark, sf, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    customer, nation = ("Customer", F.col("c_custkey")), ("Nation", F.col("n_name"))
+    return graph.edges(rows, customer, "IN_NATION", nation).unionByName(graph.edges(rows, customer, "IN_SEGMENT", ("Segment", F.col("c_mktsegment"))))
+
+
+def usage_by_status(spark: SparkSession, sf: str) -> DataFrame:
+    used = F.get_json_object("props", "$.k").try_cast("long")
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("calls"), F.sum(used).cast("long").alias("units"), F.count_if(used > 50).alias("heavy"), F.round(F.avg("value"), 6).alias("mean_value"))
+
+
+def hourly_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.counts(table(spark, sf, "events"), "ts", "event_type", "1 hour", "10 minutes")
+
+
+_NORMAL = r"regexp_replace(regexp_replace(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}_\s.\-]', '', 'g'), '\s+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+def _clean(c: str) -> str:
+    x = rf"regexp_replace(coalesce({c}, ''), '^\s+|\s+$', '', 'g')"
+    return f"(CASE WHEN lower({x}) IN ('nan', 'none', 'null') THEN '' ELSE {x} END)"
+
+
+def _normal(c: str) -> str:
+    return _NORMAL.format(c=_clean(c))
+
+
+_EVAL_SQL = f"""
+WITH docs AS (SELECT doc_id AS record, lang, coalesce(text, '') AS ev, string_split_regex(coalesce(text, ''), '[ \\n]') AS w FROM documents),
+pairs AS (
+  SELECT record, lang, ev, array_to_string(w[1:12], ' ') AS gold, 'rule' AS method, lower(array_to_string(w[1:8], ' ')) AS pred FROM docs
+  UNION ALL
+  SELECT record, lang, ev, array_to_string(w[1:12], ' '), 'model', CASE WHEN record % 7 = 0 THEN '' ELSE replace(array_to_string(w[1:12], ' '), ',', '') END FROM docs),
+normal AS (SELECT *, {_clean("pred")} <> '' AS filled, {_clean("gold")} <> '' AS evaluable, {_normal("pred")} AS p, {_normal("gold")} AS g, {_normal("ev")} AS e FROM pairs),
+bags AS (SELECT *, list_filter(string_split(p, ' '), lambda x: x <> '') AS pw, list_filter(string_split(g, ' '), lambda x: x <> '') AS gw, list_filter(string_split(e, ' '), lambda x: x <> '') AS ew FROM normal),
+detail AS (
+  SELECT *, CASE WHEN evaluable THEN CAST(filled AS INT) END AS coverage, CASE WHEN evaluable THEN CAST(p = g AS INT) END AS exact_match,
+    CASE WHEN evaluable THEN CASE WHEN len(pw) = 0 AND len(gw) = 0 THEN 1.0 WHEN len(pw) = 0 OR len(gw) = 0 THEN 0.0
+      ELSE 2.0 * list_sum(list_transform(list_distinct(pw), lambda t: least(len(list_filter(pw, lambda x: x = t)), len(list_filter(gw, lambda x: x = t))))) / (len(pw) + len(gw)) END END AS token_f1,
+    CASE WHEN p = '' THEN NULL WHEN e = '' THEN 0.0 WHEN contains(e, p) THEN 1.0 ELSE len(list_intersect(list_distinct(pw), ew)) / len(list_distinct(pw)) END AS evidence
+  FROM bags),
+"""
+_SCORES = "round(avg(coverage), 6) AS coverage, round(avg(exact_match), 6) AS exact_match, round(avg(token_f1), 6) AS token_f1, round(avg(evidence), 6) AS evidence"
+_BOXES_SQL = """boxes AS (SELECT l_orderkey AS record, l_linenumber AS id, l_linenumber * 10 AS x0, CAST(floor(l_quantity) AS INT) AS y0,
+  l_linenumber * 10 + 20 + l_partkey % 40 AS x1, CAST(floor(l_quantity) AS INT) + 20 + l_suppkey % 40 AS y1 FROM lineitem)"""
+_SPLIT_SQL = "CASE WHEN sha256(doc_id || '|42')[1] IN ('0', '1') THEN 'demo' WHEN sha256(doc_id || '|42')[1] IN ('2', '3', '4') THEN 'eval' ELSE 'rest' END"
+_RAW_ID = "(' e-' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') || ' / ' || c_mktsegment)"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL with the same columns; suppression of boxes is a greedy fold and has none."""
+    one = _EVAL_SQL + f"one AS (SELECT {_SCORES} FROM detail) "
+    gate = lambda c, x: f"SELECT '{c}' AS gate, '>=' AS operator, CAST({x} AS DOUBLE) AS threshold, CAST({c} AS DOUBLE) AS value, {c} >= {x} AS passed FROM one"
+    tokens = "unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))"
+    return {
+        "eval_summary": _EVAL_SQL + f"x AS (SELECT 1) SELECT method, {_SCORES}, count(*) FILTER (WHERE evaluable) AS n FROM detail GROUP BY method",
+        "eval_stratified": _EVAL_SQL + f"x AS (SELECT 1) SELECT method, lang, {_SCORES}, count(*) FILTER (WHERE evaluable) AS n FROM detail GROUP BY method, lang",
+        "eval_gates": one + " UNION ALL ".join(gate(*g) for g in (("coverage", 0.95), ("exact_match", 0.2), ("token_f1", 0.25), ("evidence", 0.9))),
+        "normalize_text": f"SELECT doc_id, {_normal('text')} AS normal FROM documents",
+        "normalize_ids": f"SELECT c_custkey, upper(regexp_replace({_RAW_ID}, '[^A-Za-z0-9]+', '', 'g')) AS identifier, regexp_replace(lower({_RAW_ID}), '[^a-z0-9]+', '', 'g') AS alnum, array_to_string(list_sort(regexp_extract_all(lower(c_name), '[a-zà-öø-ÿ0-9]+')), ' ') AS person FROM customer",
+        "type_status": "SELECT p_partkey, ['isolectotype', 'holotype', 'type', 'paratype', '', 'unknown'][p_partkey % 6 + 1] AS status FROM part",
+        "rule_extract": "SELECT o_orderkey, 'E' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS catalog_number, strftime(o_orderdate, '%Y-%m-%d') AS event_date FROM orders",
+        "ordered_text_agg": "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY conv_id",
+        "consensus": "WITH v AS (SELECT user_id, event_type, count(*) AS c, min(event_id) AS f FROM events GROUP BY 1, 2) SELECT user_id, first(event_type ORDER BY c DESC, f) AS consensus, CAST(sum(c) AS BIGINT) AS repeats, CASE WHEN sum(c) > 1 THEN round(sum(c * (c - 1)) / (sum(c) * (sum(c) - 1)), 6) ELSE 1.0 END AS agreement FROM v GROUP BY user_id",
+        "topk_regions": "SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS price, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lineitem) WHERE rank <= 3",
+        "split_summary": f"SELECT {_SPLIT_SQL} AS split, source, count(*) AS n FROM documents GROUP BY 1, 2",
+        "leakage_check": f"WITH s AS (SELECT doc_id, text, {_SPLIT_SQL} AS split FROM documents) SELECT doc_id FROM s WHERE split = 'eval' AND sha256(text) IN (SELECT sha256(text) FROM s WHERE split = 'demo')",
+        "lexical_topk": f"""WITH q AS (SELECT query, term, count(*) AS n FROM (SELECT doc_id AS query, {tokens} AS term FROM documents) GROUP BY 1, 2),
+            d AS (SELECT doc, term, count(*) AS n FROM (SELECT item_id AS doc, {tokens} AS term FROM benchmark) GROUP BY 1, 2),
+            qn AS (SELECT query, sqrt(sum(n * n)) AS m FROM q GROUP BY 1), dn AS (SELECT doc, sqrt(sum(n * n)) AS m FROM d GROUP BY 1),
+            s AS (SELECT query, doc, round(sum(q.n * d.n) / (any_value(qn.m) * any_value(dn.m)), 6) AS score FROM q JOIN d USING (term) JOIN qn USING (query) JOIN dn USING (doc) GROUP BY 1, 2)
+            SELECT query, doc, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 3""",
+        "box_iou": f"""WITH {_BOXES_SQL}, p AS (SELECT a.record, a.id AS a, b.id AS b, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS i,
+            (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS t FROM boxes a JOIN boxes b ON a.record = b.record AND a.id < b.id)
+            SELECT record, a, b, round(i / (t - i), 6) AS iou FROM p WHERE round(i / (t - i), 6) > 0""",
+        "graph_edges": """SELECT md5('Customer:' || c_custkey) AS source, 'IN_NATION' AS relation, md5('Nation:' || n_name) AS target FROM customer JOIN nation ON c_nationkey = n_nationkey
+            UNION SELECT md5('Customer:' || c_custkey), 'IN_SEGMENT', md5('Segment:' || c_mktsegment) FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+        "usage_by_status": "WITH e AS (SELECT event_type, value, TRY_CAST(props ->> '$.k' AS BIGINT) AS k FROM events) SELECT event_type, count(*) AS calls, CAST(sum(k) AS BIGINT) AS units, count(*) FILTER (WHERE k > 50) AS heavy, round(avg(value), 6) AS mean_value FROM e GROUP BY 1",
+        "hourly_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    }
+
+
+def queries() -> dict:
+    named = [eval_summary, eval_stratified, eval_gates, normalize_text, normalize_ids, type_status, rule_extract, ordered_text_agg, consensus, topk_regions, split_summary, leakage_check, lexical_topk, box_overlap, box_iou, graph_edges, usage_by_status, hourly_counts]
+    return {f.__name__: f for f in named}
