@@ -27,7 +27,7 @@ from .suffix_array import STOP, common_prefixes, sort
 GRAM = 64
 #: Bytes of surroundings that one bucket gets on average, and surroundings of one anchor in a bucket at most, on average.
 BUCKET_BYTES = 1 << 20
-BUCKET_MEMBERS = 1000
+BUCKET_MEMBERS = 6000
 
 
 def _runs_of(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
