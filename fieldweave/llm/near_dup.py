@@ -2,12 +2,14 @@
 
 Each distinct shingle set has a signature of COORDINATES values. A link needs MATCHES equal coordinates (below, a pair at
 the similarity threshold falls with a chance of about 3 in a million), so two linked signatures meet under one of the first
-COORDINATES - MATCHES + 1 coordinate-value pairs in any common order. Pairs are ordered from rare to frequent, by a sketch
-of fixed size, and only that prefix is posted: values that very many texts share (a common line or passage) are skipped.
+COORDINATES - MATCHES + 1 coordinate-value pairs in any common order. Pairs are ordered from rare to frequent by their exact
+counts; a pair of one text posts nothing, so a text that shares fewer than MATCHES pairs drops out, and of the others only the
+rarest shared pairs that complete the prefix are posted: values that very many texts share are skipped.
 
-A posting is not expanded into pairs. Its members are first held against its smallest one; components follow; only postings
-with members in several components are then compared member by member across those. Candidates must reach MATCHES and are
-confirmed on full shingle sets, taken from the texts.
+A posting is not expanded into pairs. Each member is first held against the smallest text among its postings' smallest ones;
+components follow; members whose component differs from that of a posting's smallest text are held against it; only postings
+that still have members in several components are compared member by member across those. Candidates must reach MATCHES and
+are confirmed on full shingle sets, taken from the texts.
 
 Null and empty texts link to nothing and are kept; a null doc_id has a null component; rows with equal doc_id share their
 component; ties go to the smaller doc_id; extra columns are ignored; an empty table gives an empty result.
@@ -29,9 +31,6 @@ from .shingles import shingle_sets
 
 COORDINATES = 64
 MATCHES = 36
-PREFIX = COORDINATES - MATCHES + 1
-#: Counters of the frequency sketch.
-SKETCH = 1 << 16
 
 
 def _salts() -> tuple[np.ndarray, np.ndarray]:
@@ -70,37 +69,21 @@ def _pairs_of(signature: np.ndarray) -> np.ndarray:
     return mix64(signature.astype(np.uint64) | (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)))
 
 
-def _sketch(signed: DataFrame) -> np.ndarray:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u4").reshape(-1, COORDINATES)
-            total += np.bincount((_pairs_of(sig) >> np.uint64(48)).astype(np.int64).ravel(), minlength=SKETCH)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["at", "n"])
-
-    out = np.zeros(SKETCH, np.int64)
-    for r in signed.select("signature").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        out[r["at"]] = r["n"]
-    return out
-
-
 def _postings(signed: DataFrame) -> DataFrame:
-    """(pair, doc): the PREFIX rarest coordinate-value pairs of each signature."""
-    sent = signed.sparkSession.sparkContext.broadcast(_sketch(signed))
+    """(pair, doc): of each signature, the rarest coordinate-value pairs among which any link shows, if other texts have them."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = sent.value
         for batch in batches:
-            if not len(batch):
-                continue
-            pairs = _pairs_of(np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u4").reshape(-1, COORDINATES))
-            order = np.lexsort((pairs, seen[(pairs >> np.uint64(48)).astype(np.int64)]), axis=1)[:, :PREFIX]
-            chosen = np.take_along_axis(pairs, order, 1)
-            docs = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), PREFIX)
-            yield pa.RecordBatch.from_arrays([pa.array(chosen.view(np.int64).ravel()), pa.array(docs)], ["pair", "doc"])
+            if len(batch):
+                pairs = _pairs_of(np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u4").reshape(-1, COORDINATES))
+                docs = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), COORDINATES)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64).ravel()), pa.array(docs)], ["pair", "doc"])
 
-    return signed.mapInArrow(post, "pair long, doc long")
+    every = signed.mapInArrow(post, "pair long, doc long")
+    several = every.groupBy("pair").agg(F.count("*").alias("n")).filter("n > 1")
+    ranked = every.join(several, "pair").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("n", "pair"))).alias("ranked"))  # at most COORDINATES
+    prefix = F.slice("ranked", F.lit(1), F.size("ranked") - F.lit(MATCHES - 1))
+    return ranked.filter(F.size("ranked") >= MATCHES).select(F.explode(prefix["pair"]).alias("pair"), "doc")
 
 
 def _confirmed(candidates: DataFrame, signed: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -143,6 +126,14 @@ def _confirmed(candidates: DataFrame, signed: DataFrame, docs: DataFrame, words:
     return wide.mapInArrow(similar, "a long, b long")
 
 
+def _mixed(postings: DataFrame, found: DataFrame) -> DataFrame:
+    """(pair, doc, component, hub, hub_component) of the postings with members in several components."""
+    placed = postings.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("pair", "doc", F.coalesce("component", "doc").alias("component"))
+    first = F.min(F.struct("doc", "component")).alias("first")
+    mixed = placed.groupBy("pair").agg(first, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    return placed.join(mixed.select("pair", F.col("first.doc").alias("hub"), F.col("first.component").alias("hub_component")), "pair")
+
+
 def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     docs = id_text(docs)
@@ -150,17 +141,17 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     classes = signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature"))
     classes = stored(classes, "classes")
     postings = stored(_postings(classes.select("doc_id", "signature")), "postings")
-    shared = postings.groupBy("pair").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("pair", "hub")
-    shared = stored(postings.join(shared, "pair"), "shared")
-    star = shared.filter("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
+    hubs = postings.groupBy("pair").agg(F.min("doc").alias("hub"))
+    star = postings.join(hubs, "pair").filter("doc <> hub").groupBy("doc").agg(F.min("hub").alias("a")).select("a", F.col("doc").alias("b"))
     links = stored(_confirmed(star, classes, docs, words, percent), "links")
-    found = components(links)
-    # Members of one posting in different components: compared across, and never within, components.
-    placed = shared.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("pair", "hub", "doc", F.coalesce("component", "doc").alias("component"))
-    placed = stored(placed, "placed")
-    mixed = placed.groupBy("pair").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("pair")
-    open_ = placed.join(mixed, "pair", "left_semi")
-    left, right = open_.toDF("pair", "hub", "a", "ca"), open_.select("pair", F.col("doc").alias("b"), F.col("component").alias("cb"))
+    found = stored(components(links), "components")
+    # Members of a component are never compared again: first the smallest member with those of other components, then those.
+    placed = _mixed(postings, found)
+    star = placed.filter("component <> hub_component").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
+    links = links.unionByName(stored(_confirmed(star, classes, docs, words, percent), "links"))
+    found = stored(components(links), "components")
+    placed = stored(_mixed(postings, found), "placed")
+    left, right = placed.select("pair", "hub", F.col("doc").alias("a"), F.col("component").alias("ca")), placed.select("pair", F.col("doc").alias("b"), F.col("component").alias("cb"))
     across = left.join(right, "pair").filter("a < b and ca <> cb and a <> hub").select("a", "b").distinct()
     more = stored(_confirmed(across, classes, docs, words, percent), "links")
     if not more.isEmpty():
