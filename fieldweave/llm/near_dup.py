@@ -70,7 +70,7 @@ def _pairs_of(signature: np.ndarray) -> np.ndarray:
 
 
 def _postings(signed: DataFrame) -> DataFrame:
-    """(pair, doc): of each signature, the rarest coordinate-value pairs among which any link shows, if other texts have them."""
+    """(pair, doc, size): of each signature, the rarest coordinate-value pairs among which any link shows, if other texts have them."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,11 +79,12 @@ def _postings(signed: DataFrame) -> DataFrame:
                 docs = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), COORDINATES)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64).ravel()), pa.array(docs)], ["pair", "doc"])
 
-    every = signed.mapInArrow(post, "pair long, doc long")
+    every = signed.select("doc_id", "signature").mapInArrow(post, "pair long, doc long")
     several = every.groupBy("pair").agg(F.count("*").alias("n")).filter("n > 1")
     ranked = every.join(several, "pair").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("n", "pair"))).alias("ranked"))  # at most COORDINATES
     prefix = F.slice("ranked", F.lit(1), F.size("ranked") - F.lit(MATCHES - 1))
-    return ranked.filter(F.size("ranked") >= MATCHES).select(F.explode(prefix["pair"]).alias("pair"), "doc")
+    posted = ranked.filter(F.size("ranked") >= MATCHES).select(F.explode(prefix["pair"]).alias("pair"), "doc")
+    return posted.join(signed.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size")), "doc")
 
 
 def _confirmed(candidates: DataFrame, signed: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -127,32 +128,33 @@ def _confirmed(candidates: DataFrame, signed: DataFrame, docs: DataFrame, words:
 
 
 def _mixed(postings: DataFrame, found: DataFrame) -> DataFrame:
-    """(pair, doc, component, hub, hub_component) of the postings with members in several components."""
-    placed = postings.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("pair", "doc", F.coalesce("component", "doc").alias("component"))
-    first = F.min(F.struct("doc", "component")).alias("first")
+    """(pair, doc, size, component, hub, hub_component, hub_size) of the postings with members in several components."""
+    placed = postings.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("pair", "doc", "size", F.coalesce("component", "doc").alias("component"))
+    first = F.min(F.struct("doc", "component", "size")).alias("first")
     mixed = placed.groupBy("pair").agg(first, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    return placed.join(mixed.select("pair", F.col("first.doc").alias("hub"), F.col("first.component").alias("hub_component")), "pair")
+    return placed.join(mixed.select("pair", F.col("first.doc").alias("hub"), F.col("first.component").alias("hub_component"), F.col("first.size").alias("hub_size")), "pair")
 
 
 def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     docs = id_text(docs)
     signed = stored(signatures(docs, words), "signatures")
-    classes = signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature"))
+    classes = signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"))
     classes = stored(classes, "classes")
-    postings = stored(_postings(classes.select("doc_id", "signature")), "postings")
+    postings = stored(_postings(classes), "postings")
     hubs = postings.groupBy("pair").agg(F.min("doc").alias("hub"))
     star = postings.join(hubs, "pair").filter("doc <> hub").groupBy("doc").agg(F.min("hub").alias("a")).select("a", F.col("doc").alias("b"))
     links = stored(_confirmed(star, classes, docs, words, percent), "links")
     found = stored(components(links), "components")
     # Members of a component are never compared again: first the smallest member with those of other components, then those.
     placed = _mixed(postings, found)
-    star = placed.filter("component <> hub_component").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
+    fit = "100 * least({0}, {1}) >= {2} * greatest({0}, {1})"
+    star = placed.filter("component <> hub_component").filter(fit.format("size", "hub_size", percent)).select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     links = links.unionByName(stored(_confirmed(star, classes, docs, words, percent), "links"))
     found = stored(components(links), "components")
     placed = stored(_mixed(postings, found), "placed")
-    left, right = placed.select("pair", "hub", F.col("doc").alias("a"), F.col("component").alias("ca")), placed.select("pair", F.col("doc").alias("b"), F.col("component").alias("cb"))
-    across = left.join(right, "pair").filter("a < b and ca <> cb and a <> hub").select("a", "b").distinct()
+    left, right = placed.select("pair", "hub", F.col("doc").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na")), placed.select("pair", F.col("doc").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"))
+    across = left.join(right, "pair").filter("a < b and ca <> cb and a <> hub").filter(fit.format("na", "nb", percent)).select("a", "b").distinct()
     more = stored(_confirmed(across, classes, docs, words, percent), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
