@@ -142,7 +142,8 @@ def _search(around: DataFrame, length: int, buckets: int) -> DataFrame:
 def find(docs: DataFrame, length: int = 400) -> DataFrame:
     """(doc_id, text_hash, first, last): starts of repeated strings, by document."""
     runs = stored(_runs(docs, length), "runs")
-    twice = runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # A table of its own: with its aggregation in the join's stage, a frequent anchor could not be split.
+    twice = stored(runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "twice")
     shared = stored(runs.join(twice, "anchor"), "shared")
     one = F.min(F.struct("doc_id", "text_hash", "at", "lead", "starts")).alias("one")
     classes = stored(shared.groupBy("anchor", "around").agg(F.count("*").alias("n"), one).select("anchor", "around", "n", "one.*"), "classes")
