@@ -80,7 +80,8 @@ def _postings(signed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64).ravel()), pa.array(docs)], ["pair", "doc"])
 
     every = signed.select("doc_id", "signature").mapInArrow(post, "pair long, doc long")
-    several = every.groupBy("pair").agg(F.count("*").alias("n")).filter("n > 1")
+    # A table of its own: with its aggregation in the join's stage, a frequent pair could not be split.
+    several = stored(every.groupBy("pair").agg(F.count("*").alias("n")).filter("n > 1"), "pairs")
     ranked = every.join(several, "pair").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("n", "pair"))).alias("ranked"))  # at most COORDINATES
     prefix = F.slice("ranked", F.lit(1), F.size("ranked") - F.lit(MATCHES - 1))
     posted = ranked.filter(F.size("ranked") >= MATCHES).select(F.explode(prefix["pair"]).alias("pair"), "doc")
@@ -142,7 +143,7 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     classes = signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"))
     classes = stored(classes, "classes")
     postings = stored(_postings(classes), "postings")
-    hubs = postings.groupBy("pair").agg(F.min("doc").alias("hub"))
+    hubs = stored(postings.groupBy("pair").agg(F.min("doc").alias("hub")), "hubs")
     star = postings.join(hubs, "pair").filter("doc <> hub").groupBy("doc").agg(F.min("hub").alias("a")).select("a", F.col("doc").alias("b"))
     links = stored(_confirmed(star, classes, docs, words, percent), "links")
     found = stored(components(links), "components")
