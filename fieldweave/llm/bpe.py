@@ -67,19 +67,23 @@ def _let(value: Column, body) -> Column:
 
 
 def fold_piece(piece: Column, ranks: RankMap) -> Column:
-    """Token ids of one piece of text, by ranked merges over its bytes."""
+    """Token ids of one piece of text, by ranked merges over its bytes; the rank map stands in the plan once."""
+    return _let(ranks.pairs, lambda pairs: _folded(piece, ranks.bytes, pairs))
+
+
+def _folded(piece: Column, singles: Column, pairs: Column) -> Column:
     none = _long(_NONE)
     edge = F.array(_long(_NONE << _S | _NONE))
 
     def packed(left: Column, right: Column) -> Column:
         """Rank of the pair above, the left rank below."""
-        bucket = F.get(ranks.pairs, F.pmod(left * 31 + right * 17, _long(_BUCKETS)).cast("int"))
+        bucket = F.get(pairs, F.pmod(left * 31 + right * 17, _long(_BUCKETS)).cast("int"))
         hit = F.filter(bucket, lambda x: F.shiftright(x, _S) == F.shiftleft(left, _S).bitwiseOR(right))
         rank = F.shiftleft(F.get(hit, F.lit(0)).bitwiseAND(none), _S)
         return F.coalesce(rank, _long(_NONE << _S)).bitwiseOR(left)
 
     raw = F.decode(F.encode(piece, "utf-8"), "iso-8859-1")
-    single = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.get(ranks.bytes, F.ascii(F.substr(raw, i, F.lit(1)))))
+    single = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.get(singles, F.ascii(F.substr(raw, i, F.lit(1)))))
     first = _let(single, lambda p: F.concat(edge, F.transform(p, lambda x, i: packed(x, F.coalesce(F.get(p, i + 1), none))), edge))
 
     def step(state: Column, _: Column) -> Column:
