@@ -117,6 +117,42 @@ def hourly_counts(spark: SparkSession, sf: str) -> DataFrame:
     return windows.counts(table(spark, sf, "events"), "ts", "event_type", "1 hour", "10 minutes")
 
 
+def paired_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.deltas(_evaluated(spark, sf), "rule", "model", "lang")
+
+
+def normalize_dates(spark: SparkSession, sf: str) -> DataFrame:
+    forms = ["yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "dd/MM/yyyy", "d-M-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy"]
+    written = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        written = F.when(F.col("o_orderkey") % 9 == i, F.date_format("o_orderdate", form)).otherwise(written)
+    return table(spark, sf, "orders").select("o_orderkey", T.event_date(F.concat(F.lit(" "), written, F.lit(". "))).alias("event_date"))
+
+
+def json_repair(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.col("event_id") % 4
+    answer = F.when(kind == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(kind == 1, F.concat(F.lit("The answer: "), "props", F.lit(" as asked."))).when(kind == 2, F.col("props")).otherwise("no object")
+    return table(spark, sf, "events").select("event_id", F.get_json_object(T.json_body(answer), "$.k").try_cast("long").alias("k"))
+
+
+def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.stratified(table(spark, sf, "documents"), "doc_id", "source", 100, 42)
+
+
+def tertiles(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.tertiles(table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars").select("doc_id", "tertile")
+
+
+def tfidf_topk(spark: SparkSession, sf: str) -> DataFrame:
+    asked = table(spark, sf, "documents").select(F.col("doc_id").alias("query"), "text")
+    return retrieval.tfidf(asked, table(spark, sf, "benchmark").select(F.col("item_id").alias("doc"), "text"), 3)
+
+
+def ranked_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    read = table(spark, sf, "lineitem").withColumn("reading", F.concat(F.when(F.col("l_linenumber") % 2 == 0, "E-").otherwise("e "), (F.col("l_suppkey") % 3).cast("string")))
+    return evidence.ranked_candidates(read, "l_orderkey", T.identifier_key(F.col("reading")), "reading", "l_returnflag", "l_linenumber")
+
+
 _NORMAL = r"regexp_replace(regexp_replace(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}_\s.\-]', '', 'g'), '\s+', ' ', 'g'), '^ | $', '', 'g')"
 
 
@@ -180,10 +216,32 @@ def oracle_sql() -> dict[str, str]:
         "graph_edges": """SELECT md5('Customer:' || c_custkey) AS source, 'IN_NATION' AS relation, md5('Nation:' || n_name) AS target FROM customer JOIN nation ON c_nationkey = n_nationkey
             UNION SELECT md5('Customer:' || c_custkey), 'IN_SEGMENT', md5('Segment:' || c_mktsegment) FROM customer JOIN nation ON c_nationkey = n_nationkey""",
         "usage_by_status": "WITH e AS (SELECT event_type, value, TRY_CAST(props ->> '$.k' AS BIGINT) AS k FROM events) SELECT event_type, count(*) AS calls, CAST(sum(k) AS BIGINT) AS units, count(*) FILTER (WHERE k > 50) AS heavy, round(avg(value), 6) AS mean_value FROM e GROUP BY 1",
+        "paired_deltas": _EVAL_SQL + "x AS (SELECT 1) SELECT lang, " + ", ".join(f"round(avg({c}) FILTER (WHERE method = 'model') - avg({c}) FILTER (WHERE method = 'rule'), 6) AS {c}_delta" for c in ("coverage", "exact_match", "token_f1", "evidence")) + " FROM detail GROUP BY lang",
+        "normalize_dates": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS event_date FROM orders",
+        "json_repair": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN TRY_CAST(props ->> '$.k' AS BIGINT) END AS k FROM events",
+        "stratified_sample": """WITH c AS (SELECT source, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM documents GROUP BY source),
+            s AS (SELECT *, 100 * n // total AS base, row_number() OVER (ORDER BY 100 * n % total DESC, source NULLS FIRST) AS r FROM c),
+            a AS (SELECT source, least(n, base + CASE WHEN r <= 100 - (SELECT sum(base) FROM s) THEN 1 ELSE 0 END) AS take FROM s),
+            d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256(doc_id || '|42'), doc_id) AS rank FROM documents)
+            SELECT d.doc_id, d.source FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source WHERE rank <= take""",
+        "tertiles": """WITH e AS (SELECT quantile_cont(coalesce(n_chars, 0)::DOUBLE, [0.3333333333333333, 0.6666666666666666, 0.5]) AS q, count(DISTINCT coalesce(n_chars, 0)) AS many FROM documents)
+            SELECT doc_id, CASE WHEN many < 3 THEN CASE WHEN coalesce(n_chars, 0) >= q[3] THEN 'high' ELSE 'low' END WHEN coalesce(n_chars, 0) <= q[1] THEN 'low' WHEN coalesce(n_chars, 0) <= q[2] THEN 'medium' ELSE 'high' END AS tertile FROM documents, e""",
+        "tfidf_topk": f"""WITH q AS (SELECT query, term, count(*) AS n FROM (SELECT doc_id AS query, {tokens} AS term FROM documents) GROUP BY 1, 2),
+            d AS (SELECT doc, term, count(*) AS n FROM (SELECT item_id AS doc, {tokens} AS term FROM benchmark) GROUP BY 1, 2),
+            f AS (SELECT term, count(*) AS df FROM d GROUP BY 1), c AS (SELECT count(*) + 1 AS m FROM benchmark),
+            dw AS (SELECT doc, term, n * (ln((1.0 + m) / (1.0 + df)) + 1) AS plain, n * (ln((1.0 + m) / (2.0 + df)) + 1) AS asked FROM d JOIN f USING (term), c),
+            qw AS (SELECT query, term, n * (ln((1.0 + m) / (2.0 + coalesce(df, 0))) + 1) AS w FROM q LEFT JOIN f USING (term), c),
+            qn AS (SELECT query, sum(w * w) AS s FROM qw GROUP BY 1), dn AS (SELECT doc, sum(plain * plain) AS s FROM dw GROUP BY 1),
+            p AS (SELECT query, doc, sum(w * asked) AS dot, sum(asked * asked - plain * plain) AS shift FROM qw JOIN dw USING (term) GROUP BY 1, 2),
+            r AS (SELECT query, doc, round(dot / sqrt(qn.s * (dn.s + shift)), 6) AS score FROM p JOIN qn USING (query) JOIN dn USING (doc))
+            SELECT query, doc, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM r) WHERE rank <= 3""",
+        "ranked_candidates": """WITH r AS (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN 'E-' ELSE 'e ' END || l_suppkey % 3 AS reading FROM lineitem),
+            k AS (SELECT l_orderkey, upper(regexp_replace(reading, '[^A-Za-z0-9]+', '', 'g')) AS key, count(*) AS votes, count(DISTINCT l_returnflag) AS sources, first(reading ORDER BY length(reading), l_linenumber) AS value FROM r GROUP BY 1, 2)
+            SELECT *, votes * 10 + sources AS score, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY votes * 10 + sources DESC, key) AS INT) AS rank FROM k WHERE key <> ''""",
         "hourly_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     }
 
 
 def queries() -> dict:
-    named = [eval_summary, eval_stratified, eval_gates, normalize_text, normalize_ids, type_status, rule_extract, ordered_text_agg, consensus, topk_regions, split_summary, leakage_check, lexical_topk, box_overlap, box_iou, graph_edges, usage_by_status, hourly_counts]
+    named = [eval_summary, eval_stratified, eval_gates, normalize_text, normalize_ids, type_status, rule_extract, ordered_text_agg, consensus, topk_regions, split_summary, leakage_check, lexical_topk, box_overlap, box_iou, graph_edges, usage_by_status, hourly_counts, paired_deltas, normalize_dates, json_repair, stratified_sample, tertiles, tfidf_topk, ranked_candidates]
     return {f.__name__: f for f in named}

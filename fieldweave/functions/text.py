@@ -74,3 +74,33 @@ def evidence_proxy(value: Column, text: Column) -> Column:
 def first_match(c: Column, patterns: list[str]) -> Column:
     """Group 1 of the first pattern that matches, case aside; blank if none does."""
     return F.coalesce(*[F.nullif(F.regexp_extract(c, f"(?i){p}", 1), F.lit("")) for p in patterns], F.lit(""))
+
+
+# The date forms, in the order in which they are tried, each with the shape a value must have.
+DATE_FORMS = [
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"), (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"), (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"), (r"^\d{1,2} \p{L}{3} \d{4}$", "d MMM yyyy"),
+    (r"^\d{1,2} \p{L}+ \d{4}$", "d MMMM yyyy"), (r"^\p{L}{3} \d{1,2} \d{4}$", "MMM d yyyy"), (r"^\p{L}+ \d{1,2} \d{4}$", "MMMM d yyyy"),
+]
+
+
+def date_part(c: Column) -> Column:
+    """A date as yyyy-MM-dd by the first form that fits; a year or year and month stay; other values are normalised text."""
+    plain = F.regexp_replace(F.regexp_replace(clean(c), r"(?i)(\d)(st|nd|rd|th)\b", "$1"), r"\s+", " ")
+    plain = F.regexp_replace(F.replace(plain, F.lit(","), F.lit("")), r"^[ .]+|[ .]+$", "")
+    tried = [F.when(plain.rlike(shape), F.date_format(F.try_to_timestamp(F.initcap(plain), F.lit(form)), "yyyy-MM-dd")) for shape, form in DATE_FORMS]
+    return F.coalesce(*tried, F.when(plain.rlike(r"^\d{4}(-\d{2})?$"), plain), normalize_eval(c))
+
+
+def event_date(c: Column) -> Column:
+    """A date, or an interval of two dates that each hold a year."""
+    parts = F.split(clean(c), "/")
+    both = (F.size(parts) == 2) & F.forall(parts, lambda p: p.rlike(r"\d{4}"))
+    return F.when(both, F.array_join(F.transform(parts, date_part), "/")).otherwise(date_part(c))
+
+
+def json_body(c: Column) -> Column:
+    """The JSON object of a model's answer: without fences, from the first opening to the last closing brace; null if there is none."""
+    bare = F.regexp_replace(clean(c), r"(?i)^```(?:json)?\s*|\s*```$", "")
+    found = F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit(""))
+    return F.when(F.try_parse_json(bare).isNotNull(), bare).when(F.try_parse_json(found).isNotNull(), found)

@@ -39,3 +39,10 @@ def review_queue(detailed: DataFrame, minimum: float = 0.75) -> DataFrame:
     weak = detailed.filter((F.col("filled") == 1) & (F.coalesce("evidence", F.lit(0.0)) < minimum))
     order = Window.partitionBy("method").orderBy(F.round(F.coalesce("evidence", F.lit(0.0)), 6), "record")
     return weak.select("method", "record", F.round(F.coalesce("evidence", F.lit(0.0)), 6).alias("support"), F.row_number().over(order).alias("rank"))
+
+
+def deltas(detailed: DataFrame, baseline: str, candidate: str, *keys: str) -> DataFrame:
+    """Means of the candidate method less those of the baseline, by key, in one pass."""
+    scores = ("coverage", "exact_match", "token_f1", "evidence")
+    mean = lambda c, m: F.avg(F.when(F.col("method") == m, F.col(c)))
+    return detailed.groupBy(*keys).agg(*[F.round(mean(c, candidate) - mean(c, baseline), 6).alias(f"{c}_delta") for c in scores])

@@ -29,3 +29,11 @@ def consensus(rows: DataFrame, key: str, value: str, pos: str) -> DataFrame:
     best = F.min_by(value, F.struct(-F.col("votes"), F.col("first_pos"))).alias("consensus")
     agreement = F.when(n > 1, F.round(pairs / (n * (n - 1)), 6)).otherwise(1.0)
     return by_value.groupBy(key).agg(best, n.cast("long").alias("repeats"), agreement.alias("agreement"))
+
+
+def ranked_candidates(rows: DataFrame, record: str, key: Column, value: str, source: str, pos: str) -> DataFrame:
+    """Readings of a record grouped by key: votes, sources, the shortest value, score 10 * votes + sources, and the rank."""
+    shortest = F.min_by(value, F.struct(F.length(value), F.col(pos))).alias("value")
+    found = rows.select(record, key.alias("key"), value, source, pos).filter("key <> ''").groupBy(record, "key")
+    found = found.agg(F.count("*").alias("votes"), F.count_distinct(source).alias("sources"), shortest).withColumn("score", F.col("votes") * 10 + F.col("sources"))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy(record).orderBy(F.desc("score"), "key")))

@@ -21,3 +21,25 @@ def lexical(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query",
     score = F.round(F.col("dot") / (F.col("q_norm") * F.col("d_norm")), 6).alias("score")
     ranked = scored.select(query, doc, score).withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), doc)))
     return ranked.filter(F.col("rank") <= k)
+
+
+def tfidf(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query", doc: str = "doc", text: str = "text") -> DataFrame:
+    """The k documents of highest TF-IDF cosine that share a word with the query; each query counts as a member of the corpus.
+
+    A query adds one to the document frequency of its own words, so a document's norm differs by query: the norm without it
+    is corrected by the words they share, in the join that yields the products.
+    """
+    n = corpus.count() + 1
+    idf = lambda df: F.log((1.0 + n) / (1.0 + df)) + 1.0
+    q, d = _terms(queries, query, text).withColumnRenamed("n", "qn"), _terms(corpus, doc, text)
+    df = d.groupBy("term").agg(F.count("*").alias("df"))
+    d = d.join(df, "term").select(doc, "term", (F.col("n") * idf(F.col("df"))).alias("plain"), (F.col("n") * idf(F.col("df") + 1)).alias("asked"))
+    q = q.join(df, "term", "left").select(query, "term", (F.col("qn") * idf(F.coalesce("df", F.lit(0)) + 1)).alias("w"))
+    square = lambda c: F.col(c) * F.col(c)
+    shift = F.sum(square("asked") - square("plain")).alias("shift")
+    dots = q.join(d, "term").groupBy(query, doc).agg(F.sum(F.col("w") * F.col("asked")).alias("dot"), shift)
+    norms = q.groupBy(query).agg(F.sum(square("w")).alias("q_norm")), d.groupBy(doc).agg(F.sum(square("plain")).alias("d_norm"))
+    scored = dots.join(norms[0], query).join(norms[1], doc)
+    score = F.round(F.col("dot") / F.sqrt(F.col("q_norm") * (F.col("d_norm") + F.col("shift"))), 6).alias("score")
+    ranked = scored.select(query, doc, score).withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), doc)))
+    return ranked.filter(F.col("rank") <= k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,3 +26,31 @@ def leaks(rows: DataFrame, content: Column, first: str, second: str, key: str) -
     marked = rows.withColumn("content", content)
     seen = marked.filter(F.col("split") == first).select("content").distinct()
     return marked.filter(F.col("split") == second).join(seen, "content", "left_semi").select(key)
+
+
+def allocation(rows: DataFrame, stratum: str, n: int) -> DataFrame:
+    """(stratum, take): shares of n by largest remainder; among equal remainders the smaller stratum comes first."""
+    counts = rows.groupBy(stratum).agg(F.count("*").alias("rows"))  # one row a stratum from here on
+    total = counts.agg(F.sum("rows").alias("total"))
+    shares = counts.crossJoin(F.broadcast(total)).withColumns({"take": F.expr(f"{n} * rows div total"), "left": F.expr(f"{n} * rows % total")})
+    given = shares.agg(F.sum("take").alias("given"))
+    order = Window.orderBy(F.desc("left"), stratum)
+    ranked = shares.withColumn("rank", F.row_number().over(order)).crossJoin(F.broadcast(given))
+    return ranked.select(stratum, F.least("rows", F.col("take") + (F.col("rank") <= n - F.col("given")).cast("int")).cast("long").alias("take"))
+
+
+def stratified(rows: DataFrame, key: str, stratum: str, n: int, seed: int) -> DataFrame:
+    """n rows, dealt to strata in proportion; inside a stratum those of least digest. No task keeps more than n rows of a stratum."""
+    order = Window.partitionBy(stratum).orderBy(draw(F.col(key), seed), key)
+    first = rows.select(key, stratum).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    shares = allocation(rows, stratum, n).withColumnRenamed(stratum, "_stratum")
+    return first.join(shares, F.col(stratum).eqNullSafe(F.col("_stratum"))).filter("rank <= take").select(key, stratum)
+
+
+def tertiles(rows: DataFrame, value: str, name: str = "tertile") -> DataFrame:
+    """low, medium or high by the exact thirds (edges belong to the lower one); with under three values, halves. Null counts as 0."""
+    filled = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    edges = rows.agg(F.percentile(filled, F.array(F.lit(1 / 3), F.lit(2 / 3), F.lit(0.5))).alias("_edge"), F.approx_count_distinct(filled).alias("_many"))
+    thirds = F.when(filled <= F.col("_edge")[0], "low").when(filled <= F.col("_edge")[1], "medium").otherwise("high")
+    halves = F.when(filled >= F.col("_edge")[2], "high").otherwise("low")
+    return rows.crossJoin(F.broadcast(edges)).withColumn(name, F.when(F.col("_many") < 3, halves).otherwise(thirds)).drop("_edge", "_many")
