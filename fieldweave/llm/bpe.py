@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, ragged, stored, sub_batches, texts_of
+from .common import id_text, ragged, stored, sub_batches, texts_of, tidy
 from .pieces import split
 
 #: Bits of one rank inside a packed long; a rank of all ones means "no pair".
@@ -145,7 +145,7 @@ def piece_counts(docs: DataFrame, pattern: str) -> DataFrame:
                 keep = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([distinct.take(pa.array(keep)), pa.array(n[keep])], ["piece", "n"])
 
-    return docs.select("text").mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(count), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def _hot(counts: DataFrame, max_hot: int, max_bytes: int = 64) -> DataFrame:
@@ -250,9 +250,9 @@ def encode(docs: DataFrame, ranks: RankMap, pattern: str, max_hot: int = 1 << 20
                 del offsets
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, raw], ["doc_id", "ids", "ids_bytes"])
 
-    cut_rows = docs.mapInArrow(cut, "fresh boolean, piece string, doc_id long, codes binary")
+    cut_rows = docs.mapInArrow(tidy(cut), "fresh boolean, piece string, doc_id long, codes binary")
     folded = cut_rows.select("fresh", "piece", "doc_id", "codes", fold_piece(F.col("piece"), ranks).alias("ids"))
-    return folded.mapInArrow(join, "doc_id long, ids array<int>, ids_bytes binary")
+    return folded.mapInArrow(tidy(join), "doc_id long, ids array<int>, ids_bytes binary")
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:

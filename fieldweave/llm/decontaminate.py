@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, stored, words_of
+from .common import id_text, stored, tidy, words_of
 
 _BLANK = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: The automaton that this worker has built last, under a key of its scan: workers outlive scans.
@@ -99,7 +99,7 @@ def scan(docs: DataFrame, items: DataFrame, size: int = 10, max_block_bytes: int
                     names.append(sorted({*had, *found}))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "words", "items"])
 
-        state = state.mapInArrow(search, "doc_id long, text string, n_words long, words array<long>, items array<string>")
+        state = state.mapInArrow(tidy(search), "doc_id long, text string, n_words long, words array<long>, items array<string>")
         if k < blocks - 1:
             state = stored(state, "scanned")
 
@@ -123,4 +123,4 @@ def scan(docs: DataFrame, items: DataFrame, size: int = 10, max_block_bytes: int
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(spans, kind), batch.column("items")], ["doc_id", "n_words", "n_hit", "spans", "items"])
 
-    return state.mapInArrow(original, "doc_id long, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>")
+    return state.mapInArrow(tidy(original), "doc_id long, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, mix64, prefix_hash, ragged, span_hash, stored, sub_batches, utf8
+from .common import id_text, mix64, prefix_hash, ragged, release, span_hash, stored, sub_batches, tidy, utf8
 from .graph import only_held
 from .suffix_array import STOP, common_prefixes, sort
 
@@ -69,7 +69,7 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
                     ["doc_id", "text_hash", "anchor", "around", "at", "lead", "starts"],
                 )
 
-    return docs.mapInArrow(cut, "doc_id long, text_hash long, anchor long, around long, at int, lead int, starts int")
+    return docs.mapInArrow(tidy(cut), "doc_id long, text_hash long, anchor long, around long, at int, lead int, starts int")
 
 
 def _surroundings(classes: DataFrame, docs: DataFrame, length: int) -> DataFrame:
@@ -91,7 +91,7 @@ def _surroundings(classes: DataFrame, docs: DataFrame, length: int) -> DataFrame
                 cols = zip(*rows, strict=True) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return texts.join(wanted, ["doc_id", "text_hash"]).select("text", "want").mapInArrow(cut, "anchor long, around long, lead int, starts int, part int, bytes binary")
+    return texts.join(wanted, ["doc_id", "text_hash"]).select("text", "want").mapInArrow(tidy(cut), "anchor long, around long, lead int, starts int, part int, bytes binary")
 
 
 def repeated_starts(pieces: list[bytes], starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -117,6 +117,7 @@ def _search(around: DataFrame, length: int, buckets: int) -> DataFrame:
     schema = pa.schema([("anchor", pa.int64()), ("around", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("gram", pa.int64()), ("single", pa.bool_())])
 
     def search(group: pa.Table) -> pa.Table:
+        release()  # what the bucket before left
         pieces = group.column("bytes").to_pylist()
         lead, starts = (group.column(c).to_numpy().astype(np.int64) for c in ("lead", "starts"))
         anchor, key, split = (group.column(c).to_numpy() for c in ("anchor", "around", "part"))
@@ -200,4 +201,4 @@ def remove(docs: DataFrame, length: int = 400, carry: tuple[str, ...] = ()) -> D
     rest = rest.select("doc_id", "no_id", "text", F.lit(None).cast("array<struct<first:int,last:int>>").alias("starts"), *carry)
     more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in carry)
     schema = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary" + more
-    return joined.mapInArrow(cut, schema).unionByName(rest.mapInArrow(cut, schema))
+    return joined.mapInArrow(tidy(cut), schema).unionByName(rest.mapInArrow(tidy(cut), schema))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stored
+from .common import mix64, stored, tidy
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def only_held(rows: DataFrame, ids: DataFrame, most_words: int = 1 << 20, both:
                 bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
                 yield pa.RecordBatch.from_arrays([pa.array(where[first]), pa.array(bits.view(np.int64))], ["word", "bits"])
 
-    got = ids.select("doc_id").mapInArrow(fill, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    got = ids.select("doc_id").mapInArrow(tidy(fill), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     filled = np.zeros(words, np.int64)
     filled[got.column("word").to_numpy()] = got.column("bits").to_numpy()
     sent = rows.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
@@ -74,8 +74,8 @@ def only_held(rows: DataFrame, ids: DataFrame, most_words: int = 1 << 20, both:
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return test(batches, False)
 
-    held = rows.mapInArrow(test, rows.schema)
-    return (held, rows.mapInArrow(rest, rows.schema)) if both else held
+    held = rows.mapInArrow(tidy(test), rows.schema)
+    return (held, rows.mapInArrow(tidy(rest), rows.schema)) if both else held
 
 
 def without(rows: DataFrame, ids: DataFrame) -> DataFrame:

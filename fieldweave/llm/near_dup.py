@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, mix64, stored, sub_batches
+from .common import id_text, mix64, stored, sub_batches, tidy
 from .graph import components, only_held
 from .shingles import shingle_sets
 
@@ -61,7 +61,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                         keys[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(out, pa.binary())], ["doc_id", "n_shingles", "set_key", "signature"])
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, signature binary")
+    return docs.mapInArrow(tidy(sign), "doc_id long, n_shingles long, set_key binary, signature binary")
 
 
 def _pairs_of(signature: np.ndarray) -> np.ndarray:
@@ -79,7 +79,7 @@ def _postings(signed: DataFrame) -> DataFrame:
                 docs = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), COORDINATES)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64).ravel()), pa.array(docs)], ["pair", "doc"])
 
-    every = signed.select("doc_id", "signature").mapInArrow(post, "pair long, doc long")
+    every = signed.select("doc_id", "signature").mapInArrow(tidy(post), "pair long, doc long")
     # A table of its own: with its aggregation in the join's stage, a frequent pair could not be split.
     several = stored(every.groupBy("pair").agg(F.count("*").alias("n")).filter("n > 1"), "pairs")
     ranked = every.join(several, "pair").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("n", "pair"))).alias("ranked"))  # at most COORDINATES
@@ -119,13 +119,13 @@ def _confirmed(candidates: DataFrame, signed: DataFrame, docs: DataFrame, words:
                 yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
     sig = signed.select("doc_id", "signature")
-    near = candidates.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").mapInArrow(matched, "a long, b long")
+    near = candidates.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").mapInArrow(tidy(matched), "a long, b long")
     near = stored(near, "matched")
     ends = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
     texts = only_held(docs, ends).join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = stored(texts, "texts")
     wide = near.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
-    return wide.mapInArrow(similar, "a long, b long")
+    return wide.mapInArrow(tidy(similar), "a long, b long")
 
 
 def _mixed(postings: DataFrame, found: DataFrame) -> DataFrame:

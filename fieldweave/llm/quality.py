@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, prefix_hash, span_hash, stored, sub_batches, utf8, words_of
+from .common import id_text, prefix_hash, span_hash, stored, sub_batches, tidy, utf8, words_of
 from .shingles import window_hashes
 
 _SYMBOL = np.zeros(256, bool)
@@ -84,7 +84,7 @@ def statistics(docs: DataFrame) -> DataFrame:
                             out["n_repeat_words"][i] = int((np.cumsum(covered) > 0).sum())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(out[c], pa.int64()) for c in COUNTS)], ["doc_id", *COUNTS])
 
-    return docs.mapInArrow(count, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.mapInArrow(tidy(count), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def _vote(bad: Column, good: Column) -> Column:
