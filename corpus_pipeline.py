@@ -14,6 +14,8 @@ from fieldweave.llm.common import stored, table
 from fieldweave.llm.graph import without
 from fieldweave.llm.queries import encoded
 
+#: Words of a passage that goes from the texts where it repeats; of fewer words, passages go from 400 bytes on.
+PASSAGE_WORDS = 51
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -33,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages that repeat go from the texts; broken characters at an edge go with them."""
-    done = exact_dup.remove(docs.select(*COLUMNS), carry=("lang", "source", "n_chars"))
+    done = exact_dup.remove(docs.select(*COLUMNS), carry=("lang", "source", "n_chars"), words=PASSAGE_WORDS)
     text = F.when(F.size("spans") == 0, F.col("kept").cast("string")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
     return done.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 

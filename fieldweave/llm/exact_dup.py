@@ -7,6 +7,9 @@ distinct surroundings of an anchor meet in one bucket of bounded size, where a t
 prefixes find repeated strings. An anchor with very many surroundings is dealt to several buckets; strings that are single in
 their bucket are then compared by hash across them.
 
+Passages counted in words are found by the same anchors over words; the windows of runs that share an anchor are compared by
+64-bit hashes of their bytes.
+
 Null and empty texts are empty; texts shorter than `length` lose nothing; repeated rows are copies of one another; a null
 doc_id is kept; extra columns are ignored; an empty table gives an empty result.
 """
@@ -20,16 +23,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, mix64, prefix_hash, ragged, release, span_hash, stored, sub_batches, tidy, utf8
+from .common import id_text, mix64, prefix_hash, ragged, release, span_hash, stored, sub_batches, tidy, utf8, words_of
 from .graph import only_held
 from .suffix_array import STOP, common_prefixes, sort
 
 GRAM = 64
+#: Words of an anchor of passages that are counted in words.
+GRAM_WORDS = 8
 #: Bytes of surroundings that one bucket gets on average, and surroundings of one anchor in a bucket at most, on average.
 BUCKET_BYTES = 1 << 20
 BUCKET_MEMBERS = 6000
 
 
+def _anchored(hashes: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the least of the `window` hashes from each start on, and the first and last of each run of starts that share it."""
+    n = len(hashes)
+    bits = np.uint64(int(n).bit_length())
+    value = np.full(-(-n // window) * window + window, np.iinfo(np.uint64).max, np.uint64)
+    value[:n] = (hashes >> bits << bits) | np.arange(n, dtype=np.uint64)
+    blocks = value.reshape(-1, window)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    anchor = (np.minimum(behind[starts], ahead[starts + window - 1]) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)])
+    first = np.flatnonzero(new)
+    return anchor, first, np.append(first[1:], len(starts)) - 1
+
+
 def _runs_of(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Runs of starts with one anchor: text, first and last start, anchor, hash of the anchor, hash of the surroundings."""
     n, window = len(buf), length - GRAM + 1
@@ -39,17 +59,8 @@ def _runs_of(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     prefix = prefix_hash(buf)
     at = np.arange(n - GRAM + 1)
     hashes = span_hash(prefix, at, at + GRAM)
-    bits = np.uint64(int(n).bit_length())
-    value = np.full(-(-n // window) * window + window, np.iinfo(np.uint64).max, np.uint64)
-    value[: len(at)] = (hashes >> bits << bits) | at.astype(np.uint64)
-    blocks = value.reshape(-1, window)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     starts = ragged(offsets[:-1], np.maximum(sizes - length + 1, 0))
-    anchor = (np.minimum(behind[starts], ahead[starts + window - 1]) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(starts)) - 1
+    anchor, first, last = _anchored(hashes, starts, window)
     p1, p2, a = starts[first], starts[last], anchor[first]
     around = mix64(span_hash(prefix, p1, p2 + length) + mix64(((a - p1) * 65536 + (p2 - p1)).astype(np.uint64)))
     doc = np.searchsorted(offsets, p1, side="right") - 1
@@ -167,13 +178,87 @@ def find(docs: DataFrame, length: int = 400) -> DataFrame:
     return whole.unionByName(single)
 
 
-def remove(docs: DataFrame, length: int = 400, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, spans (removed runs of bytes), kept (the other bytes) of every document, and the columns to carry."""
+def _passage_runs(docs: DataFrame, words: int) -> DataFrame:
+    """Runs of windows of `words` words with one anchor: the bytes they cover, the number of windows."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sub_batches(batch, 1 << 19):
+                buf, offsets = utf8(part)
+                starts, ends, rows = words_of(buf, offsets)
+                sizes = np.diff(rows)
+                if not (sizes >= words).any():
+                    continue
+                prefix = prefix_hash(buf)
+                hashes = span_hash(prefix, starts[: len(starts) - GRAM_WORDS + 1], ends[GRAM_WORDS - 1 :])
+                at = ragged(rows[:-1], np.maximum(sizes - words + 1, 0))
+                anchor, first, last = _anchored(hashes, at, words - GRAM_WORDS + 1)
+                a, n = anchor[first], last - first + 1
+                p1, p2 = starts[at[first]], ends[at[last] + words - 1]
+                around = mix64(span_hash(prefix, p1, p2) + mix64(((starts[a] - p1) * 65536 + n).astype(np.uint64)))
+                doc = np.searchsorted(rows, at[first], side="right") - 1
+                base, take = offsets[doc], pa.array(doc)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(take), part.column("text_hash").take(take), pa.array(hashes[a].view(np.int64)), pa.array(around.view(np.int64)), pa.array((p1 - base).astype(np.int32)), pa.array((p2 - base).astype(np.int32)), pa.array(n.astype(np.int32))],
+                    ["doc_id", "text_hash", "anchor", "around", "first", "end", "windows"],
+                )
+
+    return docs.mapInArrow(tidy(cut), "doc_id long, text_hash long, anchor long, around long, first int, end int, windows int")
+
+
+def _passages_in(classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, text_hash, first, end, gram, single): every window of one member of each class, by its hash."""
+    wanted = classes.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "windows", "single")).alias("want"))
+    texts = only_held(docs, classes.select("doc_id").distinct()).dropDuplicates(["doc_id", "text_hash"])
+    names = ["doc_id", "text_hash", "first", "end", "gram", "single"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sub_batches(batch):
+                buf, offsets = utf8(part)
+                starts, ends, rows = words_of(buf, offsets)
+                want = part.column("want").to_pylist()
+                doc = np.repeat(np.arange(len(part)), [len(w) for w in want])
+                first, n, single = (np.array([x[k] for w in want for x in w], t) for k, t in (("first", np.int64), ("windows", np.int64), ("single", bool)))
+                at = ragged(np.searchsorted(starts, offsets[doc] + first), n)
+                doc, single = np.repeat(doc, n), np.repeat(single, n)
+                p1, p2 = starts[at], ends[at + words - 1]
+                gram, take = span_hash(prefix_hash(buf), p1, p2).view(np.int64), pa.array(doc)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("text_hash").take(take), pa.array((p1 - offsets[doc]).astype(np.int32)), pa.array((p2 - offsets[doc]).astype(np.int32)), pa.array(gram), pa.array(single)], names)
+
+    held = texts.join(wanted, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "want")
+    return held.mapInArrow(tidy(cut), "doc_id long, text_hash long, first int, end int, gram long, single boolean")
+
+
+def find_passages(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, text_hash, first, end): bytes of strings of `words` whole words that stand elsewhere too, however short they are."""
+    runs = stored(_passage_runs(docs, words), "passage-runs")
+    twice = stored(runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "passage-twice")
+    shared = stored(runs.join(twice, "anchor"), "passage-shared")
+    one = F.min(F.struct("doc_id", "text_hash", "first", "end", "windows")).alias("one")
+    classes = stored(shared.groupBy("anchor", "around").agg(F.count("*").alias("n"), one).select("anchor", "around", "n", "one.*"), "passage-classes")
+    several = stored(classes.groupBy("anchor").agg(F.count("*").alias("members")).filter("members > 1").select("anchor"), "passage-several")
+    dealt = classes.join(several, "anchor").select("doc_id", "text_hash", "first", "windows", (F.col("n") == 1).alias("single"))
+    grams = stored(_passages_in(dealt, docs, words), "passages")
+    again = stored(grams.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "passages-again")
+    parts = grams.filter("single").join(again, "gram").select("doc_id", "text_hash", "first", "end")
+    whole = shared.join(classes.filter("n > 1").select("anchor", "around"), ["anchor", "around"]).select("doc_id", "text_hash", "first", "end")
+    return whole.unionByName(parts)
+
+
+def remove(docs: DataFrame, length: int = 400, carry: tuple[str, ...] = (), words: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, spans (removed runs of bytes), kept (the other bytes) of every document, and the columns to carry.
+
+    With `words`, strings of so many words that stand elsewhere too go also where they are shorter than `length`.
+    """
     docs = id_text(docs, *carry).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *carry)
     # A row is told by its id (a null one by the least long) and its text.
     keyed = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), F.col("doc_id").isNull().alias("no_id"), *carry)
-    found = find(keyed.select("doc_id", "text", "text_hash"), length)
-    spans = stored(found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last")).alias("starts")), "spans")
+    rows = keyed.select("doc_id", "text", "text_hash")
+    found = find(rows, length).select("doc_id", "text_hash", "first", (F.col("last") + length).cast("int").alias("end"))
+    if words:
+        found = found.unionByName(find_passages(rows, words))
+    spans = stored(found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "end")).alias("starts")), "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +267,7 @@ def remove(docs: DataFrame, length: int = 400, carry: tuple[str, ...] = ()) -> D
                 for text, starts in zip(part.column("text").to_pylist(), part.column("starts").to_pylist(), strict=True):
                     raw = text.encode()
                     runs: list[list[int]] = []
-                    for first, last in sorted((s["first"], s["last"] + length) for s in starts or ()):
+                    for first, last in sorted((s["first"], s["end"]) for s in starts or ()):
                         if runs and first <= runs[-1][1]:
                             runs[-1][1] = max(runs[-1][1], last)
                         else:
@@ -198,7 +283,7 @@ def remove(docs: DataFrame, length: int = 400, carry: tuple[str, ...] = ()) -> D
 
     held, rest = only_held(keyed, spans.select("doc_id").distinct(), both=True)
     joined = held.join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "no_id", "text", "starts", *carry)
-    rest = rest.select("doc_id", "no_id", "text", F.lit(None).cast("array<struct<first:int,last:int>>").alias("starts"), *carry)
+    rest = rest.select("doc_id", "no_id", "text", F.lit(None).cast("array<struct<first:int,end:int>>").alias("starts"), *carry)
     more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in carry)
     schema = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary" + more
     return joined.mapInArrow(tidy(cut), schema).unionByName(rest.mapInArrow(tidy(cut), schema))

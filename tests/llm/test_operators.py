@@ -234,6 +234,54 @@ def test_exact_duplicates(docs, empty, members, monkeypatch):
     assert sum(w[2] for w in want) > 0 and exact_dup.remove(empty).count() == 0
 
 
+def _without_repeats(rows, length=400, words=51):
+    """Bytes that stay: neither in a repeated string of `length` bytes nor in one of `words` whole words."""
+    raws = [(i, (t or "").encode()) for i, t, *_ in rows]
+    marks = [np.zeros(len(raw), bool) for _, raw in raws]
+
+    def strings(raw, by_words):
+        own = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        return [(own[k][0], own[k + words - 1][1]) for k in range(len(own) - words + 1)] if by_words else [(k, k + length) for k in range(len(raw) - length + 1)]
+
+    for by_words in (False, True):
+        n = Counter(raw[a:b] for _, raw in raws for a, b in strings(raw, by_words))
+        for (_, raw), mark in zip(raws, marks, strict=True):
+            for a, b in strings(raw, by_words):
+                if n[raw[a:b]] > 1:
+                    mark[a:b] = True
+    return sorted((i, np.frombuffer(raw, np.uint8)[~mark].tobytes()) for (i, raw), mark in zip(raws, marks, strict=True))
+
+
+def test_passages_of_words(spark, docs, empty):
+    """Passages of 51 words go whatever their bytes: of 101, and of about 300; of 50 words they stay."""
+    rng = random.Random(11)
+    own = lambda n, most=9: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, most))) for _ in range(n))
+    short, long, fifty, blank = own(51, 1), own(51), own(50), own(60).replace(" ", "\n\t")
+    rows = [(k, f"{own(30)} {p} {own(rng.randint(1, 40))}") for k, p in enumerate([short, long, fifty, blank] * 3)]
+    rows += [(20, long), (21, f"{own(60)} {long[:-1]}é"), (22, f"x{short}"), (None, f"{long} {own(9)}"), (23, f"{own(5)} {short} {short}"), (24, "a " * 400)]
+    got = exact_dup.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), words=51).collect()
+    order = lambda rows: sorted(rows, key=str)
+    want = _without_repeats([(str(i), t) for i, t in rows])
+    assert order((str(r.doc_id), bytes(r.kept)) for r in got) == order(want)
+    kept = {r.doc_id: bytes(r.kept).decode() for r in got}
+    assert len(short) == 101 and 200 < len(long) < 400 and short not in kept[0] and long not in kept[1] and fifty in kept[2] and kept[20] == ""
+    got = exact_dup.remove(docs, words=51).collect()
+    assert sorted((r.doc_id, bytes(r.kept)) for r in got) == _without_repeats(corpus())
+    assert exact_dup.remove(empty, words=51).count() == 0
+
+
+def test_pipeline_drops_short_passages(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    own = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(n))
+    passage, a, b = own(51), own(90), own(70)
+    rows = [(1, f"{a} {passage}"), (2, f"{passage} {b}"), (3, own(80))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, SF).collect()}
+    assert 250 < len(passage) < 400 and got == {1: f"{a} ", 2: f" {b}", 3: rows[2][1]}
+
+
 def test_language(spark, empty):
     full = queries.op9_langid(spark, "/root/testdata/sf0.01")
     lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
