@@ -5,7 +5,7 @@ the joined words leads back to byte offsets of the original. Every document is s
 broadcast; where they exceed `max_block_bytes` they are dealt to several automata, applied one after the other.
 
 Null and empty texts have no words; an item without words matches nothing; repeated items each count; a null item_id is
-never listed; extra columns are ignored; empty tables give no hits.
+never listed, but its item's windows count as hit; extra columns are ignored; empty tables give no hits.
 """
 
 from __future__ import annotations
@@ -30,18 +30,20 @@ def normalised(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_BLANK).split()
 
 
-def windows(items: list[tuple[str, str | None]], size: int) -> dict[str, tuple[int, list[str]]]:
-    """' w1 .. wn ' -> (number of words, items that hold it)."""
+def windows(items: list[tuple[str | None, str | None]], size: int) -> dict[str, tuple[int, list[str]]]:
+    """' w1 .. wn ' -> (number of words, ids of the items that hold it, null ones left out)."""
     out: dict[str, tuple[int, list[str]]] = {}
     for item, text in items:
         words = [w.decode() for w in normalised(text)]
         for i in range(max(1, len(words) - size + 1)) if words else ():
             own = words[i : i + size]
-            out.setdefault(f" {' '.join(own)} ", (len(own), []))[1].append(item)
+            names = out.setdefault(f" {' '.join(own)} ", (len(own), []))[1]
+            if item is not None:
+                names.append(item)
     return out
 
 
-def _automaton(key: str, items: list[tuple[str, str | None]], size: int) -> ahocorasick.Automaton:
+def _automaton(key: str, items: list[tuple[str | None, str | None]], size: int) -> ahocorasick.Automaton:
     if key not in _BUILT:
         _BUILT.clear()
         found = ahocorasick.Automaton()
@@ -78,13 +80,13 @@ def scan(docs: DataFrame, items: DataFrame, size: int = 10, max_block_bytes: int
     """doc_id, n_words, n_hit, spans (byte offsets of hit runs in the original text), items (sorted ids) of every document."""
     spark = docs.sparkSession
     docs = id_text(docs)
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     # An automaton takes about `size` times the bytes of its items.
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total * size // max_block_bytes))
     state = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("words"), F.array().cast("array<string>").alias("items"))
     for k in range(blocks):
-        own = [(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()]
+        own = [(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
         sent = spark.sparkContext.broadcast(own)
         key = uuid.uuid4().hex
 

@@ -139,6 +139,18 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.scan(docs, empty.withColumnRenamed("doc_id", "item_id")).filter("n_hit > 0").count() == 0
 
 
+def test_decontaminate_without_item_id(spark):
+    """An item without an id hits like any other; only its name isn't listed."""
+    own = "a b c d e f g h i j k l".split()
+    docs = spark.createDataFrame([(1, " ".join(["x", *own, "y"])), (2, "x y z"), (None, " ".join(own))], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, " ".join(own)), (None, "p q r"), ("7", " ".join(own[1:]))], "item_id string, text string")
+    for limit in (16 << 20, 60):
+        got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.scan(docs, bench, max_block_bytes=limit).collect()}
+        assert got == {1: (12, ["7"]), 2: (0, []), None: (12, ["7"])}
+        got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.scan(docs, bench.filter("item_id is null"), max_block_bytes=limit).collect()}
+        assert got == {1: (12, []), 2: (0, []), None: (12, [])}
+
+
 def _components(rows, n, percent=80):
     sets = {}
     for i, t, *_ in rows:
