@@ -1,17 +1,17 @@
 """The corpus pipeline: quality rules, near-duplicates, repeated passages, benchmark leaks, token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet and read again for the next one.
-Documents are told apart by doc_id; rows without one pass the filtering stages.
+Rows are told apart by doc_id and text, so those without a doc_id and those that share one are judged by their own texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.llm import decontaminate, exact_dup, near_dup, quality
 from fieldweave.llm.common import stored, table
-from fieldweave.llm.graph import without
+from fieldweave.llm.graph import only_held, without
 from fieldweave.llm.queries import encoded
 
 #: Words of a passage that goes from the texts where it repeats; of fewer words, passages go from 400 bytes on.
@@ -19,18 +19,43 @@ PASSAGE_WORDS = 51
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _key() -> Column:
+    """Tells rows apart, those without a doc_id too; repeated rows share it."""
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows as the operators take them, under _key() in place of their doc_id."""
+    return docs.select(_key().alias("doc_id"), "text")
+
+
+def _leave_out(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose _key() isn't among `keys` (doc_id)."""
+    return without(docs.select(_key().alias("doc_id"), F.struct(*COLUMNS).alias("row")), keys).select("row.*")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     docs = docs.select(*COLUMNS)
-    judged = stored(quality.judge(docs).filter("not kept").select("doc_id"), "rejected")
-    return without(docs, judged.filter("doc_id is not null"))
+    return _leave_out(docs, stored(quality.judge(_keyed(docs)).filter("not kept").select("doc_id"), "rejected"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one of the smallest doc_id."""
+    """One document of each group of near-duplicates stays, the one of the smallest doc_id (one without comes last), and one of repeated rows."""
     docs = docs.select(*COLUMNS)
-    dropped = stored(near_dup.group(docs).filter("not kept").select("doc_id"), "dropped")
-    return without(docs, dropped)
+    groups = stored(near_dup.group(_keyed(docs)).select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")), "groups")
+    ids = docs.select(_key().alias("key"), "doc_id").distinct()
+    # Only groups of several keys need a choice; tables of their own, so that a large group can be split.
+    several = stored(groups.groupBy("component").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").select("component"), "several")
+    members = stored(groups.distinct().join(several, "component"), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("first")
+    chosen = stored(members.join(ids, "key").groupBy("component").agg(first), "chosen")
+    docs = _leave_out(docs, stored(members.join(chosen, "component").filter("key <> first").select(F.col("key").alias("doc_id")), "dropped"))
+    again = stored(groups.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("doc_id")), "again")
+    if again.isEmpty():
+        return docs
+    held, rest = only_held(docs.select(_key().alias("doc_id"), F.struct(*COLUMNS).alias("row")), again, both=True)
+    return rest.unionByName(held.dropDuplicates(["doc_id"])).select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +68,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     docs = docs.select(*COLUMNS)
-    hit = stored(decontaminate.scan(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("doc_id"), "leaks")
-    return without(docs, hit.filter("doc_id is not null"))
+    hit = decontaminate.scan(_keyed(docs), table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("doc_id")
+    return _leave_out(docs, stored(hit, "leaks"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

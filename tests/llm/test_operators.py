@@ -353,3 +353,18 @@ def test_pipeline_stages(spark):
         assert docs.columns == corpus_pipeline.COLUMNS
         sizes.append(docs.count())
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
+
+
+def test_pipeline_tells_rows_apart(spark):
+    """Verdicts hold for rows without a doc_id, and for each text of a doc_id; of repeated rows one stays."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    own = lambda n: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 7))) for _ in range(n))
+    same, good = own(90), own(90)
+    rows = [(1, good), (None, "too short"), (1, "too short"), (2, same), (2, same), (3, f"{own(2)} {same}"), (3, own(80)), (None, f"{same} {own(2)}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    judged = corpus_pipeline.quality_rules(spark, docs, SF)
+    assert sorted(map(str, ((r.doc_id, r.text) for r in judged.collect()))) == sorted(str(r) for r in rows if r[1] != "too short")
+    left = corpus_pipeline.near_duplicates(spark, judged, SF).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == [(1, good), (2, same), rows[6]]
