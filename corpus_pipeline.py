@@ -85,7 +85,7 @@ STAGES = [
     ("token ids", token_ids),
 ]
 
-#: Estimated accuracies, signatures and suffix sorting have no SQL form; tests hold the stages against brute force.
+#: Estimated accuracies, signatures and suffix sorting have no SQL form; test_pipeline_run holds run() against plain Python (of the quality rules, verdicts on plain cases).
 ORACLE_SQL = None
 
 

@@ -368,3 +368,50 @@ def test_pipeline_tells_rows_apart(spark):
     assert sorted(map(str, ((r.doc_id, r.text) for r in judged.collect()))) == sorted(str(r) for r in rows if r[1] != "too short")
     left = corpus_pipeline.near_duplicates(spark, judged, SF).collect()
     assert sorted((r.doc_id, r.text) for r in left) == [(1, good), (2, same), rows[6]]
+
+
+def _whole_pipeline(rows, items, judged):
+    """The five stages in plain Python, on (doc_id, text): what stays, with its ids by the library."""
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    rows = [(i, t) for i, t in rows if judged(t)]
+    rows = list(dict.fromkeys(rows))
+    found = _components(list(enumerate(t for _, t in rows)), 5)
+    groups = {}
+    for k, row in enumerate(rows):
+        groups.setdefault(found[k][1], []).append(row)
+    rows = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+    raw = _without_repeats([(str(k), t) for k, (_, t) in enumerate(rows)])
+    rows = [(rows[int(k)][0], b.decode()) for k, b in raw]
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    cut = lambda t, n: {tuple(w[k : k + n]) for w in [word.findall(_lower(t))] for k in range(max(1, len(w) - n + 1))}
+    leaks = set().union(*(cut(t, 10) for t in items))
+    rows = [(i, t) for i, t in rows if not cut(t, 10) & leaks]
+    ids = lambda t: np.array(library.encode_ordinary(t), "<u4")
+    return sorted(((i, len(ids(t)), hashlib.sha256(ids(t).tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows), key=str)
+
+
+def test_pipeline_run(spark, tmp_path):
+    """run() against plain Python: junk, near and exact copies, passages, leaks, rows without a doc_id and rows that share one."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    own = lambda n: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 7))) for _ in range(n))
+    leak, passage, base, twin = own(30), own(51), own(120), own(90)
+    junk = " ".join(["buy now"] * 60)
+    rows = [(k, own(90)) for k in range(20)]
+    rows += [(30, f"{own(60)} {passage}"), (31, f"{passage} {own(70)}"), (32, f"{own(40)} {passage} {own(60)}")]
+    rows += [(41, base), (40, f"{base} {own(3)}"), (42, base), (None, f"{own(2)} {base}")]
+    rows += [(50, junk), (None, junk), (None, "too short"), (None, None), (51, "")]
+    rows += [(60, f"{own(50)} {leak[:150]} {own(20)}"), (None, f"{leak} {own(60)}"), (61, own(80))]
+    rows += [(70, twin), (70, twin), (71, own(90)), (71, own(90)), (72, f"{own(2)} {twin}"), (72, own(100)), (None, own(85)), (5, junk)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("1", leak), (None, rows[3][1])], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    # Clean prose and the two kinds of junk are plain to tell; the estimation has tests of its own.
+    want = _whole_pipeline(rows, [leak, rows[3][1]], lambda t: t and len(t.split()) >= 10 and t != junk)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == want
+    ids = [r.doc_id for r in got]
+    assert 3 not in ids and 60 not in ids and 50 not in ids and ids.count(70) == 1 and ids.count(71) == 2 and ids.count(40) == 1 and ids.count(None) == 1
