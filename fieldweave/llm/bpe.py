@@ -2,8 +2,9 @@
 
 Distinct pieces of the corpus are folded once by Spark higher-order functions: the state is an array of longs, each a
 token rank and the rank of the pair it forms with its right neighbour; every step merges the leftmost pair of lowest rank,
-looked up in a literal rank map. Pieces that occur often (up to `max_hot`, a fixed bound) travel to the tasks as one
-broadcast; the others are folded inside the task that met them, so no text is shuffled. Decoding joins byte pieces.
+looked up in a literal rank map. The `max_hot` most frequent pieces travel to the tasks as one broadcast of that fixed size;
+the distinct others of a batch ride on its first document and are folded there, so no text is shuffled. Decoding
+concatenates the binary pieces of the ids.
 
 Nulls and empty texts have no ids; a null doc_id is kept; repeated rows and ties are encoded row by row; extra columns of
 the input are ignored; an empty table gives an empty result.
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, ragged, stored, sub_batches, texts_of, tidy
+from .common import id_text, ragged, release, stored, sub_batches, texts_of, tidy
 from .pieces import split
 
 #: Bits of one rank inside a packed long; a rank of all ones means "no pair".
@@ -40,7 +41,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankMap:
-    """The rank map as literals of a plan: pairs of ranks in hash buckets, ranks of single bytes, and the pieces by rank."""
+    """The rank map as literals of a plan: pairs of ranks in hash buckets, and ranks of single bytes."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -54,8 +55,6 @@ class RankMap:
                     buckets[(left * 31 + right * 17) % _BUCKETS].append((left << _S | right) << _S | rank)
         self.pairs = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>")
         self.bytes = F.from_json(F.lit(json.dumps([ranks[bytes([i])] for i in range(256)])), "array<bigint>")
-        by_rank = {rank: piece.decode("latin-1") for piece, rank in ranks.items()}
-        self.pieces = F.from_json(F.lit(json.dumps([by_rank.get(i) for i in range(max(by_rank) + 1)])), "array<string>")
 
 
 def _long(x: int) -> Column:
@@ -71,6 +70,11 @@ def fold_piece(piece: Column, ranks: RankMap) -> Column:
     return _let(ranks.pairs, lambda pairs: _folded(piece, ranks.bytes, pairs))
 
 
+def fold_pieces(pieces: Column, ranks: RankMap) -> Column:
+    """Token ids of each piece of an array."""
+    return _let(ranks.pairs, lambda pairs: F.transform(pieces, lambda piece: _folded(piece, ranks.bytes, pairs)))
+
+
 def _folded(piece: Column, singles: Column, pairs: Column) -> Column:
     none = _long(_NONE)
     edge = F.array(_long(_NONE << _S | _NONE))
@@ -105,9 +109,21 @@ def _folded(piece: Column, singles: Column, pairs: Column) -> Column:
     return F.when(F.octet_length(piece).between(1, MAX_FOLD_BYTES), ids)
 
 
-def decode(ids: Column, ranks: RankMap) -> Column:
-    """The bytes of token ids: their pieces, one after the other."""
-    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(ranks.pieces, i)), ""), "iso-8859-1")
+def decode(encoded: DataFrame, ranks: RankMap) -> DataFrame:
+    """The rows with `decoded`, the bytes of their token ids: the binary pieces, one after the other."""
+    by_rank = {rank: piece for piece, rank in ranks.ranks.items()}
+    sent = encoded.sparkSession.sparkContext.broadcast([by_rank.get(i) for i in range(max(by_rank) + 1)])
+
+    def concatenate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pa.array(sent.value, pa.large_binary())
+        for batch in batches:
+            for part in sub_batches(batch, column="ids_bytes"):
+                ids = part.column("ids").fill_null([])
+                flat = pieces.take(ids.flatten())
+                lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False), dtype=np.int64)]), flat)
+                yield pa.RecordBatch.from_arrays([*part.columns, pc.binary_join(lists, pa.scalar(b"", pa.large_binary())).cast(pa.binary())], [*part.schema.names, "decoded"])
+
+    return encoded.mapInArrow(tidy(concatenate), "".join(f"{f.name} {f.dataType.simpleString()}, " for f in encoded.schema) + "decoded binary")
 
 
 def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -149,115 +165,89 @@ def piece_counts(docs: DataFrame, pattern: str) -> DataFrame:
 
 
 def _hot(counts: DataFrame, max_hot: int, max_bytes: int = 64) -> DataFrame:
-    """The most frequent pieces, at most max_hot, down to a power of two of their count."""
+    """The most frequent pieces, max_hot of them (in expectation): all above a count, and of that count a share by hash."""
     short = counts.filter(F.octet_length("piece").between(1, max_bytes))
-    level = F.floor(F.log2("n")).cast("int")
-    by_level = {r["level"]: r["pieces"] for r in short.groupBy(level.alias("level")).agg(F.count("*").alias("pieces")).collect()}
-    total, least = 0, None
-    for k in sorted(by_level, reverse=True):
-        total += by_level[k]
-        if total > max_hot:
+    # Counts above 1,024 meet in steps of a 64th, so that what comes to the driver is bounded.
+    step = F.when(F.col("n") <= 1024, F.col("n")).otherwise(F.ceil(F.log2("n") * 64) + 1024).cast("long")
+    many = {r["step"]: r["pieces"] for r in short.groupBy(step.alias("step")).agg(F.count("*").alias("pieces")).collect()}
+    total, least, share = 0, 0, 0.0
+    for k in sorted(many, reverse=True):
+        if total + many[k] > max_hot:
+            least, share = k, (max_hot - total) / many[k]
             break
-        least = k
-    return short.filter(F.lit(False) if least is None else level >= least)
+        total += many[k]
+    some = F.pmod(F.xxhash64("piece"), F.lit(1 << 20)) < int(share * (1 << 20))
+    return short.filter((step > least) | ((step == least) & some))
 
 
-def encode(docs: DataFrame, ranks: RankMap, pattern: str, max_hot: int = 1 << 20) -> DataFrame:
+def encode(docs: DataFrame, ranks: RankMap, pattern: str, max_hot: int = 1 << 19) -> DataFrame:
     """doc_id, ids array<int>, ids_bytes (the ids as little-endian unsigned 32-bit integers) of every document."""
     spark = docs.sparkSession
     docs = id_text(docs)
     counts = stored(piece_counts(docs, pattern), "pieces")
-    hot = _hot(counts, max_hot).select("piece", fold_piece(F.col("piece"), ranks).alias("ids")).toArrow()
-    words = hot.column("piece").cast(pa.large_string()).combine_chunks()
-    lists = hot.column("ids").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
-    words = words.chunk(0) if isinstance(words, pa.ChunkedArray) and words.num_chunks else words
-    if hot.num_rows:
-        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int32)
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
-    else:
-        words, lengths, flat = pa.array([], pa.large_string()), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+    hot = _hot(counts, max_hot).select("piece", fold_piece(F.col("piece"), ranks).alias("ids")).toArrow().combine_chunks()
+    words, lists = (hot.column(c).combine_chunks() if hot.num_rows else pa.array([], kind) for c, kind in (("piece", pa.string()), ("ids", pa.list_(pa.int32()))))
+    n_hot = len(words)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, pa.schema([("piece", pa.large_string())])) as out:
-        out.write_batch(pa.RecordBatch.from_arrays([words], ["piece"]))
-    n_hot = len(words)
+        out.write_batch(pa.RecordBatch.from_arrays([words.cast(pa.large_string())], ["piece"]))
     known = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-    known_ids = spark.sparkContext.broadcast((lengths, flat))
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.uint8)  # a piece of at most 64 bytes
+    known_ids = spark.sparkContext.broadcast((lengths, lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)))
     rank_file = spark.sparkContext.broadcast(ranks.ranks)
-    del hot, words, lists, sink
+    del hot, words, lists, sink, lengths
+    release()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each batch, first the pieces that aren't in the broadcast, then the documents as indices of pieces."""
+        """Documents as indices of pieces; the first of a batch carries those that aren't in the broadcast."""
         value_set = pa.ipc.open_stream(pa.py_buffer(known.value)).read_all().column("piece").combine_chunks()
-        schema = pa.schema([("fresh", pa.bool_()), ("piece", pa.string()), ("doc_id", pa.int64()), ("codes", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("codes", pa.binary()), ("fresh", pa.list_(pa.string()))])
         for batch in batches:
+            if not len(batch):
+                continue
             parts, codes, counts_ = [], [], []
             for part in sub_batches(batch):
                 distinct, code, offsets = split(texts_of(part), pattern)
                 codes.append((code, sum(map(len, parts))))
                 parts.append(distinct)
                 counts_.append(np.diff(offsets))
-            distinct = pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+            distinct = pa.concat_arrays(parts)
             at = pc.index_in(distinct.cast(pa.large_string()), value_set=value_set)
             cold = distinct.filter(at.is_null()).dictionary_encode()
             index = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             index[index < 0] = cold.indices.to_numpy(zero_copy_only=False) + n_hot
-            fresh = cold.dictionary
-            nothing = pa.array([None] * len(fresh), pa.int64()), pa.array([None] * len(fresh), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(fresh), bool)), fresh, *nothing], schema=schema)
-            ids = batch.column("doc_id")
-            row = 0
-            for (code, base), n in zip(codes, counts_, strict=True):
-                data = index[code + base].astype("<u4").tobytes()
-                offsets = np.concatenate([[0], np.cumsum(n * 4)]).astype(np.int32)
-                coded = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), bool)), pa.array([None] * len(n), pa.string()), ids.slice(row, len(n)), coded], schema=schema)
-                row += len(n)
+            n = np.concatenate(counts_)
+            code = np.concatenate([index[code + base] for code, base in codes]).astype("<u4")
+            coded = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(n * 4)]).astype(np.int32)), pa.py_buffer(code.tobytes())])
+            fresh = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(len(n) + 1), 1) * len(cold.dictionary), pa.int32()), cold.dictionary)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), coded, fresh], schema=schema)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents as ids, by the broadcast and by the pieces that precede them."""
+        """Documents as ids, by the broadcast and by the pieces that the first document of their batch carries."""
         hot_lengths, hot_flat = known_ids.value
-        by_bytes = rank_file.value
+        hot_lengths = hot_lengths.astype(np.int32)
         lengths, flat, starts = hot_lengths, hot_flat, np.cumsum(hot_lengths, dtype=np.int64) - hot_lengths
-        opened = False
         for batch in batches:
-            fresh = batch.column("fresh").to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi in _runs(fresh):
-                part = batch.slice(lo, hi - lo)
-                if fresh[lo]:
-                    col, pieces = part.column("ids"), part.column("piece")
+            carried = pc.list_value_length(batch.column("fresh")).to_numpy(zero_copy_only=False)
+            edges = np.unique(np.concatenate([[0], np.flatnonzero(carried), [len(batch)]])).astype(np.int64)
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if carried[lo]:
+                    col, pieces = batch.column("ids").slice(lo, 1).flatten(), batch.column("fresh").slice(lo, 1).flatten()
                     if col.null_count:  # pieces beyond the fold
-                        merged = [heap_merge(p.encode(), by_bytes) if x is None else x for x, p in zip(col.to_pylist(), pieces.to_pylist(), strict=True)]
+                        merged = [heap_merge(p.encode(), rank_file.value) if x is None else x for x, p in zip(col.to_pylist(), pieces.to_pylist(), strict=True)]
                         col = pa.array(merged, pa.list_(pa.int32()))
-                    if not opened:
-                        lengths, flat = [hot_lengths], [hot_flat]
-                        opened = True
-                    lengths.append(pc.list_value_length(col).to_numpy(zero_copy_only=False).astype(np.int32))
-                    flat.append(col.flatten().to_numpy(zero_copy_only=False).astype(np.uint32))
-                    continue
-                if opened:
-                    lengths, flat = np.concatenate(lengths), np.concatenate(flat)
+                    lengths = np.concatenate([hot_lengths, pc.list_value_length(col).to_numpy(zero_copy_only=False).astype(np.int32)])
+                    flat = np.concatenate([hot_flat, col.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)])
                     starts = np.cumsum(lengths, dtype=np.int64) - lengths
-                    opened = False
+                part = batch.slice(lo, hi - lo)
                 coded = part.column("codes").to_pylist()
                 code = np.frombuffer(b"".join(coded), "<u4")
                 per_piece = lengths[code]
                 ids = flat[ragged(starts[code], per_piece)].astype("<u4")
                 ends = np.concatenate([[0], np.cumsum(per_piece, dtype=np.int64)])[np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]).astype(np.int64)]
-                offsets = pa.py_buffer(ends.astype(np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 raw = pa.BinaryArray.from_buffers(pa.binary(), len(coded), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(ids.tobytes())])
-                del offsets
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, raw], ["doc_id", "ids", "ids_bytes"])
 
-    cut_rows = docs.mapInArrow(tidy(cut), "fresh boolean, piece string, doc_id long, codes binary")
-    folded = cut_rows.select("fresh", "piece", "doc_id", "codes", fold_piece(F.col("piece"), ranks).alias("ids"))
-    return folded.mapInArrow(tidy(join), "doc_id long, ids array<int>, ids_bytes binary")
-
-
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    if not len(flags):
-        return []
-    cut = np.flatnonzero(flags[1:] != flags[:-1]) + 1
-    edges = [0, *cut.tolist(), len(flags)]
-    return list(zip(edges[:-1], edges[1:], strict=True))
+    cut_rows = docs.mapInArrow(tidy(cut), "doc_id long, codes binary, fresh array<string>")
+    return cut_rows.select("doc_id", "codes", "fresh", fold_pieces(F.col("fresh"), ranks).alias("ids")).mapInArrow(tidy(join), "doc_id long, ids array<int>, ids_bytes binary")

@@ -1,8 +1,10 @@
 """Quality rules by weak supervision (operator 7): rules vote or abstain, expectation-maximisation estimates how often each
 is right for good and for bad texts, and a text is kept by its posterior probability.
 
-Counts come from whole texts, batch by batch. Votes meet as patterns: there are at most 3**len(RULES) of them, so the
-estimation runs on a table of fixed size, whatever the input; nothing else is collected.
+Counts come from whole texts, batch by batch. Votes meet as patterns: there are at most 3**len(rules()) of them, so the
+estimation runs on a table of fixed size, whatever the input; nothing else is collected. The bounds of the rules are near:
+good texts cross one now and then, and it takes the estimated weight of the other votes to reject them. Accuracies have
+weak priors (PRIOR texts), no bounds.
 
 A null or empty text has no words and fails the base test; lines without a word never count as repeated; null doc_ids and
 repeated rows are judged row by row; extra columns are ignored; an empty table gives an empty result.
@@ -10,7 +12,6 @@ repeated rows are judged row by row; extra columns are ignored; an empty table g
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,9 @@ from .shingles import window_hashes
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_shouts", "n_distinct"]
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_shouts", "n_marks", "n_distinct"]
 
 
 def _first_seen(values: np.ndarray) -> np.ndarray:
@@ -61,6 +64,7 @@ def statistics(docs: DataFrame) -> DataFrame:
                 out["n_upper"] = _sums(upper, offsets)
                 out["n_letters"] = _sums(upper | ((buf >= 97) & (buf <= 122)), offsets)
                 out["n_shouts"] = _sums(buf == 33, offsets)
+                out["n_marks"] = _sums(_MARK[buf], offsets)
                 newline = np.flatnonzero(buf == 10)
                 for i in range(len(part)):
                     lo, hi, a, b = offsets[i], offsets[i + 1], rows[i], rows[i + 1]
@@ -94,56 +98,63 @@ def _vote(bad: Column, good: Column) -> Column:
 
 def rules() -> list[Column]:
     """Votes of the rules; a rule abstains between its two bounds, and where a text is too short to tell."""
-    n, some = F.col("n_words"), F.col("n_words") >= 10
+    n, some, enough = F.col("n_words"), F.col("n_words") >= 10, F.col("n_words") >= 20
     per_word = lambda c: F.col(c) / F.greatest(n, F.lit(1))
+    per_char = lambda c: F.col(c) / F.greatest("word_chars", F.lit(1))
     upper = F.col("n_upper") / F.greatest("n_letters", F.lit(1))
     lines = F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))
     return [
-        _vote(n < 10, n >= 40),
-        _vote(some & (per_word("n_symbols") > 0.15), some & (per_word("n_symbols") < 0.02)),
-        _vote(some & (per_word("n_repeat_words") > 0.2), some & (per_word("n_repeat_words") < 0.05)),
-        _vote((F.col("n_lines") >= 6) & (lines > 0.5), some & (F.col("n_lines") > 1) & (lines < 0.05)),
-        _vote((per_word("word_chars") < 2.5) | (per_word("word_chars") > 14), some & per_word("word_chars").between(3.5, 10)),
-        _vote(some & (upper > 0.4), some & (upper < 0.15)),
-        _vote(some & (per_word("n_shouts") > 0.3), some & (per_word("n_shouts") < 0.05)),
-        _vote((n >= 50) & (per_word("n_distinct") < 0.2), (n.between(10, 2000)) & (per_word("n_distinct") > 0.4)),
+        _vote(n < 15, n >= 40),
+        _vote(per_word("n_symbols") > 0.15, some & (per_word("n_symbols") < 0.02)),
+        _vote(some & (per_word("n_repeat_words") > 0.1), some & (per_word("n_repeat_words") < 0.04)),
+        _vote((F.col("n_lines") >= 4) & (lines > 0.34), (F.col("n_lines") >= 4) & (lines < 0.05)),
+        _vote(enough & ~per_word("word_chars").between(3.8, 6.5), enough & per_word("word_chars").between(4.2, 6)),
+        _vote(enough & (upper > 0.06), enough & (upper < 0.04)),
+        _vote(some & (per_word("n_shouts") > 0.05), some & (per_word("n_shouts") < 0.01)),
+        _vote((n >= 50) & (per_word("n_distinct") < 0.45), (n.between(50, 2000)) & (per_word("n_distinct") > 0.55)),
+        _vote(some & (per_char("n_symbols") > 0.03), some & (per_char("n_symbols") < 0.005)),
+        _vote(some & (per_char("n_marks") > 0.15), some & (per_char("n_marks") < 0.08)),
     ]
 
 
-def estimate(counts: dict[int, int], n_rules: int, rounds: int = 200, slip: float = 0.002) -> tuple[dict[int, float], np.ndarray, float]:
-    """Posterior probability of a good text for each pattern, accuracies [rule, (bad, good)], and the share of good texts.
+#: Texts that the prior counts for, and the chances of a vote for bad that it expects of bad and of good texts.
+PRIOR, PRIOR_BAD, PRIOR_GOOD = 20.0, 0.5, 0.05
 
-    Junk comes in kinds that share little, so bad texts are a mixture with one kind for each rule; a rule has, for good
-    texts and for every kind, chances of its three votes. The first round takes a pattern with votes for bad as the kinds
-    of those rules. The bounds of the rules are set so that good prose hardly crosses them: the chance that a rule calls a
-    good text bad is held below `slip`, and the chance that it misses its own kind of junk below 0.01. A rule's accuracy is the share of right ones among its votes.
+
+class Estimate:
+    """chance[k] = chances of a vote for bad, by rule k if it votes, of bad (0) and good (1) texts; share of good texts."""
+
+    def __init__(self, chance: np.ndarray, share: float):
+        self.chance, self.share = chance, share
+        self.accuracy = np.stack([chance[:, 0], 1 - chance[:, 1]], 1)
+        #: Log odds of good against bad: of no votes, and what each rule's vote (bad, good) adds.
+        self.prior = float(np.log(share) - np.log(1 - share))
+        self.weight = np.stack([np.log(chance[:, 1] / chance[:, 0]), np.log((1 - chance[:, 1]) / (1 - chance[:, 0]))], 1)
+
+    def odds(self, votes: np.ndarray) -> np.ndarray:
+        return self.prior + (votes == 0) @ self.weight[:, 0] + (votes == 1) @ self.weight[:, 1]
+
+
+def estimate(counts: dict[int, int], n_rules: int, rounds: int = 500) -> Estimate:
+    """Expectation-maximisation over the patterns of votes (base 3, rule 0 lowest) and how many texts have each.
+
+    Rules vote independently given what the text is; an abstention says nothing. The first round takes texts with two or
+    more votes for bad as bad. Without any texts the estimate is the prior.
     """
     patterns = sorted(counts)
     votes = np.array([[p // 3**k % 3 for k in range(n_rules)] for p in patterns], np.int64).reshape(len(patterns), n_rules)
     weight = np.array([counts[p] for p in patterns], float)
-    is_bad = (votes == 0).astype(float)
-    some = is_bad.sum(1, keepdims=True)
-    belief = np.concatenate([np.where(some > 0, 0.05, 1.0), np.where(some > 0, 0.95 * is_bad / np.maximum(some, 1), 0.0)], 1)
-    chance, share = np.full((n_rules, n_rules + 1, 3), 1 / 3), np.full(n_rules + 1, 1 / (n_rules + 1))
-    for _ in range(rounds if len(patterns) else 0):
-        before = belief
-        mass = belief * weight[:, None]
-        share = (mass.sum(0) + 1e-3) / (weight.sum() + 1e-3 * (n_rules + 1))
-        for v in range(3):
-            chance[:, :, v] = ((votes == v).T.astype(float) @ mass + 0.1) / (mass.sum(0) + 0.3)
-        over = np.maximum(chance[:, 0, 0] - slip, 0)
-        chance[:, 0, 0] -= over
-        chance[:, 0, 2] += over
-        own = np.arange(n_rules), np.arange(1, n_rules + 1)
-        chance[*own] = np.where(chance[*own][:, :1] > 0.99, chance[*own], [0.99, 0.005, 0.005])
-        score = np.log(share) + sum(np.log(chance[k][:, votes[:, k]]).T for k in range(n_rules))
-        belief = np.exp(score - score.max(1, keepdims=True))
-        belief /= belief.sum(1, keepdims=True)
-        if np.abs(belief - before).max() < 1e-9:
+    good = np.where((votes == 0).sum(1) >= 2, 0.0, 1.0)
+    for _ in range(rounds):
+        mass = np.stack([(1 - good) * weight, good * weight])
+        bad_votes, voted = mass @ (votes == 0), mass @ (votes < 2)
+        expected = np.array([[PRIOR_BAD], [PRIOR_GOOD]])
+        chance = ((bad_votes + PRIOR * expected) / (voted + PRIOR)).T
+        found = Estimate(chance, float((mass[1].sum() + PRIOR / 2) / (weight.sum() + PRIOR)))
+        before, good = good, 1 / (1 + np.exp(-np.clip(found.odds(votes), -500, 500)))
+        if not len(good) or np.abs(good - before).max() < 1e-9:
             break
-    bad = (chance[:, 1:, :] * share[1:, None]).sum(1) / share[1:].sum()
-    accuracy = np.stack([bad[:, 0] / (bad[:, 0] + bad[:, 1]), chance[:, 0, 1] / (chance[:, 0, 0] + chance[:, 0, 1])], 1)
-    return dict(zip(patterns, belief[:, 0].tolist(), strict=True)), accuracy, float(share[0])
+    return found
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -152,8 +163,8 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     pattern = sum((v * 3**k for k, v in enumerate(votes)), F.lit(0))
     counted = stored(statistics(id_text(docs)).withColumn("pattern", pattern), "quality")
     seen = {r["pattern"]: r["n"] for r in counted.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
-    posterior, _, good = estimate(seen, len(votes))
-    literal = F.from_json(F.lit(json.dumps([posterior.get(i, good) for i in range(3 ** len(votes))])), "array<double>")
+    found = estimate(seen, len(votes))
+    odds = sum((F.when(v == 0, float(w[0])).when(v == 1, float(w[1])).otherwise(0.0) for v, w in zip(votes, found.weight, strict=True)), F.lit(found.prior))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = counted.withColumn("base_failed", failed).withColumn("quality", F.get(literal, F.col("pattern")))
+    out = counted.withColumn("base_failed", failed).withColumn("quality", 1 / (1 + F.exp(-odds)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)).drop("pattern")

@@ -13,12 +13,12 @@ from .common import table
 def encoded(docs: DataFrame) -> DataFrame:
     """Token ids of whole texts and the bytes they decode to, as digests."""
     ranks = bpe.RankMap(bpe.read_ranks(tokenizers_files.path("byte_bpe_50k.tiktoken")))
-    done = bpe.encode(docs, ranks, tokenizers_files.PATTERN)
+    done = bpe.decode(bpe.encode(docs, ranks, tokenizers_files.PATTERN), ranks)
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2("ids_bytes", 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

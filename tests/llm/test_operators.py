@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from fieldweave.llm import bpe, decontaminate, exact_dup, idfile, langid, near_dup, pieces, quality, queries, suffix_array, tokens, toxicity, url_filter
 
@@ -58,7 +59,7 @@ def test_bpe(docs, empty):
     ranks = bpe.RankMap(by_bytes)
     assert bpe.heap_merge(b"  hello----- aaaa", by_bytes) == library._encode_single_piece("  hello----- aaaa")
     got = bpe.encode(docs, ranks, P.PATTERN, max_hot=50)
-    rows = got.withColumn("raw", bpe.decode(got["ids"], ranks)).collect()
+    rows = bpe.decode(got, ranks).withColumnRenamed("decoded", "raw").collect()
     want = sorted((i, library.encode_ordinary(t or ""), (t or "").encode()) for i, t, *_ in corpus())
     assert sorted((r.doc_id, list(r.ids), bytes(r.raw)) for r in rows) == want
     assert bpe.encode(empty, ranks, P.PATTERN).count() == 0
@@ -205,16 +206,70 @@ def test_quality_counts(docs, empty):
     assert quality.judge(empty).count() == 0
 
 
-def test_estimated_rules_find_planted_junk():
-    rng = np.random.default_rng(1)
-    good = np.where(rng.random((5000, 4)) < 0.9, 1, 2)
-    junk = np.where(rng.random((600, 4)) < 0.9, 1, 2)
-    junk[np.arange(600), rng.integers(0, 3, 600)] = 0
-    votes = np.concatenate([good, junk])
-    pattern = (votes * 3 ** np.arange(4)).sum(1)
-    posterior, accuracy, share = quality.estimate(dict(Counter(pattern.tolist())), 4)
-    kept = np.array([posterior[p] >= 0.5 for p in pattern.tolist()])
-    assert kept[:5000].mean() > 0.99 and kept[5000:].mean() < 0.02 and accuracy.shape == (4, 2) and 0.85 < share < 0.95
+def _planted_votes(rng, hits, alarms, n_good=9000, n_bad=1000, abstain=0.2):
+    truth = np.arange(n_good + n_bad) < n_good
+    votes = np.where(rng.random((len(truth), len(hits))) < np.where(truth[:, None], alarms, hits), 0, 1)
+    votes[:, 1] = np.where(rng.random(len(truth)) < 0.5, votes[:, 0], votes[:, 1])  # rule 1 often repeats rule 0
+    return truth, np.where(rng.random(votes.shape) < abstain, 2, votes)
+
+
+def _by_hand(votes, rounds=500):
+    """The estimation text by text: probability of each to be good."""
+    good = [0.0 if sum(x == 0 for x in v) >= 2 else 1.0 for v in votes]
+    k = len(votes[0])
+    for _ in range(rounds):
+        chance = []
+        for j in range(k):
+            for side, expected in ((0, 0.5), (1, 0.05)):
+                w = [g if side else 1 - g for g in good]
+                bad = sum(x for x, v in zip(w, votes, strict=True) if v[j] == 0)
+                voted = sum(x for x, v in zip(w, votes, strict=True) if v[j] < 2)
+                chance.append((bad + 20 * expected) / (voted + 20))
+        share, before = (sum(good) + 10) / (len(good) + 20), good
+        good = []
+        for v in votes:
+            up, down = share, 1 - share
+            for j, x in enumerate(v):
+                if x < 2:
+                    down *= chance[2 * j] if x == 0 else 1 - chance[2 * j]
+                    up *= chance[2 * j + 1] if x == 0 else 1 - chance[2 * j + 1]
+            good.append(up / (up + down))
+        if max(abs(a - b) for a, b in zip(good, before, strict=True)) < 1e-9:
+            break
+    return good
+
+
+def test_estimated_accuracies():
+    hits, alarms = np.array([0.8, 0.7, 0.6, 0.9, 0.12]), np.array([0.02, 0.03, 0.05, 0.01, 0.12])  # the last rule tells nothing
+    truth, votes = _planted_votes(np.random.default_rng(1), hits, alarms)
+    pattern = (votes * 3 ** np.arange(5)).sum(1)
+    found = quality.estimate(dict(Counter(pattern.tolist())), 5)
+    kept = found.odds(votes) >= 0
+    assert kept[truth].mean() > 0.98 and kept[~truth].mean() < 0.15 and abs(found.share - 0.9) < 0.02
+    assert np.abs(found.chance[[0, 2, 3, 4], 0] - hits[[0, 2, 3, 4]]).max() < 0.1 and np.abs(found.chance[[0, 2, 3, 4], 1] - alarms[[0, 2, 3, 4]]).max() < 0.02
+    one = (votes == 0).sum(1) == 1  # of texts with a single vote for bad some stay and some go
+    assert 0 < kept[one].mean() < 1 and kept[one & (votes[:, 4] == 0)].mean() > 0.95
+    some = votes[::40].tolist()
+    by_pattern = quality.estimate(dict(Counter((votes[::40] * 3 ** np.arange(5)).sum(1).tolist())), 5)
+    assert np.allclose(1 / (1 + np.exp(-by_pattern.odds(votes[::40]))), _by_hand(some), atol=1e-6)
+    nothing = quality.estimate({}, 3)
+    assert np.allclose(nothing.chance, [[0.5, 0.05]] * 3) and nothing.share == 0.5
+
+
+def test_quality_verdicts(spark):
+    """The query's probabilities are those of the estimation by hand; neither all-must-pass nor its opposite."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = quality.statistics(quality.id_text(docs))
+    votes = {r.doc_id: list(r.votes) for r in counts.select("doc_id", F.array(*quality.rules()).alias("votes")).collect()}
+    want = dict(zip(votes, _by_hand(list(votes.values())), strict=True))
+    got = quality.judge(docs).collect()
+    assert len(got) == len(want) and all(abs(r.quality - want[r.doc_id]) < 1e-6 and r.kept == (not r.base_failed and r.quality >= 0.5) for r in got)
+    doubted = [r.kept for r in got if 0 in votes[r.doc_id]]
+    assert 0 < sum(doubted) < len(doubted)
+    label = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}  # only here
+    right = [(r.quality >= 0.5) == (label[r.doc_id] == 1) for r in got if r.doc_id in label]
+    all_must_pass = [(0 not in votes[r.doc_id]) == (label[r.doc_id] == 1) for r in got if r.doc_id in label]
+    assert sum(right) > sum(all_must_pass)
 
 
 def test_suffix_sort():
