@@ -206,10 +206,10 @@ def test_quality_counts(docs, empty):
     assert quality.judge(empty).count() == 0
 
 
-def _planted_votes(rng, hits, alarms, n_good=9000, n_bad=1000, abstain=0.2):
+def _planted_votes(rng, hits, alarms, repeats, n_good=9000, n_bad=1000, abstain=0.2):
     truth = np.arange(n_good + n_bad) < n_good
     votes = np.where(rng.random((len(truth), len(hits))) < np.where(truth[:, None], alarms, hits), 0, 1)
-    votes[:, 1] = np.where(rng.random(len(truth)) < 0.5, votes[:, 0], votes[:, 1])  # rule 1 often repeats rule 0
+    votes[:, 1] = np.where(rng.random(len(truth)) < repeats, votes[:, 0], votes[:, 1])  # rule 1 often repeats rule 0
     return truth, np.where(rng.random(votes.shape) < abstain, 2, votes)
 
 
@@ -241,12 +241,12 @@ def _by_hand(votes, rounds=500):
 
 def test_estimated_accuracies():
     hits, alarms = np.array([0.8, 0.7, 0.6, 0.9, 0.12]), np.array([0.02, 0.03, 0.05, 0.01, 0.12])  # the last rule tells nothing
-    truth, votes = _planted_votes(np.random.default_rng(1), hits, alarms)
-    pattern = (votes * 3 ** np.arange(5)).sum(1)
-    found = quality.estimate(dict(Counter(pattern.tolist())), 5)
-    kept = found.odds(votes) >= 0
-    assert kept[truth].mean() > 0.98 and kept[~truth].mean() < 0.15 and abs(found.share - 0.9) < 0.02
-    assert np.abs(found.chance[[0, 2, 3, 4], 0] - hits[[0, 2, 3, 4]]).max() < 0.1 and np.abs(found.chance[[0, 2, 3, 4], 1] - alarms[[0, 2, 3, 4]]).max() < 0.02
+    for repeats, off in ((0.0, 0.06), (0.5, 0.15)):  # rules that depend on one another bend the estimate, no more
+        truth, votes = _planted_votes(np.random.default_rng(1), hits, alarms, repeats)
+        found = quality.estimate(dict(Counter((votes * 3 ** np.arange(5)).sum(1).tolist())), 5)
+        kept = found.odds(votes) >= 0
+        assert kept[truth].mean() > 0.98 and kept[~truth].mean() < 0.15 and abs(found.share - 0.9) < 0.03
+        assert np.abs(found.chance[[0, 2, 3, 4], 0] - hits[[0, 2, 3, 4]]).max() < off and np.abs(found.chance[[0, 2, 3, 4], 1] - alarms[[0, 2, 3, 4]]).max() < 0.03
     one = (votes == 0).sum(1) == 1  # of texts with a single vote for bad some stay and some go
     assert 0 < kept[one].mean() < 1 and kept[one & (votes[:, 4] == 0)].mean() > 0.95
     some = votes[::40].tolist()
