@@ -7,12 +7,14 @@ counts; a pair of one text posts nothing, so a text that shares fewer than MATCH
 rarest shared pairs that complete the prefix are posted: values that very many texts share are skipped.
 
 A posting is not expanded into pairs. Each member is first held against the smallest text among its postings' smallest ones;
-components follow; members whose component differs from that of a posting's smallest text are held against it; only postings
-that still have members in several components are compared member by member across those. Candidates must reach MATCHES and
-are confirmed on full shingle sets, taken from the texts.
+components follow; members whose component differs from that of a posting's smallest text are held against it. Postings
+that still have members in several components (of those with the same members, one) are merged in place: each member
+counts its collisions with the members of other components, coordinate block by coordinate block, skipping those that can
+no longer reach MATCHES; who does is confirmed on full shingle sets, and joins the components at once, so that a posting of
+n members yields fewer than n links. A posting of many members is cut into tiles of bounded size, each pair in one tile.
 
 Null and empty texts link to nothing and are kept; a null doc_id has a null component; rows with equal doc_id share their
-component; ties go to the smaller doc_id; extra columns are ignored; an empty table gives an empty result.
+component, whatever their texts; ties go to the smaller doc_id; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,12 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, mix64, stored, sub_batches, tidy
+from .common import id_text, mix64, ragged, release, stored, sub_batches, tidy
 from .graph import components, only_held
 from .shingles import shingle_sets
 
 COORDINATES = 64
 MATCHES = 36
+#: Members and bytes of shingles of a tile's side on average, and bytes that one bucket of postings gets on average.
+TILE_MEMBERS = 4096
+TILE_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 
 
 def _salts() -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +94,19 @@ def _postings(signed: DataFrame) -> DataFrame:
     return posted.join(signed.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size")), "doc")
 
 
+def _sets(ends: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(doc, shingles): the sorted 64-bit shingles of the texts of `ends` (doc_id)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sub_batches(batch):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in shingle_sets(part, words)], pa.large_binary())], ["doc", "shingles"])
+
+    ends = ends.distinct()
+    texts = only_held(docs, ends).join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return stored(texts.mapInArrow(tidy(cut), "doc long, shingles binary"), "sets")
+
+
 def _confirmed(candidates: DataFrame, signed: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The candidates (a, b) whose signatures match and whose shingle sets are similar enough."""
 
@@ -98,36 +117,94 @@ def _confirmed(candidates: DataFrame, signed: DataFrame, docs: DataFrame, words:
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part in sub_batches(batch, column="tb"):
-                side = [shingle_sets(pa.RecordBatch.from_arrays([part.column("tb")], ["text"]), words)]
-                first = part.column("a").to_pylist()
-                new = {}  # a text that many rows hold is cut once
-                for i, a in enumerate(first):
-                    if a not in held and a not in new:
-                        new[a] = i
-                if len(held) > 64:
-                    held = {}
-                    new = {a: i for i, a in reversed(list(enumerate(first)))}
-                made = shingle_sets(pa.RecordBatch.from_arrays([part.column("ta").take(pa.array(list(new.values()), pa.int64()))], ["text"]), words) if new else []
-                held.update(zip(new, made, strict=True))
+            for part in sub_batches(batch, column="xb"):
                 keep = []
-                for a, own in zip(first, side[0], strict=True):
-                    both = len(np.intersect1d(held[a], own, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(held[a]) + len(own) - both))
+                for xa, xb in zip(part.column("xa"), part.column("xb"), strict=True):
+                    x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (xa, xb))
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
     sig = signed.select("doc_id", "signature")
     near = candidates.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").mapInArrow(tidy(matched), "a long, b long")
     near = stored(near, "matched")
-    ends = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-    texts = only_held(docs, ends).join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = stored(texts, "texts")
-    wide = near.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+    sets = _sets(near.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, words)
+    wide = near.join(sets.toDF("b", "xb"), "b").join(sets.toDF("a", "xa"), "a").select("a", "b", "xa", "xb")
     return wide.mapInArrow(tidy(similar), "a long, b long")
 
 
+def merge_posting(signature: np.ndarray, sets: list[np.ndarray], component: np.ndarray, block: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components (and, if there are two blocks, of different blocks) that join all which are linked."""
+    size = np.array([len(x) for x in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    size, signature, block = size[order], signature[order], block[order]
+    _, root = np.unique(component[order], return_inverse=True)
+    _, codes = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    ends = np.cumsum(size)
+    starts = ends - size
+    fits_until = np.searchsorted(size, 100 * size // percent, side="right")  # a larger set can't be similar
+    mark = np.zeros(int(codes.max()) + 1, bool)
+    two, out = block.min() != block.max(), []
+    for i in range(len(size)):
+        others = np.arange(i + 1, fits_until[i])
+        others = others[root[others] != root[i]]
+        if two:
+            others = others[block[others] != block[i]]
+        count, done = np.zeros(len(others), np.int64), 0
+        for upto in (COORDINATES // 2, 3 * COORDINATES // 4, COORDINATES):
+            if not len(others):
+                break
+            count += (signature[others, done:upto] == signature[i, done:upto]).sum(1)
+            able = count + (COORDINATES - upto) >= MATCHES
+            others, count, done = others[able], count[able], upto
+        if not len(others):
+            continue
+        mark[codes[starts[i] : ends[i]]] = True
+        both = np.add.reduceat(mark[codes[ragged(starts[others], size[others])]].astype(np.int64), np.cumsum(size[others]) - size[others])
+        mark[codes[starts[i] : ends[i]]] = False
+        for j in others[100 * both >= percent * (size[i] + size[others] - both)].tolist():
+            if root[j] != root[i]:
+                out.append((int(order[i]), int(order[j])))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def _merged(postings: DataFrame, signed: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): links across components found by merging the postings (pair, doc, size, component)."""
+    seen = F.xxhash64("doc")
+    facts = postings.groupBy("pair").agg(F.count("*").alias("n"), F.sum(F.col("size") * 8).alias("bytes"), F.bit_xor(seen).alias("x"), F.bit_xor(F.xxhash64(seen)).alias("y"), F.sum(seen.bitwiseAND(F.lit((1 << 32) - 1))).alias("z"))
+    # Postings with the same members are one.
+    one = facts.groupBy("n", "bytes", "x", "y", "z").agg(F.min("pair").alias("pair"))
+    blocks = F.greatest(F.ceil(F.col("n") / TILE_MEMBERS), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int")
+    one = stored(one.select("pair", "bytes", blocks.alias("blocks")), "distinct-postings")
+    total = one.agg(F.sum(F.col("bytes") * F.col("blocks"))).first()[0]
+    if not total:
+        return postings.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
+    sets = _sets(postings.select(F.col("doc").alias("doc_id")), docs, words).join(signed.select(F.col("doc_id").alias("doc"), "signature"), "doc")
+    own = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("blocks"))
+    members = postings.select("pair", "doc", "component").join(one.select("pair", "blocks"), "pair").withColumn("block", own)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
+    tiled = members.select("*", other.alias("other")).select("pair", "doc", "component", "block", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("tile"))
+    held = tiled.join(sets, "doc").withColumn("bucket", F.pmod(F.xxhash64("pair", "tile"), F.lit(max(1, -(-int(total) // BUCKET_BYTES)))))
+
+    def merge(group: pa.Table) -> pa.Table:
+        release()  # what the bucket before left
+        pair, tile, doc, component, block = (group.column(c).to_numpy() for c in ("pair", "tile", "doc", "component", "block"))
+        signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), "<u4").reshape(-1, COORDINATES)
+        raw = group.column("shingles").combine_chunks()
+        order = np.lexsort((doc, tile, pair))
+        cut = np.flatnonzero((pair[order][1:] != pair[order][:-1]) | (tile[order][1:] != tile[order][:-1])) + 1
+        out = []
+        for at in np.split(order, cut):
+            if (component[at] != component[at[0]]).any():
+                sets_ = [np.frombuffer(raw[int(i)].as_buffer(), "<u8") for i in at]
+                out += [(doc[at[i]], doc[at[j]]) for i, j in merge_posting(signature[at], sets_, component[at], block[at], percent)]
+        return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return held.select("bucket", "pair", "tile", "doc", "component", "block", "signature", "shingles").groupBy("bucket").applyInArrow(merge, "a long, b long").distinct()
+
+
 def _mixed(postings: DataFrame, found: DataFrame) -> DataFrame:
     """(pair, doc, size, component, hub, hub_component, hub_size) of the postings with members in several components."""
     placed = postings.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("pair", "doc", "size", F.coalesce("component", "doc").alias("component"))
@@ -144,8 +221,11 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     classes = stored(classes, "classes")
     postings = stored(_postings(classes), "postings")
     hubs = stored(postings.groupBy("pair").agg(F.min("doc").alias("hub")), "hubs")
+    # Rows of one doc_id belong together, whatever their texts.
+    own = signed.join(classes.select("set_key", F.col("doc_id").alias("rep")), "set_key").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("reps"))
+    own = own.filter("a <> b").select("a", F.explode("reps").alias("b")).filter("a <> b")
     star = postings.join(hubs, "pair").filter("doc <> hub").groupBy("doc").agg(F.min("hub").alias("a")).select("a", F.col("doc").alias("b"))
-    links = stored(_confirmed(star, classes, docs, words, percent), "links")
+    links = stored(_confirmed(star, classes, docs, words, percent).unionByName(own), "links")
     found = stored(components(links), "components")
     # Members of a component are never compared again: first the smallest member with those of other components, then those.
     placed = _mixed(postings, found)
@@ -153,10 +233,8 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     star = placed.filter("component <> hub_component").filter(fit.format("size", "hub_size", percent)).select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     links = links.unionByName(stored(_confirmed(star, classes, docs, words, percent), "links"))
     found = stored(components(links), "components")
-    placed = stored(_mixed(postings, found), "placed")
-    left, right = placed.select("pair", "hub", F.col("doc").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na")), placed.select("pair", F.col("doc").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"))
-    across = left.join(right, "pair").filter("a < b and ca <> cb and a <> hub").filter(fit.format("na", "nb", percent)).select("a", "b").distinct()
-    more = stored(_confirmed(across, classes, docs, words, percent), "links")
+    placed = stored(_mixed(postings, found).select("pair", "doc", "size", "component"), "placed")
+    more = stored(_merged(placed, classes, docs, words, percent), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     found = stored(found, "components")

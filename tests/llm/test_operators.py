@@ -189,6 +189,30 @@ def test_near_duplicates_chain(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in want.items()}
 
 
+def test_near_duplicates_share_a_doc_id(spark):
+    """Rows of one doc_id are in one component, and so are the documents alike to any of them."""
+    rng = random.Random(8)
+    own = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    one, two, three = own(60), own(60), own(60)
+    rows = [(5, one), (5, two), (2, two), (7, f"{two} end"), (8, three), (9, own(60)), (None, one)]
+    got = near_dup.group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(5, 2, False), (2, 2, True), (7, 2, False), (8, 8, True), (9, 9, True), (None, None, True)}
+
+
+def test_merged_postings(spark, monkeypatch):
+    """A family of texts around the threshold: the links within tiles join what brute force joins, in whatever tiles."""
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(150)]
+    near = lambda: " ".join(rng.choice(["x", "y"]) + w if rng.random() < 0.022 else w for w in base)
+    rows = [(i, near()) for i in range(120)]
+    want = {i: c for i, (_, c) in _components(rows, 4).items()}
+    assert 5 < len(set(want.values())) < 115
+    for members in (4096, 20):
+        monkeypatch.setattr(near_dup, "TILE_MEMBERS", members)
+        got = near_dup.group(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_quality_counts(docs, empty):
     got = {(r.doc_id, r.n_words): r for r in quality.judge(docs).collect()}
     for i, t, *_ in corpus():
