@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 from .common import mix64, stored, tidy
 
 
+def _is_star(pairs: DataFrame) -> bool:
+    """Every u has one v, and no v is a u."""
+    ends = pairs.select("u", F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(pairs.select(F.col("v").alias("u"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    return ends.groupBy("u").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below > 1 or (below = 1 and above = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of the edges (a, b). Labels stay distributed."""
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     pairs = stored(pairs, "edges")
-    before = None
-    while True:
+    while not _is_star(pairs):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
@@ -25,10 +30,6 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         pairs = stored(small.filter("u <> v").distinct(), "edges")
-        now = tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == before:
-            break
-        before = now
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 

@@ -7,11 +7,11 @@ counts; a pair of one text posts nothing, so a text that shares fewer than MATCH
 rarest shared pairs that complete the prefix are posted: values that very many texts share are skipped.
 
 A posting is not expanded into pairs. Each member is first held against the smallest text among its postings' smallest ones;
-components follow; members whose component differs from that of a posting's smallest text are held against it. Postings
-that still have members in several components (of those with the same members, one) are merged in place: each member
-counts its collisions with the members of other components, coordinate block by coordinate block, skipping those that can
-no longer reach MATCHES; who does is confirmed on full shingle sets, and joins the components at once, so that a posting of
-n members yields fewer than n links. A posting of many members is cut into tiles of bounded size, each pair in one tile.
+components follow. Postings that still have members in several components (of those with the same members, one) are merged
+in place: each member outside the component of the posting's smallest text counts its collisions with the members of other
+components, coordinate block by coordinate block, skipping those that can no longer reach MATCHES; who does is confirmed on
+full shingle sets, and joins the components at once, so that a posting of n members yields fewer than n links. A posting of
+many members is cut into tiles of bounded size.
 
 Null and empty texts link to nothing and are kept; a null doc_id has a null component; rows with equal doc_id share their
 component, whatever their texts; ties go to the smaller doc_id; extra columns are ignored; an empty table gives an empty result.
@@ -134,23 +134,21 @@ def _confirmed(candidates: DataFrame, signed: DataFrame, docs: DataFrame, words:
     return wide.mapInArrow(tidy(similar), "a long, b long")
 
 
-def merge_posting(signature: np.ndarray, sets: list[np.ndarray], component: np.ndarray, block: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between members of different components (and, if there are two blocks, of different blocks) that join all which are linked."""
+def merge_posting(signature: np.ndarray, sets: list[np.ndarray], component: np.ndarray, probe: np.ndarray, base: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between members to probe and base members of other components, enough to join all which are linked."""
     size = np.array([len(x) for x in sets], np.int64)
     order = np.argsort(size, kind="stable")
-    size, signature, block = size[order], signature[order], block[order]
+    size, signature, probe, base = size[order], signature[order], probe[order], base[order]
     _, root = np.unique(component[order], return_inverse=True)
     _, codes = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
     ends = np.cumsum(size)
     starts = ends - size
-    fits_until = np.searchsorted(size, 100 * size // percent, side="right")  # a larger set can't be similar
-    mark = np.zeros(int(codes.max()) + 1, bool)
-    two, out = block.min() != block.max(), []
-    for i in range(len(size)):
-        others = np.arange(i + 1, fits_until[i])
-        others = others[root[others] != root[i]]
-        if two:
-            others = others[block[others] != block[i]]
+    # Only sets of fitting size can be similar.
+    since, until = np.searchsorted(size, -(-percent * size // 100)), np.searchsorted(size, 100 * size // percent, side="right")
+    mark, out = np.zeros(int(codes.max()) + 1, bool), []
+    for i in np.flatnonzero(probe).tolist():
+        others = np.arange(since[i], until[i])
+        others = others[base[others] & (root[others] != root[i])]
         count, done = np.zeros(len(others), np.int64), 0
         for upto in (COORDINATES // 2, 3 * COORDINATES // 4, COORDINATES):
             if not len(others):
@@ -171,26 +169,33 @@ def merge_posting(signature: np.ndarray, sets: list[np.ndarray], component: np.n
 
 
 def _merged(postings: DataFrame, signed: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): links across components found by merging the postings (pair, doc, size, component)."""
-    seen = F.xxhash64("doc")
-    facts = postings.groupBy("pair").agg(F.count("*").alias("n"), F.sum(F.col("size") * 8).alias("bytes"), F.bit_xor(seen).alias("x"), F.bit_xor(F.xxhash64(seen)).alias("y"), F.sum(seen.bitwiseAND(F.lit((1 << 32) - 1))).alias("z"))
+    """(a, b): links across components found by merging the postings (pair, doc, size, component, hub_component)."""
+    seen, probe = F.xxhash64("doc"), F.col("component") != F.col("hub_component")
+    facts = postings.groupBy("pair").agg(
+        F.count("*").alias("n"), F.sum(F.col("size") * 8).alias("bytes"), F.count_if(probe).alias("probes"), F.bit_xor(seen).alias("x"), F.bit_xor(F.xxhash64(seen)).alias("y"), F.sum(seen.bitwiseAND(F.lit((1 << 32) - 1))).alias("z")
+    )
     # Postings with the same members are one.
-    one = facts.groupBy("n", "bytes", "x", "y", "z").agg(F.min("pair").alias("pair"))
-    blocks = F.greatest(F.ceil(F.col("n") / TILE_MEMBERS), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int")
-    one = stored(one.select("pair", "bytes", blocks.alias("blocks")), "distinct-postings")
-    total = one.agg(F.sum(F.col("bytes") * F.col("blocks"))).first()[0]
+    one = facts.groupBy("n", "bytes", "probes", "x", "y", "z").agg(F.min("pair").alias("pair"))
+    blocks = lambda many: F.greatest(F.ceil(F.col(many) / TILE_MEMBERS), F.ceil(F.col("bytes") * F.col(many) / F.col("n") / TILE_BYTES), F.lit(1)).cast("long")
+    one = stored(one.select("pair", "bytes", blocks("n").alias("of_all"), blocks("probes").alias("of_probes")), "distinct-postings")
+    total = one.agg(F.sum(F.col("bytes") * F.col("of_probes"))).first()[0]
     if not total:
         return postings.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
     sets = _sets(postings.select(F.col("doc").alias("doc_id")), docs, words).join(signed.select(F.col("doc_id").alias("doc"), "signature"), "doc")
-    own = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("blocks"))
-    members = postings.select("pair", "doc", "component").join(one.select("pair", "blocks"), "pair").withColumn("block", own)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
-    tiled = members.select("*", other.alias("other")).select("pair", "doc", "component", "block", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("tile"))
+    # One row where there is one tile; else each member for every block of those to probe, and those for every block of all.
+    block = lambda of: F.pmod(F.xxhash64("doc", F.lit(1)), F.col(of))
+    row = lambda i, j, p, b: F.struct((i * F.col("of_all") + j).alias("tile"), p.alias("probe"), b.alias("base"))
+    upto = lambda of: F.sequence(F.lit(0).cast("long"), F.col(of) - 1)
+    zero, yes, no = F.lit(0).cast("long"), F.lit(True), F.lit(False)
+    as_base = F.transform(upto("of_probes"), lambda i: row(i, block("of_all"), no, yes))
+    as_probe = F.when(probe, F.transform(upto("of_all"), lambda j: row(block("of_probes"), j, yes, no)))
+    rows = F.when((F.col("of_all") == 1) & (F.col("of_probes") == 1), F.array(row(zero, zero, probe, yes))).otherwise(F.concat(as_base, F.coalesce(as_probe, F.array().cast("array<struct<tile:bigint,probe:boolean,base:boolean>>"))))
+    tiled = postings.join(one.drop("bytes"), "pair").select("pair", "doc", "component", F.inline(rows))
     held = tiled.join(sets, "doc").withColumn("bucket", F.pmod(F.xxhash64("pair", "tile"), F.lit(max(1, -(-int(total) // BUCKET_BYTES)))))
 
     def merge(group: pa.Table) -> pa.Table:
         release()  # what the bucket before left
-        pair, tile, doc, component, block = (group.column(c).to_numpy() for c in ("pair", "tile", "doc", "component", "block"))
+        pair, tile, doc, component, probe, base = (group.column(c).to_numpy() for c in ("pair", "tile", "doc", "component", "probe", "base"))
         signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), "<u4").reshape(-1, COORDINATES)
         raw = group.column("shingles").combine_chunks()
         order = np.lexsort((doc, tile, pair))
@@ -199,18 +204,18 @@ def _merged(postings: DataFrame, signed: DataFrame, docs: DataFrame, words: int,
         for at in np.split(order, cut):
             if (component[at] != component[at[0]]).any():
                 sets_ = [np.frombuffer(raw[int(i)].as_buffer(), "<u8") for i in at]
-                out += [(doc[at[i]], doc[at[j]]) for i, j in merge_posting(signature[at], sets_, component[at], block[at], percent)]
+                out += [(doc[at[i]], doc[at[j]]) for i, j in merge_posting(signature[at], sets_, component[at], probe[at].astype(bool), base[at].astype(bool), percent)]
         return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return held.select("bucket", "pair", "tile", "doc", "component", "block", "signature", "shingles").groupBy("bucket").applyInArrow(merge, "a long, b long").distinct()
+    return held.select("bucket", "pair", "tile", "doc", "component", "probe", "base", "signature", "shingles").groupBy("bucket").applyInArrow(merge, "a long, b long").distinct()
 
 
 def _mixed(postings: DataFrame, found: DataFrame) -> DataFrame:
-    """(pair, doc, size, component, hub, hub_component, hub_size) of the postings with members in several components."""
+    """(pair, doc, size, component, hub_component) of the postings with members in several components."""
     placed = postings.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("pair", "doc", "size", F.coalesce("component", "doc").alias("component"))
-    first = F.min(F.struct("doc", "component", "size")).alias("first")
+    first = F.min(F.struct("doc", "component"))["component"].alias("hub_component")
     mixed = placed.groupBy("pair").agg(first, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    return placed.join(mixed.select("pair", F.col("first.doc").alias("hub"), F.col("first.component").alias("hub_component"), F.col("first.size").alias("hub_size")), "pair")
+    return placed.join(mixed.select("pair", "hub_component"), "pair")
 
 
 def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -227,13 +232,7 @@ def group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     star = postings.join(hubs, "pair").filter("doc <> hub").groupBy("doc").agg(F.min("hub").alias("a")).select("a", F.col("doc").alias("b"))
     links = stored(_confirmed(star, classes, docs, words, percent).unionByName(own), "links")
     found = stored(components(links), "components")
-    # Members of a component are never compared again: first the smallest member with those of other components, then those.
-    placed = _mixed(postings, found)
-    fit = "100 * least({0}, {1}) >= {2} * greatest({0}, {1})"
-    star = placed.filter("component <> hub_component").filter(fit.format("size", "hub_size", percent)).select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    links = links.unionByName(stored(_confirmed(star, classes, docs, words, percent), "links"))
-    found = stored(components(links), "components")
-    placed = stored(_mixed(postings, found).select("pair", "doc", "size", "component"), "placed")
+    placed = stored(_mixed(postings, found), "placed")
     more = stored(_merged(placed, classes, docs, words, percent), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
