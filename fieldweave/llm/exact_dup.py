@@ -246,10 +246,11 @@ def find_passages(docs: DataFrame, words: int) -> DataFrame:
     return whole.unionByName(parts)
 
 
-def remove(docs: DataFrame, length: int = 400, carry: tuple[str, ...] = (), words: int | None = None) -> DataFrame:
+def remove(docs: DataFrame, length: int = 400, carry: tuple[str, ...] = (), words: int | None = None, characters: bool = False) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs of bytes), kept (the other bytes) of every document, and the columns to carry.
 
-    With `words`, strings of so many words that stand elsewhere too go also where they are shorter than `length`.
+    With `words`, strings of so many words that stand elsewhere too go also where they are shorter than `length`. With
+    `characters`, a character that loses some of its bytes loses all.
     """
     docs = id_text(docs, *carry).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *carry)
     # A row is told by its id (a null one by the least long) and its text.
@@ -272,6 +273,11 @@ def remove(docs: DataFrame, length: int = 400, carry: tuple[str, ...] = (), word
                             runs[-1][1] = max(runs[-1][1], last)
                         else:
                             runs.append([first, last])
+                    for run in runs if characters else ():
+                        while 0 < run[0] < len(raw) and raw[run[0]] & 0xC0 == 0x80:
+                            run[0] -= 1
+                        while run[1] < len(raw) and raw[run[1]] & 0xC0 == 0x80:
+                            run[1] += 1
                     edges = [0, *(x for r in runs for x in r), len(raw)]
                     sizes.append(len(raw))
                     spans_.append([{"start": a, "end": b} for a, b in runs])

@@ -12,11 +12,11 @@ repeated rows are judged row by row; ties go to the first language in alphabetic
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ from .common import id_text, ship, sub_batches, texts_of
 
 FEATURES = 1 << 14
 SHARDS = 6
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def counts_of(texts: list[str]) -> np.ndarray:
@@ -124,8 +124,8 @@ def fit(learn: DataFrame, sample_rows: int = 4000, epochs: int = 3, alpha: float
     model = {"langs": langs, "idf": idf, "weights": np.zeros((FEATURES, max(1, len(langs))), np.float32), "temperature": 1.0}
     if not n:
         return model
-    draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(9)), F.lit(1_000_000))
-    sample = learn.filter(draw < int(1_000_000 * min(1.0, sample_rows / n)) if n > sample_rows else F.lit(True))
+    draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(9)), F.lit(1 << 40))
+    sample = learn.filter(draw < -(-(1 << 40) * sample_rows // n) if n > sample_rows else F.lit(True))
     sample = sample.select("text", "lang", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(10)), F.lit(SHARDS + 1)).cast("int").alias("shard"))
     sent = learn.sparkSession.sparkContext.broadcast((langs, idf))
     kind = pa.schema([("shard", pa.int32()), ("at", pa.int32()), ("values", pa.list_(pa.float64()))])
@@ -157,7 +157,8 @@ def fit(learn: DataFrame, sample_rows: int = 4000, epochs: int = 3, alpha: float
                 yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(logits.astype(float).tolist(), pa.list_(pa.float64()))], ["lang", "logits"])
 
     rows = sample.filter("shard = 0").select("text", "lang").mapInArrow(left_out, "lang string, logits array<double>").collect()
-    model["temperature"] = temperature(np.array([r["logits"] for r in rows]).reshape(len(rows), -1), np.array([langs.index(r["lang"]) for r in rows], np.int64))
+    if rows:  # else the shard left out is empty, and nothing calibrates
+        model["temperature"] = temperature(np.array([r["logits"] for r in rows]).reshape(len(rows), -1), np.array([langs.index(r["lang"]) for r in rows], np.int64))
     return model
 
 

@@ -120,7 +120,7 @@ hits AS (
   SELECT s.page_id, v.domain, v.since,
          row_number() OVER (PARTITION BY s.page_id ORDER BY length(v.domain) DESC, v.domain DESC, v.since DESC) AS k
   FROM seen s JOIN valid v
-    ON (s.host = v.domain OR s.host LIKE '%.' || v.domain) AND s.day >= v.since AND (v.until IS NULL OR s.day < v.until))
+    ON (s.host = v.domain OR (contains(v.domain, '.') AND ends_with(s.host, '.' || v.domain))) AND s.day >= v.since AND (v.until IS NULL OR s.day < v.until))
 SELECT s.page_id, s.host, s.day, h.domain IS NOT NULL AS blocked, h.domain AS rule, CAST(h.since AS DATE) AS since
 FROM seen s LEFT JOIN hits h ON s.page_id = h.page_id AND h.k = 1
 """

@@ -65,8 +65,9 @@ class Library:
             new = distinct
         for i in range(0, len(new), 1000):
             part = new[i : i + 1000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memory[piece] = np.array(e.ids, "<u4").tobytes()
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            raw, ends = np.array([x for own in ids for x in own], "<u4").tobytes(), np.cumsum([4 * len(own) for own in ids]).tolist()
+            memory.update(zip(part, (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
         return [memory[x] for x in distinct]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

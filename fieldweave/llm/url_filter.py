@@ -1,7 +1,7 @@
 """URL filters (operator 10): a temporal list join. Dated list entries become validity intervals, and every capture is held
 against the entries that were active when it was fetched.
 
-An entry names a domain and covers its subdomains. Captures meet as distinct (host, time) pairs before the list is joined,
+An entry names a domain (a final dot aside) and covers its subdomains; one of a single label covers only the host of that name. Captures meet as distinct (host, time) pairs before the list is joined,
 so a host with very many captures is judged once a day; the verdicts are joined back, where a hot host can be split.
 
 A null or unusable URL has no host and is never blocked; a null time matches no interval; of several entries of a domain on
@@ -22,7 +22,7 @@ def host(url: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """domain, since, until (exclusive; null: still active) of blocks, from dated entries (domain, day, action 'block' or 'allow')."""
-    daily = entries.filter("domain is not null and day is not null").groupBy(F.lower("domain").alias("domain"), "day").agg(F.min(F.when(F.col("action") == "block", 0).otherwise(1)).alias("allowed"))
+    daily = entries.filter("domain is not null and day is not null").groupBy(F.regexp_replace(F.lower("domain"), r"\.$", "").alias("domain"), "day").agg(F.min(F.when(F.col("action") == "block", 0).otherwise(1)).alias("allowed"))
     after = F.lead("day").over(Window.partitionBy("domain").orderBy("day"))
     return daily.withColumn("until", after).filter("allowed = 0").select("domain", F.col("day").alias("since"), "until")
 

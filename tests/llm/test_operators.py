@@ -410,6 +410,36 @@ def test_url_filter(spark):
     assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in got)
 
 
+def test_url_filter_odd_entries(spark):
+    """A final dot is no part of a domain; an entry of one label covers only that host; extra columns and no entries."""
+    import datetime as dt
+
+    day = dt.date(2024, 1, 5)
+    pages = spark.createDataFrame([(1, "http://a.b.com", day, "x"), (2, "http://com/", day, "x"), (3, "http://a_b.org", day, "x"), (4, "http://axb.org", day, "x")], "page_id long, url string, day date, domain string")
+    entries = spark.createDataFrame([("b.com.", day, "block"), ("com", day, "block"), ("a_b.org", day, "block")], "domain string, day date, action string")
+    assert {r.page_id: r.rule for r in url_filter.judge(pages, entries).collect()} == {1: "b.com", 2: "com", 3: "a_b.org", 4: None}
+    assert {r.blocked for r in url_filter.judge(pages, entries.limit(0)).collect()} == {False}
+    assert url_filter.judge(pages.limit(0), entries).count() == 0
+
+
+def test_language_odd_texts(spark):
+    """Tiny tables teach without a crash; numerals are no letters; null, empty and long texts, repeats and extra columns."""
+    docs = spark.createDataFrame([(1, "the cat", "en", 1), (1, "the cat", "en", 1), (2, None, "en", 1), (3, "½ ² Ⅷ 12", "de", 1), (4, "", None, 1), (None, "der hund " * 200_000, "de", 1)], "doc_id long, text string, lang string, score int")
+    for many in (0, 1, 2, 6):
+        got = langid.predict(docs, langid.fit(langid.learnable(docs.limit(many), F.lit(False)))).collect()
+        assert len(got) == 6 and all(r.lang_pred == "und" and r.score == 0 for r in got if r.doc_id in (2, 3, 4)) and all(0 <= r.score <= 1 for r in got)
+
+
+def test_removed_edges_keep_other_broken_characters(spark):
+    import corpus_pipeline
+
+    shared = "é" + " ".join(f"wort{k}" for k in range(80))
+    rows = [(1, f"kept � one {shared}ü end"), (2, f"two {shared}ö end"), (3, "� alone")]
+    docs = spark.createDataFrame([(i, t, "de", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, SF).collect()}
+    assert got[3] == "� alone" and got[1].startswith("kept � one") and got[1].endswith(" end") and "wort5" not in got[1] and got[1].count("�") == 1
+
+
 def test_digests(spark):
     """The thin queries carry what the contracts name."""
     got = queries.op2_idfile(spark, SF).collect()
