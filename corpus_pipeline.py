@@ -59,9 +59,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages that repeat go from the texts; broken characters at an edge go with them."""
-    done = exact_dup.remove(docs.select(*COLUMNS), carry=("lang", "source", "n_chars"), words=PASSAGE_WORDS)
-    text = F.when(F.size("spans") == 0, F.col("kept").cast("string")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
+    """Bytes of passages that repeat go from the texts, and the other bytes of characters that lose some."""
+    done = exact_dup.remove(docs.select(*COLUMNS), carry=("lang", "source", "n_chars"), words=PASSAGE_WORDS, characters=True)
+    text = F.col("kept").cast("string")
     return done.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
