@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import records
+from . import evaluation_queries, field_queries, records, relation_queries
 from .functions import text as T
 from .operators import evaluate, evidence, geometry, graph, retrieval, splits
 from .plans import gates
@@ -16,10 +16,11 @@ from .streaming import windows
 def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
     """Two methods' predictions of a document's first twelve words, with the document as evidence."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("record"), "lang", F.coalesce("text", F.lit("")).alias("evidence_text"))
+    docs = evaluate.prepared(docs)
     first = lambda n: F.array_join(F.slice(F.split("evidence_text", "[ \n]"), 1, n), " ")
     rule = F.struct(F.lit("rule").alias("method"), F.lower(first(8)).alias("pred"))
     model = F.struct(F.lit("model").alias("method"), F.when(F.col("record") % 7 == 0, "").otherwise(F.replace(first(12), F.lit(","), F.lit(""))).alias("pred"))
-    rows = docs.select("record", "lang", "evidence_text", first(12).alias("gold"), F.inline(F.array(rule, model)))
+    rows = docs.select("record", "lang", "evidence_normal", "evidence_words", first(12).alias("gold"), F.inline(F.array(rule, model)))
     return evaluate.detail(rows)
 
 
@@ -51,7 +52,7 @@ def type_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rule_extract(spark: SparkSession, sf: str) -> DataFrame:
-    label = F.concat(F.lit("Herbarium e "), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), F.lit(" coll. "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" "), F.col("o_orderpriority"))
+    label = F.concat(F.lit("Sheet e "), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), F.lit(" coll. "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" "), F.col("o_orderpriority"))
     barcode = F.upper(F.regexp_replace(T.first_match(label, [r"\b([A-Z]{1,5}\d{5,})\b", r"\b([A-Z]{1,4}[\s\-]?\d{5,})\b"]), r"[\s\-]", ""))
     date = T.first_match(label, [r"\b(\d{4}-\d{2}-\d{2})\b", r"\b(\d{4}-\d{2})\b", r"\b((?:18|19|20)\d{2})\b"])
     return table(spark, sf, "orders").select("o_orderkey", barcode.alias("catalog_number"), date.alias("event_date"))
@@ -98,7 +99,7 @@ def _boxes(spark: SparkSession, sf: str) -> DataFrame:
 def box_iou(spark: SparkSession, sf: str) -> DataFrame:
     boxes = _boxes(spark, sf).select("record", "id", F.struct("x0", "y0", "x1", "y1").alias("box"))
     pairs = boxes.alias("a").join(boxes.alias("b"), "record").filter("a.id < b.id")
-    both = pairs.select("record", F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(geometry.iou(F.col("a.box"), F.col("b.box")), 6).alias("iou"))
+    both = pairs.select("record", F.col("a.id").alias("a"), F.col("b.id").alias("b"), geometry.iou_millionths(F.col("a.box"), F.col("b.box")).alias("iou"))
     return both.filter("iou > 0")
 
 
@@ -189,7 +190,7 @@ _RAW_ID = "(' e-' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') || ' / ' || c_mkts
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL with the same columns; suppression of boxes is a greedy fold and has none."""
+    """DuckDB SQL with the same columns; suppression of boxes is a recursion over their order."""
     one = _EVAL_SQL + f"one AS (SELECT {_SCORES} FROM detail) "
     gate = lambda c, x: f"SELECT '{c}' AS gate, '>=' AS operator, CAST({x} AS DOUBLE) AS threshold, CAST({c} AS DOUBLE) AS value, {c} >= {x} AS passed FROM one"
     tokens = "unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))"
@@ -213,7 +214,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT query, doc, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 3""",
         "box_iou": f"""WITH {_BOXES_SQL}, p AS (SELECT a.record, a.id AS a, b.id AS b, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS i,
             (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS t FROM boxes a JOIN boxes b ON a.record = b.record AND a.id < b.id)
-            SELECT record, a, b, round(i / (t - i), 6) AS iou FROM p WHERE round(i / (t - i), 6) > 0""",
+            SELECT record, a, b, ((2 * i * 1000000 + t - i) // (2 * (t - i))) / 1000000.0::DOUBLE AS iou FROM p WHERE (2 * i * 1000000 + t - i) // (2 * (t - i)) > 0""",
+        "box_overlap": """WITH RECURSIVE
+            o AS (SELECT l_orderkey AS record, l_linenumber AS id, l_returnflag AS label, l_discount AS confidence, x0, y0, x0 + 20 + l_partkey % 40 AS x1, y0 + 20 + l_suppkey % 40 AS y1,
+              row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber, l_returnflag, x0, y0, l_partkey % 40, l_suppkey % 40) AS k FROM (SELECT *, l_linenumber * 10 AS x0, CAST(floor(l_quantity) AS INT) AS y0 FROM lineitem)),
+            s AS (SELECT record, 0::BIGINT AS k, []::BIGINT[] AS kept FROM o GROUP BY record
+              UNION ALL
+              SELECT s.record, o.k, CASE WHEN EXISTS (SELECT 1 FROM o e WHERE e.record = o.record AND list_contains(s.kept, e.k) AND e.label = o.label
+                AND greatest(least(o.x1, e.x1) - greatest(o.x0, e.x0), 0) * greatest(least(o.y1, e.y1) - greatest(o.y0, e.y0), 0) * 1.45 >= 0.45 * ((o.x1 - o.x0) * (o.y1 - o.y0) + (e.x1 - e.x0) * (e.y1 - e.y0))) THEN s.kept ELSE list_append(s.kept, o.k) END
+              FROM s JOIN o ON o.record = s.record AND o.k = s.k + 1),
+            l AS (SELECT record, arg_max(kept, k) AS kept FROM s GROUP BY record)
+            SELECT o.record, o.id, o.label, o.confidence FROM o JOIN l ON o.record = l.record AND list_contains(l.kept, o.k)""",
         "graph_edges": """SELECT md5('Customer:' || c_custkey) AS source, 'IN_NATION' AS relation, md5('Nation:' || n_name) AS target FROM customer JOIN nation ON c_nationkey = n_nationkey
             UNION SELECT md5('Customer:' || c_custkey), 'IN_SEGMENT', md5('Segment:' || c_mktsegment) FROM customer JOIN nation ON c_nationkey = n_nationkey""",
         "usage_by_status": "WITH e AS (SELECT event_type, value, TRY_CAST(props ->> '$.k' AS BIGINT) AS k FROM events) SELECT event_type, count(*) AS calls, CAST(sum(k) AS BIGINT) AS units, count(*) FILTER (WHERE k > 50) AS heavy, round(avg(value), 6) AS mean_value FROM e GROUP BY 1",
@@ -240,9 +251,9 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT l_orderkey, upper(regexp_replace(reading, '[^A-Za-z0-9]+', '', 'g')) AS key, count(*) AS votes, count(DISTINCT l_returnflag) AS sources, first(reading ORDER BY length(reading), l_linenumber) AS value FROM r GROUP BY 1, 2)
             SELECT *, votes * 10 + sources AS score, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY votes * 10 + sources DESC, key) AS INT) AS rank FROM k WHERE key <> ''""",
         "hourly_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
-    } | records.oracle_sql()
+    } | records.oracle_sql() | field_queries.register.sql | evaluation_queries.register.sql | relation_queries.register.sql
 
 
 def queries() -> dict:
     named = [eval_summary, eval_stratified, eval_gates, normalize_text, normalize_ids, type_status, rule_extract, ordered_text_agg, consensus, topk_regions, split_summary, leakage_check, lexical_topk, box_overlap, box_iou, graph_edges, usage_by_status, hourly_counts, paired_deltas, normalize_dates, json_repair, stratified_sample, tertiles, tfidf_topk, ranked_candidates]
-    return {f.__name__: f for f in named} | records.queries()
+    return {f.__name__: f for f in named} | records.queries() | field_queries.register.queries | evaluation_queries.register.queries | relation_queries.register.queries

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,19 +86,32 @@ DATE_FORMS = [
 ]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body over a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def date_part(c: Column) -> Column:
     """A date as yyyy-MM-dd by the first form that fits; a year or year and month stay; other values are normalised text."""
     plain = F.regexp_replace(F.regexp_replace(clean(c), r"(?i)(\d)(st|nd|rd|th)\b", "$1"), r"\s+", " ")
     plain = F.regexp_replace(F.replace(plain, F.lit(","), F.lit("")), r"^[ .]+|[ .]+$", "")
-    tried = [F.when(plain.rlike(shape), F.date_format(F.try_to_timestamp(F.initcap(plain), F.lit(form)), "yyyy-MM-dd")) for shape, form in DATE_FORMS]
-    return F.coalesce(*tried, F.when(plain.rlike(r"^\d{4}(-\d{2})?$"), plain), normalize_eval(c))
+
+    def known(p: Column) -> Column:
+        tried = [F.when(p.rlike(shape), F.date_format(F.try_to_timestamp(F.initcap(p), F.lit(form)), "yyyy-MM-dd")) for shape, form in DATE_FORMS]
+        return F.coalesce(*tried, F.when(p.rlike(r"^\d{4}(-\d{2})?$"), p))
+
+    return F.coalesce(let(plain, known), normalize_eval(c))
 
 
 def event_date(c: Column) -> Column:
     """A date, or an interval of two dates that each hold a year."""
-    parts = F.split(clean(c), "/")
-    both = (F.size(parts) == 2) & F.forall(parts, lambda p: p.rlike(r"\d{4}"))
-    return F.when(both, F.array_join(F.transform(parts, date_part), "/")).otherwise(date_part(c))
+
+    def joined(parts: Column) -> Column:
+        """One date, or both of an interval, through the same expression."""
+        both = (F.size(parts) == 2) & F.forall(parts, lambda p: p.rlike(r"\b\d{4}\b"))
+        return F.array_join(F.transform(F.when(both, parts).otherwise(F.array(clean(c))), lambda p: date_part(p)), "/")
+
+    return let(F.transform(F.split(clean(c), "/"), lambda p: F.trim(p)), joined)
 
 
 def json_body(c: Column) -> Column:

@@ -22,8 +22,24 @@ def iou(a: Column, b: Column) -> Column:
     return F.when(union > 0, both / union).otherwise(0.0)
 
 
+def iou_millionths(a: Column, b: Column) -> Column:
+    """Overlap of boxes with whole corners, rounded to the sixth place by whole numbers, so that engines agree."""
+    both = intersection(a, b).cast("long")
+    union = area(a).cast("long") + area(b).cast("long") - both
+    return F.when(union > 0, F.floor((2 * both * 1_000_000 + union) / (2 * union)) / 1e6).otherwise(0.0)
+
+
+def containment(a: Column, b: Column) -> Column:
+    """Share of the smaller box that lies in the other; 0 for an empty box."""
+    smaller = F.least(area(a), area(b))
+    return F.when(smaller > 0, intersection(a, b) / smaller).otherwise(0.0)
+
+
 def suppress(rows: DataFrame, key: str, threshold: float = 0.45) -> DataFrame:
-    """Boxes (key, id, label, confidence, x0..y1) that survive: in order of confidence, none overlaps a kept one of its label."""
+    """Boxes (key, id, label, confidence, x0..y1) that survive: in order of confidence, none overlaps a kept one of its label.
+
+    The boxes of one record meet in one row; a record is a sheet, with some hundred boxes at most.
+    """
     box = F.struct((-F.col("confidence")).alias("order"), "id", "label", "confidence", "x0", "y0", "x1", "y1")
     boxes = F.array_sort(F.collect_list(box))
     grouped = rows.groupBy(key).agg(boxes.alias("boxes"))

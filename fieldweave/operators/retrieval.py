@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,3 +47,38 @@ def tfidf(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query", d
     score = F.round(F.col("dot") / F.sqrt(F.col("q_norm") * (F.col("d_norm") + F.col("shift"))), 6).alias("score")
     ranked = scored.select(query, doc, score).withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), doc)))
     return ranked.filter(F.col("rank") <= k)
+
+
+def dense(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, most: int = 4096) -> DataFrame:
+    """The k other vectors of largest inner product of each query, from all of the corpus.
+
+    Queries travel in blocks of at most `most` to every task; a task scores a batch of rows against a block and keeps the k
+    best of each query, so that tasks x queries x k rows meet.
+    """
+    asked = [(r[0], r[1]) for r in queries.select(key, vector).toLocalIterator()]
+    kinds = "query long, doc long, score double"
+    found = None
+    for at in range(0, len(asked), most):
+        block = asked[at : at + most]
+        ids, wanted = np.array([x[0] for x in block], np.int64), np.array([x[1] for x in block], np.float64)
+
+        def best(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, wanted: np.ndarray = wanted) -> Iterator[pa.RecordBatch]:
+            top = [[] for _ in ids]
+            for batch in batches:
+                if not len(batch):
+                    continue
+                docs = batch.column(0).to_numpy(zero_copy_only=False)
+                rows = np.array(batch.column(1).to_pylist(), np.float64)
+                scores = np.round(wanted @ rows.T, 5)
+                for i, own in enumerate(scores):
+                    order = np.lexsort((docs, -own))[: k + 1]
+                    top[i] = sorted([*top[i], *((-own[j], int(docs[j])) for j in order if docs[j] != ids[i])])[:k]
+            flat = [(int(q), d, float(-s)) for q, t in zip(ids, top, strict=True) for s, d in t]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in flat], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query", "doc", "score"])
+
+        part = corpus.select(key, vector).mapInArrow(best, kinds)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return queries.sparkSession.createDataFrame([], kinds + ", rank int")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc")))
+    return ranked.filter(F.col("rank") <= k)

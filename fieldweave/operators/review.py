@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fields whose errors cost most.
+# Fields whose errors cost most; names of statuses and reasons below.
 HIGH_RISK = ("country", "stateProvince", "eventDate", "recordedBy", "decimalLatitude", "decimalLongitude")
 
 

@@ -47,10 +47,48 @@ def stratified(rows: DataFrame, key: str, stratum: str, n: int, seed: int) -> Da
     return first.join(shares, F.col(stratum).eqNullSafe(F.col("_stratum"))).filter("rank <= take").select(key, stratum)
 
 
-def tertiles(rows: DataFrame, value: str, name: str = "tertile") -> DataFrame:
-    """low, medium or high by the exact thirds (edges belong to the lower one); with under three values, halves. Null counts as 0."""
+def tertiles(rows: DataFrame, value: str, name: str = "tertile", key: str | None = None) -> DataFrame:
+    """low, medium or high by the exact thirds (edges belong to the lower one); with under three values, halves. Null counts as 0.
+
+    Where edges coincide, thirds are dealt by rank, rows of one value in the order of `key` (by default the first column).
+    Ranks follow from counts by value; only rows of the two values that a cut falls into are ordered among themselves.
+    """
+    key = key or rows.columns[0]
     filled = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
-    edges = rows.agg(F.percentile(filled, F.array(F.lit(1 / 3), F.lit(2 / 3), F.lit(0.5))).alias("_edge"), F.approx_count_distinct(filled).alias("_many"))
-    thirds = F.when(filled <= F.col("_edge")[0], "low").when(filled <= F.col("_edge")[1], "medium").otherwise("high")
-    halves = F.when(filled >= F.col("_edge")[2], "high").otherwise("low")
-    return rows.crossJoin(F.broadcast(edges)).withColumn(name, F.when(F.col("_many") < 3, halves).otherwise(thirds)).drop("_edge", "_many")
+    marked = rows.withColumn("_value", filled)
+    facts = marked.agg(F.percentile("_value", F.array(F.lit(1 / 3), F.lit(2 / 3), F.lit(0.5))).alias("_edge"), F.count_distinct("_value").alias("_many"), F.min("_value").alias("_lo"), F.max("_value").alias("_hi"), F.count("*").alias("_n")).first()
+    (low, high, median), n = facts["_edge"] or (0.0, 0.0, 0.0), facts["_n"]
+    v = F.col("_value")
+    if facts["_many"] < 3:
+        return marked.withColumn(name, F.when(v >= median, "high").otherwise("low")).drop("_value")
+    if facts["_lo"] < low < high < facts["_hi"]:
+        return marked.withColumn(name, F.when(v <= low, "low").when(v <= high, "medium").otherwise("high")).drop("_value")
+    cuts = marked.agg(*(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY _value)").alias(c) for p, c in ((1 / 3, "a"), (2 / 3, "b")))).first()
+    below = marked.agg(*(F.count_if(v < cuts[c]).alias(c) for c in ("a", "b"))).first()
+    in_cut = v.isin(cuts["a"], cuts["b"])
+    place = F.row_number().over(Window.partitionBy("_value").orderBy(key))
+    third = lambda rank: F.when(3 * rank <= n, "low").when(3 * rank <= 2 * n, "medium").otherwise("high")
+    cut = marked.filter(in_cut).withColumn(name, third(place + F.when(v == cuts["a"], below["a"]).otherwise(below["b"])))
+    clear = marked.filter(~in_cut).withColumn(name, F.when(v < cuts["a"], "low").when(v < cuts["b"], "medium").otherwise("high"))
+    return clear.unionByName(cut).drop("_value")
+
+
+def allocation_of_one(rows: DataFrame, stratum: str, n: int) -> DataFrame:
+    """(stratum, take): proportional floors, at least one for each stratum, then the largest remainders up to n.
+
+    The table has one row a stratum; strata are institutions or sources, which do not grow with the rows.
+    """
+    counts = rows.groupBy(stratum).agg(F.count("*").alias("rows"))
+    everything = Window.partitionBy()
+    raw = counts.withColumn("raw", float(n) * F.col("rows") / F.sum("rows").over(everything))
+    given = raw.withColumn("take", F.greatest(F.floor("raw"), F.lit(1))).withColumn("up", F.row_number().over(Window.orderBy(F.desc(F.col("raw") - F.floor("raw")), F.asc_nulls_first(stratum)))).withColumn("given", F.sum("take").over(everything))
+    more = ((F.col("given") < n) & (F.col("up") <= n - F.col("given"))).cast("int")
+    return given.select(stratum, F.least("rows", F.col("take") + more).alias("take"))
+
+
+def disjoint(rows: DataFrame, key: str, group: str, demo: int, evaluated: int, seed: int) -> DataFrame:
+    """`demo` rows of the group of least digest and `evaluated` rows of the other groups; each task keeps no more than that."""
+    first = rows.select(group).distinct().orderBy(draw(F.col(group), seed)).limit(1).withColumn("_demo", F.lit(True))
+    marked = rows.join(F.broadcast(first), group, "left").withColumn("split", F.when(F.col("_demo"), "demo").otherwise("eval"))
+    k = F.row_number().over(Window.partitionBy("split").orderBy(draw(F.col(key), seed), key))
+    return marked.withColumn("_k", k).filter(F.col("_k") <= F.when(F.col("split") == "demo", demo).otherwise(evaluated)).select(key, group, "split")
