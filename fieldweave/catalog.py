@@ -210,8 +210,9 @@ def oracle_sql() -> dict[str, str]:
         "lexical_topk": f"""WITH q AS (SELECT query, term, count(*) AS n FROM (SELECT doc_id AS query, {tokens} AS term FROM documents) GROUP BY 1, 2),
             d AS (SELECT doc, term, count(*) AS n FROM (SELECT item_id AS doc, {tokens} AS term FROM benchmark) GROUP BY 1, 2),
             qn AS (SELECT query, sqrt(sum(n * n)) AS m FROM q GROUP BY 1), dn AS (SELECT doc, sqrt(sum(n * n)) AS m FROM d GROUP BY 1),
-            s AS (SELECT query, doc, round(sum(q.n * d.n) / (any_value(qn.m) * any_value(dn.m)), 6) AS score FROM q JOIN d USING (term) JOIN qn USING (query) JOIN dn USING (doc) GROUP BY 1, 2)
-            SELECT query, doc, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 3""",
+            s AS (SELECT query, doc, round(sum(q.n * d.n) / (any_value(qn.m) * any_value(dn.m)), 6) AS score FROM q JOIN d USING (term) JOIN qn USING (query) JOIN dn USING (doc) GROUP BY 1, 2),
+            a AS (SELECT doc_id AS query, item_id AS doc, coalesce(score, 0) AS score FROM documents CROSS JOIN benchmark LEFT JOIN s ON s.query = doc_id AND s.doc = item_id)
+            SELECT query, doc, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM a) WHERE rank <= 3""",
         "box_iou": f"""WITH {_BOXES_SQL}, p AS (SELECT a.record, a.id AS a, b.id AS b, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS i,
             (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS t FROM boxes a JOIN boxes b ON a.record = b.record AND a.id < b.id)
             SELECT record, a, b, ((2 * i * 1000000 + t - i) // (2 * (t - i))) / 1000000.0::DOUBLE AS iou FROM p WHERE (2 * i * 1000000 + t - i) // (2 * (t - i)) > 0""",
@@ -225,8 +226,8 @@ def oracle_sql() -> dict[str, str]:
               FROM s JOIN o ON o.record = s.record AND o.k = s.k + 1),
             l AS (SELECT record, arg_max(kept, k) AS kept FROM s GROUP BY record)
             SELECT o.record, o.id, o.label, o.confidence FROM o JOIN l ON o.record = l.record AND list_contains(l.kept, o.k)""",
-        "graph_edges": """SELECT md5('Customer:' || c_custkey) AS source, 'IN_NATION' AS relation, md5('Nation:' || n_name) AS target FROM customer JOIN nation ON c_nationkey = n_nationkey
-            UNION SELECT md5('Customer:' || c_custkey), 'IN_SEGMENT', md5('Segment:' || c_mktsegment) FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+        "graph_edges": """WITH n AS (SELECT 'customer_' || substr(md5('Customer:' || c_custkey), 1, 12) AS source, 'nation_' || substr(md5('Nation:' || lower(n_name)), 1, 12) AS nation, 'segment_' || substr(md5('Segment:' || lower(c_mktsegment)), 1, 12) AS segment FROM customer JOIN nation ON c_nationkey = n_nationkey)
+            SELECT source, 'IN_NATION' AS relation, nation AS target FROM n UNION SELECT source, 'IN_SEGMENT', segment FROM n""",
         "usage_by_status": "WITH e AS (SELECT event_type, value, TRY_CAST(props ->> '$.k' AS BIGINT) AS k FROM events) SELECT event_type, count(*) AS calls, CAST(sum(k) AS BIGINT) AS units, count(*) FILTER (WHERE k > 50) AS heavy, round(avg(value), 6) AS mean_value FROM e GROUP BY 1",
         "paired_deltas": _EVAL_SQL + "x AS (SELECT 1) SELECT lang, " + ", ".join(f"round(avg({c}) FILTER (WHERE method = 'model') - avg({c}) FILTER (WHERE method = 'rule'), 6) AS {c}_delta" for c in ("coverage", "exact_match", "token_f1", "evidence")) + " FROM detail GROUP BY lang",
         "normalize_dates": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS event_date FROM orders",
@@ -245,8 +246,9 @@ def oracle_sql() -> dict[str, str]:
             qw AS (SELECT query, term, n * (ln((1.0 + m) / (2.0 + coalesce(df, 0))) + 1) AS w FROM q LEFT JOIN f USING (term), c),
             qn AS (SELECT query, sum(w * w) AS s FROM qw GROUP BY 1), dn AS (SELECT doc, sum(plain * plain) AS s FROM dw GROUP BY 1),
             p AS (SELECT query, doc, sum(w * asked) AS dot, sum(asked * asked - plain * plain) AS shift FROM qw JOIN dw USING (term) GROUP BY 1, 2),
-            r AS (SELECT query, doc, round(dot / sqrt(qn.s * (dn.s + shift)), 6) AS score FROM p JOIN qn USING (query) JOIN dn USING (doc))
-            SELECT query, doc, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM r) WHERE rank <= 3""",
+            r AS (SELECT query, doc, round(dot / sqrt(qn.s * (dn.s + shift)), 6) AS score FROM p JOIN qn USING (query) JOIN dn USING (doc)),
+            a AS (SELECT doc_id AS query, item_id AS doc, coalesce(score, 0) AS score FROM documents CROSS JOIN benchmark LEFT JOIN r ON r.query = doc_id AND r.doc = item_id)
+            SELECT query, doc, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM a) WHERE rank <= 3""",
         "ranked_candidates": """WITH r AS (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN 'E-' ELSE 'e ' END || l_suppkey % 3 AS reading FROM lineitem),
             k AS (SELECT l_orderkey, upper(regexp_replace(reading, '[^A-Za-z0-9]+', '', 'g')) AS key, count(*) AS votes, count(DISTINCT l_returnflag) AS sources, first(reading ORDER BY length(reading), l_linenumber) AS value FROM r GROUP BY 1, 2)
             SELECT *, votes * 10 + sources AS score, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY votes * 10 + sources DESC, key) AS INT) AS rank FROM k WHERE key <> ''""",

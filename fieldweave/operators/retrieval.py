@@ -16,19 +16,33 @@ def _terms(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(F.col(key), F.explode(T.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
+def _ranked(scored: DataFrame, queries: DataFrame, corpus: DataFrame, k: int, query: str, doc: str) -> DataFrame:
+    """The k best documents of every query; where fewer score above zero, the first other documents follow with zero.
+
+    A query with fewer than k hits finds enough others among the first 2 k documents, which are all that is sent to it.
+    """
+    best = scored.filter("score > 0").withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), doc))).filter(F.col("rank") <= k)
+    hits = best.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("rank", doc, "score"))).alias("hits"))
+    others = F.array(*map(F.lit, [r[0] for r in corpus.select(doc).distinct().orderBy(doc).limit(2 * k).collect()]))
+    none = F.array().cast(hits.schema["hits"].dataType)
+    found = queries.select(query).distinct().join(hits, query, "left").withColumn("hits", F.coalesce("hits", none))
+    rest = F.filter(others, lambda x: ~F.exists("hits", lambda h: h[doc] == x))
+    both = F.concat(F.transform("hits", lambda h: F.struct(h[doc].alias(doc), h["score"].alias("score"))), F.transform(rest, lambda x: F.struct(x.alias(doc), F.lit(0.0).alias("score"))))
+    return found.select(query, F.posexplode(F.slice(both, 1, k)).alias("at", "hit")).select(query, f"hit.{doc}", "hit.score", (F.col("at") + 1).alias("rank"))
+
+
 def lexical(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query", doc: str = "doc", text: str = "text") -> DataFrame:
-    """The k documents of highest cosine over raw word counts that share a word with the query."""
+    """The k documents of highest cosine over raw word counts with each query; 0 where no word is shared."""
     q, d = _terms(queries, query, text), _terms(corpus, doc, text)
     norm = lambda t, key, name: t.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias(name))
     dots = q.withColumnRenamed("n", "qn").join(d, "term").groupBy(query, doc).agg(F.sum(F.col("qn") * F.col("n")).alias("dot"))
     scored = dots.join(norm(q, query, "q_norm"), query).join(norm(d, doc, "d_norm"), doc)
     score = F.round(F.col("dot") / (F.col("q_norm") * F.col("d_norm")), 6).alias("score")
-    ranked = scored.select(query, doc, score).withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), doc)))
-    return ranked.filter(F.col("rank") <= k)
+    return _ranked(scored.select(query, doc, score), queries, corpus, k, query, doc)
 
 
 def tfidf(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query", doc: str = "doc", text: str = "text") -> DataFrame:
-    """The k documents of highest TF-IDF cosine that share a word with the query; each query counts as a member of the corpus.
+    """The k documents of highest TF-IDF cosine with each query (0 where no word is shared); each query counts as a member of the corpus.
 
     A query adds one to the document frequency of its own words, so a document's norm differs by query: the norm without it
     is corrected by the words they share, in the join that yields the products.
@@ -45,8 +59,7 @@ def tfidf(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query", d
     norms = q.groupBy(query).agg(F.sum(square("w")).alias("q_norm")), d.groupBy(doc).agg(F.sum(square("plain")).alias("d_norm"))
     scored = dots.join(norms[0], query).join(norms[1], doc)
     score = F.round(F.col("dot") / F.sqrt(F.col("q_norm") * (F.col("d_norm") + F.col("shift"))), 6).alias("score")
-    ranked = scored.select(query, doc, score).withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), doc)))
-    return ranked.filter(F.col("rank") <= k)
+    return _ranked(scored.select(query, doc, score), queries, corpus, k, query, doc)
 
 
 def dense(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, most: int = 4096) -> DataFrame:

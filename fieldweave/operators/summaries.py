@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def macro_micro(rows: DataFrame, group: str, field: str, value: Column) -> DataFrame:
@@ -62,10 +68,22 @@ def bootstrap(rows: DataFrame, group: str, record: str, value: str, n: int = 500
     How often a record is drawn follows from its digest, so no record travels: each task keeps n sums a group.
     """
     records = rows.groupBy(group, record).agg(F.avg(value).alias("mean")).filter("mean is not null")
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", record, "draw")), 1, 8), 16, 10).cast("double") / 2.0**32
-    times = sum((F.when(u >= x, 1).otherwise(0) for x in DRAWS), F.lit(0))
-    drawn = records.select(group, record, "mean", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw")).withColumn("times", times)
-    sums = drawn.groupBy(group, "draw").agg((F.sum(F.col("mean") * F.col("times")) / F.sum("times")).alias("resampled"))
+
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of a task: what each group adds to each draw. One digest gives four draws."""
+        total: dict[object, np.ndarray] = {}
+        for batch in batches:
+            for name, record_, mean in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                own = b"".join(hashlib.md5(f"{record_}|{i}".encode()).digest() for i in range(-(-n // 4)))
+                times = np.searchsorted(DRAWS, np.frombuffer(own, ">u4")[:n] / 2.0**32, side="right")
+                total.setdefault(name, np.zeros((2, n)))[:] += (times * mean, times)
+        for name, (sums_, counts) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * n, kind), pa.array(np.arange(n)), pa.array(sums_), pa.array(counts)], ["name", "draw", "s", "c"])
+
+    field = records.schema[group].dataType
+    kind = to_arrow_type(field)
+    drawn = records.select(group, F.col(record).cast("string"), "mean").mapInArrow(resample, f"name {field.simpleString()}, draw long, s double, c double")
+    sums = drawn.groupBy(F.col("name").alias(group), "draw").agg((F.sum("s") / F.sum("c")).alias("resampled"))
     ends = sums.groupBy(group).agg(*(F.round(F.percentile("resampled", F.lit(p)), 6).alias(name) for p, name in ((0.025, "low"), (0.975, "high"))))
     means = records.groupBy(group).agg(F.round(F.avg("mean"), 6).alias("mean"), F.count("*").alias("n_records"))
     return means.join(ends, group)

@@ -79,7 +79,7 @@ def mean_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return summaries.bootstrap(table(spark, sf, "lineitem"), "l_returnflag", "l_orderkey", "l_quantity", 50)
+    return summaries.bootstrap(table(spark, sf, "lineitem"), "l_returnflag", "l_orderkey", "l_quantity")
 
 
 _SCORE = "CASE WHEN {c} % 7 <> 0 THEN ({c} % {k}) / {d}.0 END"
@@ -136,7 +136,7 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT label, dim, avg(x) AS mean FROM e GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(mean * mean)) AS norm FROM m GROUP BY 1)
             SELECT label, CAST(dim AS INT) AS dim, round(CASE WHEN norm > 0 THEN mean / norm ELSE mean END, 6) AS value FROM m JOIN n USING (label)""",
         "bootstrap_ci": f"""WITH r AS (SELECT l_returnflag, l_orderkey, avg(l_quantity) AS m FROM lineitem GROUP BY 1, 2),
-            d AS (SELECT *, CAST('0x' || substr(md5(l_orderkey || '|' || draw), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM r, range(1, 51) t(draw)),
+            d AS (SELECT *, CAST('0x' || substr(md5(l_orderkey || '|' || draw // 4), 8 * (draw % 4) + 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM r, range(0, 500) t(draw)),
             s AS (SELECT l_returnflag, draw, sum(m * ({times})) / sum({times}) AS x FROM d GROUP BY 1, 2),
             c AS (SELECT l_returnflag, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM s GROUP BY 1)
             SELECT l_returnflag, round(avg(m), 6) AS mean, count(*) AS n_records, any_value(low) AS low, any_value(high) AS high FROM r JOIN c USING (l_returnflag) GROUP BY 1""",
