@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_text, ragged, release, stored, sub_batches, texts_of, tidy
@@ -109,10 +109,10 @@ def _folded(piece: Column, singles: Column, pairs: Column) -> Column:
     return F.when(F.octet_length(piece).between(1, MAX_FOLD_BYTES), ids)
 
 
-def decode(encoded: DataFrame, ranks: RankMap) -> DataFrame:
-    """The rows with `decoded`, the bytes of their token ids: the binary pieces, one after the other."""
+def _decoder(spark: SparkSession, ranks: RankMap):
+    """A task that adds `decoded`, the binary pieces of the ids one after the other, to rows with ids and ids_bytes."""
     by_rank = {rank: piece for piece, rank in ranks.ranks.items()}
-    sent = encoded.sparkSession.sparkContext.broadcast([by_rank.get(i) for i in range(max(by_rank) + 1)])
+    sent = spark.sparkContext.broadcast([by_rank.get(i) for i in range(max(by_rank) + 1)])
 
     def concatenate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pa.array(sent.value, pa.large_binary())
@@ -123,7 +123,12 @@ def decode(encoded: DataFrame, ranks: RankMap) -> DataFrame:
                 lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False), dtype=np.int64)]), flat)
                 yield pa.RecordBatch.from_arrays([*part.columns, pc.binary_join(lists, pa.scalar(b"", pa.large_binary())).cast(pa.binary())], [*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(tidy(concatenate), "".join(f"{f.name} {f.dataType.simpleString()}, " for f in encoded.schema) + "decoded binary")
+    return concatenate
+
+
+def decode(encoded: DataFrame, ranks: RankMap) -> DataFrame:
+    """The rows with `decoded`, the bytes of their token ids."""
+    return encoded.mapInArrow(tidy(_decoder(encoded.sparkSession, ranks)), "".join(f"{f.name} {f.dataType.simpleString()}, " for f in encoded.schema) + "decoded binary")
 
 
 def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -180,8 +185,11 @@ def _hot(counts: DataFrame, max_hot: int, max_bytes: int = 64) -> DataFrame:
     return short.filter((step > least) | ((step == least) & some))
 
 
-def encode(docs: DataFrame, ranks: RankMap, pattern: str, max_hot: int = 1 << 19) -> DataFrame:
-    """doc_id, ids array<int>, ids_bytes (the ids as little-endian unsigned 32-bit integers) of every document."""
+def encode(docs: DataFrame, ranks: RankMap, pattern: str, max_hot: int = 1 << 19, decoded: bool = False) -> DataFrame:
+    """doc_id, ids array<int>, ids_bytes (the ids as little-endian unsigned 32-bit integers) of every document.
+
+    With `decoded`, also the bytes that decode() gives for the ids, by the same worker (a second one would wait beside it).
+    """
     spark = docs.sparkSession
     docs = id_text(docs)
     counts = stored(piece_counts(docs, pattern), "pieces")
@@ -250,4 +258,13 @@ def encode(docs: DataFrame, ranks: RankMap, pattern: str, max_hot: int = 1 << 19
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, raw], ["doc_id", "ids", "ids_bytes"])
 
     cut_rows = docs.mapInArrow(tidy(cut), "doc_id long, codes binary, fresh array<string>")
-    return cut_rows.select("doc_id", "codes", "fresh", fold_pieces(F.col("fresh"), ranks).alias("ids")).mapInArrow(tidy(join), "doc_id long, ids array<int>, ids_bytes binary")
+    folded = cut_rows.select("doc_id", "codes", "fresh", fold_pieces(F.col("fresh"), ranks).alias("ids"))
+    schema = "doc_id long, ids array<int>, ids_bytes binary"
+    if not decoded:
+        return folded.mapInArrow(tidy(join), schema)
+    back = _decoder(spark, ranks)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return back(join(batches))
+
+    return folded.mapInArrow(tidy(both), schema + ", decoded binary")

@@ -35,8 +35,8 @@ COORDINATES = 64
 MATCHES = 36
 #: Members and bytes of shingles of a tile's side on average, and bytes that one bucket of postings gets on average.
 TILE_MEMBERS = 4096
-TILE_BYTES = 16 << 20
-BUCKET_BYTES = 4 << 20
+TILE_BYTES = 8 << 20
+BUCKET_BYTES = 1 << 20
 
 
 def _salts() -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ from .common import table
 def encoded(docs: DataFrame) -> DataFrame:
     """Token ids of whole texts and the bytes they decode to, as digests."""
     ranks = bpe.RankMap(bpe.read_ranks(tokenizers_files.path("byte_bpe_50k.tiktoken")))
-    done = bpe.decode(bpe.encode(docs, ranks, tokenizers_files.PATTERN), ranks)
+    done = bpe.encode(docs, ranks, tokenizers_files.PATTERN, decoded=True)
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -62,7 +62,9 @@ def test_bpe(docs, empty):
     rows = bpe.decode(got, ranks).withColumnRenamed("decoded", "raw").collect()
     want = sorted((i, library.encode_ordinary(t or ""), (t or "").encode()) for i, t, *_ in corpus())
     assert sorted((r.doc_id, list(r.ids), bytes(r.raw)) for r in rows) == want
-    assert bpe.encode(empty, ranks, P.PATTERN).count() == 0
+    fused = bpe.encode(docs, ranks, P.PATTERN, max_hot=50, decoded=True).collect()
+    assert sorted((r.doc_id, list(r.ids), bytes(r.decoded)) for r in fused) == want
+    assert bpe.encode(empty, ranks, P.PATTERN, decoded=True).count() == 0
 
 
 def _library_ids():
