@@ -229,6 +229,8 @@ def encode(docs: DataFrame, ranks: RankMap, pattern: str, max_hot: int = 1 << 19
             coded = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(n * 4)]).astype(np.int32)), pa.py_buffer(code.tobytes())])
             fresh = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(len(n) + 1), 1) * len(cold.dictionary), pa.int32()), cold.dictionary)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), coded, fresh], schema=schema)
+            del parts, codes, distinct, at, cold, index, code, coded, fresh
+            release()  # four workers of an executor hold what a batch needs
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents as ids, by the broadcast and by the pieces that the first document of their batch carries."""
@@ -256,6 +258,8 @@ def encode(docs: DataFrame, ranks: RankMap, pattern: str, max_hot: int = 1 << 19
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 raw = pa.BinaryArray.from_buffers(pa.binary(), len(coded), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(ids.tobytes())])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, raw], ["doc_id", "ids", "ids_bytes"])
+                del coded, code, per_piece, ids, lists, raw
+            release()
 
     cut_rows = docs.mapInArrow(tidy(cut), "doc_id long, codes binary, fresh array<string>")
     folded = cut_rows.select("doc_id", "codes", "fresh", fold_pieces(F.col("fresh"), ranks).alias("ids"))

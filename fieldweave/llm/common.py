@@ -33,7 +33,7 @@ def ship(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.maxPlanStringLength", "65536")
     # Texts are long: ten thousand of them at once are more than a Python worker should hold.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     at = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="fieldweave-")), f"{os.path.basename(top)}.zip")
     with zipfile.ZipFile(at, "w") as out:
