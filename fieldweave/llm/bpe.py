@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, ragged, release, stored, sub_batches, texts_of, tidy
+from .common import id_text, ragged, release, stored, sub_batches, texts_of, tidy, tidy_driver
 from .pieces import split
 
 #: Bits of one rank inside a packed long; a rank of all ones means "no pair".
@@ -204,7 +204,7 @@ def encode(docs: DataFrame, ranks: RankMap, pattern: str, max_hot: int = 1 << 19
     known_ids = spark.sparkContext.broadcast((lengths, lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)))
     rank_file = spark.sparkContext.broadcast(ranks.ranks)
     del hot, words, lists, sink, lengths
-    release()
+    tidy_driver(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents as indices of pieces; the first of a batch carries those that aren't in the broadcast."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import os
 import tempfile
 import uuid
@@ -69,9 +70,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidy_driver(spark: SparkSession) -> None:
+    """Drops what earlier operators left on the driver: broadcasts and shuffles of frames that are gone, freed heap."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark's cleaner follows the collector, which a long session seldom needs
+    release()
+
+
 def id_text(docs: DataFrame, *more: str) -> DataFrame:
     """Only what an operator needs; columns with clashing names never meet."""
     ship(docs.sparkSession)
+    tidy_driver(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
