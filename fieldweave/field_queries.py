@@ -174,13 +174,13 @@ def record_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 @register.add("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey % 150 - 20 AS x0, l_suppkey % 120 - 10 AS y0, l_partkey % 150 - 20 + l_quantity::INT AS x1, l_suppkey % 120 - 10 + l_linenumber AS y1 FROM lineitem),
     c AS (SELECT *, greatest(0, least(x0, 99)) AS a, greatest(0, least(y0, 79)) AS b FROM b)
-    SELECT l_orderkey, l_linenumber, round(a / 100, 6) AS "left", round(b / 80, 6) AS top, round(greatest(a + 1, least(x1, 100)) / 100, 6) AS "right", round(greatest(b + 1, least(y1, 80)) / 80, 6) AS bottom FROM c""")
+    SELECT l_orderkey, l_linenumber, round(a / 100, 6) AS x0_share, round(b / 80, 6) AS y0_share, round(greatest(a + 1, least(x1, 100)) / 100, 6) AS x1_share, round(greatest(b + 1, least(y1, 80)) / 80, 6) AS y1_share FROM c""")
 def boxes_clamped(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes within a sheet, as fractions of its sides."""
     x0, y0 = (F.col("l_partkey") % 150 - 20).cast("int"), (F.col("l_suppkey") % 120 - 10).cast("int")
     box = R.clamped_box(x0, y0, x0 + F.col("l_quantity").cast("int"), y0 + F.col("l_linenumber"), 100, 80)
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", box.alias("b"))
-    return rows.select("l_orderkey", "l_linenumber", *(F.col("b")[i].alias(n) for i, n in enumerate(["left", "top", "right", "bottom"])))
+    return rows.select("l_orderkey", "l_linenumber", *(F.col("b")[i].alias(n) for i, n in enumerate(["x0_share", "y0_share", "x1_share", "y1_share"])))
 
 
 _SPOTS = ["lat 48.86 lon 2.35", "at 12.5, -70.25 m", "latitude: -3.25 longitude = 100.5", "n 95.5 45.25 160.75 x", "no place", "lat 10.5 only 20.25", "E00633257 Rosa canina France 1902 holotype"]

@@ -30,7 +30,7 @@ def same_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     side = lambda f, n: f.select(key).distinct().withColumn("side", F.lit(n))
     both = side(left, 1).unionByName(side(right, 2)).groupBy(key).agg(F.sum("side").alias("side"))
     count = lambda n: F.count_if(F.col("side") == n)
-    return both.agg(count(1).alias("only_left"), count(2).alias("only_right"), count(3).alias("both"), (count(1) + count(2) == 0).alias("equal"))
+    return both.agg(count(1).alias("only_left"), count(2).alias("only_right"), count(3).alias("n_both"), (count(1) + count(2) == 0).alias("equal"))
 
 
 def outer_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

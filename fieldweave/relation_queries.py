@@ -44,7 +44,7 @@ def remainder(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register.add("""WITH l AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), o AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey % 10 > 0),
-    b AS (SELECT l.k AS a, o.k AS b FROM l FULL JOIN o ON l.k = o.k) SELECT count(*) FILTER (WHERE b IS NULL) AS only_left, count(*) FILTER (WHERE a IS NULL) AS only_right, count(*) FILTER (WHERE a = b) AS "both", count(*) FILTER (WHERE a IS NULL OR b IS NULL) = 0 AS equal FROM b""")
+    b AS (SELECT l.k AS a, o.k AS b FROM l FULL JOIN o ON l.k = o.k) SELECT count(*) FILTER (WHERE b IS NULL) AS only_left, count(*) FILTER (WHERE a IS NULL) AS only_right, count(*) FILTER (WHERE a = b) AS n_both, count(*) FILTER (WHERE a IS NULL OR b IS NULL) = 0 AS equal FROM b""")
 def set_equality(spark: SparkSession, sf: str) -> DataFrame:
     """Whether two sets of ids are equal."""
     orders = table(spark, sf, "orders").filter("o_orderkey % 10 > 0").select(F.col("o_orderkey").alias("l_orderkey"))
@@ -77,10 +77,10 @@ def with_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").join(last, F.col("c_custkey") == F.col("user_id"), "left").select("c_custkey", "c_mktsegment", "event_type", "value")
 
 
-@register.add("""SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS INT) AS "index" FROM conversations""")
+@register.add("""SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS INT) AS place FROM conversations""")
 def running_index(spark: SparkSession, sf: str) -> DataFrame:
     """Number of each row within its record."""
-    return records.running_index(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text").select("conv_id", "turn", "role", "index")
+    return records.running_index(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text").select("conv_id", "turn", "role", F.col("index").alias("place"))
 
 
 _BOX = "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_discount, l_partkey % 50 AS y, l_suppkey % 50 AS x, l_partkey * 1000000000 + l_suppkey * 10000 + l_linenumber * 100 + l_quantity::INT AS id FROM lineitem"
@@ -95,14 +95,14 @@ def reading_order(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register.add("""WITH c AS (SELECT DISTINCT conv_id, turn, role FROM conversations), t AS (SELECT conv_id, turn, role, string_agg(text, chr(10) ORDER BY text) AS texts FROM conversations WHERE text IS NOT NULL AND trim(text) <> '' AND turn % 5 > 0 GROUP BY 1, 2, 3)
-    SELECT conv_id, string_agg('[' || c.role || ']' || chr(10) || coalesce(texts, ''), chr(10) || chr(10) ORDER BY turn, c.role) AS prompt, count(*) FILTER (WHERE texts IS NULL) AS "empty" FROM c LEFT JOIN t USING (conv_id, turn, role) GROUP BY 1""")
+    SELECT conv_id, string_agg('[' || c.role || ']' || chr(10) || coalesce(texts, ''), chr(10) || chr(10) ORDER BY turn, c.role) AS prompt, count(*) FILTER (WHERE texts IS NULL) AS n_empty FROM c LEFT JOIN t USING (conv_id, turn, role) GROUP BY 1""")
 def evidence_packets(spark: SparkSession, sf: str) -> DataFrame:
     """Components with their readings, nested and as prompt text."""
     rows = table(spark, sf, "conversations")
     region = F.struct("turn", "role").alias("region")
     readings = rows.filter("turn % 5 > 0").select("conv_id", region, "text", F.lit(0).alias("pos"))
     made = records.packets(rows.select("conv_id", region, F.col("role").alias("kind")).distinct(), readings, "conv_id", "region", "pos")
-    return made.select("conv_id", records.packet_text(F.col("packet")).alias("prompt"), "empty")
+    return made.select("conv_id", records.packet_text(F.col("packet")).alias("prompt"), F.col("empty").alias("n_empty"))
 
 
 _CANDS = """r AS (SELECT l_orderkey, l_returnflag AS source, 'E' || CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE ' ' END || lpad(CAST(l_orderkey AS VARCHAR), 6, '0') || CASE WHEN l_suppkey % 3 = 0 THEN '9' ELSE '' END AS value FROM lineitem),
@@ -178,11 +178,11 @@ def channel_summary(spark: SparkSession, sf: str) -> DataFrame:
     return per.groupBy("l_returnflag").agg(F.sum("n").alias("n"), F.count("*").alias("records"), F.round(F.sum("filled") / F.sum("n"), 6).alias("nonempty_rate"), F.round(F.sum("q") / F.count("*"), 6).alias("mean_of_sums"), F.round(F.max("most"), 6).alias("most"))
 
 
-@register.add("""SELECT conv_id, coalesce(string_agg(DISTINCT text, ' | ' ORDER BY text) FILTER (WHERE role = 'user'), '') AS "user", coalesce(string_agg(DISTINCT text, ' | ' ORDER BY text) FILTER (WHERE role = 'assistant'), '') AS assistant FROM conversations GROUP BY 1""")
+@register.add("""SELECT conv_id, coalesce(string_agg(DISTINCT text, ' | ' ORDER BY text) FILTER (WHERE role = 'user'), '') AS asked, coalesce(string_agg(DISTINCT text, ' | ' ORDER BY text) FILTER (WHERE role = 'assistant'), '') AS answered FROM conversations GROUP BY 1""")
 def engine_pivot(spark: SparkSession, sf: str) -> DataFrame:
     """Different texts by engine, one column an engine."""
-    joined = lambda r: F.array_join(F.array_sort(F.collect_set(F.when(F.col("role") == r, F.col("text")))), " | ").alias(r)
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(joined("user"), joined("assistant"))
+    joined = lambda r, name: F.array_join(F.array_sort(F.collect_set(F.when(F.col("role") == r, F.col("text")))), " | ").alias(name)
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(joined("user", "asked"), joined("assistant", "answered"))
 
 
 @register.add("""WITH n AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS genus FROM part), a AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS genus FROM part WHERE p_size < 3)
