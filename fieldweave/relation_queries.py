@@ -204,12 +204,13 @@ def frozen_deltas(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register.add("""WITH m AS (SELECT l_orderkey, avg(l_discount) FILTER (WHERE l_linestatus = 'O') AS a, avg(l_discount) FILTER (WHERE l_linestatus = 'F') AS b FROM lineitem GROUP BY 1),
-    d AS (SELECT l_orderkey, round(b - a, 6) AS delta FROM m WHERE a IS NOT NULL AND b IS NOT NULL), v AS (SELECT *, CASE WHEN delta > 0 THEN 'helped' WHEN delta < 0 THEN 'hurt' ELSE 'same' END AS verdict FROM d),
+    d AS (SELECT l_orderkey, CASE WHEN round(b - a, 6) = 0 THEN 0.0 ELSE round(b - a, 6) END AS delta FROM m WHERE a IS NOT NULL AND b IS NOT NULL), v AS (SELECT *, CASE WHEN delta > 0 THEN 'helped' WHEN delta < 0 THEN 'hurt' ELSE 'same' END AS verdict FROM d),
     r AS (SELECT *, row_number() OVER (PARTITION BY verdict ORDER BY abs(delta) DESC, l_orderkey) AS k FROM v) SELECT l_orderkey, delta, verdict FROM r WHERE k <= 10""")
 def helped_and_hurt(spark: SparkSession, sf: str) -> DataFrame:
     """The ten records that gained, lost and kept most between two methods."""
     mean = lambda s: F.avg(F.when(F.col("l_linestatus") == s, F.col("l_discount")))
     deltas = _lines(spark, sf).groupBy("l_orderkey").agg(F.round(mean("F") - mean("O"), 6).alias("delta")).filter("delta is not null")
+    deltas = deltas.withColumn("delta", F.when(F.col("delta") == 0, 0.0).otherwise(F.col("delta")))  # no negative zero
     told = deltas.withColumn("verdict", records.verdicts(deltas, "delta"))
     most = F.slice(F.array_sort(F.collect_list(F.struct((-F.abs("delta")).alias("_order"), "l_orderkey", "delta"))), 1, 10)
     # Each task keeps ten of a verdict before they meet.
