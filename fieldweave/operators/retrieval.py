@@ -31,18 +31,22 @@ def _ranked(scored: DataFrame, queries: DataFrame, corpus: DataFrame, k: int, qu
     return found.select(query, F.posexplode(F.slice(both, 1, k)).alias("at", "hit")).select(query, f"hit.{doc}", "hit.score", (F.col("at") + 1).alias("rank"))
 
 
-def lexical(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query", doc: str = "doc", text: str = "text") -> DataFrame:
-    """The k documents of highest cosine over raw word counts with each query; 0 where no word is shared."""
+def lexical_scores(queries: DataFrame, corpus: DataFrame, query: str = "query", doc: str = "doc", text: str = "text") -> DataFrame:
+    """Cosine over raw word counts of each query and document that share a word."""
     q, d = _terms(queries, query, text), _terms(corpus, doc, text)
     norm = lambda t, key, name: t.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias(name))
     dots = q.withColumnRenamed("n", "qn").join(d, "term").groupBy(query, doc).agg(F.sum(F.col("qn") * F.col("n")).alias("dot"))
     scored = dots.join(norm(q, query, "q_norm"), query).join(norm(d, doc, "d_norm"), doc)
-    score = F.round(F.col("dot") / (F.col("q_norm") * F.col("d_norm")), 6).alias("score")
-    return _ranked(scored.select(query, doc, score), queries, corpus, k, query, doc)
+    return scored.select(query, doc, F.round(F.col("dot") / (F.col("q_norm") * F.col("d_norm")), 6).alias("score"))
 
 
-def tfidf(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query", doc: str = "doc", text: str = "text") -> DataFrame:
-    """The k documents of highest TF-IDF cosine with each query (0 where no word is shared); each query counts as a member of the corpus.
+def lexical(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query", doc: str = "doc", text: str = "text") -> DataFrame:
+    """The k documents of highest cosine over raw word counts with each query; 0 where no word is shared."""
+    return _ranked(lexical_scores(queries, corpus, query, doc, text), queries, corpus, k, query, doc)
+
+
+def tfidf_scores(queries: DataFrame, corpus: DataFrame, query: str = "query", doc: str = "doc", text: str = "text") -> DataFrame:
+    """TF-IDF cosine of each query and document that share a word; each query counts as a member of the corpus.
 
     A query adds one to the document frequency of its own words, so a document's norm differs by query: the norm without it
     is corrected by the words they share, in the join that yields the products.
@@ -58,24 +62,29 @@ def tfidf(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query", d
     dots = q.join(d, "term").groupBy(query, doc).agg(F.sum(F.col("w") * F.col("asked")).alias("dot"), shift)
     norms = q.groupBy(query).agg(F.sum(square("w")).alias("q_norm")), d.groupBy(doc).agg(F.sum(square("plain")).alias("d_norm"))
     scored = dots.join(norms[0], query).join(norms[1], doc)
-    score = F.round(F.col("dot") / F.sqrt(F.col("q_norm") * (F.col("d_norm") + F.col("shift"))), 6).alias("score")
-    return _ranked(scored.select(query, doc, score), queries, corpus, k, query, doc)
+    return scored.select(query, doc, F.round(F.col("dot") / F.sqrt(F.col("q_norm") * (F.col("d_norm") + F.col("shift"))), 6).alias("score"))
 
 
-def dense(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, most: int = 4096) -> DataFrame:
-    """The k other vectors of largest inner product of each query, from all of the corpus.
+def tfidf(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query", doc: str = "doc", text: str = "text") -> DataFrame:
+    """The k documents of highest TF-IDF cosine with each query; 0 where no word is shared."""
+    return _ranked(tfidf_scores(queries, corpus, query, doc, text), queries, corpus, k, query, doc)
+
+
+def dense(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, most: int = 4096, within: str | None = None) -> DataFrame:
+    """The k other vectors of largest inner product of each query, from all of the corpus; with `within`, from the rows that share its non-blank value.
 
     Queries travel in blocks of at most `most` to every task; a task scores a batch of rows against a block and keeps the k
     best of each query, so that tasks x queries x k rows meet.
     """
-    asked = [(r[0], r[1]) for r in queries.select(key, vector).toLocalIterator()]
+    group = T.clean(F.col(within)) if within else F.lit("")
+    asked = [(r[0], r[1], r[2]) for r in queries.select(key, vector, group).toLocalIterator()]
     kinds = "query long, doc long, score double"
     found = None
     for at in range(0, len(asked), most):
         block = asked[at : at + most]
-        ids, wanted = np.array([x[0] for x in block], np.int64), np.array([x[1] for x in block], np.float64)
+        ids, wanted, groups = np.array([x[0] for x in block], np.int64), np.array([x[1] for x in block], np.float64), [x[2] for x in block]
 
-        def best(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, wanted: np.ndarray = wanted) -> Iterator[pa.RecordBatch]:
+        def best(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, wanted: np.ndarray = wanted, groups: list[str] = groups) -> Iterator[pa.RecordBatch]:
             top = [[] for _ in ids]
             for batch in batches:
                 if not len(batch):
@@ -83,15 +92,40 @@ def dense(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int,
                 docs = batch.column(0).to_numpy(zero_copy_only=False)
                 rows = np.array(batch.column(1).to_pylist(), np.float64)
                 scores = np.round(wanted @ rows.T, 5)
+                named = np.array(batch.column(2).to_pylist(), object)
                 for i, own in enumerate(scores):
-                    order = np.lexsort((docs, -own))[: k + 1]
+                    order = np.lexsort((docs, -own))
+                    if within:
+                        order = order[named[order] == groups[i]] if groups[i] else order[:0]
+                    order = order[: k + 1]
                     top[i] = sorted([*top[i], *((-own[j], int(docs[j])) for j in order if docs[j] != ids[i])])[:k]
             flat = [(int(q), d, float(-s)) for q, t in zip(ids, top, strict=True) for s, d in t]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in flat], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query", "doc", "score"])
 
-        part = corpus.select(key, vector).mapInArrow(best, kinds)
+        part = corpus.select(key, vector, group.alias("_group")).mapInArrow(best, kinds)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return queries.sparkSession.createDataFrame([], kinds + ", rank int")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc")))
     return ranked.filter(F.col("rank") <= k)
+
+
+def hybrid(queries: DataFrame, corpus: DataFrame, key: str, vector: str, text: str, group: str, k: int, weights: tuple[float, float, float] = (0.45, 0.45, 0.10)) -> DataFrame:
+    """The k other rows of highest sum of inner product, mean of both text cosines, and a bonus for an equal non-blank group, weighted.
+
+    A row that shares no word with a query has its inner product and perhaps the bonus alone, so the k best such rows are
+    among the k nearest of all rows and of the rows of the group; only these and the rows that share a word are scored.
+    """
+    as_query, as_doc = queries.select(F.col(key).alias("query"), F.col(text).alias("text")), corpus.select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    both = lexical_scores(as_query, as_doc).unionByName(tfidf_scores(as_query, as_doc)).filter("query <> doc")
+    near = dense(queries, corpus, key, vector, k).unionByName(dense(queries, corpus, key, vector, k, within=group))
+    pairs = both.unionByName(near.select("query", "doc", F.lit(0.0).alias("score"))).groupBy("query", "doc").agg((F.sum("score") / 2).alias("text_similarity"))
+    side = lambda f, name: f.select(F.col(key).alias(name), F.col(vector).alias(f"{name}_vector"), T.clean(F.col(group)).alias(f"{name}_group"))
+    joined = pairs.join(side(queries, "query"), "query").join(side(corpus, "doc"), "doc")
+    product = F.zip_with("query_vector", "doc_vector", lambda a, b: a.cast("double") * b.cast("double"))
+    visual = F.round(F.aggregate(product, F.lit(0.0), lambda a, b: a + b), 5)
+    bonus = ((F.col("query_group") != "") & (F.col("query_group") == F.col("doc_group"))).cast("double")
+    scored = joined.select("query", "doc", visual.alias("visual_similarity"), F.round("text_similarity", 7).alias("text_similarity"), bonus.alias("group_bonus"))
+    total = sum(w * F.col(c) for w, c in zip(weights, ("visual_similarity", "text_similarity", "group_bonus"), strict=True))
+    ranked = scored.withColumn("score", F.round(total, 9)).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc")))
+    return ranked.filter(F.col("rank") <= k)

@@ -37,3 +37,28 @@ def outer_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Rows by key in either frame, 0 where one has none."""
     one = lambda f, n: f.select(key, F.lit(int(n == 0)).alias("left"), F.lit(int(n == 1)).alias("right"))
     return one(left, 0).unionByName(one(right, 1)).groupBy(key).agg(F.sum("left").cast("long").alias("n_left"), F.sum("right").cast("long").alias("n_right"))
+
+
+def reference_corpus(guides: DataFrame, examples: DataFrame, authority: DataFrame, key: str, shown: list[str]) -> DataFrame:
+    """(source, key, text): guide texts, examples as `name: value` parts, and authority texts, all rows of each."""
+    parts = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in shown]
+    none = F.lit("").alias("key")
+    return (
+        guides.select(F.lit("field_guide").alias("source"), none, "text")
+        .unionByName(examples.select(F.lit("demo_example").alias("source"), F.col(key).cast("string").alias("key"), F.concat_ws(" | ", *parts).alias("text")))
+        .unionByName(authority.select(F.lit("authority_cache").alias("source"), none, "text"))
+    )
+
+
+def leaked(references: DataFrame, evaluation: DataFrame, key: str) -> DataFrame:
+    """Non-blank keys, outer white space aside, that references and evaluation share."""
+    of = lambda f: f.select(F.regexp_replace(F.col(key).cast("string"), r"^\s+|\s+$", "").alias(key)).filter(F.coalesce(F.col(key), F.lit("")) != "").distinct()
+    return of(references).join(of(evaluation), key, "left_semi")
+
+
+def assert_no_leak(references: DataFrame, evaluation: DataFrame, key: str) -> DataFrame:
+    """The references, or an error that names up to ten keys that evaluation has too."""
+    found = [r[0] for r in leaked(references, evaluation, key).orderBy(key).limit(10).collect()]
+    if found:
+        raise ValueError(f"references hold evaluation records: {found}")
+    return references
