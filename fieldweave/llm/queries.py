@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers_files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dup, idfile, langid, near_dup, quality, tokens, toxicity, url_filter
+from . import alignment, bpe, decontaminate, exact_dup, idfile, langid, near_dup, quality, tokens, toxicity, url_filter
 from .common import table
 
 
@@ -126,6 +126,10 @@ FROM seen s LEFT JOIN hits h ON s.page_id = h.page_id AND h.k = 1
 """
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link(table(spark, sf_dir, "documents"), tokenizers_files.path("byte_bpe_50k.json"), tokenizers_files.PATTERN, tokenizers_files.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
@@ -138,6 +142,7 @@ def queries() -> dict:
         "op8_exact_dup": op8_exact_dup,
         "op9_langid": op9_langid,
         "op10_url_filter": op10_url_filter,
+        "op11_alignment": op11_alignment,
     }
 
 
