@@ -16,18 +16,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .blocks import answered, asked, block_ids, dealt, in_order, pack, unpack
+from .blocks import answered, asked, block_ids, dealt, gathered, in_order, pack, unpack
 from .common import id_text, ragged, stored, sub_batches, texts_of, tidy
 from .pieces import split
 from .tokens import Library
 
 #: Text bytes aligned at once, and text bytes whose pairs share one list.
-SLICE_BYTES, BLOCK_BYTES = 1 << 20, 16 << 20
+SLICE_BYTES, BLOCK_BYTES = 4 << 20, 16 << 20
 _SPACE = "▁"
 _LOADED: dict[str, object] = {}
 
@@ -51,6 +53,17 @@ class Spelling:
         return self.flat[ragged(self.start[ids], self.length[ids])].tobytes()
 
 
+class Encoded(NamedTuple):
+    """Texts as distinct parts: the parts' bytes and ids, joined, with the length of each; the parts of all texts as indices, and the texts' offsets in those."""
+
+    spelt: bytes
+    sizes: np.ndarray
+    ids: np.ndarray
+    lengths: np.ndarray
+    codes: np.ndarray
+    at: np.ndarray
+
+
 class ByteLevel(Library):
     """A: each match of the pattern goes to the library once a batch; special strings are plain text."""
 
@@ -62,10 +75,13 @@ class ByteLevel(Library):
         entry = [self.tokenizer.id_to_token(i) for i in range(self.vocab_size)]
         self.spelling = Spelling([bytes(known[c] for c in t) if all(c in known for c in t) else t.encode() for t in entry])
 
-    def tokens(self, texts: list[str]) -> tuple[list[bytes], list[np.ndarray], np.ndarray, np.ndarray]:
+    def tokens(self, texts: list[str]) -> Encoded:
         distinct, codes, at = split(texts, self.pattern)
+        sizes = pc.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
         pieces = distinct.to_pylist()
-        return [p.encode() for p in pieces], [np.frombuffer(x, "<u4") for x in self.pieces(pieces)], codes, at
+        coded = self.pieces(pieces)
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        return Encoded("".join(pieces).encode(), sizes, np.frombuffer(b"".join(coded), "<u4").astype(np.int64), lengths, codes, at)
 
 
 class SentencePieces:
@@ -86,12 +102,14 @@ class SentencePieces:
         self.spelling = Spelling([bytes([int(e[3:5], 16)]) if self.model.is_byte(i) else e.replace(_SPACE, " ").encode() for i, e in enumerate(entry)])
         self.feed = self.model.piece_to_id("<0x0A>")
 
-    def tokens(self, texts: list[str]) -> tuple[list[bytes], list[np.ndarray], np.ndarray, np.ndarray]:
+    def tokens(self, texts: list[str]) -> Encoded:
         """`texts` start with the space that the model adds; '' has no tokens."""
-        if not self.cuts:
-            return [t.encode() for t in texts if t], [np.array(x, np.uint32) for x in self.model.encode([t[1:] for t in texts if t], num_threads=1)], np.arange(sum(map(bool, texts))), np.cumsum([0, *map(bool, texts)])
         raw = [t.encode() for t in texts]
         joined = b"".join(raw)
+        if not self.cuts:
+            ids = [np.array(x, np.int64) for x in self.model.encode([t[1:] for t in texts if t], num_threads=1)]
+            lengths = np.array([len(x) for x in ids], np.int64)
+            return Encoded(joined, np.array([len(x) for x in raw if x], np.int64), np.concatenate([*ids, np.zeros(0, np.int64)]), lengths, np.arange(len(ids)), np.cumsum([0, *map(bool, texts)]))
         buf, ends = np.frombuffer(joined, np.uint8), np.cumsum([len(x) for x in raw])
         start = np.zeros(len(buf) + 1, bool)
         start[1:-1] = ((buf[1:] == 32) & (buf[:-1] != 32)) | (buf[1:] == 10) | (buf[:-1] == 10)
@@ -100,16 +118,23 @@ class SentencePieces:
         start[-1] = False
         starts = np.flatnonzero(start)
         parts = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(buf)).astype(np.int32)), pa.py_buffer(joined)]).dictionary_encode()
-        distinct = parts.dictionary.to_pylist()
-        ids: list[np.ndarray] = [np.array([self.feed], np.uint32)] * len(distinct)
-        todo = [i for i, x in enumerate(distinct) if x != b"\n"]
-        for i in range(0, len(todo), 4096):
-            some = todo[i : i + 4096]
-            got = np.array(self.model.encode("".join(f"\n{distinct[k].decode()}" for k in some), num_threads=1), np.uint32)
-            at = np.flatnonzero(got == self.feed)
-            for k, own in zip(some, np.split(got, at)[1:], strict=True):
-                ids[k] = own[1:]
-        return distinct, ids, parts.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(starts, np.concatenate([[0], ends]))
+        distinct = parts.dictionary
+        sizes = pc.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
+        plain = distinct.to_pylist()
+        feed = plain.index(b"\n") if b"\n" in plain else None
+        if feed is not None:
+            del plain[feed]
+        # Many parts at once, each after a line feed.
+        found, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(0, len(plain), 4096):
+            got = np.array(self.model.encode(b"\n".join([b"", *plain[i : i + 4096]]).decode(), num_threads=1), np.int64)
+            after = np.flatnonzero(got == self.feed)
+            counts.append(np.diff(np.append(after, len(got))) - 1)
+            found.append(np.delete(got[after[0] :], after - after[0]))
+        ids, lengths = np.concatenate(found), np.concatenate(counts)
+        if feed is not None:
+            ids, lengths = np.insert(ids, lengths[:feed].sum(), self.feed), np.insert(lengths, feed, 1)
+        return Encoded(b"".join(distinct.to_pylist()), sizes, ids, lengths, parts.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(starts, np.concatenate([[0], ends])))
 
 
 def _once(key: str, make):
@@ -118,18 +143,18 @@ def _once(key: str, make):
     return _LOADED[key]
 
 
-def _all_tokens(found: tuple, spelling: Spelling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _all_tokens(found: Encoded, spelling: Spelling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all texts, the n+1 offsets of the texts in them, and which texts the tokens spell."""
-    parts, coded, codes, at = found
-    lengths = np.array([len(x) for x in coded], np.int64)
-    flat = np.concatenate(coded).astype(np.int64) if coded else np.zeros(0, np.int64)
-    first = np.cumsum(lengths) - lengths
-    right = np.ones(len(parts), bool)
-    if spelling.joined(flat) != b"".join(parts) or (len(parts) and (np.add.reduceat(np.append(spelling.length[flat], 0), np.minimum(first, len(flat))) != [len(p) for p in parts]).any()):
-        right = np.array([spelling.joined(flat[f : f + n]) == p for p, f, n in zip(parts, first, lengths, strict=True)], bool)
-    ids = flat[ragged(first[codes], lengths[codes])]
-    wrong = np.concatenate([[0], np.cumsum(~right[codes])])
-    return ids, np.concatenate([[0], np.cumsum(lengths[codes])])[at], wrong[at[1:]] == wrong[at[:-1]]
+    first = np.cumsum(found.lengths) - found.lengths
+    n = np.concatenate([[0], np.cumsum(spelling.length[found.ids])])
+    right = n[first + found.lengths] - n[first] == found.sizes
+    if not right.all() or spelling.joined(found.ids) != found.spelt:
+        at = np.cumsum(found.sizes) - found.sizes
+        right = np.array([spelling.joined(found.ids[f : f + k]) == found.spelt[i : i + z] for f, k, i, z in zip(first, found.lengths, at, found.sizes, strict=True)], bool)
+    per_code = found.lengths[found.codes]
+    ids = found.ids[ragged(first[found.codes], per_code)]
+    wrong = np.concatenate([[0], np.cumsum(~right[found.codes])])
+    return ids, np.concatenate([[0], np.cumsum(per_code)])[found.at], wrong[found.at[1:]] == wrong[found.at[:-1]]
 
 
 class Bits:
@@ -227,7 +252,7 @@ def _blocks(docs: DataFrame, path_a: str, pattern: str, path_b: str) -> DataFram
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _once(path_a, lambda: ByteLevel(path_a, pattern)), _once(path_b, lambda: SentencePieces(path_b))
         numbers, ids, found, size = block_ids(), [], [], 0
-        for batch in batches:
+        for batch in gathered(batches, SLICE_BYTES):
             for part in sub_batches(batch, SLICE_BYTES):
                 ids += part.column("doc_id").to_pylist()
                 found.append(align(texts_of(part), a, b))
