@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .blocks import answered, asked, block_ids, dealt, gathered, in_order, pack, unpack
+from .blocks import Bits, answered, asked, block_ids, dealt, gathered, in_order, pack, unpack
 from .common import id_text, ragged, stored, sub_batches, texts_of, tidy
 from .pieces import split
 from .tokens import Library
@@ -157,29 +157,6 @@ def _all_tokens(found: Encoded, spelling: Spelling) -> tuple[np.ndarray, np.ndar
     return ids, np.concatenate([[0], np.cumsum(per_code)])[found.at], wrong[found.at[1:]] == wrong[found.at[:-1]]
 
 
-class Bits:
-    """A packed bitset with ranks."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
-
-    @classmethod
-    def at(cls, positions: np.ndarray, size: int) -> Bits:
-        marks = np.zeros((size + 63) // 64 * 64, bool)
-        marks[positions] = True
-        return cls(np.packbits(marks, bitorder="little").view("<u8"))
-
-    def rank(self, positions: np.ndarray) -> np.ndarray:
-        """Bits set before each position."""
-        word, bit = positions >> 6, (positions & 63).astype(np.uint64)
-        return self.before[word] + np.bitwise_count(self.words[word] & ((np.uint64(1) << bit) - np.uint64(1)))
-
-    def select(self) -> np.ndarray:
-        """Positions of all bits set."""
-        return np.flatnonzero(np.unpackbits(self.words.view(np.uint8), bitorder="little"))
-
-
 _SEPARATORS = (b",", b"|", b";")
 
 

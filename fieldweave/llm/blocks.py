@@ -43,6 +43,29 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(values, dtype=np.uint64) if deltas else values
 
 
+class Bits:
+    """A packed bitset with ranks."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
+
+    @classmethod
+    def at(cls, positions: np.ndarray, size: int) -> Bits:
+        marks = np.zeros(size // 64 * 64 + 64, bool)  # ranks may be asked at `size` itself
+        marks[positions] = True
+        return cls(np.packbits(marks, bitorder="little").view("<u8"))
+
+    def rank(self, positions: np.ndarray) -> np.ndarray:
+        """Bits set before each position."""
+        word, bit = positions >> 6, (positions & 63).astype(np.uint64)
+        return self.before[word] + np.bitwise_count(self.words[word] & ((np.uint64(1) << bit) - np.uint64(1)))
+
+    def select(self) -> np.ndarray:
+        """Positions of all bits set."""
+        return np.flatnonzero(np.unpackbits(self.words.view(np.uint8), bitorder="little"))
+
+
 def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Batches of about `limit` bytes made from smaller ones."""
     have: list[pa.RecordBatch] = []

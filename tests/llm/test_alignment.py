@@ -100,3 +100,12 @@ def test_pack(values):
     x = np.array(values, np.uint64)
     assert blocks.unpack(blocks.pack(x)).tolist() == values
     assert blocks.unpack(blocks.pack(np.sort(x), True)).tolist() == sorted(values)
+
+
+def test_bits():
+    import numpy as np
+
+    for size in (1, 63, 64, 65, 128):
+        bits = blocks.Bits.at(np.array([0, size - 1]), size)
+        assert bits.rank(np.array([0, size])).tolist() == [0, min(size, 2)]
+        assert bits.select().tolist() == sorted({0, size - 1})
