@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers_files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, decontaminate, exact_dup, idfile, langid, near_dup, quality, tokens, toxicity, url_filter
+from . import alignment, bpe, conversation_trie, decontaminate, exact_dup, idfile, langid, near_dup, quality, tokens, toxicity, url_filter
 from .common import table
 
 
@@ -130,6 +130,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.link(table(spark, sf_dir, "documents"), tokenizers_files.path("byte_bpe_50k.json"), tokenizers_files.PATTERN, tokenizers_files.path("piece_bpe_32k.model"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.build(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
@@ -143,6 +147,7 @@ def queries() -> dict:
         "op9_langid": op9_langid,
         "op10_url_filter": op10_url_filter,
         "op11_alignment": op11_alignment,
+        "op12_trie": op12_trie,
     }
 
 
