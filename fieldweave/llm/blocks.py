@@ -110,11 +110,11 @@ def runs_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[ob
         yield own[0][column], own
 
 
-def asked(blocks: DataFrame, parts: int, place: Callable[[np.ndarray, int], np.ndarray], answer: Answer) -> DataFrame:
-    """block, part, answers: what the corpus says to each block's `keys` (packed, ascending), given the blocks' `sums` of each.
+def asked(blocks: DataFrame, parts: int, place: Callable[[np.ndarray, int], np.ndarray], answer: Answer, figures: Callable[[np.ndarray, np.ndarray], list[int]] | None = None) -> DataFrame:
+    """block, part, answers, figures: what the corpus says to each block's `keys` (packed, ascending), given the blocks' `sums` of each.
 
     `place` deals keys to parts; `answer` gets a part's distinct keys and their sums over all blocks, and gives an array for
-    each answer, with a value a key.
+    each answer, with a value a key. `figures` of a part stand on its first row only, so that they can be added up.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,12 +135,15 @@ def asked(blocks: DataFrame, parts: int, place: Callable[[np.ndarray, int], np.n
             np.add.at(sums, where, np.concatenate([unpack(r["sums"]) for r in rows]).astype(np.int64))
             given = answer(distinct, sums)
             ends = np.cumsum([len(k) for k in keys])
+            said = figures(distinct, sums) if figures else None
             for row, k, end in zip(rows, keys, ends, strict=True):
                 packed = [pack(g[where[end - len(k) : end]]) for g in given]
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([part], pa.int32()), pa.array([packed], pa.list_(pa.binary()))], ["block", "part", "answers"])
+                cells = [pa.array([row["block"]], pa.int64()), pa.array([part], pa.int32()), pa.array([packed], pa.list_(pa.binary())), pa.array([said], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cells, ["block", "part", "answers", "figures"])
+                said = None
 
     sent = blocks.select("block", "keys", "sums").mapInArrow(ask, "part int, block long, keys binary, sums binary")
-    return sent.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(tidy(merge), "block long, part int, answers array<binary>")
+    return sent.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(tidy(merge), "block long, part int, answers array<binary>, figures array<long>")
 
 
 def answered(blocks: DataFrame, replies: DataFrame) -> DataFrame:

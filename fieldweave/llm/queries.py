@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers_files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, conversation_trie, decontaminate, exact_dup, idfile, langid, near_dup, quality, tokens, toxicity, url_filter
+from . import alignment, bpe, conversation_trie, decontaminate, exact_dup, idfile, langid, near_dup, ngram_lm, quality, tokens, toxicity, url_filter
 from .common import table
 
 
@@ -134,6 +134,12 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.build(table(spark, sf_dir, "conversations"))
 
 
+def op13_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    done = ngram_lm.score(table(spark, sf_dir, "documents"), ~held_out)
+    return done.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
@@ -148,6 +154,7 @@ def queries() -> dict:
         "op10_url_filter": op10_url_filter,
         "op11_alignment": op11_alignment,
         "op12_trie": op12_trie,
+        "op13_lm": op13_lm,
     }
 
 
