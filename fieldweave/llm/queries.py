@@ -140,6 +140,45 @@ def op13_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+OP12_SQL = r"""
+WITH crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([CAST(i AS BIGINT)], [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]),
+                          lambda x, k: xor(x >> 1, CAST(3988292384 AS BIGINT) * (x & 1))) AS v
+    FROM range(256) AS r(i))),
+turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({'role': role, 'text': text} ORDER BY k) AS seq FROM turns GROUP BY c),
+takes AS (
+  SELECT c, seq, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                                 lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), CAST(4294967295 AS BIGINT)) % 9 AS h
+  FROM own, crc_table),
+rebuilt AS (
+  SELECT a.c, list_concat(coalesce(list_slice(b.seq, 1, a.h), []), list_slice(a.seq, a.h + 1, len(a.seq))) AS seq
+  FROM takes a LEFT JOIN own b ON b.c = a.c - a.c % 5),
+prefixes AS (
+  SELECT c, d, list_slice(seq, 1, d) AS p, d = len(seq) AS ended FROM (
+    SELECT c, seq, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT d, p, count(*) AS n_convs, min(c) AS conv_id, list_slice(p, 1, d - 1) AS up,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ended), '')) AS ends_sha256,
+         (count(*) - 1) * (CASE WHEN d = 0 THEN 0 ELSE strlen(p[d].text) END) AS saved
+  FROM prefixes GROUP BY d, p),
+children AS (SELECT d - 1 AS d, up AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+full_nodes AS (
+  SELECT n.*, coalesce(k.n, 0) AS n_children, u.conv_id AS parent_conv_id
+  FROM nodes n LEFT JOIN children k ON k.d = n.d AND k.p = n.p LEFT JOIN nodes u ON u.d = n.d - 1 AND u.p = n.up AND n.d > 0),
+sums AS (
+  SELECT a.d, a.p, sum(CASE WHEN v.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(v.saved) AS saved_tokens
+  FROM full_nodes v JOIN prefixes a ON a.c = v.conv_id AND a.d <= v.d GROUP BY 1, 2)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, n.parent_conv_id, n.n_convs, CAST(n.n_children AS BIGINT) AS n_children,
+       CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN sums s ON s.d = n.d AND s.p = n.p
+"""
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
@@ -159,4 +198,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": OP10_SQL.replace("\\\\", "\\")}
+    return {"op10_url_filter": OP10_SQL.replace("\\\\", "\\"), "op12_trie": OP12_SQL}
