@@ -66,6 +66,19 @@ class Bits:
         return np.flatnonzero(np.unpackbits(self.words.view(np.uint8), bitorder="little"))
 
 
+def pack_values(values: np.ndarray) -> list[bytes]:
+    """Numbers of which few differ: the different ones, frequent first, and the indices of all in those."""
+    distinct, where, count = np.unique(values, return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return [pack(distinct[order]), pack(rank[where])]
+
+
+def unpack_values(packed: list[bytes]) -> np.ndarray:
+    return unpack(packed[0])[unpack(packed[1]).astype(np.int64)]
+
+
 def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Batches of about `limit` bytes made from smaller ones."""
     have: list[pa.RecordBatch] = []
@@ -111,7 +124,7 @@ def runs_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[ob
 
 
 def asked(blocks: DataFrame, parts: int, place: Callable[[np.ndarray, int], np.ndarray], answer: Answer, figures: Callable[[np.ndarray, np.ndarray], list[int]] | None = None) -> DataFrame:
-    """block, part, answers, figures: what the corpus says to each block's `keys` (packed, ascending), given the blocks' `sums` of each.
+    """block, part, answers, figures: what the corpus says to each block's `keys` (packed, all different), given the blocks' `sums` of each.
 
     `place` deals keys to parts; `answer` gets a part's distinct keys and their sums over all blocks, and gives an array for
     each answer, with a value a key. `figures` of a part stand on its first row only, so that they can be added up.

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import answered, asked, block_ids, by_part, dealt, gathered, in_order, pack, runs_of, unpack
+from .blocks import answered, asked, block_ids, by_part, dealt, gathered, in_order, pack, pack_values, runs_of, unpack, unpack_values
 from .common import id_text, lower_ascii, mix64, prefix_hash, ragged, span_hash, stored, sub_batches, tidy, utf8, words_of
 from .elias_fano import EliasFano
 
@@ -110,11 +110,11 @@ class Trie:
         return value(self.count, context), value(self.lower, context), value(self.share, share)
 
 
-_BLOCK = "block long, doc_id array<long>, learned array<boolean>, lengths binary, codes binary, keys binary, sums binary"
+_BLOCK = "block long, doc_id array<long>, learned array<boolean>, lengths binary, codes binary, places binary, keys binary, sums binary"
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """One row a block: its distinct words (hashes, ascending) with their training counts, and its tokens as indices into those."""
+def _blocks(docs: DataFrame, parts: int) -> DataFrame:
+    """One row a block: its distinct words (hashes, the end first, then frequent ones first) with their training counts and parts, and its tokens as indices into those."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = block_ids()
@@ -127,12 +127,16 @@ def _blocks(docs: DataFrame) -> DataFrame:
                 lengths = np.diff(at) + 1
                 tokens = np.full(len(hashes) + len(lengths), END, np.uint64)
                 tokens[np.arange(len(hashes)) + np.repeat(np.arange(len(lengths)), lengths - 1)] = hashes
-                keys, codes = np.unique(tokens, return_inverse=True)
+                keys, codes, times = np.unique(tokens, return_inverse=True, return_counts=True)
+                order = np.concatenate([[0], 1 + np.argsort(-times[1:], kind="stable")])
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                keys, codes = keys[order], rank[codes]
                 learned = part.column("learned").fill_null(False)
                 trained = np.repeat(learned.to_numpy(zero_copy_only=False).astype(bool), lengths)
                 sums = np.bincount(codes[trained], minlength=len(keys))
-                cells = [[next(numbers)], [part.column("doc_id").to_pylist()], [learned.to_pylist()], [pack(lengths)], [pack(codes)], [pack(keys, True)], [pack(sums)]]
-                types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4]
+                cells = [[next(numbers)], [part.column("doc_id").to_pylist()], [learned.to_pylist()], [pack(lengths)], [pack(codes)], [pack(dealt(keys, parts))], [pack(keys)], [pack(sums)]]
+                types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types, strict=True)], [c.split()[0] for c in _BLOCK.split(", ")])
 
     return docs.mapInArrow(tidy(work), _BLOCK)
@@ -168,12 +172,27 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _stepped(values: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Numbers that ascend within each group as differences from the one before."""
+    out = values.copy()
+    same = group[1:] == group[:-1]
+    out[1:][same] -= values[:-1][same]
+    return out
+
+
+def _summed(steps: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The numbers of _stepped()."""
+    total = np.cumsum(steps, dtype=np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    return total - np.repeat(total[first] - steps[first], np.diff(np.append(first, len(group))))
+
+
 class Positions:
     """The tokens of a block, each with its two predecessors, and one position more after each end (its context is the last pair)."""
 
     def __init__(self, row: dict, parts: int):
         self.lengths = unpack(row["lengths"]).astype(np.int64)
-        self.count, ids = in_order(row["answers"], dealt(unpack(row["keys"]), parts), 2)
+        self.count, ids = in_order(row["answers"], unpack(row["places"]).astype(np.int64), 2)
         codes = unpack(row["codes"]).astype(np.int64)
         n = self.lengths + 1
         begin = np.cumsum(n) - n
@@ -217,7 +236,7 @@ def _requests(blocks: DataFrame, parts: int) -> DataFrame:
                 for s in range(parts):
                     own, below = p.contexts[p.bounds[s] : p.bounds[s + 1]], p.trigrams[under[s] : under[s + 1]]
                     if len(own):
-                        cells = [s, row["block"], pack(p.cu[own], True), pack(p.cv[own]), pack(p.each[own]), pack(p.cw[below]), pack(p.trained[below])]
+                        cells = [s, row["block"], pack(p.cu[own], True), pack(_stepped(p.cv[own], p.cu[own])), pack(p.each[own]), pack(_stepped(p.cw[below], np.repeat(own, p.each[own]))), pack(p.trained[below])]
                         yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, (pa.int32(), pa.int64(), *[pa.binary()] * 5), strict=True)], ["part", "block", "u", "v", "each", "w", "n"])
 
     return blocks.mapInArrow(tidy(work), "part int, block long, u binary, v binary, each binary, w binary, n binary")
@@ -227,6 +246,8 @@ def _replies(requests: DataFrame, parts: int) -> DataFrame:
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in runs_of(batches, "part"):
             u, v, each, w, n = ([unpack(r.pop(c)) for r in rows] for c in ("u", "v", "each", "w", "n"))
+            v = [_summed(x, g) for x, g in zip(v, u, strict=True)]
+            w = [_summed(x, np.repeat(np.arange(len(e)), e.astype(np.int64))) for x, e in zip(w, each, strict=True)]
             sizes, under = [len(x) for x in u], [len(x) for x in w]
             u, v, w, n = (np.concatenate(x) for x in (u, v, w, n))
             each = np.concatenate(each).astype(np.int64)
@@ -252,22 +273,22 @@ def _replies(requests: DataFrame, parts: int) -> DataFrame:
             at, below = np.cumsum([0, *sizes]), np.cumsum([0, *under])
             for i, row in enumerate(rows):
                 own, its = context[at[i] : at[i + 1]], trigram[below[i] : below[i + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([part], pa.int32()), *(pa.array([pack(x)], pa.binary()) for x in (count[own], lower[own], share[its]))], ["block", "part", "count", "lower", "share"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([part], pa.int32()), *(pa.array([pack_values(x)], pa.list_(pa.binary())) for x in (count[own] | lower[own].astype(np.uint32) << np.uint32(16), share[its]))], ["block", "part", "context", "share"])
 
     dealt_rows = requests.repartition(parts, "part").sortWithinPartitions("part", "block")
-    return dealt_rows.mapInArrow(tidy(answer), "block long, part int, count binary, lower binary, share binary")
+    return dealt_rows.mapInArrow(tidy(answer), "block long, part int, context array<binary>, share array<binary>")
 
 
 def score(docs: DataFrame, learn: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; learns from the rows that `learn` marks."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = stored(_blocks(id_text(docs, learn.alias("learned"))), "tokens")
+    blocks = stored(_blocks(id_text(docs, learn.alias("learned")), parts), "tokens")
     counted = stored(asked(blocks, parts, dealt, _numbered(parts), lambda keys, sums: [int(sums.sum()), int((sums > 0).sum())]), "word-counts")
     total, distinct = counted.agg(F.coalesce(F.sum(F.get("figures", F.lit(0))), F.lit(0)), F.coalesce(F.sum(F.get("figures", F.lit(1))), F.lit(0))).first()
-    known = answered(blocks, counted)
+    known = answered(blocks.drop("keys", "sums"), counted)
     replies = _replies(_requests(known, parts), parts)
-    own = replies.groupBy("block").agg(F.collect_list(F.struct("part", "count", "lower", "share")).alias("grams"))
+    own = replies.groupBy("block").agg(F.collect_list(F.struct("part", "context", "share")).alias("grams"))
     whole = total + ADDED * (distinct + 1)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,10 +296,10 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
             for row in batch.to_pylist():
                 p = Positions(row, parts)
                 given = sorted(row["grams"], key=lambda g: g["part"])
-                count, lower, share = np.zeros(len(p.cu), np.uint16), np.zeros(len(p.cu), np.uint16), np.zeros(len(p.cw), np.uint16)
-                count[p.contexts] = np.concatenate([unpack(g["count"]) for g in given])
-                lower[p.contexts] = np.concatenate([unpack(g["lower"]) for g in given])
-                share[p.trigrams] = np.concatenate([unpack(g["share"]) for g in given])
+                both, share = np.zeros(len(p.cu), np.uint32), np.zeros(len(p.cw), np.uint16)
+                both[p.contexts] = np.concatenate([unpack_values(g["context"]) for g in given])
+                share[p.trigrams] = np.concatenate([unpack_values(g["share"]) for g in given])
+                count, lower = both & np.uint32(0xFFFF), both >> np.uint32(16)
                 context = p.of_context[p.trigram]
                 here = np.flatnonzero(p.token)
                 words = p.counts.astype(np.float64)
