@@ -287,14 +287,15 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     counted = stored(asked(blocks, parts, dealt, _numbered(parts), lambda keys, sums: [int(sums.sum()), int((sums > 0).sum())]), "word-counts")
     total, distinct = counted.agg(F.coalesce(F.sum(F.get("figures", F.lit(0))), F.lit(0)), F.coalesce(F.sum(F.get("figures", F.lit(1))), F.lit(0))).first()
     known = answered(blocks.drop("keys", "sums"), counted)
-    replies = _replies(_requests(known, parts), parts)
+    shards = 2 * parts  # n-grams are several times the words that `parts` is meant for
+    replies = _replies(_requests(known, shards), shards)
     own = replies.groupBy("block").agg(F.collect_list(F.struct("part", "context", "share")).alias("grams"))
     whole = total + ADDED * (distinct + 1)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                p = Positions(row, parts)
+                p = Positions(row, shards)
                 given = sorted(row["grams"], key=lambda g: g["part"])
                 both, share = np.zeros(len(p.cu), np.uint32), np.zeros(len(p.cw), np.uint16)
                 both[p.contexts] = np.concatenate([unpack_values(g["context"]) for g in given])
