@@ -50,3 +50,42 @@ def suppress(rows: DataFrame, key: str, threshold: float = 0.45) -> DataFrame:
 
     kept = F.aggregate("boxes", F.slice("boxes", 1, 0), keep)
     return grouped.select(key, F.explode(kept).alias("b")).select(key, "b.id", "b.label", "b.confidence")
+
+
+def mask_shares(a: Column, b: Column) -> Column:
+    """(left, right, both): pixels of two masks and of what they share; a mask is an array of (start, stop) runs of pixel numbers.
+
+    One sweep over the runs' edges in order. Runs may come in any order and overlap; null masks, null and empty runs hold no pixels.
+    """
+    kind = "array<struct<start:bigint,stop:bigint>>"
+
+    def edges(mask: Column, left: int, right: int) -> Column:
+        runs = F.filter(F.coalesce(mask.cast(kind), F.array().cast(kind)), lambda r: r["stop"] > r["start"])
+        edge = lambda at, sign: F.struct(at.alias("at"), F.lit(sign * left).alias("a"), F.lit(sign * right).alias("b"))
+        return F.flatten(F.transform(runs, lambda r: F.array(edge(r["start"], 1), edge(r["stop"], -1))))
+
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("at"), F.lit(0).alias("a"), F.lit(0).alias("b"), zero.alias("left"), zero.alias("right"), zero.alias("both"))
+
+    def step(s: Column, e: Column) -> Column:
+        n = e["at"] - s["at"]
+        add = lambda name, when: (s[name] + F.when(when, n).otherwise(0)).alias(name)
+        return F.struct(e["at"].alias("at"), (s["a"] + e["a"]).alias("a"), (s["b"] + e["b"]).alias("b"), add("left", s["a"] > 0), add("right", s["b"] > 0), add("both", (s["a"] > 0) & (s["b"] > 0)))
+
+    ordered = F.array_sort(F.concat(edges(a, 1, 0), edges(b, 0, 1)))
+    return F.aggregate(ordered, start, step, lambda s: F.struct(s["left"].alias("left"), s["right"].alias("right"), s["both"].alias("both")))
+
+
+def mask_iou(shares: Column) -> Column:
+    union = shares["left"] + shares["right"] - shares["both"]
+    return F.when(union > 0, shares["both"] / union).otherwise(0.0)
+
+
+def mask_containment(shares: Column) -> Column:
+    smaller = F.least(shares["left"], shares["right"])
+    return F.when(smaller > 0, shares["both"] / smaller).otherwise(0.0)
+
+
+def overlap_map(c: Column) -> Column:
+    """Overlaps by region id from a JSON text; none where it is no JSON object, and 0 for what is no number."""
+    return F.coalesce(F.transform_values(F.from_json(c, "map<string,string>"), lambda _, v: F.coalesce(v.try_cast("double"), F.lit(0.0))), F.create_map().cast("map<string,double>"))

@@ -100,3 +100,14 @@ def role(kind: str) -> str:
 def plausible(c: str) -> str:
     key = identifier(c)
     return f"(length({key}) BETWEEN 5 AND 24 AND regexp_matches({key}, '[A-Z]') AND regexp_matches({key}, '[0-9]'))"
+
+
+def matching_ratio(source: str, left: str, right: str, name: str = "ratio") -> str:
+    """CTEs that give `name` (a, b, ratio) for the distinct pairs of non-blank texts of a source: longest block first, then both sides of it."""
+    sizes = "list_transform(range(1, len(x) + 1), lambda i: len(list_filter(range(1, len(x) - i + 2), lambda n: contains(y, substr(x, i, n)))))"
+    sized = f"(SELECT *, {sizes} AS sizes FROM {name}_parts WHERE x <> '' AND y <> '')"
+    best = f"(SELECT *, list_max(sizes) AS m, list_position(sizes, list_max(sizes)) AS i FROM {sized})"
+    return f"""{name}_parts(a, b, x, y) AS (SELECT DISTINCT {left}, {right}, {left}, {right} FROM {source}
+      UNION ALL SELECT a, b, unnest([substr(x, 1, i - 1), substr(x, i + m)]), unnest([substr(y, 1, instr(y, substr(x, i, m)) - 1), substr(y, instr(y, substr(x, i, m)) + m)]) FROM {best} WHERE m > 0),
+    {name} AS (SELECT DISTINCT {left} AS a, {right} AS b, coalesce(2.0 * m / (length({left}) + length({right})), CASE WHEN {left} = {right} THEN 1.0 ELSE 0.0 END) AS ratio
+      FROM {source} LEFT JOIN (SELECT a, b, CAST(sum(m) AS DOUBLE) AS m FROM {best} GROUP BY 1, 2) s ON s.a = {left} AND s.b = {right})"""
