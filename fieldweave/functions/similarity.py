@@ -203,3 +203,11 @@ def normalised_presence(value: Column, text: Column) -> Column:
     unsure = (v != "") & (t != "") & ~F.contains(t, v)
     ratio = window_ratio(F.when(unsure, v), F.when(unsure, t))
     return F.when(v == "", None).when(t == "", 0.0).when(F.contains(t, v), 1.0).otherwise(ratio)
+
+
+def collector_reading(text: Column, source: Column, least: float = 0.55) -> Column:
+    """(verdict, agreement) of the reading of a collector's region: an initial will do, or enough likeness to what the sheet's own text says."""
+    value = T.clean(text)
+    agreement = text_similarity(text, source)
+    verdict = F.when(value == "", "empty_output").when(value.rlike(r"(?:^|\s)[A-Z]\."), "collector_initial").when(agreement >= least, "collector_ocr_agreement").otherwise("collector_unconfirmed")
+    return F.struct(verdict.alias("verdict"), agreement.alias("agreement"))
