@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.files import stage_or
+from .ledger import resumed
 
 
 def csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -31,11 +31,8 @@ def stages(frames: dict[str, DataFrame], folder: str, prefix: str = "") -> dict[
 
 
 def checkpointed(spark: SparkSession, asked: DataFrame, path: str, key: str, work) -> DataFrame:
-    """What `work` gives for the asked rows; those whose key a former run has written aren't done again."""
-    done = stage_or(spark, path, lambda: asked.limit(0).select(key))
-    fresh = work(asked.join(done.select(key).distinct(), key, "left_anti"))
-    fresh.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    """What `work` gives for the asked rows; those whose key a former run has written aren't done again (see ledger.resumed)."""
+    return resumed(spark, asked, path, [key], work)
 
 
 def cached(spark: SparkSession, asked: DataFrame, path: str, key: str, look_up) -> DataFrame:

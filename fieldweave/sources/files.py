@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean
+from ..operators.splits import stratified
 
 # First bytes of image files by suffix, and suffixes that stay in names.
 MAGIC = {"jpg": b"\xff\xd8\xff", "png": b"\x89PNG\r\n\x1a\n", "gif": b"GIF8", "webp": b"RIFF", "tif": b"II*\x00", "tiff": b"II*\x00"}
@@ -62,10 +63,12 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 
 def stage_or(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
-    """The stage's Parquet folder if it was written before, else what `compute` gives."""
+    """The stage's folder if it was written before (text-typed where its name ends in .csv, else Parquet), else what `compute` gives."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     held = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.parquet(path) if held.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")) else compute()
+    if not held.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+        return compute()
+    return records(spark, path, []) if path.endswith(".csv") else spark.read.parquet(path)
 
 
 def splits(spark: SparkSession, paths: dict[str, str], key: str) -> DataFrame:
@@ -78,6 +81,23 @@ def splits(spark: SparkSession, paths: dict[str, str], key: str) -> DataFrame:
     return both
 
 
+def frozen(spark: SparkSession, paths: dict[str, str], key: str, stratum: str, sizes: dict[str, int], seed: int) -> tuple[DataFrame, DataFrame]:
+    """Frozen splits, those with a smaller size drawn down in proportion to their strata, and (split, stratum, n) of what is left.
+
+    Rows of a blank stratum are a stratum of their own; an error if two splits share a key.
+    """
+    whole = splits(spark, paths, key)
+    parts = []
+    for i, name in enumerate(paths):
+        own = whole.filter(F.col("split") == name)
+        if name in sizes:
+            drawn = stratified(own, key, stratum, sizes[name], seed + i)
+            own = own.join(drawn.select(key).distinct(), key, "left_semi")
+        parts.append(own)
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    return rows, rows.groupBy("split", F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"))
+
+
 def by_family(spark: SparkSession, folder: str, families: list[str], suffix: str = "_outputs.jsonl") -> DataFrame:
     """Lines of the files of the first family that has any, with their file; of any family if none has."""
     lines = spark.read.option("recursiveFileLookup", "true").text(folder).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))
