@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
-# Field names, words for true and false, labels, roles, thresholds, months and institution prefixes.
+# Field names, words for true and false, labels, roles, thresholds, patterns and shapes, and months.
 FIELDS = ["catalogNumber", "scientificName", "recordedBy", "eventDate", "country", "stateProvince", "decimalLatitude", "decimalLongitude", "typeStatus"]
 COORDINATES = ["decimalLatitude", "decimalLongitude"]
 FALSE_WORDS = ["", "0", "false", "f", "no", "n", "none", "nan"]
@@ -24,6 +24,11 @@ THRESHOLDS = {
     "annotation_label": 0.10, "handwritten_data": 0.08, "type_label": 0.08, "stamp": 0.08,
 }
 ROLE_BONUS = {"identifier_child": 18.0, "identifier_parent": 12.0, "primary_label": 15.0, "annotation": 8.0}
+IDENTIFIER_PATTERNS = [r"\b([A-Z]{1,5}\d{5,})\b", r"\b([A-Z]{1,4}[- ]?\d{5,})\b"]
+DATE_PATTERNS = [r"\b(\d{4}-\d{2}-\d{2})\b", r"\b(\d{4}-\d{2})\b", r"\b(18\d{2}|19\d{2}|20\d{2})\b"]
+LATITUDE_PATTERNS = [r"lat(?:itude)?\s*[:=]?\s*(-?\d{1,2}\.\d+)", r"\b(-?\d{1,2}\.\d+)\s*,\s*-?\d{1,3}\.\d+"]
+LONGITUDE_PATTERNS = [r"lon(?:gitude)?\s*[:=]?\s*(-?\d{1,3}\.\d+)", r"\b-?\d{1,2}\.\d+\s*,\s*(-?\d{1,3}\.\d+)"]
+STRICT_IDENTIFIER, LOOSE_IDENTIFIER = r"[A-Z]{1,4}\d{5,12}", "[A-Z0-9]{6,16}"
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 MONTH_NAMES = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "sept"]
 
@@ -100,7 +105,7 @@ def plausible_identifier(c: Column) -> Column:
 def shape_score(c: Column, prefixes: list[str]) -> Column:
     """How much a value looks like an identifier, of an institution with `prefixes` if there are any."""
     key = T.identifier_key(c)
-    shape = F.when(key.rlike(r"^[A-Z]{1,4}\d{5,12}$"), 35.0).when(key.rlike("^[A-Z0-9]{6,16}$"), 10.0).otherwise(-20.0)
+    shape = F.when(key.rlike(f"^{STRICT_IDENTIFIER}$"), 35.0).when(key.rlike(f"^{LOOSE_IDENTIFIER}$"), 10.0).otherwise(-20.0)
     own = F.lit(0.0)
     if prefixes:
         any_of = "|".join(prefixes)
@@ -244,11 +249,20 @@ def tile_starts(length: Column, tile: int, overlap: float) -> Column:
     return F.when(last <= 0, F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.concat(steps, F.array(last.cast("long")))))
 
 
+def identifier_in(text: Column) -> Column:
+    """The first identifier of a text without blanks and hyphens; blank if there is none."""
+    return F.regexp_replace(T.first_match(text, IDENTIFIER_PATTERNS), "[ -]", "")
+
+
+def date_in(text: Column) -> Column:
+    """The first date, month or year of a text; blank if there is none."""
+    return T.first_match(text, DATE_PATTERNS)
+
+
 def coordinates(text: Column) -> Column:
     """(latitude, longitude) of a text: named ones, a pair with a comma, or the first two neighbouring numbers in range."""
     first = lambda patterns: T.first_match(text, patterns)
-    lat = first([r"lat(?:itude)?\s*[:=]?\s*(-?\d{1,2}\.\d+)", r"\b(-?\d{1,2}\.\d+)\s*,\s*-?\d{1,3}\.\d+"])
-    lon = first([r"lon(?:gitude)?\s*[:=]?\s*(-?\d{1,3}\.\d+)", r"\b-?\d{1,2}\.\d+\s*,\s*(-?\d{1,3}\.\d+)"])
+    lat, lon = first(LATITUDE_PATTERNS), first(LONGITUDE_PATTERNS)
     numbers = F.transform(F.regexp_extract_all(text, F.lit(r"(-?\d{1,3}\.\d+)"), 1), lambda x: x.cast("double"))
     pairs = F.zip_with(numbers, F.slice(numbers, 2, F.greatest(F.size(numbers) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     found = F.get(F.filter(pairs, lambda p: p["a"].between(-90, 90) & p["b"].between(-180, 180)), F.lit(0))

@@ -85,3 +85,8 @@ def test_streamed_windows(spark, tmp_path):
     run = windows.counts(stream, "ts", "kind", "1 hour", "10 minutes").writeStream.format("memory").queryName("windowed").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert [(r.kind, r.n) for r in spark.table("windowed").collect()] == [("a", 2)]
+
+
+@pytest.mark.parametrize(("text", "identifier", "date"), [("Sheet E00633257 of 1921-03", "E00633257", "1921-03"), ("BM 000625315 in 1899", "BM000625315", "1899"), ("BM-000625315", "BM000625315", ""), ("BM\t000625315 2100", "", ""), ("x", "", ""), ("2001-02-03 and 1999", "", "2001-02-03")])
+def test_identifiers_and_dates_in_texts(spark, text, identifier, date):
+    assert one(spark, R.identifier_in(L(text))) == identifier and one(spark, R.date_in(L(text))) == date
