@@ -7,7 +7,7 @@ that the training leaves out calibrates the probabilities. What reaches the driv
 languages and `sample_rows`.
 
 A null text or one without a letter is `und` with score 0, as is everything if nothing can be learned; a null doc_id is kept;
-repeated rows are judged row by row; ties go to the first language in alphabetical order; extra columns are ignored.
+repeated rows are drawn and judged row by row, whatever their doc_id; ties go to the first language in alphabetical order; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, ship, sub_batches, texts_of
+from .common import id_text, ship, stored, sub_batches, texts_of
 
 FEATURES = 1 << 14
 SHARDS = 6
@@ -116,6 +116,18 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return best[1]
 
 
+def drawn(learn: DataFrame, n: int, most: int) -> DataFrame:
+    """At most `most` of the n rows, with a draw of their own each: repeated rows and rows of one doc_id are drawn one by one.
+
+    Twice as many as needed are written first, so that the draws stay as they are; the least `most` of those count.
+    """
+    marked = learn.select("text", "lang", F.xxhash64(F.coalesce("doc_id", F.lit(0)), "text", F.monotonically_increasing_id()).alias("draw"))
+    share = min(1.0, (2 * most + 100) / n)
+    held = stored(marked.filter(F.col("draw") < int(-(1 << 63) + share * (1 << 64)) if share < 1 else F.lit(True)), "drawn")
+    last = held.select("draw").orderBy("draw").limit(most).agg(F.max("draw")).first()[0]
+    return held.filter(F.col("draw") <= last)
+
+
 def fit(learn: DataFrame, sample_rows: int = 4000, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01) -> dict:
     """learn: doc_id, text, lang (not null)."""
     langs = sorted(r["lang"] for r in learn.select("lang").distinct().collect())
@@ -124,9 +136,7 @@ def fit(learn: DataFrame, sample_rows: int = 4000, epochs: int = 3, alpha: float
     model = {"langs": langs, "idf": idf, "weights": np.zeros((FEATURES, max(1, len(langs))), np.float32), "temperature": 1.0}
     if not n:
         return model
-    draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(9)), F.lit(1 << 40))
-    sample = learn.filter(draw < -(-(1 << 40) * sample_rows // n) if n > sample_rows else F.lit(True))
-    sample = sample.select("text", "lang", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(10)), F.lit(SHARDS + 1)).cast("int").alias("shard"))
+    sample = drawn(learn, n, sample_rows).select("text", "lang", F.pmod(F.xxhash64("draw"), F.lit(SHARDS + 1)).cast("int").alias("shard"))
     sent = learn.sparkSession.sparkContext.broadcast((langs, idf))
     kind = pa.schema([("shard", pa.int32()), ("at", pa.int32()), ("values", pa.list_(pa.float64()))])
 
