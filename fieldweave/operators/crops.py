@@ -43,7 +43,7 @@ def duplicate_pairs(regions: DataFrame) -> DataFrame:
     overlaps = F.col("overlaps") if has_masks else F.create_map().cast("map<string,double>")
     side = regions.select("record", "place", "id", R.component_role(F.col("label")).alias("role"), T.alnum_key(reading(F.col("decoded"), F.col("text"))).alias("key"), F.struct(*BOX).alias("box"), F.coalesce(overlaps, F.create_map().cast("map<string,double>")).alias("overlaps"))
     a, b = F.col("a.box"), F.col("b.box")
-    touch = (a["x0"] < b["x1"]) & (b["x0"] < a["x1"]) & (a["y0"] < b["y1"]) & (b["y0"] < a["y1"])
+    touch = geometry.touching(a, b)
     mask = F.greatest(F.coalesce(F.try_element_at("a.overlaps", F.col("b.id")), F.lit(0.0)), F.coalesce(F.try_element_at("b.overlaps", F.col("a.id")), F.lit(0.0)))
     pairs = side.alias("a").join(side.alias("b"), (F.col("a.record") == F.col("b.record")) & (F.col("a.place") > F.col("b.place")) & (touch | (mask > 0)))
     roles = F.array("a.role", "b.role")

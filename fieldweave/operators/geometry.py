@@ -29,6 +29,17 @@ def iou_millionths(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.floor((2 * both * 1_000_000 + union) / (2 * union)) / 1e6).otherwise(0.0)
 
 
+def touching(a: Column, b: Column) -> Column:
+    """Whether boxes share a point inside both."""
+    return (a["x0"] < b["x1"]) & (b["x0"] < a["x1"]) & (a["y0"] < b["y1"]) & (b["y0"] < a["y1"])
+
+
+def reaches_millionth(a: Column, b: Column) -> Column:
+    """Whether iou_millionths() is over 0, without a division."""
+    both = intersection(a, b).cast("long")
+    return (both > 0) & (both * 2_000_001 >= area(a).cast("long") + area(b).cast("long"))
+
+
 def containment(a: Column, b: Column) -> Column:
     """Share of the smaller box that lies in the other; 0 for an empty box."""
     smaller = F.least(area(a), area(b))

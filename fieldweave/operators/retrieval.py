@@ -70,42 +70,47 @@ def tfidf(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query", d
     return _ranked(tfidf_scores(queries, corpus, query, doc, text), queries, corpus, k, query, doc)
 
 
-def dense(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, most: int = 4096, within: str | None = None) -> DataFrame:
+def _packed(rows: DataFrame, most: int) -> DataFrame:
+    """(key, vector, group) rows as blocks of up to `most`: keys, vectors end to end as doubles, groups."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), most):
+                part = batch.slice(at, most)
+                flat = part.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([flat.tobytes()], pa.binary()), pa.array([part.column(2).to_pylist()], pa.list_(pa.string()))], ["keys", "flat", "groups"])
+
+    return rows.mapInArrow(pack, "keys array<long>, flat binary, groups array<string>")
+
+
+def dense(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, most: int = 1024, within: str | None = None) -> DataFrame:
     """The k other vectors of largest inner product of each query, from all of the corpus; with `within`, from the rows that share its non-blank value.
 
-    Queries travel in blocks of at most `most` to every task; a task scores a batch of rows against a block and keeps the k
-    best of each query, so that tasks x queries x k rows meet.
+    Queries and corpus travel as blocks of up to `most` vectors; every block of the one meets every block of the other in
+    some task, which keeps the k best of each query, so that corpus blocks x queries x k rows are ranked. Nothing passes
+    through the driver. Rows without a vector are left out.
     """
-    group = T.clean(F.col(within)) if within else F.lit("")
-    asked = [(r[0], r[1], r[2]) for r in queries.select(key, vector, group).toLocalIterator()]
-    kinds = "query long, doc long, score double"
-    found = None
-    for at in range(0, len(asked), most):
-        block = asked[at : at + most]
-        ids, wanted, groups = np.array([x[0] for x in block], np.int64), np.array([x[1] for x in block], np.float64), [x[2] for x in block]
-
-        def best(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, wanted: np.ndarray = wanted, groups: list[str] = groups) -> Iterator[pa.RecordBatch]:
-            top = [[] for _ in ids]
-            for batch in batches:
-                if not len(batch):
-                    continue
-                docs = batch.column(0).to_numpy(zero_copy_only=False)
-                rows = np.array(batch.column(1).to_pylist(), np.float64)
+    side = lambda f: f.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector, (T.clean(F.col(within)) if within else F.lit("")).alias("_group"))
+    asked = _packed(side(queries), most).select(F.col("keys").alias("q_keys"), F.col("flat").alias("q_flat"), F.col("groups").alias("q_groups"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                docs, ids = np.array(row["keys"], np.int64), np.array(row["q_keys"], np.int64)
+                rows, wanted = (np.frombuffer(row[c], np.float64).reshape(n, -1) for c, n in (("flat", len(docs)), ("q_flat", len(ids))))
                 scores = np.round(wanted @ rows.T, 5)
-                named = np.array(batch.column(2).to_pylist(), object)
-                for i, own in enumerate(scores):
-                    order = np.lexsort((docs, -own))
-                    if within:
-                        order = order[named[order] == groups[i]] if groups[i] else order[:0]
-                    order = order[: k + 1]
-                    top[i] = sorted([*top[i], *((-own[j], int(docs[j])) for j in order if docs[j] != ids[i])])[:k]
-            flat = [(int(q), d, float(-s)) for q, t in zip(ids, top, strict=True) for s, d in t]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in flat], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query", "doc", "score"])
-
-        part = corpus.select(key, vector, group.alias("_group")).mapInArrow(best, kinds)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return queries.sparkSession.createDataFrame([], kinds + ", rank int")
+                scores[ids[:, None] == docs[None, :]] = -np.inf
+                if within:
+                    own, other = np.array(row["q_groups"], object), np.array(row["groups"], object)
+                    scores[(own[:, None] != other[None, :]) | (own == "")[:, None]] = -np.inf
+                order = np.argsort(docs, kind="stable")
+                first = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
+                found = np.take_along_axis(scores, first, 1)
+                held = np.isfinite(found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, held.sum(1))), pa.array(docs[first][held]), pa.array(found[held])], ["query", "doc", "score"])
+
+    met = _packed(side(corpus), most).crossJoin(asked)  # blocks, not rows
+    found = met.mapInArrow(best, "query long, doc long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc")))
     return ranked.filter(F.col("rank") <= k)
 

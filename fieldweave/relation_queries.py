@@ -247,7 +247,7 @@ def box_containment(spark: SparkSession, sf: str) -> DataFrame:
 
     x0, y0 = F.col("l_linenumber") * 10, F.round("l_quantity").cast("int")
     boxes = _lines(spark, sf).select("l_orderkey", F.col("l_linenumber").alias("id"), F.struct(x0.cast("long").alias("x0"), y0.cast("long").alias("y0"), (x0 + 20 + F.col("l_partkey") % 40).alias("x1"), (y0 + 20 + F.col("l_suppkey") % 40).alias("y1")).alias("box"))
-    pairs = boxes.alias("a").join(boxes.alias("b"), "l_orderkey").filter("a.id < b.id")
+    pairs = boxes.alias("a").join(boxes.alias("b"), "l_orderkey").filter("a.id < b.id").filter(geometry.touching(F.col("a.box"), F.col("b.box")))
     i, s = geometry.intersection(F.col("a.box"), F.col("b.box")), F.least(geometry.area(F.col("a.box")), geometry.area(F.col("b.box")))
     return pairs.filter(i > 0).select("l_orderkey", F.col("a.id").alias("a"), F.col("b.id").alias("b"), (F.floor((2 * i * 1_000_000 + s) / (2 * s)) / 1e6).alias("contained"))
 
