@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import authority_queries, comparison_queries, crop_queries, evaluation_queries, field_queries, reconcile_queries, records, relation_queries
+from . import authority_queries, comparison_queries, crop_queries, evaluation_queries, field_queries, file_queries, reconcile_queries, records, relation_queries
 from .functions import fields as R
 from .functions import text as T
 from .operators import evaluate, evidence, geometry, graph, retrieval, splits
@@ -254,9 +254,9 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT l_orderkey, upper(regexp_replace(reading, '[^A-Za-z0-9]+', '', 'g')) AS key, count(*) AS votes, count(DISTINCT l_returnflag) AS sources, first(reading ORDER BY length(reading), l_linenumber) AS value FROM r GROUP BY 1, 2)
             SELECT *, votes * 10 + sources AS score, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY votes * 10 + sources DESC, key) AS INT) AS rank FROM k WHERE key <> ''""",
         "hourly_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
-    } | records.oracle_sql() | field_queries.register.sql | evaluation_queries.register.sql | relation_queries.register.sql | reconcile_queries.register.sql | crop_queries.register.sql | authority_queries.register.sql | comparison_queries.register.sql
+    } | records.oracle_sql() | field_queries.register.sql | evaluation_queries.register.sql | relation_queries.register.sql | reconcile_queries.register.sql | crop_queries.register.sql | authority_queries.register.sql | comparison_queries.register.sql | file_queries.register.sql
 
 
 def queries() -> dict:
     named = [eval_summary, eval_stratified, eval_gates, normalize_text, normalize_ids, type_status, rule_extract, ordered_text_agg, consensus, topk_regions, split_summary, leakage_check, lexical_topk, box_overlap, box_iou, graph_edges, usage_by_status, hourly_counts, paired_deltas, normalize_dates, json_repair, stratified_sample, tertiles, tfidf_topk, ranked_candidates]
-    return {f.__name__: f for f in named} | records.queries() | field_queries.register.queries | evaluation_queries.register.queries | relation_queries.register.queries | reconcile_queries.register.queries | crop_queries.register.queries | authority_queries.register.queries | comparison_queries.register.queries
+    return {f.__name__: f for f in named} | records.queries() | field_queries.register.queries | evaluation_queries.register.queries | relation_queries.register.queries | reconcile_queries.register.queries | crop_queries.register.queries | authority_queries.register.queries | comparison_queries.register.queries | file_queries.register.queries

@@ -11,6 +11,7 @@ from .functions import similarity
 from .functions import text as T
 from .operators import crops, geometry
 from .registry import Register
+from .sinks.places import new_path
 from .sources.files import table
 
 register = Register()
@@ -149,7 +150,7 @@ def _hit(field: str) -> str:
     return f"({field} <> '' AND coalesce({S.alnum('evidence')} <> '' AND contains({S.alnum('evidence')}, {S.alnum(field)}), FALSE))"
 
 
-@register.add(f"""WITH RECURSIVE {_CHOICE}, {_duplicates('r', 'd')}, {_settled('r', 'd')},
+_COUNTED = f"""{_CHOICE}, {_duplicates('r', 'd')}, {_settled('r', 'd')},
     single AS (SELECT 'all' AS branch, * FROM r UNION ALL SELECT 'hierarchical', r.* FROM r WHERE NOT EXISTS (SELECT 1 FROM d_gone g WHERE g.record = r.record AND g.place = r.place)),
     in_role AS (SELECT *, row_number() OVER (PARTITION BY branch, record, role ORDER BY utility DESC, place) AS k FROM single),
     ordered AS (SELECT *, row_number() OVER (PARTITION BY branch, record ORDER BY CASE WHEN k = 1 THEN {_TURN} ELSE 4 END, utility DESC, place) AS input_order FROM in_role WHERE k <= {_QUOTA}),
@@ -160,8 +161,11 @@ def _hit(field: str) -> str:
     packets AS (SELECT branch, record, packet, count(*) AS images, count(*) FILTER (WHERE said <> '') AS usable, count(DISTINCT CASE WHEN {S.alnum('said')} <> '' THEN {S.alnum('said')} END) AS different,
       string_agg(CASE WHEN said <> '' THEN said END, chr(10) || 'EVIDENCE_BOUNDARY' || chr(10) ORDER BY input_order) AS evidence FROM chosen GROUP BY ALL),
     refs AS (SELECT o_orderkey AS record, {', '.join(f"coalesce({v}, '') AS {k}" for k, v in _REFERENCE.items())} FROM orders),
-    wide AS (SELECT b.branch, f.*, coalesce(images, 0) AS images, coalesce(usable, 0) AS usable, coalesce(different, 0) AS different, evidence, coalesce(n, 0) AS twins FROM (SELECT 'all' AS branch UNION ALL SELECT 'hierarchical') b CROSS JOIN refs f LEFT JOIN packets p ON p.branch = b.branch AND p.record = f.record LEFT JOIN twins t ON t.packet = p.packet),
-    counted AS (SELECT *, {' + '.join(f"CAST({k} <> '' AS BIGINT)" for k in _REFERENCE)} AS known, {' + '.join(f'CAST({_hit(k)} AS BIGINT)' for k in _REFERENCE)} AS hits, {_hit('catalogNumber')} AS catalog_hit FROM wide),
+    wide AS (SELECT b.branch, f.*, coalesce(images, 0) AS images, coalesce(usable, 0) AS usable, coalesce(different, 0) AS different, evidence, coalesce(t.n, 0) AS twins FROM (SELECT 'all' AS branch UNION ALL SELECT 'hierarchical') b CROSS JOIN refs f LEFT JOIN packets p ON p.branch = b.branch AND p.record = f.record LEFT JOIN twins t ON t.packet = p.packet),
+    counted AS (SELECT *, {' + '.join(f"CAST({k} <> '' AS BIGINT)" for k in _REFERENCE)} AS known, {' + '.join(f'CAST({_hit(k)} AS BIGINT)' for k in _REFERENCE)} AS hits, {_hit('catalogNumber')} AS catalog_hit FROM wide)"""
+
+
+@register.add(f"""WITH RECURSIVE {_COUNTED},
     refused AS (SELECT count(*) FILTER (WHERE gate NOT IN ('direct_text_evidence', 'vision_only_high_confidence')) AS evidence, count(*) AS candidates FROM passing SEMI JOIN refs USING (record)),
     gone AS (SELECT count(*) AS n FROM d_gone SEMI JOIN refs USING (record)), good AS (SELECT count(*) AS n FROM r SEMI JOIN refs USING (record))
     SELECT branch, count(*) AS record_count, CAST(any_value(candidates) AS BIGINT) AS candidate_count, CAST(sum(images) AS BIGINT) AS selected_crop_count, round(sum(images) / count(*), 4) AS mean_input_images_per_record, count(*) FILTER (WHERE images = 0) AS records_without_input,
@@ -170,7 +174,29 @@ def _hit(field: str) -> str:
       CAST(any_value(good.n) - CASE WHEN branch = 'all' THEN 0 ELSE any_value(gone.n) END - sum(images) AS BIGINT) AS quota_rejection_count FROM counted, refused, gone, good GROUP BY branch""")
 def crop_branches(spark: SparkSession, sf: str) -> DataFrame:
     """Two ways of choosing regions, compared by what their packets hold."""
+    return _tables(spark, sf)["branches"]
+
+
+def _tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     regions = _regions(spark, sf)
-    decisions = crops.choose(regions, "all", False).unionByName(crops.choose(regions, "hierarchical", True))
+    # Written once: the tables count the same decisions in several ways.
+    path = new_path(spark, "decisions")
+    crops.choose(regions, "all", False).unionByName(crops.choose(regions, "hierarchical", True)).drop("masks").write.parquet(path)
+    decisions = spark.read.parquet(path)
     references = table(spark, sf, "orders").selectExpr("o_orderkey AS record", *(f"{v} AS {k}" for k, v in _REFERENCE.items()))
-    return crops.tables(decisions, references)["branches"]
+    return crops.tables(decisions, references)
+
+
+@register.add(f"""WITH RECURSIVE {_COUNTED}, f AS ({' UNION ALL '.join(f"SELECT branch, '{k}' AS field, {k} <> '' AS known, {_hit(k)} AS hit FROM wide" for k in _REFERENCE)})
+    SELECT branch, field, count(*) FILTER (WHERE known) AS reference_available_count, count(*) FILTER (WHERE hit) AS evidence_hit_count, CASE WHEN count(*) FILTER (WHERE known) > 0 THEN round(count(*) FILTER (WHERE hit) / count(*) FILTER (WHERE known), 4) ELSE 0 END AS evidence_hit_rate FROM f GROUP BY 1, 2""")
+def crop_field_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each field's value stands in the packets of each branch."""
+    return _tables(spark, sf)["field_summary"]
+
+
+@register.add(f"""WITH RECURSIVE {_COUNTED}, refused AS (SELECT record, count(*) AS n, count(*) FILTER (WHERE gate IN ('direct_text_evidence', 'vision_only_high_confidence')) AS good FROM passing GROUP BY 1)
+    SELECT branch, c.record, coalesce(n, 0) AS candidate_count, coalesce(good, 0) AS evidence_accepted_count, images AS input_image_count, usable AS ocr_usable_crop_count, different AS unique_text_count, CAST(twins AS BIGINT) AS selected_duplicate_pair_count, CASE WHEN images > 0 THEN round(usable / images, 6) ELSE 0 END AS ocr_usable_rate,
+      CASE WHEN usable > 0 THEN round(different / usable, 6) ELSE 0 END AS text_uniqueness_rate, known AS reference_field_count, hits AS field_evidence_hit_count, CASE WHEN known > 0 THEN round(hits / known, 6) ELSE 0 END AS field_evidence_hit_rate, catalog_hit AS catalog_number_evidence_hit FROM counted c LEFT JOIN refused r ON r.record = c.record""")
+def crop_records(spark: SparkSession, sf: str) -> DataFrame:
+    """What each branch's packet of each record holds."""
+    return _tables(spark, sf)["records"]

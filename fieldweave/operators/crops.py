@@ -130,18 +130,22 @@ def tables(decisions: DataFrame, references: DataFrame, fields: list[str] = EVID
     lines = F.filter(F.array_sort(F.collect_list(F.struct("input_order", said.alias("said")))), lambda x: x["said"] != "")
     keys = F.filter(F.collect_set("said_key"), lambda x: x != "")
     packets = selected.groupBy("branch", "record").agg(F.count("*").alias("input_image_count"), F.count_if(said != "").alias("ocr_usable_crop_count"), F.size(keys).cast("long").alias("unique_text_count"), F.array_join(F.transform(lines, lambda x: x["said"]), "\nEVIDENCE_BOUNDARY\n").alias("evidence"))
+    packets = packets.withColumn("evidence_key", T.alnum_key(F.col("evidence")))
     # Pairs are looked for within a branch's packet.
     packet = F.struct("branch", "record")
     twins = duplicate_pairs(selected.withColumn("record", packet).withColumn("place", F.col("input_order"))).groupBy("record").agg(F.count("*").alias("selected_duplicate_pair_count")).select("record.branch", F.col("record.record").alias("record"), "selected_duplicate_pair_count")
-    all_of = branches.crossJoin(references.select("record", *(T.clean(F.col(f)).alias(f) for f in fields)))  # a handful of branches by name
+    # What a value may look like is worked out once a record; only dates have several forms.
+    forms = lambda f: R.evidence_variants(F.lit(f), F.col(f)) if f == "eventDate" else F.filter(F.array(T.alnum_key(T.clean(F.col(f)))), lambda x: x != "")
+    wanted = references.select("record", F.array(*(F.struct(F.lit(f).alias("field"), T.clean(F.col(f)).alias("value"), forms(f).alias("forms")) for f in fields)).alias("wanted"))
+    all_of = branches.crossJoin(wanted)  # a handful of branches by name
     joined = all_of.join(packets, ["branch", "record"], "left").join(counts, ["branch", "record"], "left").join(twins, ["branch", "record"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
-    joined = joined.withColumn("evidence", T.alnum_key(T.clean(F.col("evidence"))))
+    joined = joined.withColumn("evidence", F.coalesce("evidence_key", F.lit("")))
 
     def looked_for(x: Column) -> Column:
-        return F.struct(x["field"].alias("field"), x["value"].alias("reference_value"), (x["value"] != "").alias("reference_available"), ((x["value"] != "") & R.evidence_hit(x["field"], x["value"], F.col("evidence"))).alias("evidence_hit"))
+        return F.struct(x["field"].alias("field"), x["value"].alias("reference_value"), (x["value"] != "").alias("reference_available"), ((x["value"] != "") & F.exists(x["forms"], lambda v: F.contains("evidence", v))).alias("evidence_hit"))
 
-    known = F.transform(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields)), looked_for)
+    known = F.transform("wanted", looked_for)
     numbers = ["candidate_count", "evidence_accepted_count", "input_image_count", "ocr_usable_crop_count", "unique_text_count", "selected_duplicate_pair_count"]
     refusals = ["rejected_evidence_count", "rejected_duplicate_count", "rejected_quota_count"]
     wide = joined.select("branch", "record", *(zero(n).alias(n) for n in numbers + refusals), known.alias("known"))
