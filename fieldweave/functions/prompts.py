@@ -16,7 +16,7 @@ def headed(text: Column, header: Column, region: Column, labelled: bool = True)
 
 
 def hypotheses_header(candidates: Column) -> Column:
-    """The header of a reading that several readings of one crop agree or disagree on."""
+    """The header of a reading that several readings of one crop agree or disagree on; its wording is a fixed value."""
     many = F.when(F.size(candidates) > 1, "true").otherwise("false")
     return F.concat(F.lit("FIELD=catalog_number; SOURCE=tesseract_crop_ensemble; candidate_count="), F.size(candidates).cast("string"), F.lit("; ambiguous="), many, F.lit("; ranked_hypotheses=true"))
 
