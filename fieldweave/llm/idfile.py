@@ -12,7 +12,6 @@ ignored; an empty table gives empty files.
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .blocks import gathered
 from .common import id_text, shared_dir, stored, sub_batches, texts_of
 from .tokens import Library
 
@@ -29,6 +29,8 @@ CHECKPOINT = 512
 BLOCK_IDS = 1 << 20
 #: Longest code word; the look-up table has 2**MAX_BITS entries.
 MAX_BITS = 18
+#: Text bytes whose pieces are told apart at once.
+SLICE_BYTES = 4 << 20
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -135,8 +137,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = Library.of(tokenizer, pattern)
         kind = "<u2" if library.vocab_size <= 1 << 16 else "<u4"
-        for batch in batches:
-            for part in sub_batches(batch):
+        for batch in gathered(batches, SLICE_BYTES):
+            for part in sub_batches(batch, SLICE_BYTES):
                 ids, ends = library.encode(texts_of(part))
                 ids = np.insert(ids, ends[1:], end_id).astype(kind)
                 offsets = ((ends + np.arange(len(ends))) * ids.itemsize).astype(np.int32)
@@ -237,6 +239,3 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def new_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/fieldweave/idfile-{uuid.uuid4().hex}"
 
-
-def crc(ids: bytes) -> int:
-    return zlib.crc32(ids)
