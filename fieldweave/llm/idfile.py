@@ -30,7 +30,7 @@ BLOCK_IDS = 1 << 20
 #: Longest code word; the look-up table has 2**MAX_BITS entries.
 MAX_BITS = 18
 #: Text bytes whose pieces are told apart at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
