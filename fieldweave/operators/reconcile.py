@@ -36,8 +36,12 @@ def validated(fields: DataFrame, regions: DataFrame, record: str, region: str) -
 
 
 def overridden(fields: DataFrame, resolved: DataFrame, record: str, field: str) -> DataFrame:
-    """The resolved value (record, value, review) takes the place of the field's own; one of another key becomes an alternative and asks for review."""
-    better = resolved.filter(T.clean(F.col("value")) != "").select(record, F.lit(field).alias("field"), F.col("value").alias("_value"), F.col("review").alias("_review"))
+    """The resolved value (record, value, review) takes the place of the field's own; one of another key becomes an alternative and asks for review.
+
+    Of several values of a record the greatest counts; any of its rows may ask for review.
+    """
+    one = resolved.filter(T.clean(F.col("value")) != "").groupBy(record).agg(F.max("value").alias("_value"), F.bool_or("review").alias("_review"))
+    better = one.withColumn("field", F.lit(field))
     joined = fields.join(better, [record, "field"], "left")
     taken = F.col("_value").isNotNull()
     differs = taken & (F.col("value") != "") & (T.identifier_key(F.col("value")) != T.identifier_key(F.col("_value")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sqltext as S
+from .functions import text as T
 from .operators import reconcile, retrieval, sets
 from .registry import Register
 from .sources.files import table
@@ -51,7 +52,7 @@ def overridden_fields(spark: SparkSession, sf: str) -> DataFrame:
     """A resolved value in place of a field's own."""
     fields, conv = _fields(spark, sf), F.col("conv_id")
     regions = reconcile.region_texts(_readings(spark, sf), "conv_id", "region", "turn", "text")
-    made = F.when(conv % 3 == 0, "").when(conv % 3 == 1, F.concat(F.lit("B-"), conv)).otherwise(F.trim("value"))
+    made = F.when(conv % 3 == 0, "").when(conv % 3 == 1, F.concat(F.lit("B-"), conv)).otherwise(T.clean(F.col("value")))
     resolved = fields.filter("field = 'field0'").select("conv_id", made.alias("value"), (conv % 5 == 0).alias("review"))
     done = reconcile.overridden(reconcile.validated(fields, regions, "conv_id", "region"), resolved, "conv_id", "field0")
     return done.select("conv_id", "field", "value", F.array_join("alternatives", ";").alias("alternatives"), "review")
