@@ -13,7 +13,8 @@ from .functions import text as T
 from .operators import evaluate, splits
 from .operators.review import HIGH_RISK
 from .registry import Register
-from .sources.files import table
+from .sinks.places import new_path
+from .sources.files import dealt, table
 
 register = Register()
 
@@ -50,7 +51,7 @@ def _span(method: str, field: str, said: str, gold: str) -> str:
 
 def _inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     said = lambda x: F.expr(x.format(ymd="date_format(o_orderdate, 'yyyy-MM-dd')", dmy="date_format(o_orderdate, 'd/M/yyyy')"))
-    orders = table(spark, sf, "orders")
+    orders = dealt(table(spark, sf, "orders"), _K)
     parts = []
     for method, read in _READ.items():
         spans = F.struct(*(said(_span(method, f, read[f], _GOLD[f])).alias(f) for f in NAMES))
@@ -133,17 +134,20 @@ _PROXY = f"""proxies AS (SELECT o_orderkey, avg(v) AS score FROM (SELECT o_order
 def eval_by_tertile(spark: SparkSession, sf: str) -> DataFrame:
     """Means by method, tertile of the evidence and field, with the number of records."""
     _, gold, evidence = _inputs(spark, sf)
-    held = evaluate.prepared(gold.join(evidence, _K))
+    held = evaluate.prepared(gold.join(evidence.hint("merge"), _K))
     known = held.select(_K, F.inline(F.array(*(F.struct(evaluate.proxy(T.normalize_eval(F.col(f))).alias("v")) for f in NAMES))))
-    thirds = splits.tertiles(known.groupBy(_K).agg(F.avg("v").alias("score")), "score", key=_K).select(_K, "tertile")
+    # Written once: the edges of the thirds take several passes over the scores.
+    path = new_path(spark, "scores")
+    known.groupBy(_K).agg(F.avg("v").alias("score")).write.parquet(path)
+    thirds = splits.tertiles(spark.read.parquet(path), "score", key=_K).select(_K, "tertile")
     mean = lambda c: F.round(F.avg(c), 6).alias(c)
-    return _detail(spark, sf).join(thirds, _K).groupBy("method", "tertile", "field").agg(mean("exact_match"), mean("token_f1"), mean("coverage"), F.count_distinct(_K).alias("n_records"))
+    return _detail(spark, sf).join(thirds.hint("merge"), _K).groupBy("method", "tertile", "field").agg(mean("exact_match"), mean("token_f1"), mean("coverage"), F.count_distinct(_K).alias("n_records"))
 
 
 @register.add(_DETAIL + f", {_PROXY.split(',' + chr(10))[0].replace('proxies AS (SELECT o_orderkey, avg(v) AS score FROM (SELECT o_orderkey,', 'f AS (SELECT field,').replace(') GROUP BY 1)', ')')} SELECT field, round(avg(v), 6) AS proxy, count(v) AS n FROM f GROUP BY 1")
 def proxy_by_field(spark: SparkSession, sf: str) -> DataFrame:
     """Mean and number of evidence scores of gold values, by field."""
     _, gold, evidence = _inputs(spark, sf)
-    held = evaluate.prepared(gold.join(evidence, _K))
+    held = evaluate.prepared(gold.join(evidence.hint("merge"), _K))
     known = held.select(F.inline(F.array(*(F.struct(F.lit(f).alias("field"), evaluate.proxy(T.normalize_eval(F.col(f))).alias("v")) for f in NAMES))))
     return known.groupBy("field").agg(F.round(F.avg("v"), 6).alias("proxy"), F.count("v").alias("n"))

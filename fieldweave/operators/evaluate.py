@@ -47,9 +47,10 @@ def fields(predicted: DataFrame, gold: DataFrame, evidence: DataFrame, names: li
 
     `predicted` has record, method, the fields, struct columns `spans` and `confidences` by field, warning (boolean) and
     not_evaluated (boolean); `gold` has record and the fields; `evidence` has record, evidence_text, and the arrays
-    barcodes and readings of identifiers seen. Records without gold are left out.
+    barcodes and readings of identifiers seen. Records without gold are left out. All three grow alike, so none is broadcast.
     """
-    held = predicted.join(prepared(gold.select(record, F.struct(*names).alias("gold_of")).join(evidence, record, "left")), record)
+    known_of = gold.select(record, F.struct(*names).alias("gold_of")).join(evidence.hint("merge"), record, "left")
+    held = predicted.join(prepared(known_of).hint("merge"), record)
     one = lambda f: F.struct(F.lit(f).alias("field"), T.clean(F.col(f)).alias("pred"), T.clean(F.col(f"gold_of.{f}")).alias("gold"), T.clean(F.col(f"spans.{f}")).alias("span"), F.col(f"confidences.{f}").alias("confidence"))
     rows = held.select(record, "method", "warning", "not_evaluated", "barcodes", "readings", "evidence_normal", "evidence_words", F.inline(F.array(*map(one, names))))
     f, pred, gold_, span = F.col("field"), F.col("pred"), F.col("gold"), F.col("span")

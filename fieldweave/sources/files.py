@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt to tasks by key, before long work on each: one split of a Parquet file holds millions of narrow rows."""
+    return rows.repartition(F.col(key))
+
+
 def records(spark: SparkSession, path: str, required: list[str], key: str | None = None) -> DataFrame:
     """A CSV of strings, every cell clean; blanks for required columns that it lacks; new keys for all rows if any key is blank.
 
