@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..packaging import ship
+
 
 def macro_micro(rows: DataFrame, group: str, field: str, value: Column) -> DataFrame:
     """The mean of the field means, the mean of all rows, and the mean of the rows above zero, by group."""
@@ -62,27 +65,45 @@ def mean_vectors(rows: DataFrame, group: str, vector: str) -> DataFrame:
 DRAWS = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
 
 
-def bootstrap(rows: DataFrame, group: str, record: str, value: str, n: int = 500) -> DataFrame:
+def times_drawn(records: list[str], n: int) -> np.ndarray:
+    """How often each of n resamples draws each record (records x n), by digests of 16 bytes that give four draws each."""
+    ends = [f"|{i}".encode() for i in range(-(-n // 4))]
+    own = b"".join([hashlib.md5(r + e, usedforsecurity=False).digest() for r in (x.encode() for x in records) for e in ends])
+    chance = np.frombuffer(own, ">u4").astype(np.uint32).reshape(len(records), -1)[:, :n]
+    times = np.zeros(chance.shape, np.int8)
+    for least in DRAWS:
+        times += chance >= np.uint32(math.ceil(least * 2.0**32))
+    return times
+
+
+def bootstrap(rows: DataFrame, group: str, record: str, value: str, n: int = 500, most: int = 1024) -> DataFrame:
     """Mean over records with the 2.5 and 97.5 percentiles of n resamples, by group.
 
-    How often a record is drawn follows from its digest, so no record travels: each task keeps n sums a group.
+    How often a record is drawn follows from its digest, so each task keeps n sums a group. A record's groups lie next to
+    each other, so that its digests are worked out once; `most` rows at a time are multiplied out.
     """
-    records = rows.groupBy(group, record).agg(F.avg(value).alias("mean")).filter("mean is not null")
+    ship(rows.sparkSession)
+    records = rows.repartition(F.col(record)).groupBy(group, record).agg(F.avg(value).alias("mean")).filter("mean is not null")
 
     def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of a task: what each group adds to each draw. One digest gives four draws."""
+        """Sums of a task: what each group adds to each draw."""
         total: dict[object, np.ndarray] = {}
         for batch in batches:
-            for name, record_, mean in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                own = b"".join(hashlib.md5(f"{record_}|{i}".encode()).digest() for i in range(-(-n // 4)))
-                times = np.searchsorted(DRAWS, np.frombuffer(own, ">u4")[:n] / 2.0**32, side="right")
-                total.setdefault(name, np.zeros((2, n)))[:] += (times * mean, times)
+            for at in range(0, len(batch), most):
+                part = batch.slice(at, most)
+                own = pa.array(part.column(1).fill_null("None")).dictionary_encode()
+                times = times_drawn(own.dictionary.to_pylist(), n)
+                place, mean, names = own.indices.to_numpy(), part.column(2).to_numpy(), np.array(part.column(0).to_pylist(), object)
+                for name in set(names):
+                    held = np.array([x == name for x in names])
+                    drawn = times[place[held]].astype(np.float64)
+                    total.setdefault(name, np.zeros((2, n)))[:] += (mean[held] @ drawn, drawn.sum(0))
         for name, (sums_, counts) in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * n, kind), pa.array(np.arange(n)), pa.array(sums_), pa.array(counts)], ["name", "draw", "s", "c"])
 
     field = records.schema[group].dataType
     kind = to_arrow_type(field)
-    drawn = records.select(group, F.col(record).cast("string"), "mean").mapInArrow(resample, f"name {field.simpleString()}, draw long, s double, c double")
+    drawn = records.sortWithinPartitions(record).select(group, F.col(record).cast("string"), "mean").mapInArrow(resample, f"name {field.simpleString()}, draw long, s double, c double")
     sums = drawn.groupBy(F.col("name").alias(group), "draw").agg((F.sum("s") / F.sum("c")).alias("resampled"))
     ends = sums.groupBy(group).agg(*(F.round(F.percentile("resampled", F.lit(p)), 6).alias(name) for p, name in ((0.025, "low"), (0.975, "high"))))
     means = records.groupBy(group).agg(F.round(F.avg("mean"), 6).alias("mean"), F.count("*").alias("n_records"))

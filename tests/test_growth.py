@@ -1,10 +1,11 @@
 """Joins and tasks that grow with the tables: nothing whole through the driver, no long work in the few splits of a file."""
 
 import contextlib
+import hashlib
 import io
 
 from fieldweave import catalog
-from fieldweave.operators import reconcile
+from fieldweave.operators import reconcile, summaries
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +26,11 @@ def test_one_resolved_value_a_record(spark):
     resolved = spark.createDataFrame([(1, "B-1", False), (1, "B-2", True), (1, " ", False)], "r int, value string, review boolean")
     got = reconcile.overridden(fields, resolved, "r", "a").collect()
     assert [(g["value"], list(g["alternatives"]), g["review"]) for g in got] == [("B-2", ["x"], True)]
+
+
+def test_draws_of_many_records_at_once():
+    records, n = ["7", "é", "None"], 10
+    for record, row in zip(records, summaries.times_drawn(records, n)):
+        own = b"".join(hashlib.md5(f"{record}|{i}".encode()).digest() for i in range(3))
+        chances = [int.from_bytes(own[4 * i : 4 * i + 4], "big") / 2**32 for i in range(n)]
+        assert [int(x) for x in row] == [sum(c >= least for least in summaries.DRAWS) for c in chances]
