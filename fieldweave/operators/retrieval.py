@@ -13,7 +13,8 @@ from ..functions import text as T
 
 
 def _terms(rows: DataFrame, key: str, text: str) -> DataFrame:
-    return rows.select(F.col(key), F.explode(T.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    """Words of each key with their counts. Texts travel once, by key: sums and ranks by key then need no further shuffle while the other side is small."""
+    return rows.select(F.col(key), F.col(text)).repartition(F.col(key)).select(F.col(key), F.explode(T.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
 def _ranked(scored: DataFrame, queries: DataFrame, corpus: DataFrame, k: int, query: str, doc: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import contextlib
 import hashlib
 import io
+import re
 
 from fieldweave import catalog
 from fieldweave.operators import reconcile, summaries
@@ -34,3 +35,8 @@ def test_draws_of_many_records_at_once():
         own = b"".join(hashlib.md5(f"{record}|{i}".encode()).digest() for i in range(3))
         chances = [int.from_bytes(own[4 * i : 4 * i + 4], "big") / 2**32 for i in range(n)]
         assert [int(x) for x in row] == [sum(c >= least for least in summaries.DRAWS) for c in chances]
+
+
+def test_scores_of_a_query_need_no_shuffle_of_pairs(spark):
+    for name in ("lexical_topk", "tfidf_topk"):
+        assert not re.search(r"Exchange hashpartitioning\(query#\d+L?, (doc|term)#", plan(catalog.queries()[name](spark, SF))), name
