@@ -51,8 +51,9 @@ def like(left: DataFrame, right: DataFrame, threshold: float, within: str | None
     """(key, of, cosine): pairs of keys whose letter groups have a cosine of `threshold` at least; with `within`, of the same value there.
 
     Groups are put in order of rarity. A pair that reaches the threshold shares at least threshold**2 of either side's groups,
-    so it shares one of the n - ceil(threshold**2 * n) + 1 rarest of each: only these are joined, within the bounds on sizes,
-    and the full sets confirm. Common groups are among the rarest of few names, so their joins stay small.
+    so it shares one of the n - ceil(threshold**2 * n) + 1 rarest of each: only these are joined, within the bounds on sizes
+    and on what can still be shared after the places where they meet (a pair's first meeting is within them); the full sets
+    confirm. Only the keys travel: their groups are taken from them again.
     """
     block = F.col(within) if within else F.lit("")
     keyed = lambda f: f.select("key", block.alias("block")).distinct().withColumn("groups", letter_groups(F.col("key")))
@@ -62,12 +63,14 @@ def like(left: DataFrame, right: DataFrame, threshold: float, within: str | None
     def rarest(f: DataFrame, name: str) -> DataFrame:
         ranked = f.select("key", "block", F.size("groups").alias("size"), F.explode("groups").alias("g")).join(seen, "g").groupBy("key", "block", "size").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("order"))
         first = F.slice("order", F.lit(1), (F.col("size") - F.ceil(F.col("size") * threshold * threshold - 1e-9) + 1).cast("int"))
-        return ranked.select(F.col("key").alias(name), "block", F.col("size").alias(f"size_{name}"), F.transform("order", lambda x: x["g"]).alias(f"all_{name}"), F.explode(first).alias("rare")).select(name, "block", f"size_{name}", f"all_{name}", F.col("rare.g").alias("g"))
+        return ranked.select(F.col("key").alias(name), "block", F.col("size").alias(f"size_{name}"), F.posexplode(first).alias(f"at_{name}", "rare")).select(name, "block", f"size_{name}", f"at_{name}", F.col("rare.g").alias("g"))
 
     least = threshold * threshold
     sizes = (F.col("size_of") >= F.col("size_key") * least - 1e-9) & (F.col("size_key") >= F.col("size_of") * least - 1e-9)
-    met = rarest(a, "key").join(rarest(b, "of"), ["block", "g"]).filter(sizes).dropDuplicates(["key", "of", "block"])
-    cosine = F.size(F.array_intersect("all_key", "all_of")) / F.sqrt(F.col("size_key").cast("double") * F.col("size_of"))
+    root = F.sqrt(F.col("size_key").cast("double") * F.col("size_of"))
+    shareable = F.least(F.col("size_key") - F.col("at_key"), F.col("size_of") - F.col("at_of"))
+    met = rarest(a, "key").join(rarest(b, "of"), ["block", "g"]).filter(sizes & (shareable >= root * threshold - 1e-6)).select("key", "of", "block", "size_key", "size_of").distinct()
+    cosine = F.size(F.array_intersect(letter_groups(F.col("key")), letter_groups(F.col("of")))) / root
     return met.select("key", "of", *([F.col("block").alias(within)] if within else []), F.round(cosine, 9).alias("cosine")).filter(F.col("cosine") >= threshold)
 
 

@@ -3,10 +3,11 @@
 import contextlib
 import hashlib
 import io
+import math
 import re
 
 from fieldweave import catalog
-from fieldweave.operators import reconcile, summaries
+from fieldweave.operators import authority, reconcile, summaries
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +41,13 @@ def test_draws_of_many_records_at_once():
 def test_scores_of_a_query_need_no_shuffle_of_pairs(spark):
     for name in ("lexical_topk", "tfidf_topk"):
         assert not re.search(r"Exchange hashpartitioning\(query#\d+L?, (doc|term)#", plan(catalog.queries()[name](spark, SF))), name
+
+
+def test_like_names_meet_as_keys_alone(spark):
+    names = spark.createDataFrame([(n,) for n in ("Rosa canina alba", "Rosa canina albo", "Abies alba", "Rosa canina")], "key string")
+    met = authority.like(names, names, 0.7)
+    assert not re.search(r"all_(key|of)", plan(met))
+    groups = lambda s: {f" {s} "[i : i + 3] for i in range(len(s))}
+    keys = [r["key"] for r in names.collect()]
+    alike = lambda a, b: len(groups(a) & groups(b)) / math.sqrt(len(groups(a)) * len(groups(b)))
+    assert {(r["key"], r["of"]) for r in met.collect()} == {(a, b) for a in keys for b in keys if alike(a, b) >= 0.7}
