@@ -96,7 +96,8 @@ def dense(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int,
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(len(batch)):
+                row = batch.slice(at, 1).to_pylist()[0]  # one pair of blocks at a time: a batch holds many
                 docs, ids = np.array(row["keys"], np.int64), np.array(row["q_keys"], np.int64)
                 rows, wanted = (np.frombuffer(row[c], np.float64).reshape(n, -1) for c, n in (("flat", len(docs)), ("q_flat", len(ids))))
                 scores = np.round(wanted @ rows.T, 5)
