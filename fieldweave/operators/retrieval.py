@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..packaging import ship
 
 
 def _terms(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -117,22 +119,117 @@ def dense(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int,
     return ranked.filter(F.col("rank") <= k)
 
 
+#: Words (rows of key and word) that a slice of queries or of the corpus holds on average, and words of one product of blocks.
+SLICE_WORDS = 1 << 20
+BLOCK, BLOCK_WORDS = 512, 2048
+
+
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Halves away from zero, as SQL rounds."""
+    return np.trunc(x * 10.0**digits + np.copysign(0.5, x)) / 10.0**digits
+
+
+class _Side:
+    """Rows of one slice as arrays: ids, vectors (NaN without one), groups, and words end to end with their counts and weights."""
+
+    def __init__(self, part: pa.Table, n_docs: int, corpus: bool):
+        self.ids = part.column("id").to_numpy()
+        self.group = np.array(part.column("g").to_pylist(), object)
+        vectors = part.column("v").to_pylist()
+        width = max((len(v) for v in vectors if v is not None), default=0)
+        self.vector = np.array([[np.nan] * width if v is None or len(v) != width else v for v in vectors], np.float64).reshape(len(part), width)
+        words, n, df = (part.column(c).combine_chunks() for c in ("words", "n", "df"))
+        self.row = np.repeat(np.arange(len(part)), np.diff(words.offsets.to_numpy()))
+        self.word, self.n, df = words.flatten().to_numpy(), n.flatten().to_numpy().astype(np.float64), df.flatten().to_numpy().astype(np.float64)
+        idf = lambda d: np.log((1.0 + n_docs) / (1.0 + d)) + 1.0
+        self.asked = self.n * idf(df + 1)
+        plain = self.n * idf(df) if corpus else self.asked
+        self.shift = self.asked**2 - plain**2
+        total = lambda w: np.bincount(self.row, w, len(part))
+        self.counts, self.norm = total(self.n**2), total(plain**2)
+
+    def words_of(self, first: int, last: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the rows from first to last: places in the arrays, rows from 0, and words as places in `known`; others are left out."""
+        at = np.arange(*np.searchsorted(self.row, [first, last]))
+        place = np.minimum(np.searchsorted(known, self.word[at]), max(len(known) - 1, 0))
+        held = known[place] == self.word[at] if len(known) else np.zeros(len(at), bool)
+        return at[held], self.row[at[held]] - first, place[held]
+
+
+def _text_means(q: _Side, d: _Side, q0: int, q1: int, d0: int, d1: int) -> np.ndarray:
+    """Mean of both text cosines of the queries q0 to q1 and documents d0 to d1; 0 where no word is shared."""
+    shape = (q1 - q0, d1 - d0)
+    common = np.intersect1d(q.word[slice(*np.searchsorted(q.row, [q0, q1]))], d.word[slice(*np.searchsorted(d.row, [d0, d1]))])
+    plain, dot, shift = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+    for start in range(0, len(common), BLOCK_WORDS):
+        known = common[start : start + BLOCK_WORDS]
+
+        def laid(side: _Side, first: int, last: int, *weights: np.ndarray | float, known: np.ndarray = known) -> Iterator[np.ndarray]:
+            at, row, word = side.words_of(first, last, known)
+            for w in weights:
+                out = np.zeros((last - first, len(known)))
+                out[row, word] = w[at] if isinstance(w, np.ndarray) else w
+                yield out
+
+        for total, a, b in zip((plain, dot, shift), laid(q, q0, q1, q.n, q.asked, 1.0), laid(d, d0, d1, d.n, d.asked, d.shift), strict=True):
+            total += a @ b.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        lexical_ = plain / (np.sqrt(q.counts[q0:q1])[:, None] * np.sqrt(d.counts[d0:d1])[None, :])
+        tfidf_ = dot / np.sqrt(q.norm[q0:q1][:, None] * (d.norm[d0:d1][None, :] + shift))
+    return np.where(plain > 0, (_rounded(lexical_, 6) + _rounded(tfidf_, 6)) / 2, 0.0)
+
+
 def hybrid(queries: DataFrame, corpus: DataFrame, key: str, vector: str, text: str, group: str, k: int, weights: tuple[float, float, float] = (0.45, 0.45, 0.10)) -> DataFrame:
     """The k other rows of highest sum of inner product, mean of both text cosines, and a bonus for an equal non-blank group, weighted.
 
-    A row that shares no word with a query has its inner product and perhaps the bonus alone, so the k best such rows are
-    among the k nearest of all rows and of the rows of the group; only these and the rows that share a word are scored.
+    Nearly every query shares a word with nearly every row, so pairs never become rows: slices of queries and of the corpus,
+    cut by their number of words, meet in one task for each pair of slices, are multiplied block by block there, and only the
+    k best of each query leave it. Words are told apart by 64-bit hashes. Rows without a key are left out; those without a
+    vector have no score and come last.
     """
-    as_query, as_doc = queries.select(F.col(key).alias("query"), F.col(text).alias("text")), corpus.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    both = lexical_scores(as_query, as_doc).unionByName(tfidf_scores(as_query, as_doc)).filter("query <> doc")
-    near = dense(queries, corpus, key, vector, k).unionByName(dense(queries, corpus, key, vector, k, within=group))
-    pairs = both.unionByName(near.select("query", "doc", F.lit(0.0).alias("score"))).groupBy("query", "doc").agg((F.sum("score") / 2).alias("text_similarity"))
-    side = lambda f, name: f.select(F.col(key).alias(name), F.col(vector).alias(f"{name}_vector"), T.clean(F.col(group)).alias(f"{name}_group"))
-    joined = pairs.join(side(queries, "query"), "query").join(side(corpus, "doc"), "doc")
-    product = F.zip_with("query_vector", "doc_vector", lambda a, b: a.cast("double") * b.cast("double"))
-    visual = F.round(F.aggregate(product, F.lit(0.0), lambda a, b: a + b), 5)
-    bonus = ((F.col("query_group") != "") & (F.col("query_group") == F.col("doc_group"))).cast("double")
-    scored = joined.select("query", "doc", visual.alias("visual_similarity"), F.round("text_similarity", 7).alias("text_similarity"), bonus.alias("group_bonus"))
-    total = sum(w * F.col(c) for w, c in zip(weights, ("visual_similarity", "text_similarity", "group_bonus"), strict=True))
-    ranked = scored.withColumn("score", F.round(total, 9)).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc")))
+    ship(queries.sparkSession)
+    asked, rows = queries.filter(F.col(key).isNotNull()), corpus.filter(F.col(key).isNotNull())
+    n_docs = rows.select(key).count() + 1
+    hashed = lambda f: _terms(f, key, text).select(F.col(key), F.xxhash64("term").alias("word"), "n")
+    words = hashed(rows)
+    df = words.groupBy("word").agg(F.count("*").cast("int").alias("df"))
+
+    def side(f: DataFrame, own: DataFrame) -> tuple[DataFrame, int]:
+        slices = max(1, -(-own.count() // SLICE_WORDS))
+        held = own.join(df, "word", "left").groupBy(key).agg(F.collect_list(F.struct("word", F.col("n").cast("int").alias("n"), F.coalesce("df", F.lit(0)).alias("df"))).alias("w"))
+        columns = f.select(F.col(key), F.col(vector).cast("array<double>").alias("v"), T.clean(F.col(group)).alias("g")).join(held, key, "left")
+        of = lambda c, kind: F.coalesce(F.col(f"w.{c}"), F.array().cast(f"array<{kind}>")).alias(c)
+        return columns.select(F.col(key).cast("long").alias("id"), "v", "g", of("word", "long").alias("words"), of("n", "int"), of("df", "int"), F.pmod(F.xxhash64(key), F.lit(slices)).cast("int").alias("slice")), slices
+
+    (left, q_slices), (right, d_slices) = side(asked, hashed(asked)), side(rows, words)
+    cell = lambda f, at, n: f.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")).select("*", at.alias("cell")).drop("slice", "other")
+    left, right = cell(left, F.col("slice") * d_slices + F.col("other"), d_slices), cell(right, F.col("other") * d_slices + F.col("slice"), q_slices)
+    names = ["query", "doc", "visual_similarity", "text_similarity", "group_bonus", "score"]
+    schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), *[pa.float64()] * 4], strict=True)))
+
+    def best(asked_: pa.Table, rows_: pa.Table) -> pa.Table:
+        out = []
+        if len(asked_) and len(rows_):
+            q, d = _Side(asked_, n_docs, False), _Side(rows_.take(pa.compute.sort_indices(rows_.column("id"))), n_docs, True)
+            for q0 in range(0, len(q.ids), BLOCK):
+                q1 = min(q0 + BLOCK, len(q.ids))
+                ids, kept = q.ids[q0:q1], None
+                for d0 in range(0, len(d.ids), BLOCK):
+                    d1 = min(d0 + BLOCK, len(d.ids))
+                    docs = np.broadcast_to(d.ids[d0:d1], (q1 - q0, d1 - d0))
+                    own, other = q.group[q0:q1], d.group[d0:d1]
+                    parts = _rounded(q.vector[q0:q1] @ d.vector[d0:d1].T, 5) if q.vector.shape[1] == d.vector.shape[1] else np.full(docs.shape, np.nan), _rounded(_text_means(q, d, q0, q1, d0, d1), 7), ((own[:, None] == other[None, :]) & (own != "")[:, None]).astype(float)
+                    score = _rounded(sum(w * p for w, p in zip(weights, parts, strict=True)), 9)
+                    # Rank: -inf for what has no score, NaN for what is no hit; documents come in order, so ties stay in it.
+                    rank = np.where(docs == ids[:, None], np.nan, np.where(np.isnan(score), -np.inf, score))
+                    found = [docs, *parts, score, rank] if kept is None else [np.concatenate(x, axis=1) for x in zip(kept, [docs, *parts, score, rank], strict=True)]
+                    first = np.argsort(-found[-1], axis=1, kind="stable")[:, :k]
+                    kept = [np.take_along_axis(x, first, 1) for x in found]
+                held = ~np.isnan(kept[-1])
+                cols = [np.repeat(ids, held.sum(1)), *(x[held] for x in kept[:-1])]
+                out.append(pa.table([pa.array(c, f.type, from_pandas=True) for c, f in zip(cols, schema, strict=True)], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(best, "query long, doc long, visual_similarity double, text_similarity double, group_bonus double, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc")))
     return ranked.filter(F.col("rank") <= k)

@@ -6,8 +6,10 @@ import io
 import math
 import re
 
+from pyspark.sql import functions as F
+
 from fieldweave import catalog
-from fieldweave.operators import authority, reconcile, summaries
+from fieldweave.operators import authority, reconcile, retrieval, summaries
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +53,24 @@ def test_like_names_meet_as_keys_alone(spark):
     keys = [r["key"] for r in names.collect()]
     alike = lambda a, b: len(groups(a) & groups(b)) / math.sqrt(len(groups(a)) * len(groups(b)))
     assert {(r["key"], r["of"]) for r in met.collect()} == {(a, b) for a in keys for b in keys if alike(a, b) >= 0.7}
+
+
+def test_hybrid_pairs_never_become_rows(spark, monkeypatch):
+    """Slices and blocks of a few rows give what all pairs give; only the best of each pair of slices are ranked."""
+    monkeypatch.setattr(retrieval, "SLICE_WORDS", 7)
+    monkeypatch.setattr(retrieval, "BLOCK", 2)
+    rows = [(i, None if i == 5 else [i % 3 / 4, i % 5 / 4], None if i == 9 else " ".join(w for w in ("red", "blue", "oak", "elm", "fir") if (i * 7 + len(w) * 3 + ord(w[0])) % 4), "g" if i % 2 else "") for i in range(1, 14)]
+    corpus = spark.createDataFrame(rows, "id long, v array<double>, text string, g string")
+    queries = corpus.filter("id % 4 = 1")
+    found = retrieval.hybrid(queries, corpus, "id", "v", "text", "g", 3)
+    assert not re.search(r"hashpartitioning\(query#\d+L?, doc#", plan(found))
+    renamed = lambda f, name: f.select(F.col("id").alias(name), "text")
+    scores = lambda of: {(r["query"], r["doc"]): r["score"] for r in of(renamed(queries, "query"), renamed(corpus, "doc")).collect()}
+    words = scores(retrieval.lexical_scores), scores(retrieval.tfidf_scores)
+    want = {}
+    for q, v, _, g in rows:
+        if q % 4 == 1:
+            score = lambda r: None if v is None or r[1] is None else round(0.45 * sum(a * b for a, b in zip(v, r[1])) + 0.45 * sum(w.get((q, r[0]), 0.0) for w in words) / 2 + 0.1 * (g == r[3] != ""), 6)  # noqa: B023, E731
+            hits = sorted(((score(r), r[0]) for r in rows if r[0] != q), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))[:3]
+            want |= {(q, i + 1): hit for i, hit in enumerate(hits)}
+    assert {(r["query"], r["rank"]): (None if r["score"] is None else round(r["score"], 6), r["doc"]) for r in found.collect()} == want
