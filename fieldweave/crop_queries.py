@@ -11,7 +11,6 @@ from .functions import similarity
 from .functions import text as T
 from .operators import crops, geometry
 from .registry import Register
-from .sinks.places import new_path
 from .sources.files import dealt, table
 
 register = Register()
@@ -128,7 +127,8 @@ def deduplicated_regions(spark: SparkSession, sf: str) -> DataFrame:
 
 def _regions(spark: SparkSession, sf: str) -> DataFrame:
     source = _REGIONS.removeprefix("SELECT ").removesuffix(" FROM lineitem")
-    rows = table(spark, sf, "lineitem")
+    # Dealt by record as they are read, while rows are a few numbers; nothing below needs another exchange of regions.
+    rows = dealt(table(spark, sf, "lineitem"), "l_orderkey")
     rows.createOrReplaceTempView("_regions_lineitem")
     return spark.sql(f"SELECT {source} FROM _regions_lineitem").withColumn("overlaps", geometry.overlap_map(F.col("masks")))
 
@@ -179,12 +179,10 @@ def crop_branches(spark: SparkSession, sf: str) -> DataFrame:
 
 def _tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     regions = _regions(spark, sf)
-    # Written once: the tables count the same decisions in several ways.
-    path = new_path(spark, "decisions")
-    crops.choose(regions, "all", False).unionByName(crops.choose(regions, "hierarchical", True)).drop("masks").write.parquet(path)
-    decisions = spark.read.parquet(path)
+    branches = {"all": False, "hierarchical": True}
+    decisions = crops.choose_each(regions, branches)
     references = table(spark, sf, "orders").selectExpr("o_orderkey AS record", *(f"{v} AS {k}" for k, v in _REFERENCE.items()))
-    return crops.tables(decisions, references)
+    return crops.tables(decisions, references, branches=list(branches))
 
 
 @register.add(f"""WITH RECURSIVE {_COUNTED}, f AS ({' UNION ALL '.join(f"SELECT branch, '{k}' AS field, {k} <> '' AS known, {_hit(k)} AS hit FROM wide" for k in _REFERENCE)})

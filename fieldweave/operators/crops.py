@@ -28,10 +28,39 @@ def reading(decoded: Column, text: Column) -> Column:
     return F.when(T.clean(decoded) != "", T.clean(decoded)).otherwise(T.clean(text))
 
 
+def _order(regions: DataFrame) -> list[Column | str]:
+    """By utility, then id; equal ones by all else that decides on them, so that every run has one order."""
+    rest = [c for c in ("confidence", "masks") if c in regions.columns]
+    overlaps = [F.array_sort(F.map_entries("overlaps"))] if "overlaps" in regions.columns else []
+    return [F.desc("utility"), "id", *BOX, "label", "text", "decoded", *rest, *overlaps]
+
+
 def placed(regions: DataFrame) -> DataFrame:
-    """Regions with their place in a record: by utility, then id; equal ones by what else they have."""
-    order = [F.desc("utility"), "id", *BOX, "label", "text", "decoded"]
-    return regions.withColumn("place", F.row_number().over(Window.partitionBy("record").orderBy(*order)))
+    """Regions with their place in a record."""
+    return regions.withColumn("place", F.row_number().over(Window.partitionBy("record").orderBy(*_order(regions))))
+
+
+def _paired(regions: DataFrame, *carry: str) -> DataFrame:
+    """(record, a, b): pairs of a record's regions that overlap, or whose masks do by name, b before a. With columns to carry, records without a pair have one row."""
+    overlaps = F.col("overlaps") if "overlaps" in regions.columns else F.create_map().cast("map<string,double>")
+    role, key = R.component_role(F.col("label")), T.alnum_key(reading(F.col("decoded"), F.col("text")))
+    one = F.struct("place", "id", role.alias("role"), key.alias("key"), F.struct(*BOX).alias("box"), F.coalesce(overlaps, F.create_map().cast("map<string,double>")).alias("overlaps"))
+    # A record's regions meet in one row: rows dealt by record travel no more.
+    sheets = regions.groupBy("record").agg(F.collect_list(one).alias("all"), *(F.first(c).alias(c) for c in carry))
+    return _pairs_of(sheets, carry)
+
+
+def _mask(a: Column, b: Column) -> Column:
+    of = lambda x, y: F.coalesce(F.try_element_at(x["overlaps"], y["id"]), F.lit(0.0))
+    return F.greatest(of(a, b), of(b, a))
+
+
+def _pairs_of(sheets: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    some = F.explode_outer if carry else F.explode
+    sheets = sheets.select("record", *carry, "all", some("all").alias("a"))
+    a = F.col("a")
+    before = F.filter("all", lambda b: (b["place"] < a["place"]) & (geometry.touching(a["box"], b["box"]) | (_mask(a, b) > 0)))
+    return sheets.select("record", *carry, "a", some(before).alias("b"))
 
 
 def duplicate_pairs(regions: DataFrame) -> DataFrame:
@@ -39,29 +68,29 @@ def duplicate_pairs(regions: DataFrame) -> DataFrame:
 
     Only pairs that overlap, or whose masks do by name, are looked at; texts are compared where boxes alone don't decide.
     """
-    has_masks = "overlaps" in regions.columns
-    overlaps = F.col("overlaps") if has_masks else F.create_map().cast("map<string,double>")
-    side = regions.select("record", "place", "id", R.component_role(F.col("label")).alias("role"), T.alnum_key(reading(F.col("decoded"), F.col("text"))).alias("key"), F.struct(*BOX).alias("box"), F.coalesce(overlaps, F.create_map().cast("map<string,double>")).alias("overlaps"))
+    judged = _judged(_paired(regions))
+    return judged.filter("reason is not null")
+
+
+def _judged(pairs: DataFrame, *carry: str) -> DataFrame:
     a, b = F.col("a.box"), F.col("b.box")
-    touch = geometry.touching(a, b)
-    mask = F.greatest(F.coalesce(F.try_element_at("a.overlaps", F.col("b.id")), F.lit(0.0)), F.coalesce(F.try_element_at("b.overlaps", F.col("a.id")), F.lit(0.0)))
-    pairs = side.alias("a").join(side.alias("b"), (F.col("a.record") == F.col("b.record")) & (F.col("a.place") > F.col("b.place")) & (touch | (mask > 0)))
     roles = F.array("a.role", "b.role")
     family = F.array_contains(roles, "identifier_parent") & F.array_contains(roles, "identifier_child")
     label = (F.col("a.role") != F.col("b.role")) & F.array_contains(roles, "primary_label")
-    pairs = pairs.filter(~family & ~label).select(
-        F.col("a.record").alias("record"), F.col("a.place").alias("place"), F.col("b.place").alias("earlier"), F.col("b.id").alias("earlier_id"), (F.col("a.role") == F.col("b.role")).alias("same_role"),
-        geometry.iou(a, b).alias("iou"), geometry.containment(a, b).alias("contained"), mask.alias("mask"), F.col("a.key").alias("key"), F.col("b.key").alias("key_before"),
+    apart = F.coalesce(family | label, F.lit(False))
+    pairs = pairs.select(
+        "record", *carry, apart.alias("apart"), F.col("a.place").alias("place"), F.col("b.place").alias("earlier"), F.col("b.id").alias("earlier_id"), (F.col("a.role") == F.col("b.role")).alias("same_role"),
+        geometry.iou(a, b).alias("iou"), geometry.containment(a, b).alias("contained"), _mask(F.col("a"), F.col("b")).alias("mask"), F.col("a.key").alias("key"), F.col("b.key").alias("key_before"),
     )
     one_place = F.col("same_role") & ((F.col("iou") >= IOU) | (F.col("contained") >= CONTAINED) | (F.col("mask") >= IOU))
-    compare = ~one_place & (F.col("key") != "") & (F.col("key_before") != "") & ((F.col("contained") >= CONTAINED) | (F.col("iou") >= TOUCHING))
+    compare = ~F.col("apart") & ~one_place & (F.col("key") != "") & (F.col("key_before") != "") & ((F.col("contained") >= CONTAINED) | (F.col("iou") >= TOUCHING))
     alike = F.coalesce(similarity.matching_ratio(F.when(compare, F.col("key")), F.when(compare, F.col("key_before"))), F.lit(0.0)) >= ALIKE
-    reason = F.when(one_place, "same_role_geometry_duplicate").when(compare & alike, "same_text_cross_class_duplicate").when(F.col("iou") >= SAME_PLACE, "high_iou_class_conflict")
-    return pairs.select("record", "place", "earlier", "earlier_id", reason.alias("reason")).filter("reason is not null")
+    reason = F.when(F.col("apart"), None).when(one_place, "same_role_geometry_duplicate").when(compare & alike, "same_text_cross_class_duplicate").when(F.col("iou") >= SAME_PLACE, "high_iou_class_conflict")
+    return pairs.select("record", *carry, "place", "earlier", "earlier_id", reason.alias("reason"))
 
 
 def settled(regions: DataFrame) -> DataFrame:
-    """record, place, why (reason, of): the regions that go. In order of place, a region goes if it duplicates one that stayed; the first such one is named."""
+    """record, gone (map of place to reason and of): the regions that go. In order of place, a region goes if it duplicates one that stayed; the first such one is named."""
     hits = duplicate_pairs(regions).groupBy("record", "place").agg(F.array_sort(F.collect_list(F.struct("earlier", "reason", "earlier_id"))).alias("hits"))
     # Regions without a hit stay, so only those with one need to be settled.
     chains = hits.groupBy("record").agg(F.array_sort(F.collect_list(F.struct("place", "hits"))).alias("chain"))
@@ -71,14 +100,18 @@ def settled(regions: DataFrame) -> DataFrame:
         first = F.get(F.filter(r["hits"], lambda h: ~F.map_contains_key(out, h["earlier"])), F.lit(0))
         return F.when(first.isNull(), out).otherwise(F.map_concat(out, F.create_map(r["place"], F.struct(first["reason"].alias("reason"), first["earlier_id"].alias("of")))))
 
-    return chains.select("record", F.explode(F.aggregate("chain", start, settle)).alias("place", "why"))
+    return chains.select("record", F.aggregate("chain", start, settle).alias("gone"))
+
+
+def _with_why(regions: DataFrame, gone: DataFrame) -> DataFrame:
+    """Regions with why (reason, of): joined by record alone, by which both sides are dealt already."""
+    return regions.join(gone, "record", "left").withColumn("why", F.try_element_at("gone", F.col("place"))).drop("gone")
 
 
 def deduplicated(regions: DataFrame) -> DataFrame:
     """The regions with `place`, `duplicate_reason` and `duplicate_of`; the last two are blank for those that stay."""
     regions = placed(regions)
-    joined = regions.join(settled(regions), ["record", "place"], "left")
-    return joined.withColumn("duplicate_reason", F.coalesce("why.reason", F.lit(""))).withColumn("duplicate_of", F.coalesce("why.of", F.lit(""))).drop("why")
+    return _with_why(regions, settled(regions)).withColumn("duplicate_reason", F.coalesce("why.reason", F.lit(""))).withColumn("duplicate_of", F.coalesce("why.of", F.lit(""))).drop("why")
 
 
 def choose(regions: DataFrame, branch: str, deduplicate: bool, quotas: dict[str, int] | None = None, total: int = TOTAL, vision_only: float = 0.20) -> DataFrame:
@@ -86,21 +119,27 @@ def choose(regions: DataFrame, branch: str, deduplicate: bool, quotas: dict[str,
 
     First the evidence gate, then duplicates (if asked for), then the best of each role and the best of the rest within quotas.
     """
+    return choose_each(regions, {branch: deduplicate}, quotas, total, vision_only)
+
+
+def choose_each(regions: DataFrame, branches: dict[str, bool], quotas: dict[str, int] | None = None, total: int = TOTAL, vision_only: float = 0.20) -> DataFrame:
+    """choose() for several branches at once (name: deduplicate or not). Regions dealt by record travel no more."""
     quotas = quotas or QUOTAS
     gate = R.evidence_gate(F.col("label"), F.col("confidence"), F.col("text"), F.col("decoded"), vision_only)
     passes = F.col("gate").isin("direct_text_evidence", "vision_only_high_confidence")
     judged = regions.withColumn("role", R.component_role(F.col("label"))).withColumn("gate", gate).withColumn("passes", passes)
     # Places count those that pass apart from those that don't.
-    order = [F.desc("utility"), "id", *BOX, "label", "text", "decoded"]
-    judged = judged.withColumn("place", F.row_number().over(Window.partitionBy("record", "passes").orderBy(*order)))
-    nothing = F.lit("")
-    if deduplicate:
-        why = settled(judged.filter("passes")).withColumn("passes", F.lit(True))
-        judged = judged.join(why, ["record", "place", "passes"], "left")
+    judged = judged.withColumn("place", F.row_number().over(Window.partitionBy("record", "passes").orderBy(*_order(regions))))
+    nothing, none = F.lit(""), F.lit(None).cast("struct<reason:string,of:string>")
+    # Branches without duplicates settled keep them all.
+    if any(branches.values()):
+        judged = _with_why(judged, settled(judged.filter("passes"))).withColumn("why", F.when(F.col("passes"), F.col("why")))
     else:
-        judged = judged.withColumn("why", F.lit(None).cast("struct<reason:string,of:string>"))
+        judged = judged.withColumn("why", none)
+    each = F.array(*(F.struct(F.lit(b).alias("branch"), F.lit(d).alias("settle")) for b, d in branches.items()))
+    judged = judged.withColumn("each", F.explode(each)).withColumn("branch", F.col("each.branch")).withColumn("why", F.when(F.col("each.settle"), F.col("why")).otherwise(none)).drop("each")
     judged = judged.withColumn("single", F.col("passes") & F.col("why").isNull())
-    by = lambda *keys: Window.partitionBy("record", *keys)
+    by = lambda *keys: Window.partitionBy("record", "branch", *keys)
     quota = F.coalesce(*(F.when(F.col("role") == r, n) for r, n in quotas.items()), F.lit(0))
     turn = F.coalesce(*(F.when((F.col("role") == r) & (F.col("in_role") == 1), i) for i, r in enumerate(quotas)), F.lit(len(quotas)))
     judged = judged.withColumn("in_role", F.row_number().over(by("single", "role").orderBy(F.desc("utility"), "place"))).withColumn("within", F.col("single") & (F.col("in_role") <= quota))
@@ -108,37 +147,44 @@ def choose(regions: DataFrame, branch: str, deduplicate: bool, quotas: dict[str,
     judged = judged.withColumn("selected", F.col("within") & (F.col("input_order") <= max(total, 0)))
     status = F.when(~F.col("passes"), "rejected_evidence").when(~F.col("single"), "rejected_duplicate").when(F.col("selected"), "selected").otherwise("rejected_quota")
     reason = F.when(~F.col("passes"), F.col("gate")).when(~F.col("single"), F.col("why.reason")).when(F.col("selected"), "diverse_role_utility").otherwise("role_or_total_quota")
-    return judged.select(*regions.columns, "role", "gate", F.lit(branch).alias("branch"), status.alias("selection_status"), reason.alias("selection_reason"), F.coalesce("why.of", nothing).alias("duplicate_of"), F.when(F.col("selected"), F.col("input_order")).alias("input_order"))
+    return judged.select(*regions.columns, "role", "gate", "branch", status.alias("selection_status"), reason.alias("selection_reason"), F.coalesce("why.of", nothing).alias("duplicate_of"), F.when(F.col("selected"), F.col("input_order")).alias("input_order"))
 
 
 def _rate(n: Column, of: Column, digits: int) -> Column:
     return F.when(of > 0, F.round(n / of, digits)).otherwise(0.0)
 
 
-def tables(decisions: DataFrame, references: DataFrame, fields: list[str] = EVIDENCE_FIELDS) -> dict[str, DataFrame]:
+def tables(decisions: DataFrame, references: DataFrame, fields: list[str] = EVIDENCE_FIELDS, branches: list[str] | None = None) -> dict[str, DataFrame]:
     """records, branches, fields, field_summary: how well the branches' selected regions cover what is known of each record.
 
     `references` has record and a column for each field; every branch counts every record of it, chosen from or not.
+    Branches are those named, else all that decisions have. Decisions dealt by record travel no more.
     """
-    selected = decisions.filter("selection_status = 'selected'").withColumn("said", reading(F.col("decoded"), F.col("text"))).withColumn("said_key", T.alnum_key(F.col("said")))
-    said = F.col("said")
-    branches = decisions.select("branch").distinct()
-    counts = decisions.groupBy("branch", "record").agg(
+    names = branches if branches is not None else [r["branch"] for r in decisions.select("branch").distinct().collect()]  # a handful
+    chosen, said = F.col("selection_status") == "selected", F.when(F.col("selection_status") == "selected", reading(F.col("decoded"), F.col("text")))
+    overlaps = F.col("overlaps") if "overlaps" in decisions.columns else F.create_map().cast("map<string,double>")
+    one = F.struct(F.col("input_order").alias("place"), "id", "role", T.alnum_key(said).alias("key"), F.struct(*BOX).alias("box"), F.coalesce(overlaps, F.create_map().cast("map<string,double>")).alias("overlaps"), said.alias("said"))
+    status = lambda s: F.count_if(F.col("selection_status") == s).alias(f"{s}_count")
+    packets = decisions.groupBy("branch", "record").agg(
         F.count("*").alias("candidate_count"), F.count_if(F.col("selection_status") != "rejected_evidence").alias("evidence_accepted_count"),
-        *(F.count_if(F.col("selection_status") == s).alias(f"{s}_count") for s in ("rejected_evidence", "rejected_duplicate", "rejected_quota")),
+        *(status(s) for s in ("rejected_evidence", "rejected_duplicate", "rejected_quota")), F.collect_list(F.when(chosen, one)).alias("all"),
     )
-    lines = F.filter(F.array_sort(F.collect_list(F.struct("input_order", said.alias("said")))), lambda x: x["said"] != "")
-    keys = F.filter(F.collect_set("said_key"), lambda x: x != "")
-    packets = selected.groupBy("branch", "record").agg(F.count("*").alias("input_image_count"), F.count_if(said != "").alias("ocr_usable_crop_count"), F.size(keys).cast("long").alias("unique_text_count"), F.array_join(F.transform(lines, lambda x: x["said"]), "\nEVIDENCE_BOUNDARY\n").alias("evidence"))
-    packets = packets.withColumn("evidence_key", T.alnum_key(F.col("evidence")))
+    lines = F.transform(F.filter(F.array_sort(F.transform("all", lambda x: F.struct(x["place"].alias("place"), x["said"].alias("said")))), lambda x: x["said"] != ""), lambda x: x["said"])
+    keys = F.array_distinct(F.filter(F.transform("all", lambda x: x["key"]), lambda x: x != ""))
+    size = lambda c: F.size(c).cast("long")
+    packets = packets.withColumns({"input_image_count": size("all"), "lines": lines, "unique_text_count": size(keys)})
+    packets = packets.withColumns({"ocr_usable_crop_count": size("lines"), "evidence_key": T.alnum_key(F.array_join("lines", "\nEVIDENCE_BOUNDARY\n"))})
     # Pairs are looked for within a branch's packet.
-    packet = F.struct("branch", "record")
-    twins = duplicate_pairs(selected.withColumn("record", packet).withColumn("place", F.col("input_order"))).groupBy("record").agg(F.count("*").alias("selected_duplicate_pair_count")).select("record.branch", F.col("record.record").alias("record"), "selected_duplicate_pair_count")
+    held = ["candidate_count", "evidence_accepted_count", "rejected_evidence_count", "rejected_duplicate_count", "rejected_quota_count", "input_image_count", "ocr_usable_crop_count", "unique_text_count", "evidence_key"]
+    pairs = _judged(_pairs_of(packets.select("record", F.struct("branch", *held).alias("of_packet"), "all"), ("of_packet",)), "of_packet")
+    twins = pairs.groupBy("record", F.col("of_packet.branch").alias("branch")).agg(F.first("of_packet").alias("of_packet"), F.count("reason").alias("selected_duplicate_pair_count"))
+    sheets = twins.groupBy("record").agg(F.map_from_entries(F.collect_list(F.struct("branch", F.struct("of_packet.*", "selected_duplicate_pair_count").alias("p")))).alias("packets"))
     # What a value may look like is worked out once a record; only dates have several forms.
     forms = lambda f: R.evidence_variants(F.lit(f), F.col(f)) if f == "eventDate" else F.filter(F.array(T.alnum_key(T.clean(F.col(f)))), lambda x: x != "")
     wanted = references.select("record", F.array(*(F.struct(F.lit(f).alias("field"), T.clean(F.col(f)).alias("value"), forms(f).alias("forms")) for f in fields)).alias("wanted"))
-    all_of = branches.crossJoin(wanted)  # a handful of branches by name
-    joined = all_of.join(packets, ["branch", "record"], "left").join(counts, ["branch", "record"], "left").join(twins, ["branch", "record"], "left")
+    # By record alone, by which both sides are dealt.
+    joined = wanted.join(sheets, "record", "left").withColumn("branch", F.explode(F.array(*map(F.lit, names)).cast("array<string>"))).withColumn("p", F.try_element_at("packets", F.col("branch")))
+    joined = joined.select("branch", "record", "wanted", *(F.col(f"p.{c}").alias(c) for c in [*held, "selected_duplicate_pair_count"]))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     joined = joined.withColumn("evidence", F.coalesce("evidence_key", F.lit("")))
 

@@ -1,8 +1,13 @@
 """The choice of regions: role rules, geometry, texts and masks, gates, quotas and the tables of branches."""
 
+import contextlib
+import io
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from fieldweave import catalog
 from fieldweave.operators import crops, geometry
 
 SCHEMA = "record long, id string, label string, confidence double, text string, decoded string, utility double, x0 int, y0 int, x1 int, y1 int, overlaps map<string,double>"
@@ -82,6 +87,25 @@ def test_gate_of_empty_regions(spark):
     assert done["number"]["gate"] == "empty_evidence" and done["hand"]["gate"] == "vision_only_high_confidence"
 
 
+def test_equal_regions_have_one_order(spark):
+    """Regions alike in utility, id, box and texts are told apart by confidence and masks, in whatever order they are read."""
+    rows = [region("x", "stamp", (0, 0, 10, 10), confidence=c, overlaps=o) for c, o in ((0.5, {"y": 0.9}), (0.5, None), (0.5, {"y": 0.1}), (0.3, {"y": 0.2}))]
+    runs = []
+    for order in (rows, rows[::-1]):
+        done = crops.deduplicated(spark.createDataFrame(order, SCHEMA).coalesce(1)).collect()
+        runs.append(sorted((r["place"], r["confidence"], str(r["overlaps"])) for r in done))
+    assert runs[0] == runs[1]
+
+
+def test_regions_are_dealt_once(spark):
+    """Below the deal by record only what is narrow is exchanged: no texts or masks of regions, and no joins by more than the record."""
+    with contextlib.redirect_stdout(out := io.StringIO()):
+        catalog.queries()["crop_field_summary"](spark, "/root/testdata/sf0.001").explain()
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", out.getvalue())
+    assert 1 <= sum(e.startswith("l_orderkey") for e in exchanges) <= 2 and len(exchanges) <= 8, exchanges
+    assert "decisions-" not in out.getvalue()  # nothing of them is written
+
+
 def test_tables(spark):
     rows = [region("database", "database_label", (0, 0, 200, 100)), region("number", "number", (10, 10, 70, 40), text="L.2714152", utility=49.0), region("number_dup", "number", (11, 11, 71, 41), text="L.2714152", utility=48.0)]
     df = spark.createDataFrame(rows, SCHEMA)
