@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sqltext as S
@@ -70,10 +70,15 @@ def mask_overlap(spark: SparkSession, sf: str) -> DataFrame:
     p, q, s = F.col("p"), F.col("q"), F.col("s")
     nothing = F.lit(0)
     mask = F.array(run(p, p + q), run(p + q + 5, p + q + 5 + s), run(nothing, F.when(s > 20, 9).otherwise(0)))
-    masks = rows.select("record", "l_partkey", "q", "s", mask.alias("mask"))
+    masks = rows.select("record", "l_partkey", "q", "s", geometry.mask_runs(mask).alias("runs")).withColumn("pixels", geometry.run_pixels(F.col("runs")))
     pairs = masks.alias("a").join(masks.alias("b"), "record").filter("a.l_partkey < b.l_partkey")
-    shared = pairs.select("record", F.col("a.l_partkey").alias("one"), F.col("b.l_partkey").alias("two"), F.col("a.q").alias("q1"), F.col("b.q").alias("q2"), F.col("a.s").alias("s1"), F.col("b.s").alias("s2"), geometry.mask_shares(F.col("a.mask"), F.col("b.mask")).alias("shares"))
-    return shared.filter("shares.both > 0").select("record", "one", "two", "q1", "q2", "s1", "s2", F.col("shares.both").alias("common"), F.round(geometry.mask_iou(F.col("shares")), 6).alias("iou"), F.round(geometry.mask_containment(F.col("shares")), 6).alias("contained"))
+
+    def measured(s: Column) -> Column:
+        """No row where nothing is shared: a filter would be pushed below and compute every share again."""
+        return F.when(s["both"] > 0, F.array(F.struct(s["both"].alias("common"), F.round(geometry.mask_iou(s), 6).alias("iou"), F.round(geometry.mask_containment(s), 6).alias("contained"))))
+
+    shares = geometry.run_shares(F.col("a.runs"), F.col("b.runs"), F.col("a.pixels"), F.col("b.pixels"))
+    return pairs.select("record", F.col("a.l_partkey").alias("one"), F.col("b.l_partkey").alias("two"), F.col("a.q").alias("q1"), F.col("b.q").alias("q2"), F.col("a.s").alias("s1"), F.col("b.s").alias("s2"), F.inline(T.let(shares, measured)))
 
 
 _LABELS = ["full database label", "Database:Number", "specimen_label", "barcode", " printed  label", "type", "stamp", "handwritten_data", "ruler", "annotation label"]

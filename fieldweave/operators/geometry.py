@@ -87,6 +87,32 @@ def mask_shares(a: Column, b: Column) -> Column:
     return F.aggregate(ordered, start, step, lambda s: F.struct(s["left"].alias("left"), s["right"].alias("right"), s["both"].alias("both")))
 
 
+def mask_runs(mask: Column) -> Column:
+    """The runs of a mask in order, without empty ones, each run apart from the next."""
+    kind = "array<struct<start:bigint,stop:bigint>>"
+    runs = F.array_sort(F.filter(F.coalesce(mask.cast(kind), F.array().cast(kind)), lambda r: r["stop"] > r["start"]))
+
+    def step(done: Column, r: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["stop"], r["stop"]).alias("stop"))
+        return F.when(r["start"] <= last["stop"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(r)))
+
+    return F.aggregate(runs, F.array().cast(kind), step)
+
+
+def run_shares(a: Column, b: Column, left: Column, right: Column, few: int = 256) -> Column:
+    """mask_shares() of masks as mask_runs() with their numbers of pixels, which are worked out once a mask; masks of many runs are swept."""
+    zero = F.lit(0).cast("bigint")
+    one = lambda x, y: F.greatest(F.least(x["stop"], y["stop"]) - F.greatest(x["start"], y["start"]), zero)
+    both = F.aggregate(a, zero, lambda n, x: F.aggregate(b, n, lambda m, y: m + one(x, y)))
+    both = F.when(F.size(a).cast("long") * F.size(b) <= few, both).otherwise(mask_shares(a, b)["both"])
+    return F.struct(left.alias("left"), right.alias("right"), both.alias("both"))
+
+
+def run_pixels(runs: Column) -> Column:
+    return F.aggregate(runs, F.lit(0).cast("bigint"), lambda n, r: n + r["stop"] - r["start"])
+
+
 def mask_iou(shares: Column) -> Column:
     union = shares["left"] + shares["right"] - shares["both"]
     return F.when(union > 0, shares["both"] / union).otherwise(0.0)

@@ -140,6 +140,23 @@ def test_masks(spark, a, b, want):
     assert r["iou"] == (want[2] / union if union else 0.0) and r["inside"] == (want[2] / smaller if smaller else 0.0)
 
 
+@pytest.mark.parametrize("few", [0, 256])
+def test_shares_of_runs(spark, few):
+    """Runs put in order once a mask give what the sweep over both masks gives, whichever way few and many runs are met."""
+    masks = [[], None, [(0, 10), (5, 12), (20, 22)], [(20, 30), (0, 10)], [(7, 7), (9, 3), (8, 21)], [(12, 20), (0, 12)]]
+    df = spark.createDataFrame([(a, b) for a in masks for b in masks], "a array<struct<start:bigint,stop:bigint>>, b array<struct<start:bigint,stop:bigint>>")
+    runs = df.select("a", "b", geometry.mask_runs(F.col("a")).alias("x"), geometry.mask_runs(F.col("b")).alias("y"))
+    got = runs.select(geometry.mask_shares(F.col("a"), F.col("b")).alias("want"), geometry.run_shares(F.col("x"), F.col("y"), geometry.run_pixels(F.col("x")), geometry.run_pixels(F.col("y")), few).alias("got"), "x").collect()
+    assert all(tuple(r["got"]) == tuple(r["want"]) for r in got)
+    assert {len(r["x"]) for r in got} == {0, 1, 2}
+
+
+def test_shares_are_computed_once_a_pair(spark):
+    with contextlib.redirect_stdout(out := io.StringIO()):
+        catalog.queries()["mask_overlap"](spark, "/root/testdata/sf0.001").explain()
+    assert not re.search(r"(Filter|Join)[^\n]*aggregate\(", out.getvalue())
+
+
 def test_overlap_maps(spark):
     rows = [('{"a": 0.5, "b": null, "c": "x"}',), ("[1]",), ("no json",), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "c string").select(geometry.overlap_map(F.col("c"))).collect()]
