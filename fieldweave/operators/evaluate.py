@@ -49,22 +49,28 @@ def fields(predicted: DataFrame, gold: DataFrame, evidence: DataFrame, names: li
     not_evaluated (boolean); `gold` has record and the fields; `evidence` has record, evidence_text, and the arrays
     barcodes and readings of identifiers seen. Records without gold are left out. All three grow alike, so none is broadcast.
     """
+    keys = lambda c: F.array_distinct(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: T.identifier_key(x))).alias(f"{c}_keys")
     known_of = gold.select(record, F.struct(*names).alias("gold_of")).join(evidence.hint("merge"), record, "left")
+    # Identifiers seen are put in their normal form once a record, not once a method and field.
+    known_of = known_of.select("*", F.coalesce(F.size("barcodes"), F.lit(0)).alias("codes"), keys("barcodes"), keys("readings"))
     held = predicted.join(prepared(known_of).hint("merge"), record)
     one = lambda f: F.struct(F.lit(f).alias("field"), T.clean(F.col(f)).alias("pred"), T.clean(F.col(f"gold_of.{f}")).alias("gold"), T.clean(F.col(f"spans.{f}")).alias("span"), F.col(f"confidences.{f}").alias("confidence"))
-    rows = held.select(record, "method", "warning", "not_evaluated", "barcodes", "readings", "evidence_normal", "evidence_words", F.inline(F.array(*map(one, names))))
+    rows = held.select(record, "method", "warning", "not_evaluated", "codes", "barcodes_keys", "readings_keys", "evidence_normal", "evidence_words", F.inline(F.array(*map(one, names))))
     f, pred, gold_, span = F.col("field"), F.col("pred"), F.col("gold"), F.col("span")
     known = F.coalesce(F.col("not_evaluated"), F.lit(False))
-    rows = rows.withColumns({"p": R.normal_value(f, pred), "g": R.normal_value(f, gold_), "s": R.normal_value(f, span), "pn": T.normalize_eval(pred), "sn": T.normalize_eval(span), "predicted": (pred != "") & ~known, "has_gold": (gold_ != "") & ~known})
+    # The three values go through one expression: three copies of it are more code than the JVM will compile.
+    forms = F.transform(F.array(pred, gold_, span), lambda v: R.normal_value(f, v))
+    plain = F.transform(F.array(pred, span), lambda v: T.normalize_eval(v))
+    rows = rows.withColumns({"forms": forms, "plain": plain, "predicted": (pred != "") & ~known, "has_gold": (gold_ != "") & ~known})
+    rows = rows.withColumns({c: F.get(of, F.lit(i)) for c, of, i in (("p", "forms", 0), ("g", "forms", 1), ("s", "forms", 2), ("pn", "plain", 0), ("sn", "plain", 1))})
     p, g, s = F.col("p"), F.col("g"), F.col("s")
     rows = rows.withColumns({"exact": R.exact_of(f, pred, gold_, p, g), "support": proxy(F.col("pn")), "span_support": proxy(F.col("sn")), "aligned": F.when((pred != "") & (span != ""), R.f1_of(f, R.exact_of(f, pred, span, p, s), p, s))})
     rows = rows.withColumns({"status": review.support_status(F.col("predicted"), F.col("span_support"), F.col("aligned"), F.col("support"))})
     rows = rows.withColumn("d", review.decide(f, F.col("status"), F.col("confidence"), F.col("warning")))
-    own = T.identifier_key(pred)
-    keys = lambda c: F.array_distinct(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: T.identifier_key(x)))
-    named, codes, read = (f == "catalogNumber") & F.col("predicted"), F.coalesce(F.size("barcodes"), F.lit(0)), keys("readings")
-    many_codes, other_code = named & (codes > 1), named & (codes == 1) & ~F.array_contains(keys("barcodes"), own)
-    many_read, other_read = named & (F.size(read) > 1), named & (F.size(read) > 0) & ~F.array_contains(read, own)
+    # The normal form of a catalog number is its key.
+    named, codes, read = (f == "catalogNumber") & F.col("predicted"), F.col("codes"), F.col("readings_keys")
+    many_codes, other_code = named & (codes > 1), named & (codes == 1) & ~F.array_contains("barcodes_keys", p)
+    many_read, other_read = named & (F.size(read) > 1), named & (F.size(read) > 0) & ~F.array_contains(read, p)
     reasons = F.concat_ws(";", F.nullif(F.col("d.reasons"), F.lit("")), F.when(many_codes, "multiple_decoded_barcodes"), F.when(other_code, "catalog_mismatch_single_decoded_barcode"), F.when(many_read, "multiple_catalog_ocr_hypotheses"), F.when(other_read, "catalog_mismatch_ocr_ensemble"))
     asked = F.col("d.review") | many_codes | other_code | many_read | other_read
     priority = F.when((F.col("d.review") & (F.col("d.priority") == "high")) | many_codes | other_code | other_read, "high").when(asked, "medium").otherwise("")

@@ -9,6 +9,7 @@ import re
 from pyspark.sql import functions as F
 
 from fieldweave import catalog
+from fieldweave.functions import text as text_functions
 from fieldweave.operators import authority, reconcile, retrieval, summaries
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +75,15 @@ def test_hybrid_pairs_never_become_rows(spark, monkeypatch):
             hits = sorted(((score(r), r[0]) for r in rows if r[0] != q), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))[:3]
             want |= {(q, i + 1): hit for i, hit in enumerate(hits)}
     assert {(r["query"], r["rank"]): (None if r["score"] is None else round(r["score"], 6), r["doc"]) for r in found.collect()} == want
+
+
+def test_values_are_normalised_by_one_expression(spark):
+    """Identifiers seen are normalised below the methods and fields, and values by one expression that the JVM still compiles."""
+    text = plan(catalog.queries()["eval_detail"](spark, SF))
+    assert max(len(line) for line in text.splitlines()) < 12000 and text.count("regexp_replace(") < 120
+
+
+def test_cleaning_trims_what_a_pattern_would(spark):
+    rows = [" \t\n\x0b\f\r Nan\r\n", None, "", " a b ", "a \u2028", "\u00a0a", " NULL", "x none", "\n\n"]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "c string").select(text_functions.clean(F.col("c"))).collect()]
+    assert got == ["", "", "", "a b", "a \u2028", "\u00a0a", "", "x none", ""]
