@@ -21,31 +21,36 @@ def clean(c: Column) -> Column:
     return F.when(F.lower(stripped).isin("nan", "none", "null"), "").otherwise(stripped)
 
 
-def normalize_eval(c: Column) -> Column:
-    kept = F.regexp_replace(F.lower(clean(c)), r"[^\p{L}\p{N}_\s.\-]", "")
+def _plain(c: Column, cleaned: bool) -> Column:
+    """What clean() gives; `cleaned`: the value has been through it already, and cleaning again would change nothing."""
+    return c if cleaned else clean(c)
+
+
+def normalize_eval(c: Column, cleaned: bool = False) -> Column:
+    kept = F.regexp_replace(F.lower(_plain(c, cleaned)), r"[^\p{L}\p{N}_\s.\-]", "")
     return F.btrim(F.regexp_replace(kept, r"\s+", " "), F.lit(" "))
 
 
-def identifier_key(c: Column) -> Column:
-    return F.upper(F.regexp_replace(clean(c), "[^A-Za-z0-9]+", ""))
+def identifier_key(c: Column, cleaned: bool = False) -> Column:
+    return F.upper(F.regexp_replace(_plain(c, cleaned), "[^A-Za-z0-9]+", ""))
 
 
 def alnum_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
 
 
-def person_key(c: Column) -> Column:
+def person_key(c: Column, cleaned: bool = False) -> Column:
     """Name parts in alphabetical order."""
-    parts = F.regexp_extract_all(F.lower(clean(c)), F.lit("([a-zà-öø-ÿ0-9]+)"), 1)
-    return F.array_join(F.array_sort(parts), " ")
+    parts = F.regexp_extract_all(F.lower(_plain(c, cleaned)), F.lit("([a-zà-öø-ÿ0-9]+)"), 1)
+    return F.array_join(F.sort_array(parts), " ")
 
 
-def type_status(c: Column) -> Column:
-    low = F.lower(clean(c))
+def type_status(c: Column, cleaned: bool = False) -> Column:
+    low = F.lower(_plain(c, cleaned))
     found = F.lit(None).cast("string")
     for status in reversed(TYPE_STATUSES):
         found = F.when(low.rlike(rf"\b{status}\b"), status).otherwise(found)
-    return F.coalesce(found, normalize_eval(c))
+    return F.coalesce(found, normalize_eval(c, cleaned))
 
 
 def tokens(c: Column) -> Column:
@@ -95,27 +100,33 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def date_part(c: Column) -> Column:
+#: A year, or year and month: no date form has this shape.
+_YEAR = r"^\d{4}(-\d{2})?$"
+
+
+def date_part(c: Column, cleaned: bool = False) -> Column:
     """A date as yyyy-MM-dd by the first form that fits; a year or year and month stay; other values are normalised text."""
-    plain = F.regexp_replace(F.regexp_replace(clean(c), r"(?i)(\d)(st|nd|rd|th)\b", "$1"), r"\s+", " ")
+    plain = F.regexp_replace(F.regexp_replace(_plain(c, cleaned), r"(?i)(\d)(st|nd|rd|th)\b", "$1"), r"\s+", " ")
     plain = F.regexp_replace(F.replace(plain, F.lit(","), F.lit("")), r"^[ .]+|[ .]+$", "")
 
     def known(p: Column) -> Column:
         tried = [F.when(p.rlike(shape), F.date_format(F.try_to_timestamp(F.initcap(p), F.lit(form)), "yyyy-MM-dd")) for shape, form in DATE_FORMS]
-        return F.coalesce(*tried, F.when(p.rlike(r"^\d{4}(-\d{2})?$"), p))
+        return F.coalesce(*tried, F.when(p.rlike(_YEAR), p))
 
-    return F.coalesce(let(plain, known), normalize_eval(c))
+    return F.coalesce(let(plain, known), normalize_eval(c, cleaned))
 
 
-def event_date(c: Column) -> Column:
+def event_date(c: Column, cleaned: bool = False) -> Column:
     """A date, or an interval of two dates that each hold a year."""
+    value = _plain(c, cleaned)
 
     def joined(parts: Column) -> Column:
         """One date, or both of an interval, through the same expression."""
         both = (F.size(parts) == 2) & F.forall(parts, lambda p: p.rlike(r"\b\d{4}\b"))
-        return F.array_join(F.transform(F.when(both, parts).otherwise(F.array(clean(c))), lambda p: date_part(p)), "/")
+        return F.array_join(F.transform(F.when(both, parts).otherwise(F.array(value)), lambda p: date_part(p, True)), "/")
 
-    return let(F.transform(F.split(clean(c), "/"), lambda p: F.trim(p)), joined)
+    # What stays as it is needs none of the forms.
+    return F.when((value == "") | value.rlike(_YEAR), value).otherwise(let(F.transform(F.split(value, "/"), lambda p: clean(p)), joined))
 
 
 def json_body(c: Column) -> Column:
