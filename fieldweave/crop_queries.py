@@ -51,7 +51,9 @@ _LCS = """list_reduce(list_concat([list_transform(range(len(w) + 1), lambda z: C
 def partial_presence(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a part's description holds a value, and how nearly."""
     value, text = F.expr(S.case("p_partkey", _PRESENT)), F.concat(F.col("p_name"), F.lit(" of "), F.lower("p_type"), F.lit(" "), F.col("p_brand"))
-    return dealt(table(spark, sf, "part"), "p_partkey").select("p_partkey", similarity.literal_presence(value, text).alias("literal"), F.round(similarity.normalised_presence(value, text), 6).alias("presence"))
+    forms = dealt(table(spark, sf, "part"), "p_partkey").select("p_partkey", similarity.matchable(value).alias("v"), similarity.matchable(text).alias("t"))
+    v, t = F.col("v"), F.col("t")
+    return forms.select("p_partkey", similarity.literal_of(v, t).alias("literal"), F.round(similarity.presence_of(v, t), 6).alias("presence"))
 
 
 _SPOTS = "SELECT l_orderkey AS record, l_linenumber AS n, l_partkey, CAST(floor(l_quantity) AS BIGINT) AS q, l_partkey % 40 AS p, l_suppkey % 30 AS s FROM lineitem"

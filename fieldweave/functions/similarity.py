@@ -17,15 +17,14 @@ from . import text as T
 POPULAR_FROM, POPULAR_SHARE = 200, 100
 #: Cells of the run tables that are open at once.
 _CELLS = 1 << 21
-
-
-def _points(s: str) -> np.ndarray:
-    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+#: Words of the window states that are open at once; one pair may have more.
+_WINDOW_WORDS = 1 << 14
 
 
 def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [_points(t) for t in texts]
-    return np.concatenate([*parts, np.zeros(1, np.int64)]), np.cumsum([0, *map(len, parts)])
+    """The code points of all texts and a zero, and where each text begins and the last ends."""
+    points = np.frombuffer(("".join(texts) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return points, np.cumsum([0, *map(len, texts)])
 
 
 def _window(flat: np.ndarray, start: np.ndarray, end: np.ndarray, width: int, filler: int) -> np.ndarray:
@@ -105,52 +104,88 @@ def matching_ratios(left: list[str], right: list[str]) -> np.ndarray:
     return np.where(both > 0, 2.0 * matched / np.maximum(both, 1), 1.0)
 
 
-def _best_window(short: np.ndarray, long: np.ndarray) -> float:
-    """Largest 2 * LCS / (sum of lengths) of `short` and a window of `long` of its length, cut off at either end of `long`.
-
-    One bit a character of `short`, in as many 64-bit words as it needs; all windows take one step a character together.
+def _masks(short: np.ndarray, at_short: np.ndarray, long: np.ndarray, pair: np.ndarray, words: int) -> np.ndarray:
+    """For each character of `long`, the places in the short text of its pair that hold it, one bit each."""
+    if not len(short):
+        return np.zeros((len(long), words), np.uint64)
+    sizes = np.diff(at_short)
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(short)) - at_short[own]
+    key = own << 32 | short
+    order = np.argsort(key, kind="stable")
+    known, first = np.unique(key[order], return_index=True)
+    masks = np.zeros((len(known) + 1, words), np.uint64)  # the last row is for characters that the short text lacks
+    for w in range(words):
+        bit = np.where(place >> 6 == w, np.uint64(1) << (place & 63).astype(np.uint64), np.uint64(0))
+        masks[:-1, w] = np.bitwise_or.reduceat(bit[order], first)
+    wanted = pair << 32 | long
+    found = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return masks[np.where(known[found] == wanted, found, len(known))]
+
+
+def _best_windows(shorts: list[str], longs: list[str]) -> np.ndarray:
+    """For each pair the largest 2 * LCS / (sum of lengths) of the short text and a window of the long one of its length, cut off at either end.
+
+    One bit a character of a short text, in as many 64-bit words as the longest needs; the windows of all pairs take one step a
+    character together. `shorts` has no empty text and comes by falling length, so that the pairs still at work are the first ones.
     """
-    m, n = len(short), len(long)
-    words = (m + 63) // 64
-    alphabet, code = np.unique(short, return_inverse=True)
-    masks = np.zeros((len(alphabet) + 1, words), np.uint64)
-    for i, c in enumerate(code):
-        masks[c, i >> 6] |= np.uint64(1) << np.uint64(i & 63)
-    found = np.minimum(np.searchsorted(alphabet, long), len(alphabet) - 1)
-    codes = np.where(alphabet[found] == long, found, len(alphabet))
-    padded = np.concatenate([np.full(m - 1, len(alphabet)), codes, np.full(m - 1, len(alphabet))])
-    state = np.full((n + m - 1, words), ~np.uint64(0))
-    for k in range(m):
-        mask = masks[padded[k : k + n + m - 1]]
-        hit = state & mask
-        carry = np.zeros(len(state), np.uint64)
-        total = np.empty_like(state)
+    short, at_short = _joined(shorts)
+    long, at_long = _joined(longs)
+    m, n = np.diff(at_short), np.diff(at_long)
+    words = (int(m[0]) + 63) // 64
+    pairs = np.arange(len(m))
+    # The long texts lie one after another, each between places that match nothing: a window may begin before its text and end behind it.
+    span = n + 2 * (m - 1)
+    at = np.concatenate([[0], np.cumsum(span)])
+    own = np.repeat(pairs, n)
+    masks = np.zeros((int(at[-1]) + 1, words), np.uint64)
+    masks[np.arange(len(own)) - at_long[own] + (at[:-1] + m - 1)[own]] = _masks(short[:-1], at_short, long[:-1], own, words)
+    state = np.full((int(at[-1]), words), ~np.uint64(0))
+    left = np.searchsorted(-m, -np.arange(int(m[0])), side="left")  # pairs of more than k characters
+    for k in range(int(m[0])):
+        # The last k places of the last pair begin no window.
+        size = int(at[left[k]]) - k
+        now, carry = state[:size], np.zeros(size, np.uint64)
         for w in range(words):
-            partial = state[:, w] + hit[:, w]
-            over = partial < state[:, w]
-            total[:, w] = partial + carry
-            carry = (over | (total[:, w] < partial)).astype(np.uint64)
-        state = total | (state & ~mask)
-    used = np.full(words, ~np.uint64(0))
-    if m % 64:
-        used[-1] = (np.uint64(1) << np.uint64(m % 64)) - np.uint64(1)
-    common = np.bitwise_count(~state & used).sum(axis=1)
-    start = np.arange(1 - m, n)
-    size = np.minimum(start + m, n) - np.maximum(start, 0)
-    return float((2.0 * common / (m + size)).max())
+            mask, word = masks[k : k + size, w], now[:, w]
+            partial = word + (word & mask)
+            total = partial + carry
+            if w + 1 < words:
+                carry = ((partial < word) | (total < partial)).astype(np.uint64)
+            now[:, w] = total | (word & ~mask)
+    starts = n + m - 1
+    first = np.concatenate([[0], np.cumsum(starts)])
+    own = np.repeat(pairs, starts)
+    place = np.arange(int(first[-1])) - first[own]
+    windows = ~state[place + at[own]]
+    common = np.zeros(len(place), np.int64)
+    for w in range(words):
+        used = np.clip(m - 64 * w, 0, 64)
+        mask = np.where(used == 64, ~np.uint64(0), (np.uint64(1) << (used & 63).astype(np.uint64)) - np.uint64(1))
+        common += np.bitwise_count(windows[:, w] & mask[own])
+    start = place + 1 - m[own]
+    size = np.minimum(start + m[own], n[own]) - np.maximum(start, 0)
+    return np.maximum.reduceat(2.0 * common / (m[own] + size), first[:-1])
 
 
 def window_ratios(left: list[str], right: list[str]) -> np.ndarray:
     """For each pair the best window of the longer text for the shorter one; of equally long ones the better way round."""
-    out = np.zeros(len(left))
-    for i, (x, y) in enumerate(zip(left, right, strict=True)):
-        a, b = sorted((_points(x), _points(y)), key=len)
-        if len(a):
-            out[i] = _best_window(a, b)
-            if len(a) == len(b) and out[i] < 1:
-                out[i] = max(out[i], _best_window(b, a))
-        elif not len(b):
-            out[i] = 1.0
+    shorter = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(left, right, strict=True)]
+    out = np.array([float(x == y) for x, y in shorter])
+    todo = [(i, x, y) for i, (x, y) in enumerate(shorter) if x and x != y]
+    todo += [(i, y, x) for i, x, y in todo if len(x) == len(y)]
+    todo.sort(key=lambda t: -len(t[1]))
+    at = 0
+    while at < len(todo):
+        # Pairs of short texts of as many words, up to a number of words in all.
+        words = (len(todo[at][1]) + 63) // 64
+        end, cells = at, 0
+        while end < len(todo) and (len(todo[end][1]) + 63) // 64 == words and (end == at or cells < _WINDOW_WORDS):
+            cells += (len(todo[end][2]) + 2 * len(todo[end][1])) * words
+            end += 1
+        pairs, shorts, longs = zip(*todo[at:end], strict=True)
+        np.maximum.at(out, list(pairs), _best_windows(list(shorts), list(longs)))
+        at = end
     return out
 
 
@@ -193,13 +228,21 @@ def matchable(c: Column) -> Column:
 
 def literal_presence(value: Column, text: Column) -> Column:
     """Whether the text holds the value, in matchable form; null for a blank value."""
-    v = matchable(value)
-    return F.when(v != "", F.contains(matchable(text), v).cast("int"))
+    return literal_of(matchable(value), matchable(text))
 
 
 def normalised_presence(value: Column, text: Column) -> Column:
     """1 if the text holds the value, else the ratio of the best window, 0 without a text; null for a blank value."""
-    v, t = matchable(value), matchable(text)
+    return presence_of(matchable(value), matchable(text))
+
+
+def literal_of(v: Column, t: Column) -> Column:
+    """literal_presence of forms that are matchable already."""
+    return F.when(v != "", F.contains(t, v).cast("int"))
+
+
+def presence_of(v: Column, t: Column) -> Column:
+    """normalised_presence of forms that are matchable already; best given as columns, since each is used several times."""
     unsure = (v != "") & (t != "") & ~F.contains(t, v)
     ratio = window_ratio(F.when(unsure, v), F.when(unsure, t))
     return F.when(v == "", None).when(t == "", 0.0).when(F.contains(t, v), 1.0).otherwise(ratio)
