@@ -16,7 +16,7 @@ doc_id is kept; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -246,11 +246,23 @@ def find_passages(docs: DataFrame, words: int) -> DataFrame:
     return whole.unionByName(parts)
 
 
-def remove(docs: DataFrame, length: int = 400, carry: tuple[str, ...] = (), words: int | None = None, characters: bool = False) -> DataFrame:
+def _united(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
+    """The spans in order, those that meet or overlap as one."""
+    runs: list[list[int]] = []
+    for first, end in sorted(spans):
+        if runs and first <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], end)
+        else:
+            runs.append([first, end])
+    return runs
+
+
+def remove(docs: DataFrame, length: int = 400, carry: tuple[str, ...] = (), words: int | None = None, characters: bool = False, reported: int | None = None) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs of bytes), kept (the other bytes) of every document, and the columns to carry.
 
     With `words`, strings of so many words that stand elsewhere too go also where they are shorter than `length`. With
-    `characters`, a character that loses some of its bytes loses all.
+    `characters`, a character that loses some of its bytes loses all. With `reported`, a column `passages` names the runs of
+    bytes of strings of so many words that stand elsewhere too; nothing is removed on its account.
     """
     docs = id_text(docs, *carry).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *carry)
     # A row is told by its id (a null one by the least long) and its text.
@@ -259,20 +271,18 @@ def remove(docs: DataFrame, length: int = 400, carry: tuple[str, ...] = (), word
     found = find(rows, length).select("doc_id", "text_hash", "first", (F.col("last") + length).cast("int").alias("end"))
     if words:
         found = found.unionByName(find_passages(rows, words))
-    spans = stored(found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "end")).alias("starts")), "spans")
+    found = found.withColumn("goes", F.lit(True))
+    if reported:
+        found = found.unionByName(find_passages(rows, reported).withColumn("goes", F.lit(False)))
+    spans = stored(found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "end", "goes")).alias("starts")), "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sub_batches(batch):
-                sizes, spans_, kept = [], [], []
+                sizes, spans_, kept, passages = [], [], [], []
                 for text, starts in zip(part.column("text").to_pylist(), part.column("starts").to_pylist(), strict=True):
                     raw = text.encode()
-                    runs: list[list[int]] = []
-                    for first, last in sorted((s["first"], s["end"]) for s in starts or ()):
-                        if runs and first <= runs[-1][1]:
-                            runs[-1][1] = max(runs[-1][1], last)
-                        else:
-                            runs.append([first, last])
+                    runs, named = (_united((s["first"], s["end"]) for s in starts or () if s["goes"] == goes) for goes in (True, False))
                     for run in runs if characters else ():
                         while 0 < run[0] < len(raw) and raw[run[0]] & 0xC0 == 0x80:
                             run[0] -= 1
@@ -281,15 +291,19 @@ def remove(docs: DataFrame, length: int = 400, carry: tuple[str, ...] = (), word
                     edges = [0, *(x for r in runs for x in r), len(raw)]
                     sizes.append(len(raw))
                     spans_.append([{"start": a, "end": b} for a, b in runs])
+                    passages.append([{"start": a, "end": b} for a, b in named])
                     kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 ids = part.column("doc_id")
                 ids = pa.array(ids.to_numpy(zero_copy_only=False), pa.int64(), mask=part.column("no_id").to_numpy(zero_copy_only=False).astype(bool))
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(spans_, kind), pa.array(kept, pa.binary()), *(part.column(c) for c in carry)], ["doc_id", "n_bytes", "spans", "kept", *carry])
+                cols = [ids, pa.array(sizes, pa.int64()), pa.array(spans_, kind), pa.array(kept, pa.binary()), *(part.column(c) for c in carry)]
+                if reported:
+                    cols.append(pa.array(passages, kind))
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "spans", "kept", *carry, *(["passages"] if reported else [])])
 
     held, rest = only_held(keyed, spans.select("doc_id").distinct(), both=True)
     joined = held.join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "no_id", "text", "starts", *carry)
-    rest = rest.select("doc_id", "no_id", "text", F.lit(None).cast("array<struct<first:int,end:int>>").alias("starts"), *carry)
+    rest = rest.select("doc_id", "no_id", "text", F.lit(None).cast("array<struct<first:int,end:int,goes:boolean>>").alias("starts"), *carry)
     more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in carry)
-    schema = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary" + more
+    schema = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary" + more + (", passages array<struct<start:long,end:long>>" if reported else "")
     return joined.mapInArrow(tidy(cut), schema).unionByName(rest.mapInArrow(tidy(cut), schema))

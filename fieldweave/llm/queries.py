@@ -60,9 +60,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = exact_dup.remove(table(spark, sf_dir, "documents"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    # Strings of 400 bytes are removed; passages of over 50 words, often shorter than that, are only counted.
+    done = exact_dup.remove(table(spark, sf_dir, "documents"), reported=51)
+    size = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return done.select(
+        "doc_id",
+        "n_bytes",
+        size("spans").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+        size("passages").alias("n_passage_bytes"),
+    )
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
