@@ -137,7 +137,7 @@ def _regions(spark: SparkSession, sf: str) -> DataFrame:
     # Dealt by record as they are read, while rows are a few numbers; nothing below needs another exchange of regions.
     rows = dealt(table(spark, sf, "lineitem"), "l_orderkey")
     rows.createOrReplaceTempView("_regions_lineitem")
-    return spark.sql(f"SELECT {source} FROM _regions_lineitem").withColumn("overlaps", geometry.overlap_map(F.col("masks")))
+    return spark.sql(f"SELECT {source} FROM _regions_lineitem").withColumn("overlaps", geometry.overlap_texts(F.col("masks")))
 
 
 _REFERENCE = {
@@ -187,8 +187,8 @@ def crop_branches(spark: SparkSession, sf: str) -> DataFrame:
 def _tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     regions = _regions(spark, sf)
     branches = {"all": False, "hierarchical": True}
-    decisions = crops.choose_each(regions, branches)
-    references = table(spark, sf, "orders").selectExpr("o_orderkey AS record", *(f"{v} AS {k}" for k, v in _REFERENCE.items()))
+    decisions = crops.choose_each(regions, branches, with_pairs=True)
+    references = dealt(table(spark, sf, "orders"), "o_orderkey").selectExpr("o_orderkey AS record", *(f"{v} AS {k}" for k, v in _REFERENCE.items()))
     return crops.tables(decisions, references, branches=list(branches))
 
 

@@ -92,12 +92,20 @@ def _looked_up(table: dict, key: Column, default: Column) -> Column:
 
 def component_type(label: Column) -> Column:
     """A label in snake case, by its usual name."""
-    snake = F.regexp_replace(F.trim(F.regexp_replace(F.replace(F.lower(T.clean(label)), F.lit(":"), F.lit(" ")), r"\s+", " ")), " ", "_")
+    flat = F.btrim(F.translate(F.lower(T.clean(label)), ":\t\n\x0b\f\r", " " * 6), F.lit(" "))
+    # A pattern costs more than all else here, and few labels have two blanks in a row.
+    single = F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " +", " ")).otherwise(flat)
+    snake = F.replace(single, F.lit(" "), F.lit("_"))
     return _looked_up(LABEL_ALIASES, snake, snake)
 
 
 def component_role(label: Column) -> Column:
-    return _looked_up(ROLES, component_type(label), F.lit("other"))
+    return role_of(component_type(label))
+
+
+def role_of(kind: Column) -> Column:
+    """The role of a component_type()."""
+    return _looked_up(ROLES, kind, F.lit("other"))
 
 
 def plausible_identifier(c: Column) -> Column:
@@ -195,7 +203,12 @@ def gate_reason(image_path: Column, eligible: Column, prompt: Column, minimum: i
 
 def evidence_gate(label: Column, confidence: Column, text: Column, decoded: Column, vision_only: float = 0.20) -> Column:
     """Why a region is taken or left out."""
-    kind, role, sure = component_type(label), component_role(label), F.coalesce(confidence, F.lit(0.0))
+    return gate_of(component_type(label), component_role(label), confidence, text, decoded, vision_only)
+
+
+def gate_of(kind: Column, role: Column, confidence: Column, text: Column, decoded: Column, vision_only: float = 0.20) -> Column:
+    """evidence_gate() of a region whose kind and role are known."""
+    sure = F.coalesce(confidence, F.lit(0.0))
     return (
         F.when(role == "other", "unsupported_component_type")
         .when(sure < _looked_up(THRESHOLDS, kind, F.lit(0.10)), "below_class_threshold")

@@ -31,87 +31,103 @@ def reading(decoded: Column, text: Column) -> Column:
 def _order(regions: DataFrame) -> list[Column | str]:
     """By utility, then id; equal ones by all else that decides on them, so that every run has one order."""
     rest = [c for c in ("confidence", "masks") if c in regions.columns]
-    overlaps = [F.array_sort(F.map_entries("overlaps"))] if "overlaps" in regions.columns else []
+    # Overlaps are read from masks where both are there.
+    overlaps = [F.array_sort(F.map_entries("overlaps"))] if "overlaps" in regions.columns and "masks" not in regions.columns else []
     return [F.desc("utility"), "id", *BOX, "label", "text", "decoded", *rest, *overlaps]
 
 
-def placed(regions: DataFrame) -> DataFrame:
-    """Regions with their place in a record."""
-    return regions.withColumn("place", F.row_number().over(Window.partitionBy("record").orderBy(*_order(regions))))
+def placed(regions: DataFrame, *by: str) -> DataFrame:
+    """Regions with their place in a record (and value of `by`)."""
+    return regions.withColumn("place", F.row_number().over(Window.partitionBy("record", *by).orderBy(*_order(regions))))
 
 
-def _paired(regions: DataFrame, *carry: str) -> DataFrame:
-    """(record, a, b): pairs of a record's regions that overlap, or whose masks do by name, b before a. With columns to carry, records without a pair have one row."""
-    overlaps = F.col("overlaps") if "overlaps" in regions.columns else F.create_map().cast("map<string,double>")
-    role, key = R.component_role(F.col("label")), T.alnum_key(reading(F.col("decoded"), F.col("text")))
-    one = F.struct("place", "id", role.alias("role"), key.alias("key"), F.struct(*BOX).alias("box"), F.coalesce(overlaps, F.create_map().cast("map<string,double>")).alias("overlaps"))
-    # A record's regions meet in one row: rows dealt by record travel no more.
-    sheets = regions.groupBy("record").agg(F.collect_list(one).alias("all"), *(F.first(c).alias(c) for c in carry))
-    return _pairs_of(sheets, carry)
+def _roles(regions: DataFrame) -> DataFrame:
+    """Regions with kind and role, worked out once a region."""
+    return regions.withColumn("kind", R.component_type(F.col("label"))).withColumn("role", R.role_of(F.col("kind")))
+
+
+def _overlapping(regions: DataFrame, order: list[Column | str], *by: str, of: Column | None = None) -> DataFrame:
+    """record, *by, a, b, at: the regions (of those that `of` holds for) with each of those before them that they overlap, or whose masks do by name.
+
+    A region meets those before it in its own row, by one pass over the ordered regions of a record.
+    """
+    key = T.alnum_key(reading(F.col("decoded"), F.col("text")))
+    overlaps = F.col("overlaps") if "overlaps" in regions.columns else F.lit(None).cast("map<string,double>")
+    rows = regions.withColumns({"key": key, "overlaps": overlaps, "area": geometry.area({c: F.col(c) for c in BOX})})
+    window = Window.partitionBy("record", *by).orderBy(*order)
+    one = ["id", "role", "key", *BOX, "area", "overlaps"]
+    met = rows.withColumn("place", F.row_number().over(window)).withColumn("before", F.collect_list(F.struct(*one)).over(window.rowsBetween(Window.unboundedPreceding, -1)))
+    before = F.col("before") if of is None else F.when(of, F.col("before"))
+    pairs = met.select("record", *by, F.struct("place", *one).alias("a"), F.posexplode(before).alias("at", "b"))
+    return pairs.filter(geometry.touching(F.col("a"), F.col("b")) | (_mask(F.col("a"), F.col("b")) > 0))
 
 
 def _mask(a: Column, b: Column) -> Column:
-    of = lambda x, y: F.coalesce(F.try_element_at(x["overlaps"], y["id"]), F.lit(0.0))
+    of = lambda x, y: F.coalesce(F.try_element_at(x["overlaps"], y["id"]).try_cast("double"), F.lit(0.0))
     return F.greatest(of(a, b), of(b, a))
 
 
-def _pairs_of(sheets: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    some = F.explode_outer if carry else F.explode
-    sheets = sheets.select("record", *carry, "all", some("all").alias("a"))
-    a = F.col("a")
-    before = F.filter("all", lambda b: (b["place"] < a["place"]) & (geometry.touching(a["box"], b["box"]) | (_mask(a, b) > 0)))
-    return sheets.select("record", *carry, "a", some(before).alias("b"))
+def _only(rows: DataFrame, when: Column, *columns: str) -> DataFrame:
+    """The columns of the rows that `when` holds for: as a generator, since a filter is pushed below, where all it asks for is
+    worked out again, in a method too long for the JVM to compile."""
+    return rows.select(F.inline(F.when(when, F.array(F.struct(*columns)))))
 
 
-def duplicate_pairs(regions: DataFrame) -> DataFrame:
-    """record, place, earlier (place), earlier_id, reason: each region with those before it that it duplicates.
+def duplicate_pairs(regions: DataFrame, order: list[Column | str] | None = None, *by: str, of: Column | None = None) -> DataFrame:
+    """record, *by, place, earlier (place), earlier_id, reason, turned: pairs of a record's regions one of which duplicates the other.
 
-    Only pairs that overlap, or whose masks do by name, are looked at; texts are compared where boxes alone don't decide.
+    `reason` is why the later one would go for the earlier one (null if it would not), `turned` whether the earlier one would
+    if they came the other way round: texts are compared in order. Regions have their role. Texts are compared only where
+    boxes and lengths leave it open.
     """
-    judged = _judged(_paired(regions))
-    return judged.filter("reason is not null")
-
-
-def _judged(pairs: DataFrame, *carry: str) -> DataFrame:
-    a, b = F.col("a.box"), F.col("b.box")
-    roles = F.array("a.role", "b.role")
-    family = F.array_contains(roles, "identifier_parent") & F.array_contains(roles, "identifier_child")
-    label = (F.col("a.role") != F.col("b.role")) & F.array_contains(roles, "primary_label")
-    apart = F.coalesce(family | label, F.lit(False))
+    a, b = F.col("a"), F.col("b")
+    pairs = _overlapping(regions, order or _order(regions), *by, of=of)
     pairs = pairs.select(
-        "record", *carry, apart.alias("apart"), F.col("a.place").alias("place"), F.col("b.place").alias("earlier"), F.col("b.id").alias("earlier_id"), (F.col("a.role") == F.col("b.role")).alias("same_role"),
-        geometry.iou(a, b).alias("iou"), geometry.containment(a, b).alias("contained"), _mask(F.col("a"), F.col("b")).alias("mask"), F.col("a.key").alias("key"), F.col("b.key").alias("key_before"),
+        "record", *by, a["place"].alias("place"), (F.col("at") + 1).alias("earlier"), b["id"].alias("earlier_id"), a["role"].alias("role"), b["role"].alias("role_before"), a["key"].alias("key"), b["key"].alias("key_before"),
+        geometry.intersection(a, b).alias("shared"), F.least(a["area"], b["area"]).alias("smaller"), (a["area"] + b["area"]).alias("areas"), _mask(a, b).alias("mask"),
     )
+    roles = lambda x, y: (F.col("role") == x) & (F.col("role_before") == y)
+    same_role = F.col("role") == F.col("role_before")
+    family = roles("identifier_parent", "identifier_child") | roles("identifier_child", "identifier_parent")
+    label = ~same_role & ((F.col("role") == "primary_label") | (F.col("role_before") == "primary_label"))
+    part = lambda n: F.when(n > 0, F.col("shared") / n).otherwise(0.0)
+    pairs = pairs.withColumns({"iou": part(F.col("areas") - F.col("shared")), "contained": part(F.col("smaller")), "apart": F.coalesce(family | label, F.lit(False)), "same_role": same_role})
     one_place = F.col("same_role") & ((F.col("iou") >= IOU) | (F.col("contained") >= CONTAINED) | (F.col("mask") >= IOU))
-    compare = ~F.col("apart") & ~one_place & (F.col("key") != "") & (F.col("key_before") != "") & ((F.col("contained") >= CONTAINED) | (F.col("iou") >= TOUCHING))
-    alike = F.coalesce(similarity.matching_ratio(F.when(compare, F.col("key")), F.when(compare, F.col("key_before"))), F.lit(0.0)) >= ALIKE
-    reason = F.when(F.col("apart"), None).when(one_place, "same_role_geometry_duplicate").when(compare & alike, "same_text_cross_class_duplicate").when(F.col("iou") >= SAME_PLACE, "high_iou_class_conflict")
-    return pairs.select("record", *carry, "place", "earlier", "earlier_id", reason.alias("reason"))
-
-
-def settled(regions: DataFrame) -> DataFrame:
-    """record, gone (map of place to reason and of): the regions that go. In order of place, a region goes if it duplicates one that stayed; the first such one is named."""
-    hits = duplicate_pairs(regions).groupBy("record", "place").agg(F.array_sort(F.collect_list(F.struct("earlier", "reason", "earlier_id"))).alias("hits"))
-    # Regions without a hit stay, so only those with one need to be settled.
-    chains = hits.groupBy("record").agg(F.array_sort(F.collect_list(F.struct("place", "hits"))).alias("chain"))
-    start = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<struct<reason:string,of:string>>"))
-
-    def settle(out: Column, r: Column) -> Column:
-        first = F.get(F.filter(r["hits"], lambda h: ~F.map_contains_key(out, h["earlier"])), F.lit(0))
-        return F.when(first.isNull(), out).otherwise(F.map_concat(out, F.create_map(r["place"], F.struct(first["reason"].alias("reason"), first["earlier_id"].alias("of")))))
-
-    return chains.select("record", F.aggregate("chain", start, settle).alias("gone"))
-
-
-def _with_why(regions: DataFrame, gone: DataFrame) -> DataFrame:
-    """Regions with why (reason, of): joined by record alone, by which both sides are dealt already."""
-    return regions.join(gone, "record", "left").withColumn("why", F.try_element_at("gone", F.col("place"))).drop("gone")
+    pairs = pairs.withColumns({"one_place": one_place, "near": (F.col("contained") >= CONTAINED) | (F.col("iou") >= TOUCHING), "on_top": F.col("iou") >= SAME_PLACE})
+    compare = ~F.col("one_place") & F.col("near") & (F.col("key") != "") & (F.col("key_before") != "")
+    pairs = pairs.withColumn("compare", compare)
+    pairs = _only(pairs, ~F.col("apart") & (F.col("one_place") | F.col("compare") | F.col("on_top")), "record", *by, "place", "earlier", "earlier_id", "key", "key_before", "one_place", "compare", "on_top")
+    size, size_before = F.length("key"), F.length("key_before")
+    # Equal short texts are alike; where one is much longer, no blocks make them so.
+    pairs = pairs.withColumn("equal", (F.col("key") == F.col("key_before")) & (size < similarity.POPULAR_FROM))
+    open_ = F.col("compare") & ~F.col("equal") & (2.0 * F.least(size, size_before) / (size + size_before) >= ALIKE)
+    pairs = pairs.withColumn("open", open_)
+    x, y = F.when(F.col("open"), F.col("key")), F.when(F.col("open"), F.col("key_before"))
+    pairs = pairs.withColumns({"ratio": similarity.matching_ratio(x, y), "ratio_turned": similarity.matching_ratio(y, x)})
+    alike = lambda ratio: F.col("compare") & (F.col("equal") | (F.coalesce(ratio, F.lit(0.0)) >= ALIKE))
+    reason = F.when(F.col("one_place"), "same_role_geometry_duplicate").when(alike(F.col("ratio")), "same_text_cross_class_duplicate").when(F.col("on_top"), "high_iou_class_conflict")
+    pairs = pairs.select("record", *by, "place", "earlier", "earlier_id", reason.alias("reason"), (F.col("one_place") | F.col("on_top") | alike(F.col("ratio_turned"))).alias("turned"))
+    return pairs.filter(F.col("reason").isNotNull() | F.col("turned"))
+
+
+def settled(pairs: DataFrame) -> DataFrame:
+    """record, pairs, gone (map of place to reason and of): the regions that go. In order of place, a region goes if it duplicates one that stayed; the first such one is named."""
+    held = pairs.groupBy("record").agg(F.array_sort(F.collect_list(F.struct("place", "earlier", "reason", "earlier_id", "turned"))).alias("pairs"))
+    start = F.create_map().cast("map<int,struct<reason:string,of:string>>")
+
+    def settle(out: Column, p: Column) -> Column:
+        stays = p["reason"].isNull() | F.map_contains_key(out, p["place"]) | F.map_contains_key(out, p["earlier"])
+        return F.when(stays, out).otherwise(F.map_concat(out, F.create_map(p["place"], F.struct(p["reason"].alias("reason"), p["earlier_id"].alias("of")))))
+
+    return held.select("record", "pairs", F.aggregate("pairs", start, settle).alias("gone"))
 
 
 def deduplicated(regions: DataFrame) -> DataFrame:
     """The regions with `place`, `duplicate_reason` and `duplicate_of`; the last two are blank for those that stay."""
-    regions = placed(regions)
-    return _with_why(regions, settled(regions)).withColumn("duplicate_reason", F.coalesce("why.reason", F.lit(""))).withColumn("duplicate_of", F.coalesce("why.of", F.lit(""))).drop("why")
+    # Joined by record alone, by which both sides are dealt already.
+    done = placed(regions).join(settled(duplicate_pairs(_roles(regions), _order(regions))).drop("pairs"), "record", "left")
+    why = done.withColumn("why", F.try_element_at("gone", F.col("place"))).drop("gone")
+    return why.withColumn("duplicate_reason", F.coalesce("why.reason", F.lit(""))).withColumn("duplicate_of", F.coalesce("why.of", F.lit(""))).drop("why")
 
 
 def choose(regions: DataFrame, branch: str, deduplicate: bool, quotas: dict[str, int] | None = None, total: int = TOTAL, vision_only: float = 0.20) -> DataFrame:
@@ -122,32 +138,58 @@ def choose(regions: DataFrame, branch: str, deduplicate: bool, quotas: dict[str,
     return choose_each(regions, {branch: deduplicate}, quotas, total, vision_only)
 
 
-def choose_each(regions: DataFrame, branches: dict[str, bool], quotas: dict[str, int] | None = None, total: int = TOTAL, vision_only: float = 0.20) -> DataFrame:
-    """choose() for several branches at once (name: deduplicate or not). Regions dealt by record travel no more."""
+def choose_each(regions: DataFrame, branches: dict[str, bool], quotas: dict[str, int] | None = None, total: int = TOTAL, vision_only: float = 0.20, with_pairs: bool = False) -> DataFrame:
+    """choose() for several branches at once (name: deduplicate or not). Regions dealt by record travel no more.
+
+    `with_pairs` adds what tables() else finds again: place, and pairs, the record's duplicates among the regions that pass.
+    """
     quotas = quotas or QUOTAS
-    gate = R.evidence_gate(F.col("label"), F.col("confidence"), F.col("text"), F.col("decoded"), vision_only)
-    passes = F.col("gate").isin("direct_text_evidence", "vision_only_high_confidence")
-    judged = regions.withColumn("role", R.component_role(F.col("label"))).withColumn("gate", gate).withColumn("passes", passes)
+    judged = _roles(regions)
+    judged = judged.withColumn("gate", R.gate_of(F.col("kind"), F.col("role"), F.col("confidence"), F.col("text"), F.col("decoded"), vision_only)).drop("kind")
+    judged = judged.withColumn("passes", F.col("gate").isin("direct_text_evidence", "vision_only_high_confidence"))
+    order = _order(regions)
     # Places count those that pass apart from those that don't.
-    judged = judged.withColumn("place", F.row_number().over(Window.partitionBy("record", "passes").orderBy(*_order(regions))))
-    nothing, none = F.lit(""), F.lit(None).cast("struct<reason:string,of:string>")
+    done = judged.withColumn("place", F.row_number().over(Window.partitionBy("record", "passes").orderBy(*order)))
     # Branches without duplicates settled keep them all.
-    if any(branches.values()):
-        judged = _with_why(judged, settled(judged.filter("passes"))).withColumn("why", F.when(F.col("passes"), F.col("why")))
+    if with_pairs or any(branches.values()):
+        done = done.join(settled(duplicate_pairs(judged, order, "passes", of=F.col("passes"))), "record", "left")
+        done = done.withColumn("why", F.when(F.col("passes"), F.try_element_at("gone", F.col("place")))).drop("gone")
     else:
-        judged = judged.withColumn("why", none)
-    each = F.array(*(F.struct(F.lit(b).alias("branch"), F.lit(d).alias("settle")) for b, d in branches.items()))
-    judged = judged.withColumn("each", F.explode(each)).withColumn("branch", F.col("each.branch")).withColumn("why", F.when(F.col("each.settle"), F.col("why")).otherwise(none)).drop("each")
-    judged = judged.withColumn("single", F.col("passes") & F.col("why").isNull())
-    by = lambda *keys: Window.partitionBy("record", "branch", *keys)
-    quota = F.coalesce(*(F.when(F.col("role") == r, n) for r, n in quotas.items()), F.lit(0))
-    turn = F.coalesce(*(F.when((F.col("role") == r) & (F.col("in_role") == 1), i) for i, r in enumerate(quotas)), F.lit(len(quotas)))
-    judged = judged.withColumn("in_role", F.row_number().over(by("single", "role").orderBy(F.desc("utility"), "place"))).withColumn("within", F.col("single") & (F.col("in_role") <= quota))
-    judged = judged.withColumn("input_order", F.row_number().over(by("within").orderBy(turn, F.desc("utility"), "place")))
-    judged = judged.withColumn("selected", F.col("within") & (F.col("input_order") <= max(total, 0)))
-    status = F.when(~F.col("passes"), "rejected_evidence").when(~F.col("single"), "rejected_duplicate").when(F.col("selected"), "selected").otherwise("rejected_quota")
-    reason = F.when(~F.col("passes"), F.col("gate")).when(~F.col("single"), F.col("why.reason")).when(F.col("selected"), "diverse_role_utility").otherwise("role_or_total_quota")
-    return judged.select(*regions.columns, "role", "gate", "branch", status.alias("selection_status"), reason.alias("selection_reason"), F.coalesce("why.of", nothing).alias("duplicate_of"), F.when(F.col("selected"), F.col("input_order")).alias("input_order"))
+        done = done.withColumn("why", F.lit(None).cast("struct<reason:string,of:string>"))
+    # By utility and place is by place; running counts along it do for every role and branch, without another order.
+    along = Window.partitionBy("record", "passes").orderBy("place")
+    so_far, whole = along.rowsBetween(Window.unboundedPreceding, Window.currentRow), along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    wanted = {r: n for r, n in quotas.items() if n > 0}
+    ways = sorted(set(branches.values()))
+    name = lambda c, way: f"_{c}_{int(way)}"
+    at = lambda c, way: F.col(name(c, way))
+    single = {w: (F.col("passes") & F.col("why").isNull()) if w else F.col("passes") for w in ways}
+    done = done.withColumns({name("single", w): single[w] for w in ways})
+    is_role = lambda w, r: at("single", w) & (F.col("role") == r)
+    counts = {name(f"n{i}", w): F.count_if(is_role(w, r)).over(so_far) for w in ways for i, r in enumerate(wanted)}
+    held = {name(f"has{i}", w): F.count_if(is_role(w, r)).over(whole) > 0 for w in ways for i, r in enumerate(wanted)}
+    done = done.withColumns(counts | held)
+    one_of = lambda xs: F.coalesce(*(F.when(F.col("role") == r, x) for r, x in zip(wanted, xs, strict=True)), F.lit(0))
+    in_role = {w: one_of([at(f"n{i}", w) for i in range(len(wanted))]) for w in ways}
+    done = done.withColumns({name("in_role", w): F.when(at("single", w), in_role[w]).otherwise(0) for w in ways})
+    within = {w: (at("in_role", w) > 0) & (at("in_role", w) <= one_of([F.lit(n) for n in wanted.values()])) for w in ways}
+    done = done.withColumns({name("within", w): within[w] for w in ways})
+    done = done.withColumns({name("more", w): F.count_if(at("within", w) & (at("in_role", w) > 1)).over(so_far) for w in ways})
+    # The best of each role come first, in the order of the roles, then all others.
+    roles_before = lambda w, i: sum((at(f"has{j}", w).cast("int") for j in range(i)), F.lit(0))
+    first = {w: one_of([roles_before(w, i) + 1 for i in range(len(wanted))]) for w in ways}
+    number = {w: F.when(at("in_role", w) == 1, first[w]).otherwise(roles_before(w, len(wanted)) + at("more", w)).cast("int") for w in ways}
+    done = done.withColumns({name("order", w): F.when(at("within", w), F.when(number[w] <= max(total, 0), number[w])) for w in ways})
+
+    def decision(w: bool) -> list[Column]:
+        chosen = at("order", w).isNotNull()
+        status = F.when(~F.col("passes"), "rejected_evidence").when(~at("single", w), "rejected_duplicate").when(chosen, "selected").otherwise("rejected_quota")
+        reason = F.when(~F.col("passes"), F.col("gate")).when(~at("single", w), F.col("why.reason")).when(chosen, "diverse_role_utility").otherwise("role_or_total_quota")
+        of = F.coalesce("why.of", F.lit("")) if w else F.lit("")
+        return [status.alias("selection_status"), reason.alias("selection_reason"), of.alias("duplicate_of"), at("order", w).alias("input_order")]
+
+    each = F.array(*(F.struct(F.lit(b).alias("branch"), *decision(w)) for b, w in branches.items()))
+    return done.select(*regions.columns, "role", "gate", *(["place", "pairs"] if with_pairs else []), F.inline(each))
 
 
 def _rate(n: Column, of: Column, digits: int) -> Column:
@@ -158,49 +200,66 @@ def tables(decisions: DataFrame, references: DataFrame, fields: list[str] = EVID
     """records, branches, fields, field_summary: how well the branches' selected regions cover what is known of each record.
 
     `references` has record and a column for each field; every branch counts every record of it, chosen from or not.
-    Branches are those named, else all that decisions have. Decisions dealt by record travel no more.
+    Branches are those named, else all that decisions have. Decisions dealt by record travel no more; those with pairs
+    (choose_each) are not compared again.
     """
     names = branches if branches is not None else [r["branch"] for r in decisions.select("branch").distinct().collect()]  # a handful
-    chosen, said = F.col("selection_status") == "selected", F.when(F.col("selection_status") == "selected", reading(F.col("decoded"), F.col("text")))
-    overlaps = F.col("overlaps") if "overlaps" in decisions.columns else F.create_map().cast("map<string,double>")
-    one = F.struct(F.col("input_order").alias("place"), "id", "role", T.alnum_key(said).alias("key"), F.struct(*BOX).alias("box"), F.coalesce(overlaps, F.create_map().cast("map<string,double>")).alias("overlaps"), said.alias("said"))
-    status = lambda s: F.count_if(F.col("selection_status") == s).alias(f"{s}_count")
-    packets = decisions.groupBy("branch", "record").agg(
-        F.count("*").alias("candidate_count"), F.count_if(F.col("selection_status") != "rejected_evidence").alias("evidence_accepted_count"),
-        *(status(s) for s in ("rejected_evidence", "rejected_duplicate", "rejected_quota")), F.collect_list(F.when(chosen, one)).alias("all"),
+    chosen, paired = F.col("selection_status") == "selected", "pairs" in decisions.columns
+    # Texts are worked out in a generator: inside an aggregate they would be interpreted, row by row.
+    said = decisions.withColumn("said", F.when(chosen, reading(F.col("decoded"), F.col("text"))))
+    one = F.struct(F.col("input_order").alias("order"), (F.col("place") if paired else F.lit(0)).alias("place"), F.when(F.col("said") != "", T.alnum_key(F.col("said"))).alias("key"))
+    slim = said.select("record", "branch", "selection_status", *(["pairs"] if paired else []), F.inline(F.array(F.struct(F.when(chosen, one).alias("one"), (F.col("said") != "").alias("usable")))))
+    refusals = ["rejected_evidence_count", "rejected_duplicate_count", "rejected_quota_count"]
+    held = ["candidate_count", "evidence_accepted_count", *refusals, "input_image_count", "ocr_usable_crop_count"]
+    packets = slim.groupBy("record").agg(
+        *(F.count_if((F.col("branch") == b) & x).alias(f"{c}_{i}") for i, b in enumerate(names) for c, x in zip(held, (F.lit(True), F.col("selection_status") != "rejected_evidence", *(F.col("selection_status") == c.removesuffix("_count") for c in refusals), chosen, F.col("usable")), strict=True)),
+        *(F.collect_list(F.when(F.col("branch") == b, F.col("one"))).alias(f"all_{i}") for i, b in enumerate(names)), *([F.first("pairs").alias("pairs")] if paired else []),
     )
-    lines = F.transform(F.filter(F.array_sort(F.transform("all", lambda x: F.struct(x["place"].alias("place"), x["said"].alias("said")))), lambda x: x["said"] != ""), lambda x: x["said"])
-    keys = F.array_distinct(F.filter(F.transform("all", lambda x: x["key"]), lambda x: x != ""))
-    size = lambda c: F.size(c).cast("long")
-    packets = packets.withColumns({"input_image_count": size("all"), "lines": lines, "unique_text_count": size(keys)})
-    packets = packets.withColumns({"ocr_usable_crop_count": size("lines"), "evidence_key": T.alnum_key(F.array_join("lines", "\nEVIDENCE_BOUNDARY\n"))})
-    # Pairs are looked for within a branch's packet.
-    held = ["candidate_count", "evidence_accepted_count", "rejected_evidence_count", "rejected_duplicate_count", "rejected_quota_count", "input_image_count", "ocr_usable_crop_count", "unique_text_count", "evidence_key"]
-    pairs = _judged(_pairs_of(packets.select("record", F.struct("branch", *held).alias("of_packet"), "all"), ("of_packet",)), "of_packet")
-    twins = pairs.groupBy("record", F.col("of_packet.branch").alias("branch")).agg(F.first("of_packet").alias("of_packet"), F.count("reason").alias("selected_duplicate_pair_count"))
-    sheets = twins.groupBy("record").agg(F.map_from_entries(F.collect_list(F.struct("branch", F.struct("of_packet.*", "selected_duplicate_pair_count").alias("p")))).alias("packets"))
+    if not paired:
+        twins = duplicate_pairs(decisions.filter(chosen), ["input_order"], "branch").filter("reason is not null")
+        packets = packets.join(twins.groupBy("record").agg(*(F.count_if(F.col("branch") == b).alias(f"twins_{i}") for i, b in enumerate(names))), "record", "left")
+
+    def twins_of(i: int) -> Column:
+        """Of the record's pairs, those with both in the packet, judged in its order."""
+        order = F.map_from_entries(F.transform(f"all_{i}", lambda x: F.struct(x["place"], x["order"])))
+
+        def both(order: Column) -> Column:
+            def held_by(p: Column) -> Column:
+                later, earlier = F.try_element_at(order, p["place"]), F.try_element_at(order, p["earlier"])
+                return F.coalesce(F.when(later > earlier, p["reason"].isNotNull()).when(later < earlier, p["turned"]), F.lit(False))
+
+            return F.size(F.filter("pairs", held_by)).cast("long")
+
+        return F.when(F.size("pairs") > 0, T.let(order, both))
+
+    texts = lambda i: F.sort_array(F.col(f"all_{i}"))["key"]
+    none = F.array(F.lit(""), F.lit(None).cast("string"))
+    packet = lambda i, b: F.struct(
+        F.lit(b).alias("branch"), *(F.coalesce(f"{c}_{i}", F.lit(0).cast("long")).alias(c) for c in held), F.greatest(F.size(F.array_except(texts(i), none)), F.lit(0)).cast("long").alias("unique_text_count"),
+        F.coalesce(twins_of(i) if paired else F.col(f"twins_{i}"), F.lit(0).cast("long")).alias("selected_duplicate_pair_count"), F.coalesce(F.array_join(texts(i), "evidenceboundary"), F.lit("")).alias("evidence"),
+    )
     # What a value may look like is worked out once a record; only dates have several forms.
-    forms = lambda f: R.evidence_variants(F.lit(f), F.col(f)) if f == "eventDate" else F.filter(F.array(T.alnum_key(T.clean(F.col(f)))), lambda x: x != "")
-    wanted = references.select("record", F.array(*(F.struct(F.lit(f).alias("field"), T.clean(F.col(f)).alias("value"), forms(f).alias("forms")) for f in fields)).alias("wanted"))
+    value = lambda f: f"value_{f}"
+    form = lambda f: R.evidence_variants(F.lit(f), F.col(f)) if f == "eventDate" else T.alnum_key(T.clean(F.col(f)))
+    wanted = references.select("record", *(T.clean(F.col(f)).alias(value(f)) for f in fields), *(form(f).alias(f"form_{f}") for f in fields))
     # By record alone, by which both sides are dealt.
-    joined = wanted.join(sheets, "record", "left").withColumn("branch", F.explode(F.array(*map(F.lit, names)).cast("array<string>"))).withColumn("p", F.try_element_at("packets", F.col("branch")))
-    joined = joined.select("branch", "record", "wanted", *(F.col(f"p.{c}").alias(c) for c in [*held, "selected_duplicate_pair_count"]))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
-    joined = joined.withColumn("evidence", F.coalesce("evidence_key", F.lit("")))
+    joined = wanted.join(packets, "record", "left")
+    joined = joined.select(*wanted.columns, F.inline(F.array(*(packet(i, b) for i, b in enumerate(names))))) if names else joined.select(*wanted.columns, F.lit(None).cast("string").alias("branch")).limit(0)
 
-    def looked_for(x: Column) -> Column:
-        return F.struct(x["field"].alias("field"), x["value"].alias("reference_value"), (x["value"] != "").alias("reference_available"), ((x["value"] != "") & F.exists(x["forms"], lambda v: F.contains("evidence", v))).alias("evidence_hit"))
+    def looked_for(f: str) -> Column:
+        own = F.col(f"form_{f}")
+        hit = F.exists(own, lambda v: F.contains(F.col("evidence"), v)) if f == "eventDate" else (own != "") & F.contains(F.col("evidence"), own)
+        return F.struct(F.lit(f).alias("field"), F.col(value(f)).alias("reference_value"), (F.col(value(f)) != "").alias("reference_available"), ((F.col(value(f)) != "") & hit).alias("evidence_hit"))
 
-    known = F.transform("wanted", looked_for)
     numbers = ["candidate_count", "evidence_accepted_count", "input_image_count", "ocr_usable_crop_count", "unique_text_count", "selected_duplicate_pair_count"]
-    refusals = ["rejected_evidence_count", "rejected_duplicate_count", "rejected_quota_count"]
-    wide = joined.select("branch", "record", *(zero(n).alias(n) for n in numbers + refusals), known.alias("known"))
-    many = lambda when: F.size(F.filter("known", when)).cast("long")
-    wide = wide.withColumn("reference_field_count", many(lambda x: x["reference_available"])).withColumn("field_evidence_hit_count", many(lambda x: x["evidence_hit"]))
-    wide = wide.withColumn("catalog_number_evidence_hit", F.exists("known", lambda x: (x["field"] == "catalogNumber") & x["evidence_hit"]))
+    known = [f"known_{f}" for f in fields]
+    wide = joined.select("branch", "record", *numbers, *refusals, *(looked_for(f).alias(k) for f, k in zip(fields, known, strict=True)))
+    several = lambda part: sum((F.col(k)[part].cast("long") for k in known), F.lit(0).cast("long"))
+    wide = wide.withColumn("reference_field_count", several("reference_available")).withColumn("field_evidence_hit_count", several("evidence_hit"))
+    wide = wide.withColumn("catalog_number_evidence_hit", F.col("known_catalogNumber.evidence_hit") if "catalogNumber" in fields else F.lit(False))
     rate = lambda n, of, digits=6: _rate(F.col(n), F.col(of), digits)
     records = wide.select("branch", "record", *numbers, rate("ocr_usable_crop_count", "input_image_count").alias("ocr_usable_rate"), rate("unique_text_count", "ocr_usable_crop_count").alias("text_uniqueness_rate"), "reference_field_count", "field_evidence_hit_count", rate("field_evidence_hit_count", "reference_field_count").alias("field_evidence_hit_rate"), "catalog_number_evidence_hit")
-    per_field = wide.select("branch", "record", F.inline("known"))
+    per_field = wide.select("branch", "record", F.inline(F.array(*known)))
     summary = per_field.groupBy("branch", "field").agg(F.count_if("reference_available").alias("reference_available_count"), F.count_if("evidence_hit").alias("evidence_hit_count"))
     summary = summary.withColumn("evidence_hit_rate", rate("evidence_hit_count", "reference_available_count", 4))
     unique = rate("unique_text_count", "ocr_usable_crop_count")

@@ -123,6 +123,11 @@ def mask_containment(shares: Column) -> Column:
     return F.when(smaller > 0, shares["both"] / smaller).otherwise(0.0)
 
 
+def overlap_texts(c: Column) -> Column:
+    """Overlaps by region id from a JSON text, as texts that are cast where they are asked for; null where it is no JSON object."""
+    return F.when(F.contains(c, F.lit("{")), F.from_json(c, "map<string,string>"))
+
+
 def overlap_map(c: Column) -> Column:
     """Overlaps by region id from a JSON text; none where it is no JSON object, and 0 for what is no number."""
-    return F.coalesce(F.transform_values(F.from_json(c, "map<string,string>"), lambda _, v: F.coalesce(v.try_cast("double"), F.lit(0.0))), F.create_map().cast("map<string,double>"))
+    return F.coalesce(F.transform_values(overlap_texts(c), lambda _, v: F.coalesce(v.try_cast("double"), F.lit(0.0))), F.create_map().cast("map<string,double>"))
