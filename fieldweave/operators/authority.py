@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sinks.places import new_path
 from . import resolve
 
 # Likeness from which a name is taken over, from which it is shown for review, and from which two names are one person's.
 TAKE_OVER, REVIEW, SAME_PERSON = 0.92, 0.75, 0.92
 #: Edits up to which a name is a misspelling of another, letters of a group, and the least confidence of an identifier that was completed.
 MOST_EDITS, GROUP, FLOOR = 2, 3, 0.85
+#: Letter groups of a key up to which keys meet by equal parts of their sets.
+FEW = 64
 
 
 def name_key(c: Column) -> Column:
@@ -74,13 +78,66 @@ def like(left: DataFrame, right: DataFrame, threshold: float, within: str | None
     return met.select("key", "of", *([F.col("block").alias(within)] if within else []), F.round(cosine, 9).alias("cosine")).filter(F.col("cosine") >= threshold)
 
 
+def _meetings(threshold: float) -> list[tuple[int, list[tuple[int, int, int, list[int]]]]]:
+    """For each size of a set, up to FEW: (side, number, parts, chosen parts) of the ways in which it meets sets that reach the threshold.
+
+    Sets of s and t members whose cosine reaches the threshold differ in k members at most. Dealt to k + m parts by a hash,
+    m of the parts at least are equal: so two such sets have one choice of m parts in common that holds the same members.
+    """
+    ways: dict[int, list[tuple[int, int, int, list[int]]]] = {n: [] for n in range(1, FEW + 1)}
+    number = itertools.count()
+    for s in range(1, FEW + 1):
+        for t in range(s, FEW + 1):
+            common = math.ceil(threshold * math.sqrt(s * t) - 1e-6)
+            if common <= s:
+                k = s + t - 2 * common
+                m = 2 if 1 < k < 6 else 1
+                for chosen in itertools.combinations(range(k + m), m):
+                    n = next(number)
+                    ways[s].append((0, n, k + m, list(chosen)))
+                    ways[t].append((1, n, k + m, list(chosen)))
+    return list(ways.items())
+
+
+def like_one_another(names: DataFrame, threshold: float) -> DataFrame:
+    """(key, of): like() of a table of different keys with itself, without (key, key), and each pair once: for high thresholds and many keys.
+
+    Keys meet by what equal parts of their sets of letter groups hold (_meetings), not by single groups, which ever more keys
+    share as the table grows; sets of over FEW groups meet by their rarest ones. The full sets confirm.
+    """
+    sized = names.select("key", letter_groups(F.col("key")).alias("groups")).withColumn("size", F.size("groups"))
+    own, other = letter_groups(F.col("key")), letter_groups(F.col("of"))
+    cosine = F.size(F.array_intersect(own, other)) / F.sqrt(F.size(own).cast("double") * F.size(other))
+    few = met_by_parts(sized, threshold).filter(F.round(cosine, 9) >= threshold)
+    # A set of over FEW groups is like none of fewer than this.
+    large = sized.filter(F.col("size") >= math.floor(FEW * threshold * threshold)).select("key")
+    many = like(large, large, threshold).filter("key < of").select("key", "of")
+    return few.unionByName(many).distinct()
+
+
+def met_by_parts(sized: DataFrame, threshold: float) -> DataFrame:
+    """(key, of): the pairs of keys (with groups and size, up to FEW) that share what equal parts hold, key before of; few of them are not alike."""
+    spark = sized.sparkSession
+    ways = spark.createDataFrame(_meetings(threshold), "size int, ways array<struct<side:int,number:int,parts:int,chosen:array<int>>>")
+    hashed = sized.select("key", "size", F.transform("groups", lambda g: F.xxhash64(g)).alias("members")).join(F.broadcast(ways), "size")
+    met_by = hashed.select("key", "members", F.explode("ways").alias("way"))
+    held = F.aggregate("members", F.lit(0).cast("long"), lambda x, g: F.when(F.array_contains("way.chosen", F.pmod(g, F.col("way.parts")).cast("int")), x.bitwiseXOR(g)).otherwise(x))
+    met_by = met_by.select("key", "way.side", F.xxhash64("way.number", held).alias("meeting"))
+    side = lambda n, name: met_by.filter(F.col("side") == n).select(F.col("key").alias(name), "meeting")
+    return side(0, "key").join(side(1, "of"), "meeting").filter("key <> of").select(F.least("key", "of").alias("key"), F.greatest("key", "of").alias("of")).distinct()
+
+
 def clusters(names: DataFrame, name: str, threshold: float = SAME_PERSON) -> DataFrame:
     """(name, canonical): every different non-blank name with the longest of itself and the names like it; of equally long ones itself, else the first by order."""
-    all_names = names.select(T.clean(F.col(name)).alias("key")).filter("key <> ''").distinct()
-    pairs = like(all_names, all_names, threshold).filter("key <> of")
-    better = pairs.groupBy("key").agg(F.min(F.struct((-F.length("of")).alias("order"), "of")).alias("best"))
+    # Written, since several joins read them: a name may be what a pattern finds in a long text.
+    at = new_path(names.sparkSession, "names")
+    names.select(F.col(name).alias("key")).distinct().write.parquet(at)
+    all_names = names.sparkSession.read.parquet(at).select(T.clean(F.col("key")).alias("key")).filter("key <> ''").distinct()
+    pairs = like_one_another(all_names, threshold)
+    longer = F.when(F.length("of") > F.length("key"), F.struct("key", "of")).when(F.length("of") < F.length("key"), F.struct(F.col("of").alias("key"), F.col("key").alias("of")))
+    better = pairs.select(longer.alias("pair")).filter("pair is not null").select("pair.*").groupBy("key").agg(F.min(F.struct((-F.length("of")).alias("order"), "of")).alias("best"))
     joined = all_names.join(better, "key", "left")
-    return joined.select(F.col("key").alias("name"), F.when(F.length("best.of") > F.length("key"), F.col("best.of")).otherwise(F.col("key")).alias("canonical"))
+    return joined.select(F.col("key").alias("name"), F.coalesce("best.of", "key").alias("canonical"))
 
 
 def matched(names: DataFrame, known: DataFrame, name: str = "name") -> DataFrame:
