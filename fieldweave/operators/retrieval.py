@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +123,8 @@ def dense(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int,
 #: Words (rows of key and word) that a slice of queries or of the corpus holds on average, and words of one product of blocks.
 SLICE_WORDS = 1 << 20
 BLOCK, BLOCK_WORDS = 512, 2048
+#: Meetings of a word in a pair of blocks up to which they are gone through one by one, and meetings that are open at once.
+FEW_MEETINGS, MEETINGS = 2048, 1 << 21
 
 
 def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
@@ -148,31 +151,73 @@ class _Side:
         total = lambda w: np.bincount(self.row, w, len(part))
         self.counts, self.norm = total(self.n**2), total(plain**2)
 
-    def words_of(self, first: int, last: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the rows from first to last: places in the arrays, rows from 0, and words as places in `known`; others are left out."""
+    def block(self, first: int, last: int) -> _Block:
+        """The rows from first to last by word."""
         at = np.arange(*np.searchsorted(self.row, [first, last]))
-        place = np.minimum(np.searchsorted(known, self.word[at]), max(len(known) - 1, 0))
-        held = known[place] == self.word[at] if len(known) else np.zeros(len(at), bool)
-        return at[held], self.row[at[held]] - first, place[held]
+        at = at[np.argsort(self.word[at], kind="stable")]
+        words, start = np.unique(self.word[at], return_index=True)
+        return _Block(first, last, words, start, np.diff(np.append(start, len(at))), self.row[at] - first, self.n[at], self.asked[at], self.shift[at])
 
 
-def _text_means(q: _Side, d: _Side, q0: int, q1: int, d0: int, d1: int) -> np.ndarray:
-    """Mean of both text cosines of the queries q0 to q1 and documents d0 to d1; 0 where no word is shared."""
-    shape = (q1 - q0, d1 - d0)
-    common = np.intersect1d(q.word[slice(*np.searchsorted(q.row, [q0, q1]))], d.word[slice(*np.searchsorted(d.row, [d0, d1]))])
-    plain, dot, shift = np.zeros(shape), np.zeros(shape), np.zeros(shape)
-    for start in range(0, len(common), BLOCK_WORDS):
-        known = common[start : start + BLOCK_WORDS]
+class _Block(NamedTuple):
+    """Rows of a block by word: different words in order, where each begins and how often it stands, then row, count and weights of each."""
+
+    first: int
+    last: int
+    words: np.ndarray
+    start: np.ndarray
+    often: np.ndarray
+    row: np.ndarray
+    n: np.ndarray
+    asked: np.ndarray
+    shift: np.ndarray
+
+
+def _ranges(start: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (as many as `often` says) of each range, end to end."""
+    return np.arange(often.sum()) + np.repeat(start - np.cumsum(often) + often, often)
 
-        def laid(side: _Side, first: int, last: int, *weights: np.ndarray | float, known: np.ndarray = known) -> Iterator[np.ndarray]:
-            at, row, word = side.words_of(first, last, known)
+
+def _products(q: _Block, d: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums over the words that a query and a row share: of the products of counts, of the products of weights, of the rows' shifts.
+
+    Words that stand in many rows of both blocks are multiplied as matrices; most words stand in few, and their meetings are added one by one.
+    """
+    shape = (q.last - q.first, d.last - d.first)
+    plain, dot, shift = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+    _, in_q, in_d = np.intersect1d(q.words, d.words, assume_unique=True, return_indices=True)
+    meetings = q.often[in_q] * d.often[in_d]
+    frequent = meetings > FEW_MEETINGS
+    for start in range(0, int(frequent.sum()), BLOCK_WORDS):
+
+        def laid(b: _Block, at: np.ndarray, rows: int, *weights: np.ndarray | float, start: int = start) -> Iterator[np.ndarray]:
+            at = at[frequent][start : start + BLOCK_WORDS]
+            own, word = _ranges(b.start[at], b.often[at]), np.repeat(np.arange(len(at)), b.often[at])
             for w in weights:
-                out = np.zeros((last - first, len(known)))
-                out[row, word] = w[at] if isinstance(w, np.ndarray) else w
+                out = np.zeros((rows, len(at)))
+                out[b.row[own], word] = w[own] if isinstance(w, np.ndarray) else w
                 yield out
 
-        for total, a, b in zip((plain, dot, shift), laid(q, q0, q1, q.n, q.asked, 1.0), laid(d, d0, d1, d.n, d.asked, d.shift), strict=True):
-            total += a @ b.T
+        for total, x, y in zip((plain, dot, shift), laid(q, in_q, shape[0], q.n, q.asked, 1.0), laid(d, in_d, shape[1], d.n, d.asked, d.shift), strict=True):
+            total += x @ y.T
+    in_q, in_d, meetings = in_q[~frequent], in_d[~frequent], meetings[~frequent]
+    part = np.cumsum(meetings) // MEETINGS
+    for i in range(int(part[-1]) + 1 if len(part) else 0):
+        of_q, of_d = in_q[part == i], in_d[part == i]
+        own = _ranges(q.start[of_q], q.often[of_q])
+        many = np.repeat(d.often[of_d], q.often[of_q])
+        other = _ranges(np.repeat(d.start[of_d], q.often[of_q]), many)
+        own = np.repeat(own, many)
+        cell = q.row[own] * shape[1] + d.row[other]
+        for total, w in ((plain, q.n[own] * d.n[other]), (dot, q.asked[own] * d.asked[other]), (shift, d.shift[other])):
+            total += np.bincount(cell, w, total.size).reshape(shape)
+    return plain, dot, shift
+
+
+def _text_means(q: _Side, d: _Side, of_q: _Block, of_d: _Block) -> np.ndarray:
+    """Mean of both text cosines of the queries and documents of two blocks; 0 where no word is shared."""
+    plain, dot, shift = _products(of_q, of_d)
+    q0, q1, d0, d1 = of_q.first, of_q.last, of_d.first, of_d.last
     with np.errstate(divide="ignore", invalid="ignore"):
         lexical_ = plain / (np.sqrt(q.counts[q0:q1])[:, None] * np.sqrt(d.counts[d0:d1])[None, :])
         tfidf_ = dot / np.sqrt(q.norm[q0:q1][:, None] * (d.norm[d0:d1][None, :] + shift))
@@ -211,14 +256,15 @@ def hybrid(queries: DataFrame, corpus: DataFrame, key: str, vector: str, text: s
         out = []
         if len(asked_) and len(rows_):
             q, d = _Side(asked_, n_docs, False), _Side(rows_.take(pa.compute.sort_indices(rows_.column("id"))), n_docs, True)
+            d_blocks = [d.block(d0, min(d0 + BLOCK, len(d.ids))) for d0 in range(0, len(d.ids), BLOCK)]
             for q0 in range(0, len(q.ids), BLOCK):
                 q1 = min(q0 + BLOCK, len(q.ids))
-                ids, kept = q.ids[q0:q1], None
-                for d0 in range(0, len(d.ids), BLOCK):
-                    d1 = min(d0 + BLOCK, len(d.ids))
+                ids, kept, q_block = q.ids[q0:q1], None, q.block(q0, q1)
+                for d_block in d_blocks:
+                    d0, d1 = d_block.first, d_block.last
                     docs = np.broadcast_to(d.ids[d0:d1], (q1 - q0, d1 - d0))
                     own, other = q.group[q0:q1], d.group[d0:d1]
-                    parts = _rounded(q.vector[q0:q1] @ d.vector[d0:d1].T, 5) if q.vector.shape[1] == d.vector.shape[1] else np.full(docs.shape, np.nan), _rounded(_text_means(q, d, q0, q1, d0, d1), 7), ((own[:, None] == other[None, :]) & (own != "")[:, None]).astype(float)
+                    parts = _rounded(q.vector[q0:q1] @ d.vector[d0:d1].T, 5) if q.vector.shape[1] == d.vector.shape[1] else np.full(docs.shape, np.nan), _rounded(_text_means(q, d, q_block, d_block), 7), ((own[:, None] == other[None, :]) & (own != "")[:, None]).astype(float)
                     score = _rounded(sum(w * p for w, p in zip(weights, parts, strict=True)), 9)
                     # Rank: -inf for what has no score, NaN for what is no hit; documents come in order, so ties stay in it.
                     rank = np.where(docs == ids[:, None], np.nan, np.where(np.isnan(score), -np.inf, score))
